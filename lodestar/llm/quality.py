@@ -77,11 +77,12 @@ def measure(docs: DataFrame) -> DataFrame:
     ).withColumn("base_failed", F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words"))
 
 
-def plan_cascade(measured: DataFrame, total: int, rules=RULES, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
+def plan_cascade(docs: DataFrame, rules=RULES, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
     """The rules by falling rejection per cost, both estimated on a sample of about ``sample_rows`` rows."""
+    total = docs.count()
     if not total:
         return list(rules)
-    sample = measured.sample(fraction=min(1.0, sample_rows / total), seed=11).persist()
+    sample = measure(docs.sample(fraction=min(1.0, sample_rows / total), seed=11)).persist()
     try:
         sample.count()
         scored = []
@@ -103,8 +104,7 @@ def apply_cascade(measured: DataFrame, ordered: list[Rule]) -> DataFrame:
 
 
 def quality_cascade(docs: DataFrame, rules=RULES) -> DataFrame:
-    measured = measure(docs)
-    return apply_cascade(measured, plan_cascade(measured, docs.count(), rules))
+    return apply_cascade(measure(docs), plan_cascade(docs, rules))
 
 
 def op7_quality_cascade(spark, sf_dir: str) -> DataFrame:
