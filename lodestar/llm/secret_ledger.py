@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import text_of
+from lodestar.llm.common import materialize, text_of
 
 
 @dataclass(frozen=True)
@@ -100,9 +100,13 @@ def _joined(spans: Column) -> Column:
 
 
 def find_secrets(docs: DataFrame, rules=RULES) -> DataFrame:
-    """doc_id, blob and ``found``: the spans (start, rule_order, kind, end) of each document, by start."""
+    """doc_id, blob and ``found``: the spans (start, rule_order, kind, end) of each document, by start.
+
+    The findings are written first: the join back to the paths then has a shuffle of its own on either side,
+    so that a blob with very many paths can be split over tasks.
+    """
     findings, _ = scan_blobs(distinct_blobs(docs), None, rules)
-    per_blob = findings.groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("start", "rule_order", "kind", "end"))).alias("found"))
+    per_blob = materialize(findings.groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("start", "rule_order", "kind", "end"))).alias("found")), "findings")
     paths = docs.select("doc_id", blob_id(text_of()).alias("blob"))
     none = F.array().cast("array<struct<start:bigint,rule_order:int,kind:string,end:bigint>>")
     return paths.join(per_blob, "blob", "left").select("doc_id", "blob", F.coalesce("found", none).alias("found"))
@@ -118,7 +122,7 @@ def redact(docs: DataFrame, mark: str = "[REDACTED]") -> DataFrame:
     opened = findings.withColumn("reach", reach).withColumn("fresh", (F.col("reach").isNull() | (F.col("start") > F.col("reach"))).cast("int"))
     opened = opened.withColumn("island", F.sum("fresh").over(Window.partitionBy("blob").orderBy("start", "end")))
     islands = opened.groupBy("blob", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-    marks = islands.groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("__marks"))
+    marks = materialize(islands.groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("__marks")), "marks")
     columns = docs.columns
     joined = docs.withColumn("__blob", blob_id(text_of())).join(marks.withColumnRenamed("blob", "__blob"), "__blob", "left")
     starts = F.concat(F.array(F.lit(0).cast("long")), F.transform("__marks", lambda m: m["end"]))
