@@ -434,15 +434,15 @@ def own_support_quantiles(spark, d):
 
 
 @query(f"""WITH {_CELLS}, w AS (SELECT campaign, operation, n, s, p, 1.959964::DOUBLE AS z, s / n::DOUBLE AS q FROM cells), i AS (SELECT *, ((q + z*z/(2*n)) / (1 + z*z/n)) AS c, z * sqrt(q*(1-q)/n + z*z/(4.0*n*n)) / (1 + z*z/n) AS h FROM w)
-  SELECT campaign, operation, round(c - h, 8) AS lower, round(c + h, 8) AS upper, CASE WHEN c - h > 0.5 THEN 'accept' WHEN c + h < 0.5 THEN 'reject' ELSE 'abstain' END AS decision, round(greatest(c + h - 0.5, 0), 8) AS regret FROM i""")
+  SELECT campaign, operation, round(c - h, 8) + 0.0 AS lower, round(c + h, 8) + 0.0 AS upper, CASE WHEN c - h > 0.5 THEN 'accept' WHEN c + h < 0.5 THEN 'reject' ELSE 'abstain' END AS decision, round(greatest(c + h - 0.5, 0), 8) AS regret FROM i""")
 def decision_regret(spark, d):
     low, high = scoring.wilson(F.col("s"), F.col("n"))
     decision = F.when(low > 0.5, "accept").when(high < 0.5, "reject").otherwise("abstain")
-    return _cells(spark, d).select("campaign", "operation", _r(low).alias("lower"), _r(high).alias("upper"), decision.alias("decision"), _r(F.greatest(high - 0.5, F.lit(0.0))).alias("regret"))
+    return _cells(spark, d).select("campaign", "operation", (_r(low) + 0.0).alias("lower"), (_r(high) + 0.0).alias("upper"), decision.alias("decision"), _r(F.greatest(high - 0.5, F.lit(0.0))).alias("regret"))
 
 
 @query(f"""WITH {_METHODS}, m AS (SELECT stratum, campaign, round(avg(a - b), 12) AS x FROM con GROUP BY ALL), l AS (SELECT stratum, list(x ORDER BY x) AS xs, count(*) AS n FROM m GROUP BY stratum),
-  f AS (SELECT stratum, n, abs(list_sum(list_transform(range(0, n), i -> CASE WHEN (st >> i) & 1 = 1 THEN xs[i + 1] ELSE -xs[i + 1] END))) >= abs(list_sum(xs)) - 1e-9 AS hit FROM l, range(65536) t(st) WHERE st < (1 << n))
+  f AS (SELECT stratum, n, abs(list_sum(list_transform(range(0, n), lambda i: CASE WHEN (st >> i) & 1 = 1 THEN xs[i + 1] ELSE -xs[i + 1] END))) >= abs(list_sum(xs)) - 1e-9 AS hit FROM l, range(65536) t(st) WHERE st < (1 << n))
   SELECT stratum, n, round(count(*) FILTER (WHERE hit) / count(*)::DOUBLE, 8) AS p FROM f GROUP BY ALL""")
 def exact_sign_flip(spark, d):
     found = scoring.paired_contrast(_methods(spark, d), ["stratum", "campaign", "operation"], "method", "smooth", "plain", "brier")
