@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_LABELLED, MIN_LABELLED = 20_000, 20
-LEARNED_WORDS, LEAST_DOCS, LEAST_ODDS = 200, 5, 8.0
+#: A learned word is in LEAST_DOCS texts of label 1 and in LEAST_SHARE of them, whichever is more.
+LEARNED_WORDS, LEAST_DOCS, LEAST_SHARE, LEAST_ODDS = 200, 5, 0.01, 8.0
 NEAR = 5
 
 #: Insults in common use.
@@ -93,7 +94,7 @@ def learn_words(sample: DataFrame) -> frozenset[str]:
     totals = sample.groupBy().agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("c")).first()
     if not totals["t"] or not totals["c"]:
         return frozenset()
-    counts = words.groupBy("w").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b")).filter(F.col("a") >= LEAST_DOCS)
+    counts = words.groupBy("w").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b")).filter(F.col("a") >= max(LEAST_DOCS, LEAST_SHARE * totals["t"]))
     odds = ((F.col("a") + 0.5) / totals["t"]) / ((F.col("b") + 0.5) / totals["c"])
     top = counts.select("w", odds.alias("odds"), "a").filter(F.col("odds") >= LEAST_ODDS).orderBy(F.desc("a"), "w").limit(LEARNED_WORDS)
     return frozenset(r["w"] for r in top.collect())
