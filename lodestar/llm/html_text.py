@@ -2,7 +2,7 @@
 
 Markup is stripped into lines, one per block element, with the characters outside links as the line's
 weight. Boilerplate elements (by tag, class, id or role) weigh nothing and, outside the article, leave
-WINDOW empty lines, as scripts do in the published method. The sums of the weights over sliding windows of
+WINDOW empty lines, or one where they usually stand inside running text (adverts). The sums of the weights over sliding windows of
 WINDOW lines show the text: a surge point is where the sum rises from zero, a dive point where it returns to
 zero. The text between a surge and its dive is one passage; the passage with the largest sum is the main
 text. Inside an article or main element boilerplate leaves no gap, so an advert within it cuts nothing.
@@ -35,6 +35,8 @@ ROLES = frozenset("navigation banner contentinfo complementary search form alert
 HINT = re.compile(
     r"(?:^|[-_])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|sidebar\w*|comments?|disqus|respond|cookies?|consent|gdpr|notice|popup|modal|overlay|newsletter|subscribe\w*|signup|login|share|sharing|social|related|recommend\w*|breadcrumbs?|menu|nav|navbar|navigation|pagination|pager|footer|masthead|topbar|toolbar|widget|skip|hidden)(?:$|[-_])"
     r"|^(?:header|site-header|page-header|alert)$", re.I)
+#: What stands inside running text and cuts no passage: it leaves one empty line.
+INLINE = re.compile(r"(?:^|[-_])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|share|sharing|newsletter|related|notice)(?:$|[-_])", re.I)
 CONTENT = re.compile(r"^(?:(?:article|post|entry|story|main|page)-?(?:body|content|text)|content|main|article|post|entry|story)$", re.I)
 
 _DROPPED = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(script|style|noscript|template|svg|textarea|iframe|select)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>", re.S | re.I)
@@ -44,7 +46,7 @@ _ROLE = re.compile(r"""\brole\s*=\s*["']?([\w-]+)""", re.I)
 
 
 def _kind(name: str, attributes: str, in_article: bool) -> str:
-    """'skip', 'article' or ''."""
+    """'skip', 'inline' (skipped without a gap), 'article' or ''."""
     if name in UNSEEN or name in BOILERPLATE or (name == "header" and not in_article):
         return "skip"
     if name in ARTICLE or name in ("body", "html"):
@@ -59,7 +61,7 @@ def _kind(name: str, attributes: str, in_article: bool) -> str:
         return "skip"
     names = [x for m in _NAMES.findall(attributes) for x in "".join(m).split()]
     if any(HINT.search(x) for x in names):
-        return "skip"
+        return "inline" if any(INLINE.search(x) for x in names) else "skip"
     return "article" if any(CONTENT.match(x) for x in names) or (role and role[1].lower() == "main") else ""
 
 
@@ -106,13 +108,13 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
             parts.append(" ")
         if not closing and name not in VOID:
             kind = _kind(name, attributes, article > 0)
-            if kind == "skip":
+            if kind in ("skip", "inline"):
                 if attributes.endswith("/"):
                     continue
                 if name in BLOCKS or name in UNSEEN:
                     end_line()
                 if not article:
-                    lines.extend([("", 0, False)] * WINDOW)
+                    lines.extend([("", 0, False)] * (WINDOW if kind == "skip" else 1))
                 skipped, depth = name, 1
                 continue
             if name in BLOCKS:
