@@ -33,7 +33,8 @@ NEAR = 5
 LEXICON = frozenset("idiot idiots moron morons stupid clown scum trash loser losers pathetic worthless disgusting dumb fool fools imbecile jerk creep filth garbage vermin freak ugly hate".split())
 #: Second person in the four languages of the corpus.
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine ihr euch tu te ti tus usted ustedes vous votre vos toi ton ta tes".split())
-_OBFUSCATED = re.compile(r"[^\W\d_]+[@$*!|0-9_.+-]+[^\W\d_]+")
+_MARKS = frozenset("@$*!|0123456789")
+_ENDS = ".,;:!?\"'()[]"
 _WORD = re.compile(r"[^\W\d_]+")
 _LEET = str.maketrans("013457@$!|", "oieastasil")
 _JUNK = re.compile(r"[\W_]+")
@@ -53,7 +54,8 @@ def features(text: str | None, learned: frozenset[str]) -> tuple[float, ...]:
     fixed = [w for i in at if (w := words[i]) in LEXICON]
     found = [w for i in at if (w := words[i]) in learned]
     near = sum(not SECOND_PERSON.isdisjoint(words[max(0, i - NEAR):i + NEAR + 1]) for i in at)
-    masked = _OBFUSCATED.findall(low)
+    cores = [c for w in low.split() if not w.isalpha() and not (c := w.strip(_ENDS)).isalpha()]
+    masked = [c for c in cores if not _MARKS.isdisjoint(c) and any(map(str.isalpha, c))]
     hits = sum(_JUNK.sub("", x.translate(_LEET)) in either for x in masked)
     capitals = sum(a != b for a, b in zip(text, low)) if len(low) == size and not text.islower() else 0
     exclaims = text.count("!")
