@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions.expr import micros, stable_uniform, tri
 from lodestar.functions.workers import reachable
-from lodestar.operators import graph, identify, law, masking, scoring, sequence, stats, timejoin, validate
+from lodestar.operators import evidence, graph, identify, law, masking, scoring, sequence, stats, timejoin, validate
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -554,6 +554,64 @@ def multiset_diff(spark, d):
     return validate.multiset_difference(side(1), side(2))
 
 
+# Evidence
+
+
+_PROBES = """probes AS (SELECT user_id, CASE event_type WHEN 'error' THEN 'down' WHEN 'signup' THEN 'maint' WHEN 'click' THEN '* up' ELSE ' UP ' END AS status, CASE WHEN value > 20 THEN 'L7OK' ELSE '* L4OK' END AS checked FROM events)"""
+
+
+@query(f"""WITH {_PROBES}, p AS (SELECT user_id, regexp_replace(upper(trim(status)), '^\\* ', '') AS s, regexp_replace(upper(trim(checked)), '^\\* ', '') AS c FROM probes),
+  v AS (SELECT user_id, CASE WHEN s = 'UP' AND c = 'L7OK' THEN true WHEN s = 'DOWN' THEN false END AS verdict FROM p) SELECT user_id, verdict, count(*) AS n FROM v GROUP BY ALL""")
+def probe_verdicts(spark, d):
+    kind = F.col("event_type")
+    status = F.when(kind == "error", "down").when(kind == "signup", "maint").when(kind == "click", "* up").otherwise(" UP ")
+    checked = F.when(F.col("value") > 20, "L7OK").otherwise("* L4OK")
+    return _table(spark, d, "events").select("user_id", evidence.probe_verdict(status, checked).alias("verdict")).groupBy("user_id", "verdict").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {_SIGNALS}, x AS (SELECT operation, c, a AND b AS conjunction FROM sig) SELECT operation, CASE WHEN c AND conjunction IS NOT DISTINCT FROM false THEN 'success_excluded'
+  WHEN NOT c AND conjunction IS NOT DISTINCT FROM true THEN 'failure_excluded' ELSE 'compatible' END AS class, count(*) AS n FROM x GROUP BY ALL""")
+def compatibility_classes(spark, d):
+    found = evidence.compatibility(F.col("a") & F.col("b"), F.col("c"))
+    return _signals(spark, d).select("operation", found.alias("class")).groupBy("operation", "class").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {_CALLS} SELECT 'not one root' AS rule, count(*) AS violations FROM (SELECT trace_id FROM calls GROUP BY trace_id HAVING count(*) FILTER (WHERE parent_id = 0) <> 1) UNION ALL
+  SELECT 'missing parent', count(*) FROM (SELECT trace_id, parent_id FROM calls c WHERE parent_id <> 0 AND NOT EXISTS (SELECT 1 FROM calls p WHERE p.trace_id = c.trace_id AND p.span_id = c.parent_id))""")
+def span_graph_checks(spark, d):
+    return evidence.span_graph_violations(_calls(spark, d))
+
+
+@query(f"WITH {_SIGNALS} SELECT count(*) AS calls, count(*) FILTER (WHERE a IS NULL) AS a_unknown, count(*) FILTER (WHERE b IS NULL) AS b_unknown, count(*) FILTER (WHERE c IS NULL) AS c_unknown, count(DISTINCT l_orderkey) AS requests FROM sig")
+def quality_counters(spark, d):
+    unknown = [F.count_if(F.col(s).isNull()).alias(f"{s}_unknown") for s in "abc"]
+    return _signals(spark, d).agg(F.count("*").alias("calls"), *unknown, F.countDistinct("l_orderkey").alias("requests"))
+
+
+@query(f"WITH {_SIGNALS} SELECT operation, least(count(a), count(b), count(c)) AS support, least(count(a), count(b), count(c)) >= 100 AS supported FROM sig GROUP BY operation")
+def support_diagnostic(spark, d):
+    least = F.least(*[F.count(s) for s in "abc"])
+    return _signals(spark, d).groupBy("operation").agg(least.alias("support"), (least >= 100).alias("supported"))
+
+
+@query(f"WITH {_CELLS}, l AS (SELECT stratum, list(n ORDER BY n) AS ns FROM cells GROUP BY stratum) SELECT stratum, ns[ceil((len(ns) - 1) * 0.9::DOUBLE)::INT + 1] AS n90 FROM l")
+def quantile_higher(spark, d):
+    return _cells(spark, d).groupBy("stratum").agg(evidence.quantile_higher(F.col("n"), 0.9).alias("n90"))
+
+
+@query(f"WITH {_CELLS} SELECT campaign, operation, s, n, round((s + 1.0::DOUBLE) / (n + 2), 8) AS smoothed, round((s + 0.5::DOUBLE) / (n + 1), 8) AS endpoint FROM cells")
+def beta_smoothed(spark, d):
+    s, n = F.col("s"), F.col("n")
+    return _cells(spark, d).select("campaign", "operation", "s", "n", _r(scoring.smoothed_mean(s, n, 1.0, 1.0)).alias("smoothed"), _r(scoring.smoothed_mean(s, n, 0.5, 0.5)).alias("endpoint"))
+
+
+@query(f"""WITH {_CELLS}, w AS (SELECT campaign, operation, n, s, 1.959964::DOUBLE AS z, s / n::DOUBLE AS q FROM cells), i AS (SELECT *, ((q + z*z/(2*n)) / (1 + z*z/n)) AS c, z * sqrt(q*(1-q)/n + z*z/(4.0*n*n)) / (1 + z*z/n) AS h FROM w)
+  SELECT campaign, operation, s, n, round(c - h, 8) + 0.0 AS lower, round(c + h, 8) + 0.0 AS upper FROM i""")
+def wilson(spark, d):
+    low, high = scoring.wilson(F.col("s"), F.col("n"))
+    return _cells(spark, d).select("campaign", "operation", "s", "n", (_r(low) + 0.0).alias("lower"), (_r(high) + 0.0).alias("upper"))
+
+
 @query("SELECT event_id, (props->>'$.k')::BIGINT AS k, (props->>'$.k')::BIGINT % 3 = 0 AS selected FROM events")
 def json_props(spark, d):
     k = F.from_json("props", "k BIGINT")["k"]
