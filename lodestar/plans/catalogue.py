@@ -302,12 +302,12 @@ def parent_contraction(spark, d):
 
 
 def _nation_edges(spark, d):
-    o = _table(spark, d, "orders").join(_table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).filter("o_orderkey % 97 = 0")
+    o = _table(spark, d, "orders").join(_table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     pairs = o.select((F.col("c_nationkey") % 25).alias("a"), (F.col("o_orderkey") % 25).cast("int").alias("b"))
     return pairs.groupBy("a", "b").count().filter("a <> b AND (a + b) % 5 = 1").select("a", "b")
 
 
-_NATION_EDGES = """e AS (SELECT c_nationkey % 25 AS a, (o_orderkey % 25)::INT AS b FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 97 = 0 GROUP BY ALL HAVING a <> b AND (a + b) % 5 = 1),
+_NATION_EDGES = """e AS (SELECT c_nationkey % 25 AS a, (o_orderkey % 25)::INT AS b FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL HAVING a <> b AND (a + b) % 5 = 1),
   r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)"""
 
 
@@ -526,9 +526,9 @@ def two_domain_moments(spark, d):
 
 
 @query("""SELECT string_agg(s_suppkey, ';' ORDER BY s_suppkey) AS merged, count(*) AS n FROM (SELECT s_suppkey, string_agg(DISTINCT l_returnflag || l_linestatus, ',' ORDER BY l_returnflag || l_linestatus) AS signature
-  FROM supplier JOIN lineitem ON s_suppkey = l_suppkey WHERE l_orderkey % 50 = 0 GROUP BY 1) GROUP BY signature""")
+  FROM supplier JOIN lineitem ON s_suppkey = l_suppkey GROUP BY 1) GROUP BY signature""")
 def factor_merge(spark, d):
-    used = _table(spark, d, "supplier").join(_table(spark, d, "lineitem").filter("l_orderkey % 50 = 0"), F.col("s_suppkey") == F.col("l_suppkey"))
+    used = _table(spark, d, "supplier").join(_table(spark, d, "lineitem"), F.col("s_suppkey") == F.col("l_suppkey"))
     signed = used.groupBy("s_suppkey").agg(F.array_join(F.array_sort(F.collect_set(F.concat("l_returnflag", "l_linestatus"))), ",").alias("signature"))
     return signed.groupBy("signature").agg(F.array_join(F.transform(F.array_sort(F.collect_list("s_suppkey")), lambda x: x.cast("string")), ";").alias("merged"), F.count("*").alias("n")).drop("signature")
 
