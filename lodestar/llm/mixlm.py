@@ -1,11 +1,13 @@
 """Language-model scores by online logistic mixing of hashed-context bit predictors.
 
-Bytes are coded as six binary decisions: 63 frequent bytes have a code of their own and the rest an escape
-that is followed by its order-0 probability. Predictors look a decision up under a hash of the last three or
-five bytes, or of the current word so far. Their counts are gathered from every training document, summed over the corpus in
-Spark, and kept in tables of fixed size, which tasks build in pieces. Their logits are combined by weights gated by the decision's place;
-within each text the weights are refined online, a block of BLOCK bytes at a time, from the blocks before.
-The total of -log2 over all decisions, and an end mark, is the text's size in bits.
+Every byte is coded as eight binary decisions. Predictors look a decision up under the last three or five
+bytes, or the current word so far. Their counts of (predictor, context, byte) are gathered from every
+training document and grow with the corpus: texts are dealt into blocks, the distinct cells of a block are
+sent to shards by context, each shard adds the counts of all blocks and sends each block the logits of the
+cells that it touches, and no task or driver holds the whole table. There is a shard for every SHARD_BYTES.
+The logits are combined by weights gated by the decision's place; within each text the weights are refined
+online, a block of BLOCK bytes at a time, from the blocks before. The total of -log2 over all decisions, and
+an end mark, is the text's size in bits.
 
 A unigram base score comes with it: token counts over all training documents are joined to the tokens of
 each text. The HOT_TOKENS most frequent ones are broadcast; the others are joined by shuffle.
@@ -21,7 +23,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -34,9 +35,9 @@ CODED = b" \nabcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ.," + bytes([0x
 ESCAPE, BITS = 63, 6
 #: (bytes of context, log2 of the slots) of each predictor; 0 bytes stands for the word so far.
 PREDICTORS = ((3, 15), (5, 16), (0, 16))
-BLOCK, TEXTS_AT_ONCE, MOST_CELLS = 128, 64, 1 << 21
-#: Bytes that are counted together; the arrays of a step take about 60 times as many.
-COUNTED_AT_ONCE = 1 << 20
+BLOCK, TEXTS_AT_ONCE, MOST_CELLS = 128, 64, 1 << 20
+#: Bytes that are counted together; the arrays of a step take about 200 times as many.
+COUNTED_AT_ONCE = 1 << 18
 RATE, PRIOR, CLIP = 0.03, 0.1, 8.0
 HOT_TOKENS, SAMPLE_TEXTS = 150_000, 1000
 
@@ -48,8 +49,12 @@ NODE = np.ascontiguousarray(((1 << _place)[:, None] | (np.arange(64)[None, :] >>
 SIGN = np.ascontiguousarray((2.0 * (np.arange(64)[None, :] >> (BITS - 1 - _place)[:, None] & 1) - 1.0).astype(np.float32))
 _MULTIPLIER = np.uint32(2654435761)
 LEAD = 5
-#: Slots of one table piece, which is built in one task; logits are kept as whole parts of 1/SCALE.
-PIECE, SCALE, PLACE = 2048, 15.0, 40
+#: Logits are kept as whole parts of 1/SCALE; a byte is PLACES decisions.
+SCALE, PLACES = 15.0, 8
+#: Outcome of each decision by place and byte, as 1 or -1.
+BYTE_SIGN = np.ascontiguousarray((2.0 * (np.arange(256)[None, :] >> np.arange(7, -1, -1)[:, None] & 1) - 1.0).astype(np.float32))
+#: Bytes of texts that are scored together, and for each of which there is one shard of the cells.
+BLOCK_BYTES, SHARD_BYTES = 8 << 20, 4 << 20
 
 
 def fold(parts: int):
@@ -66,14 +71,14 @@ def contexts(data: np.ndarray) -> list[np.ndarray]:
     return [(packed * _MULTIPLIER) >> np.uint32(32 - bits) for packed, (_, bits) in zip((three, five), PREDICTORS)]
 
 
-def word_slots(data: np.ndarray, bits: int) -> np.ndarray:
+def word_slots(data: np.ndarray, bits: int, base: int = 0x01000193) -> np.ndarray:
     """Slot of the letters since the last white space before each byte; ``data`` starts with LEAD zero bytes.
 
     Prefix sums of byte times a power of an odd base give every word start's hash in whole-array steps.
     """
     wide = data.astype(np.uint32)
     n = data.shape[-1]
-    powers, inverse = _powers(n)
+    powers, inverse = _powers(n, base)
     sums = np.cumsum((wide + 1) * powers, axis=-1, dtype=np.uint32)
     places = np.arange(n, dtype=np.int32)
     start = np.maximum.accumulate(np.where(wide <= 32, places, 0), axis=-1)[..., LEAD - 1:-1]
@@ -82,9 +87,8 @@ def word_slots(data: np.ndarray, bits: int) -> np.ndarray:
     return (hashed * _MULTIPLIER) >> np.uint32(32 - bits)
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def _powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base modulo 2^32 and their inverses."""
-    base = 0x01000193
     both = [np.full(n, x, np.uint32) for x in (base, pow(base, -1, 1 << 32))]
     for x in both:
         x[0] = 1
@@ -92,114 +96,210 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return both[0], both[1]
 
 
-def gather(train: DataFrame) -> DataFrame:
-    """(token, cell, n) over all training texts, in one pass: counts of words, and of symbols by context slot.
+def word_hashes(data: np.ndarray) -> np.ndarray:
+    """54-bit hash of the word before each byte, as ``word_slots`` sees it."""
+    words = word_slots(data, 32).astype(np.uint64)
+    words <<= np.uint64(22)
+    words |= word_slots(data, 22, 0x9E3779B1)
+    return words
 
-    A row has a token or a cell, which is predictor << PLACE | slot << 6 | symbol. Escaped bytes count as
-    one predictor more. A task's cells are summed before they are sent; there are fixed many of them.
-    """
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = [np.zeros(64 << bits, np.int64) for _, bits in PREDICTORS] + [np.zeros(256, np.int64)]
-        held: list[bytes] = []
-        size = 0
+def keys_of(data: np.ndarray, words: np.ndarray) -> list[np.ndarray]:
+    """Keys (predictor, context, byte) of each byte after the first LEAD of the last axis.
 
-        def add() -> None:
-            data = np.frombuffer(b"".join(held), np.uint8)
-            symbols = SYMBOL[data[LEAD:]]
-            real = np.ones(len(symbols), bool)  # context padding is no symbol
-            starts = np.cumsum([len(x) for x in held])[:-1]
+    Contexts of three and five bytes stand in the key whole, words as a hash of 54 bits, so that no two
+    contexts of bytes share a cell and two words only by chance of 2^-54.
+    """
+    wide = data.astype(np.uint64)
+    n = data.shape[-1] - LEAD
+    back = [wide[..., LEAD - j:LEAD - j + n] for j in range(1, LEAD + 1)]
+    now = wide[..., LEAD:]
+    three = back[0] | back[1] << np.uint64(8) | back[2] << np.uint64(16)
+    five = three | back[3] << np.uint64(24) | back[4] << np.uint64(32)
+    return [np.uint64(k << 62) | c << np.uint64(8) | now for k, c in enumerate((three, five, words))]
+
+
+def _tally(keys: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and how often each occurs (or the sum of its ``n``)."""
+    if n is None:
+        keys = np.sort(keys)
+    else:
+        order = np.argsort(keys, kind="stable")
+        keys, n = keys[order], n[order]
+    at = np.flatnonzero(np.concatenate((np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1])))
+    return keys[at], np.diff(np.append(at, len(keys))) if n is None else np.add.reduceat(n, at) if len(at) else n
+
+
+def _shard(keys: np.ndarray, shards: int) -> np.ndarray:
+    """Shard of a key's context: a context lies in one shard whole."""
+    return ((keys >> np.uint64(8)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(shards)
+
+
+class Block:
+    """Texts that are scored together, with the cells that they touch."""
+
+    def __init__(self) -> None:
+        self.held: list[bytes] = []
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.size = self.waiting = self.pending = self.merged = 0
+        self.counted = True
+
+    def add(self, raw: bytes, counted: bool) -> None:
+        if counted != self.counted:
+            self.flush()
+            self.counted = counted
+        self.held.append(bytes(LEAD) + raw + b"\0")
+        self.size += len(raw) + 1
+        self.waiting += len(raw) + 1
+        if self.waiting > COUNTED_AT_ONCE:
+            self.flush()
+
+    def flush(self) -> None:
+        if self.held:
+            data = np.frombuffer(b"".join(self.held), np.uint8)
+            real = np.ones(len(data) - LEAD, bool)  # context padding is no byte of a text
+            starts = np.cumsum([len(x) for x in self.held])[:-1]
             for j in range(LEAD):
                 real[starts - LEAD + j] = False
-            symbols64 = symbols[real].astype(np.int64)
-            for k, slot in enumerate([*contexts(data), word_slots(data, PREDICTORS[-1][1])]):
-                cells[k] += np.bincount(slot[real].astype(np.int64) << 6 | symbols64, minlength=len(cells[k]))
-            cells[-1][:] += np.bincount(data[LEAD:][real & (symbols == ESCAPE)], minlength=256)
-
-        def rows(tokens, places, n) -> pa.RecordBatch:
-            empty = lambda values, kind: pa.nulls(len(n), kind) if values is None else pa.array(values, kind)
-            return pa.RecordBatch.from_arrays([empty(tokens, pa.string()), empty(places, pa.int64()), pa.array(n, pa.int64())], names=["token", "cell", "n"])
-
-        for batch in batches:
-            seen: Counter[bytes] = Counter()
-            for text in batch.column(0):
-                raw = (text.as_py() or "").encode()
-                seen.update(raw.lower().split())
-                held.append(bytes(LEAD) + raw + b"\0")
-                size += len(held[-1])
-                if size > COUNTED_AT_ONCE:
-                    add()
-                    held, size = [], 0
-            if seen:
-                yield rows([w.decode() for w in seen], None, list(seen.values()))
-        if held:
-            add()
-        for k, table in enumerate(cells):
-            used = np.flatnonzero(table)
-            for at in range(0, len(used), 50_000):
-                part = used[at:at + 50_000]
-                yield rows(None, part | (k << PLACE), table[part])
-
-    return train.select("text").mapInArrow(count, "token string, cell long, n long").groupBy("token", "cell").agg(F.sum("n").alias("n"))
+            for keys in keys_of(data, word_hashes(data)):
+                found, n = _tally(keys[real])
+                self.parts.append((found, n.astype(np.uint32) if self.counted else np.zeros(len(found), np.uint32)))
+                self.pending += len(found)
+            if self.pending > max(500_000, self.merged):
+                self.merge()
+        self.held, self.waiting = [], 0
+
+    def merge(self) -> None:
+        if self.parts:
+            self.parts = [_tally(np.concatenate([p[0] for p in self.parts]), np.concatenate([p[1] for p in self.parts]))]
+            self.merged, self.pending = len(self.parts[0][0]), 0
+
+    def cells(self, shards: int) -> Iterator[tuple[int, bytes, bytes]]:
+        """(shard, keys, counts) of the block."""
+        self.flush()
+        self.merge()
+        if not self.parts:
+            return
+        (keys, n), self.parts = self.parts[0], []
+        to = _shard(keys, shards)
+        order = np.argsort(to, kind="stable")
+        keys, n, to = keys[order], n[order].astype(np.uint32), to[order]
+        cuts = np.append(np.flatnonzero(np.append(True, to[1:] != to[:-1])), len(to))
+        for i, j in zip(cuts[:-1], cuts[1:]):
+            yield int(to[i]), keys[i:j].tobytes(), n[i:j].tobytes()
+
+
+def path_logits(keys: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Logit of a one, times SCALE, at each of the eight decisions on the way to each key's byte.
+
+    ``keys`` are sorted and distinct, with all cells of their contexts.
+    """
+    out = np.empty((len(keys), PLACES), np.int8)
+    sums = np.concatenate(([0], np.cumsum(n)))
+    before = None
+    for j in range(PLACES + 1):
+        node = keys >> np.uint64(PLACES - j)
+        first = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
+        ends = np.append(first[1:], len(keys))
+        total = np.repeat(sums[ends] - sums[first], ends - first)
+        if before is not None:
+            one = (node & np.uint64(1)).astype(bool)
+            ones, zeros = np.where(one, total, before - total), np.where(one, before - total, total)
+            out[:, j - 1] = np.rint(SCALE * np.clip(np.log((ones + PRIOR) / (zeros + PRIOR)), -CLIP, CLIP))
+        before = total
+    return out
+
+
+def _answer(table: pa.Table) -> pa.Table:
+    """One shard: the counts of all blocks are added, and each block receives the logits of the cells it touches."""
+    blocks, raw = table.column("block").to_pylist(), table.column("keys").to_pylist()
+    parts = [np.frombuffer(x, np.uint64) for x in raw]
+    counts = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("counts").to_pylist()]).astype(np.int64)
+    keys, n = _tally(np.concatenate(parts), counts)
+    logits = path_logits(keys, n)
+    answers = [logits[np.searchsorted(keys, p)].tobytes() for p in parts]
+    return pa.table({"block": pa.array(blocks, pa.int64()), "keys": pa.array(raw, pa.binary()), "logits": pa.array(answers, pa.binary())})
+
+
+class Cells:
+    """The cells of one block: logits by key, found by a hash of the key and else by bisection."""
+
+    def __init__(self, table: pa.Table) -> None:
+        keys = np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()] or [np.zeros(0, np.uint64)])
+        order = np.argsort(keys)
+        self.keys = keys[order]
+        logits = np.concatenate([np.frombuffer(x, np.int8) for x in table.column("logits").to_pylist()] or [np.zeros(0, np.int8)])
+        self.logits = logits.reshape(-1, PLACES)[order]
+        self.bits = min(22, max(4, len(keys).bit_length() + 1))
+        self.index = np.zeros(1 << self.bits, np.int32)
+        self.index[self._place(self.keys)] = np.arange(len(keys), dtype=np.int32)
+
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        return (keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.intp)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """(places, *shape of keys) as float32; keys that the block lacks stand outside its texts and count 0."""
+        flat = keys.reshape(-1)
+        at = self.index[self._place(flat)]
+        missed = np.flatnonzero(self.keys[at] != flat)
+        at[missed] = np.minimum(np.searchsorted(self.keys, flat[missed]), len(self.keys) - 1)
+        got = self.logits[at].astype(np.float32)
+        got *= 1 / SCALE
+        return np.ascontiguousarray(got.T).reshape(PLACES, *keys.shape)
 
 
 @dataclass
 class Mixer:
+    """A model with dense tables of six decisions a byte and an escape; the query uses CellMixer."""
+
     tables: list[np.ndarray]  # by predictor: logit of a one at [slot, node], times SCALE
     escape_cost: np.ndarray  # nats of a byte after an escape, 0 for coded bytes
     weights: np.ndarray  # (places, predictors)
 
 
-def _logits(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """One piece of a table: logits at the 63 nodes of each slot from the counts of the 64 symbols."""
-    counts = np.zeros(PIECE << 6, np.float64)
-    counts[rows["at"].to_numpy(np.int64)] = rows["n"].to_numpy()
-    counts = counts.reshape(PIECE, 64)
-    logits = np.zeros(counts.shape, np.int8)
-    for j in range(BITS):
-        halves = counts.reshape(PIECE, 1 << j, 2, -1).sum(axis=3)
-        logits[:, 1 << j:2 << j] = np.rint(SCALE * np.clip(np.log((halves[:, :, 1] + PRIOR) / (halves[:, :, 0] + PRIOR)), -CLIP, CLIP))
-    return pd.DataFrame({"predictor": [key[0]], "piece": [key[1]], "logits": [logits.tobytes()]})
-
-
-def build(cells: DataFrame) -> Mixer:
-    """Tables of fixed size from (cell, n). Pieces of PIECE slots are built in tasks and reach the driver as bytes."""
-    places = cells.select(F.shiftright("cell", PLACE).cast("int").alias("predictor"), F.col("cell").bitwiseAND(F.lit((1 << PLACE) - 1)).alias("at"), "n")
-    pieces = (places.filter(F.col("predictor") < len(PREDICTORS))
-              .select("predictor", F.shiftright("at", (PIECE << 6).bit_length() - 1).cast("int").alias("piece"), (F.col("at") % (PIECE << 6)).alias("at"), "n")
-              .groupBy("predictor", "piece").applyInPandas(_logits, "predictor int, piece int, logits binary"))
-    tables = [np.zeros(64 << bits, np.int8) for _, bits in PREDICTORS]
-    for r in pieces.collect():
-        at = r["piece"] * (PIECE << 6)
-        tables[r["predictor"]][at:at + (PIECE << 6)] = np.frombuffer(r["logits"], np.int8)
-    escaped = np.full(256, 0.5)
-    for r in places.filter(F.col("predictor") == len(PREDICTORS)).collect():
-        escaped[r["at"]] += r["n"]
-    cost = np.where(SYMBOL == ESCAPE, -np.log(escaped / escaped[SYMBOL == ESCAPE].sum()), 0.0)
-    return Mixer(tables, cost, np.full((BITS, len(PREDICTORS)), 0.36, np.float32))
-
-
-def _costs(texts: list[bytes], m: Mixer, final: list | None = None) -> np.ndarray:
+    def start(self, padded: np.ndarray) -> None:
+        self.words = word_slots(padded, PREDICTORS[-1][1])
+
+    def step(self, data: np.ndarray, at: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+        """Signs, logits by predictor and fixed nats of the bytes after the first LEAD of each row."""
+        current = data[:, LEAD:]
+        symbols = SYMBOL[current]
+        nodes = NODE.take(symbols, axis=1)
+        slots = [*contexts(data), self.words[:len(data), at:at + BLOCK]]
+        logits = [t.take((x.astype(np.intp) << 6) + nodes, mode="clip").astype(np.float32) * np.float32(1 / SCALE) for t, x in zip(self.tables, slots)]
+        return SIGN.take(symbols, axis=1), logits, self.escape_cost[current]
+
+
+@dataclass
+class CellMixer:
+    """The model of one block of texts: all eight bits of every byte, by the cells of the whole corpus."""
+
+    cells: Cells
+    weights: np.ndarray  # (places, predictors)
+
+    def start(self, padded: np.ndarray) -> None:
+        self.words = word_hashes(padded)
+
+    def step(self, data: np.ndarray, at: int) -> tuple[np.ndarray, list[np.ndarray], float]:
+        return BYTE_SIGN.take(data[:, LEAD:], axis=1), [self.cells.find(k) for k in keys_of(data, self.words[:len(data), at:at + BLOCK])], 0.0
+
+
+def _costs(texts: list[bytes], m: Mixer | CellMixer, final: list | None = None) -> np.ndarray:
     """Nats of each text (with its end mark); texts come longest first. ``final`` receives the last weights."""
     lengths = np.array([len(t) + 1 for t in texts])
     padded = np.zeros((len(texts), LEAD + -(-lengths[0] // BLOCK) * BLOCK), np.uint8)
     for row, text in zip(padded, texts):
         row[LEAD:LEAD + len(text)] = np.frombuffer(text, np.uint8)
-    words = word_slots(padded, PREDICTORS[-1][1])
+    m.start(padded)
     total = np.zeros(len(texts))
     weights = np.repeat(m.weights.T[:, :, None], len(texts), axis=2)  # (predictors, places, texts)
     for at in range(0, lengths[0], BLOCK):
         alive = int(np.count_nonzero(lengths > at))
-        data = padded[:alive, at:at + BLOCK + LEAD]
-        current = data[:, LEAD:]
+        w = weights[:, :, :alive]
         real = (np.arange(at, at + BLOCK) < lengths[:alive, None]).astype(np.float32)
-        symbols = SYMBOL[current]
-        nodes, signs, w = NODE.take(symbols, axis=1), SIGN.take(symbols, axis=1), weights[:, :, :alive]
-        logits, z = [], None
-        for k, slot in enumerate([*contexts(data), words[:alive, at:at + BLOCK]]):
-            logit = m.tables[k].take((slot.astype(np.intp) << 6) + nodes, mode="clip").astype(np.float32)
-            logit *= 1 / SCALE
-            logits.append(logit)
+        signs, logits, fixed = m.step(padded[:alive, at:at + BLOCK + LEAD], at)
+        z = None
+        for k, logit in enumerate(logits):
             part = logit * w[k][..., None]
             z = part if z is None else np.add(z, part, out=z)
         z *= signs
@@ -208,7 +308,7 @@ def _costs(texts: list[bytes], m: Mixer, final: list | None = None) -> np.ndarra
         e = np.exp(z, out=z)
         e += 1.0
         nats = np.log(e)
-        total[:alive] += np.einsum("gdb,db->d", nats, real) + np.einsum("db,db->d", m.escape_cost[current], real)
+        total[:alive] += np.einsum("gdb,db->d", nats, real) + (fixed * real).sum(axis=1)
         wrong = signs
         wrong *= 1.0 - 1.0 / e
         wrong *= real
@@ -232,29 +332,79 @@ def costs(texts: list[bytes], m: Mixer, final: list | None = None) -> np.ndarray
     return total
 
 
-def _fit_weights(sample: DataFrame, m: Mixer) -> np.ndarray:
+def _fit_weights(texts: DataFrame, answers: DataFrame) -> np.ndarray:
     """Mean of the weights that texts of the sample end with."""
-    shared = sample.sparkSession.sparkContext.broadcast(m)
+    start = np.full((PLACES, len(PREDICTORS)), 0.36, np.float32)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            final: list[np.ndarray] = []
-            costs([(t.as_py() or "").encode() for t in batch.column(0)], shared.value, final)
-            if final:
-                yield pa.RecordBatch.from_arrays([pa.array([len(final)], pa.int64()), pa.array([np.sum(final, axis=0, dtype=float).reshape(-1).tolist()], pa.list_(pa.float64()))], names=["n", "w"])
+    def run(own: pa.Table, cells: pa.Table) -> pa.Table:
+        final: list[np.ndarray] = []
+        costs([x.encode() for x in own.column("text").to_pylist()], CellMixer(Cells(cells), start), final)
+        return pa.table({"n": pa.array([len(final)], pa.int64()), "w": pa.array([np.sum(final, axis=0, dtype=float).reshape(-1).tolist()], pa.list_(pa.float64()))})
 
-    rows = sample.select("text").mapInArrow(run, "n long, w array<double>").collect()
-    shared.unpersist()
-    n = sum(r["n"] for r in rows)
-    return (np.sum([r["w"] for r in rows], axis=0) / n).reshape(m.weights.shape).astype(np.float32) if n else m.weights
+    found = texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, "n long, w array<double>")
+    r = found.agg(F.sum("n").alias("n"), *[F.sum(F.col("w")[i]).alias(f"w{i}") for i in range(start.size)]).first()
+    return (np.array(r[1:]) / r["n"]).reshape(start.shape).astype(np.float32) if r["n"] else start
 
 
-def fit(cells: DataFrame, train: DataFrame, texts: int) -> Mixer:
-    """Tables from the cells of all training texts; the first weights from about SAMPLE_TEXTS texts, taken by hash."""
-    m = build(cells)
-    share = int(min(1.0, SAMPLE_TEXTS / max(1, texts)) * 1_000_000)
-    m.weights = _fit_weights(train.filter(F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(1_000_000)) < share), m)
-    return m
+def gather(rows: DataFrame, shards: int, share: int) -> DataFrame:
+    """One pass over all texts: (token, n) counts of training words, texts by block, and cells by block and shard.
+
+    A block is up to BLOCK_BYTES of the texts of one task. Cells count the training texts; those that only
+    other texts touch have count 0. About ``share`` millionths of the training texts form sample blocks,
+    with negative numbers, once more.
+    """
+    kind = dict(rows.dtypes)["doc_id"]
+    sampled = F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(1_000_000)) < share
+    fields = f"block long, uid long, doc_id {kind}, held_out boolean, text string, token string, n long, shard long, keys binary, counts binary"
+    names = [x.split()[0] for x in fields.split(", ")]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        uid = part << 33
+        number, main, sample = part << 24, Block(), Block()
+        types: dict[str, pa.DataType] = {}
+
+        def rows_of(size: int, **given) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([given[x] if x in given else pa.nulls(size, types[x]) for x in names], names=names)
+
+        def finish(block: Block, name: int) -> Iterator[pa.RecordBatch]:
+            found = list(block.cells(shards))
+            for at in range(0, len(found), 500):
+                some = found[at:at + 500]
+                shard, keys, counts = zip(*some)
+                yield rows_of(len(some), block=pa.array([name] * len(some), pa.int64()), shard=pa.array(shard, pa.int64()), keys=pa.array(keys, pa.binary()), counts=pa.array(counts, pa.binary()))
+
+        for whole in batches:
+            types = {"block": pa.int64(), "uid": pa.int64(), "doc_id": whole.column(0).type, "held_out": pa.bool_(), "text": pa.string(), "token": pa.string(), "n": pa.int64(), "shard": pa.int64(), "keys": pa.binary(), "counts": pa.binary()}
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
+                raw = [(t.as_py() or "").encode() for t in batch.column(1)]
+                held, chosen = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+                seen: Counter[bytes] = Counter()
+                blocks, again = [], []
+                for i, text in enumerate(raw):
+                    if main.size and main.size + len(text) > BLOCK_BYTES:
+                        yield from finish(main, number)
+                        number, main = number + 1, Block()
+                    main.add(text, not held[i])
+                    blocks.append(number)
+                    if not held[i]:
+                        seen.update(text.lower().split())
+                        if chosen[i]:
+                            sample.add(text, False)
+                            again.append(i)
+                texts = [x.decode() for x in raw]
+                n = len(raw)
+                yield rows_of(n, block=pa.array(blocks, pa.int64()), uid=pa.array(range(uid, uid + n), pa.int64()), doc_id=batch.column(0), held_out=batch.column(2), text=pa.array(texts, pa.string()))
+                uid += n
+                if again:
+                    yield rows_of(len(again), block=pa.array([-part - 1] * len(again), pa.int64()), text=pa.array([texts[i] for i in again], pa.string()))
+                if seen:
+                    yield rows_of(len(seen), token=pa.array([w.decode() for w in seen], pa.string()), n=pa.array(list(seen.values()), pa.int64()))
+        yield from finish(main, number)
+        yield from finish(sample, -part - 1)
+
+    return rows.select("doc_id", "text", "held_out", F.coalesce(sampled, F.lit(False))).mapInArrow(cut, fields)
 
 
 def _hot_count(counts: DataFrame, most: int = HOT_TOKENS) -> int:
@@ -277,45 +427,50 @@ def score_texts(docs: DataFrame, held_out=None) -> DataFrame:
     spark = docs.sparkSession
     held_out = fold(10) == 0 if held_out is None else held_out
     rows = docs.select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    train = rows.filter("NOT held_out")
-    gathered = materialize(gather(train), "gathered")
-    counts = gathered.filter("token IS NOT NULL").select("token", F.col("n").alias("c"))
-    texts = train.count()
+    size = rows.agg(F.count(F.when(~F.col("held_out"), 1)).alias("texts"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    texts, shards = size["texts"], 1 + int(size["bytes"]) // SHARD_BYTES
+    gathered = materialize(gather(rows, shards, int(min(1.0, SAMPLE_TEXTS / max(1, texts)) * 1_000_000)), "gathered")
+    counts = materialize(gathered.filter("token IS NOT NULL").groupBy("token").agg(F.sum("n").alias("c")), "words")
+    cells = gathered.filter("shard IS NOT NULL").select("shard", "block", "keys", "counts")
+    answers = materialize(cells.groupBy("shard").applyInArrow(_answer, "block long, keys binary, logits binary"), "answers")
     words = counts.agg(F.count("*").alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n")).first()
     n, v = words["n"] + texts, words["v"] + (texts > 0)
     log_all = float(np.log10(n + 0.1 * (v + 1)))
     top = counts.filter(F.col("c") >= _hot_count(counts)).toArrow()
     hot = dict(zip((w.encode() for w in top.column("token").to_pylist()), np.log10(top.column("c").to_numpy() + 0.1).tolist()))
     end = float(np.log10(texts + 0.1))
-    shared = spark.sparkContext.broadcast((fit(gathered.filter("token IS NULL").select("cell", "n"), train, texts), hot))
+    sample = gathered.filter("block < 0 AND text IS NOT NULL").select("block", "text")
+    weights = _fit_weights(sample, answers.filter("block < 0"))
+    shared = spark.sparkContext.broadcast(hot)
     kind = dict(docs.dtypes)["doc_id"]
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, known = shared.value
-        uid = TaskContext.get().partitionId() << 33
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
-                raw = [(t.as_py() or "").encode() for t in batch.column(1)]
-                bits = costs(raw, m)
-                out = []
-                for text, nats in zip(raw, bits):
-                    tokens = text.lower().split()
-                    total, hits, rare, times = end - log_all * (len(tokens) + 1), int(texts > 0), [], []
-                    for w, c in Counter(tokens).items():
-                        if (value := known.get(w)) is not None:
-                            total += c * value
-                            hits += c
-                        else:
-                            rare.append(w.decode())
-                            times.append(c)
-                    out.append((uid, len(tokens) + 1, len(text), hits, total, -nats / np.log(10), rare, times))
-                    uid += 1
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.int64()))
-                arrays = [pa.array(list(x), t) for x, t in zip(zip(*out), kinds)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *arrays], names=["doc_id", *(x.split()[0] for x in _SCORED.split(", "))])
-
-    scored = materialize(rows.mapInArrow(scan, f"doc_id {kind}, {_SCORED}"), "scored")
+    names = ["doc_id", *(x.split()[0] for x in _SCORED.split(", "))]
+
+    def scan(own: pa.Table, cells: pa.Table) -> pa.Table:
+        known, m = shared.value, CellMixer(Cells(cells), weights)
+        parts = []
+        for at in range(0, own.num_rows, 1000):
+            batch = own.slice(at, 1000)
+            raw = [x.encode() for x in batch.column("text").to_pylist()]
+            bits = costs(raw, m)
+            out = []
+            for uid, text, nats in zip(batch.column("uid").to_pylist(), raw, bits):
+                tokens = text.lower().split()
+                total, hits, rare, times = end - log_all * (len(tokens) + 1), int(texts > 0), [], []
+                for w, c in Counter(tokens).items():
+                    if (value := known.get(w)) is not None:
+                        total += c * value
+                        hits += c
+                    else:
+                        rare.append(w.decode())
+                        times.append(c)
+                out.append((uid, len(tokens) + 1, len(text), hits, total, -nats / np.log(10), rare, times))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.int64()))
+            arrays = [pa.array(list(x), t) for x, t in zip(zip(*out), kinds)]
+            parts.append(pa.table([batch.column("doc_id"), batch.column("held_out"), *arrays], names=names))
+        return pa.concat_tables(parts)
+
+    owned = gathered.filter("uid IS NOT NULL").select("block", "uid", "doc_id", "held_out", "text")
+    scored = materialize(owned.groupBy("block").cogroup(answers.filter("block >= 0").groupBy("block")).applyInArrow(scan, f"doc_id {kind}, {_SCORED}"), "scored")
     shared.unpersist()
     rare = scored.select("uid", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("uid", F.col("x.rare").alias("token"), F.col("x.times").alias("times"))
     c = F.coalesce("c", F.lit(0))
