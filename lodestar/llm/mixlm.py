@@ -19,7 +19,7 @@ every decision has probability one half; repeated rows are scored each on their
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -54,7 +54,7 @@ SCALE, PLACES = 15.0, 8
 #: Outcome of each decision by place and byte, as 1 or -1.
 BYTE_SIGN = np.ascontiguousarray((2.0 * (np.arange(256)[None, :] >> np.arange(7, -1, -1)[:, None] & 1) - 1.0).astype(np.float32))
 #: Bytes of texts that are scored together, and for each of which there is one shard of the cells.
-BLOCK_BYTES, SHARD_BYTES = 8 << 20, 4 << 20
+BLOCK_BYTES, SHARD_BYTES = 16 << 20, 4 << 20
 
 
 def fold(parts: int):
@@ -130,6 +130,27 @@ def _tally(keys: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, n
     return keys[at], np.diff(np.append(at, len(keys))) if n is None else np.add.reduceat(n, at) if len(at) else n
 
 
+def _pack(values: np.ndarray) -> bytes:
+    """Compressed bytes of an array, like bytes of all its rows together."""
+    rows = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1)
+    return len(values).to_bytes(8, "little") + pa.compress(rows.T.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpack(raw: bytes, kind: type, width: int = 1) -> np.ndarray:
+    n, size = int.from_bytes(raw[:8], "little"), np.dtype(kind).itemsize * width
+    rows = np.frombuffer(pa.decompress(raw[8:], n * size, codec="zstd", asbytes=True), np.uint8).reshape(size, n)
+    return np.ascontiguousarray(rows.T).view(kind).reshape(-1)
+
+
+def _pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys by their steps."""
+    return _pack(np.diff(keys, prepend=np.uint64(0)))
+
+
+def _unpack_keys(raw: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(raw, np.uint64), dtype=np.uint64)
+
+
 def _shard(keys: np.ndarray, shards: int) -> np.ndarray:
     """Shard of a key's context: a context lies in one shard whole."""
     return ((keys >> np.uint64(8)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(shards)
@@ -186,7 +207,7 @@ class Block:
         keys, n, to = keys[order], n[order].astype(np.uint32), to[order]
         cuts = np.append(np.flatnonzero(np.append(True, to[1:] != to[:-1])), len(to))
         for i, j in zip(cuts[:-1], cuts[1:]):
-            yield int(to[i]), keys[i:j].tobytes(), n[i:j].tobytes()
+            yield int(to[i]), _pack_keys(keys[i:j]), _pack(n[i:j])
 
 
 def path_logits(keys: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -213,23 +234,28 @@ def path_logits(keys: np.ndarray, n: np.ndarray) -> np.ndarray:
 def _answer(table: pa.Table) -> pa.Table:
     """One shard: the counts of all blocks are added, and each block receives the logits of the cells it touches."""
     blocks, raw = table.column("block").to_pylist(), table.column("keys").to_pylist()
-    parts = [np.frombuffer(x, np.uint64) for x in raw]
-    counts = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("counts").to_pylist()]).astype(np.int64)
+    parts = [_unpack_keys(x) for x in raw]
+    counts = np.concatenate([_unpack(x, np.uint32) for x in table.column("counts").to_pylist()]).astype(np.int64)
     keys, n = _tally(np.concatenate(parts), counts)
     logits = path_logits(keys, n)
-    answers = [logits[np.searchsorted(keys, p)].tobytes() for p in parts]
-    return pa.table({"block": pa.array(blocks, pa.int64()), "keys": pa.array(raw, pa.binary()), "logits": pa.array(answers, pa.binary())})
+    answers = [_pack(logits[np.searchsorted(keys, p)]) for p in parts]
+    return pa.table({"block": pa.array(blocks, pa.int64()), "shard": table.column("shard").cast(pa.int64()), "logits": pa.array(answers, pa.binary())})
 
 
 class Cells:
     """The cells of one block: logits by key, found by a hash of the key and else by bisection."""
 
-    def __init__(self, table: pa.Table) -> None:
-        keys = np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()] or [np.zeros(0, np.uint64)])
+    def __init__(self, texts: Iterable[str], answers: pa.Table, shards: int) -> None:
+        """Each answer has the logits of the block's keys of one shard in order; the keys are found from the texts again."""
+        block = Block()
+        for text in texts:
+            block.add(text.encode(), False)
+        logits = dict(zip(answers.column("shard").to_pylist(), answers.column("logits").to_pylist()))
+        found = [(_unpack_keys(keys), _unpack(logits[shard], np.int8, PLACES).reshape(-1, PLACES)) for shard, keys, _ in block.cells(shards)]
+        keys = np.concatenate([x[0] for x in found])
         order = np.argsort(keys)
         self.keys = keys[order]
-        logits = np.concatenate([np.frombuffer(x, np.int8) for x in table.column("logits").to_pylist()] or [np.zeros(0, np.int8)])
-        self.logits = logits.reshape(-1, PLACES)[order]
+        self.logits = np.concatenate([x[1] for x in found])[order]
         self.bits = min(22, max(4, len(keys).bit_length() + 1))
         self.index = np.zeros(1 << self.bits, np.int32)
         self.index[self._place(self.keys)] = np.arange(len(keys), dtype=np.int32)
@@ -332,13 +358,14 @@ def costs(texts: list[bytes], m: Mixer, final: list | None = None) -> np.ndarray
     return total
 
 
-def _fit_weights(texts: DataFrame, answers: DataFrame) -> np.ndarray:
+def _fit_weights(texts: DataFrame, answers: DataFrame, shards: int) -> np.ndarray:
     """Mean of the weights that texts of the sample end with."""
     start = np.full((PLACES, len(PREDICTORS)), 0.36, np.float32)
 
     def run(own: pa.Table, cells: pa.Table) -> pa.Table:
         final: list[np.ndarray] = []
-        costs([x.encode() for x in own.column("text").to_pylist()], CellMixer(Cells(cells), start), final)
+        raw = own.column("text").to_pylist()
+        costs([x.encode() for x in raw], CellMixer(Cells(raw, cells, shards), start), final)
         return pa.table({"n": pa.array([len(final)], pa.int64()), "w": pa.array([np.sum(final, axis=0, dtype=float).reshape(-1).tolist()], pa.list_(pa.float64()))})
 
     found = texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, "n long, w array<double>")
@@ -432,7 +459,7 @@ def score_texts(docs: DataFrame, held_out=None) -> DataFrame:
     gathered = materialize(gather(rows, shards, int(min(1.0, SAMPLE_TEXTS / max(1, texts)) * 1_000_000)), "gathered")
     counts = materialize(gathered.filter("token IS NOT NULL").groupBy("token").agg(F.sum("n").alias("c")), "words")
     cells = gathered.filter("shard IS NOT NULL").select("shard", "block", "keys", "counts")
-    answers = materialize(cells.groupBy("shard").applyInArrow(_answer, "block long, keys binary, logits binary"), "answers")
+    answers = materialize(cells.groupBy("shard").applyInArrow(_answer, "block long, shard long, logits binary"), "answers")
     words = counts.agg(F.count("*").alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n")).first()
     n, v = words["n"] + texts, words["v"] + (texts > 0)
     log_all = float(np.log10(n + 0.1 * (v + 1)))
@@ -440,13 +467,13 @@ def score_texts(docs: DataFrame, held_out=None) -> DataFrame:
     hot = dict(zip((w.encode() for w in top.column("token").to_pylist()), np.log10(top.column("c").to_numpy() + 0.1).tolist()))
     end = float(np.log10(texts + 0.1))
     sample = gathered.filter("block < 0 AND text IS NOT NULL").select("block", "text")
-    weights = _fit_weights(sample, answers.filter("block < 0"))
+    weights = _fit_weights(sample, answers.filter("block < 0"), shards)
     shared = spark.sparkContext.broadcast(hot)
     kind = dict(docs.dtypes)["doc_id"]
     names = ["doc_id", *(x.split()[0] for x in _SCORED.split(", "))]
 
     def scan(own: pa.Table, cells: pa.Table) -> pa.Table:
-        known, m = shared.value, CellMixer(Cells(cells), weights)
+        known, m = shared.value, CellMixer(Cells((x.as_py() for x in own.column("text")), cells, shards), weights)
         parts = []
         for at in range(0, own.num_rows, 1000):
             batch = own.slice(at, 1000)
