@@ -36,7 +36,7 @@ ESCAPE, BITS = 63, 6
 #: (bytes of context, log2 of the slots) of each predictor; 0 bytes stands for the word so far.
 PREDICTORS = ((3, 15), (5, 16), (0, 16))
 BLOCK, TEXTS_AT_ONCE, MOST_CELLS = 128, 64, 1 << 20
-#: Bytes that are counted together; the arrays of a step take about 200 times as many.
+#: Bytes that are counted together; with 1 << 20 an executor of six tasks was stopped at 3226 MB.
 COUNTED_AT_ONCE = 1 << 18
 RATE, PRIOR, CLIP = 0.03, 0.1, 8.0
 HOT_TOKENS, SAMPLE_TEXTS = 150_000, 1000
