@@ -1,26 +1,30 @@
 """Language-model scores by online logistic mixing of hashed-context bit predictors.
 
-Every byte is coded as eight binary decisions. Predictors look a decision up under the last three or five
-bytes, or the current word so far. Their counts of (predictor, context, byte) are gathered from every
-training document and grow with the corpus: texts are dealt into blocks, the distinct cells of a block are
-sent to shards by context, each shard adds the counts of all blocks and sends each block the logits of the
-cells that it touches, and no task or driver holds the whole table. There is a shard for every SHARD_BYTES.
-The logits are combined by weights gated by the decision's place; within each text the weights are refined
-online, a block of BLOCK bytes at a time, from the blocks before. The total of -log2 over all decisions, and
-an end mark, is the text's size in bits.
+Every byte is coded as eight binary decisions. Predictors look a decision up under the last one to five
+bytes, and under a hash of the word so far. Their counts of (predictor, context, byte) are gathered from
+every training document and grow with the corpus: texts are dealt into blocks, the distinct cells of a block
+go to shards by context, each shard adds the counts of all blocks and answers each block with the logits of
+the cells that it touches, and no task or driver holds the whole table.
+
+Two layers mix the logits. The weights of the first are gated by the decision's place and the longest context
+that knows it; they are learned online, in text order, on the training texts of a fixed share
+(1 in TUNED_PARTS, so the share grows with the corpus), from counts that leave these texts out, and averaged
+over the blocks. The second layer mixes three groups of predictors (long contexts, short contexts, word); its
+weights start at one for every text and are refined online, a STEP of bytes at a time, from the bytes before.
+The total of -log2 over all decisions and an end mark (a byte that no UTF-8 text has) is the text's size in bits.
 
 A unigram base score comes with it: token counts over all training documents are joined to the tokens of
 each text. The HOT_TOKENS most frequent ones are broadcast; the others are joined by shuffle.
 
 Edge cases: a null or empty text is its end mark alone; without training documents all counts are 0 and
-every decision has probability one half; repeated rows are scored each on their own; other columns are ignored.
+every decision has probability one half; repeated rows are scored each on their own; a very long text is a
+block of its own and is read in slices of SLICE bytes; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -30,193 +34,193 @@ from pyspark.sql import functions as F
 
 from lodestar.llm.common import materialize
 
-#: Bytes with a code of their own, as text and as UTF-8 bytes of accented letters.
-CODED = b" \nabcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ.," + bytes([0xC3, 0xA9, 0xA8, 0xB1, 0xB3, 0xAD, 0xA4])
-ESCAPE, BITS = 63, 6
-#: (bytes of context, log2 of the slots) of each predictor; 0 bytes stands for the word so far.
-PREDICTORS = ((3, 15), (5, 16), (0, 16))
-BLOCK, TEXTS_AT_ONCE, MOST_CELLS = 128, 64, 1 << 20
-#: Bytes that are counted together; with 1 << 20 an executor of six tasks was stopped at 3226 MB.
-COUNTED_AT_ONCE = 1 << 18
-RATE, PRIOR, CLIP = 0.03, 0.1, 8.0
-HOT_TOKENS, SAMPLE_TEXTS = 150_000, 1000
-
-SYMBOL = np.full(256, ESCAPE, np.uint8)
-SYMBOL[np.frombuffer(CODED, np.uint8)] = np.arange(len(CODED), dtype=np.uint8)
-_place = np.arange(BITS)
-#: By place and symbol: node of the decision, and its outcome as 1 or -1.
-NODE = np.ascontiguousarray(((1 << _place)[:, None] | (np.arange(64)[None, :] >> (BITS - _place)[:, None])).astype(np.intp))
-SIGN = np.ascontiguousarray((2.0 * (np.arange(64)[None, :] >> (BITS - 1 - _place)[:, None] & 1) - 1.0).astype(np.float32))
-_MULTIPLIER = np.uint32(2654435761)
-LEAD = 5
+#: Longest context in bytes, and the tag of the word predictor; the tag of a context of bytes is its length.
+LONGEST, WORD = 5, 6
+#: Bytes before a slice that its contexts can see; a word's hash sees WORD_BYTES at most.
+LEAD, WORD_BYTES = 64, 48
+END = b"\xff"
 #: Logits are kept as whole parts of 1/SCALE; a byte is PLACES decisions.
-SCALE, PLACES = 15.0, 8
-#: Outcome of each decision by place and byte, as 1 or -1.
-BYTE_SIGN = np.ascontiguousarray((2.0 * (np.arange(256)[None, :] >> np.arange(7, -1, -1)[:, None] & 1) - 1.0).astype(np.float32))
+SCALE, PLACES, PRIOR, CLIP = 15.0, 8, 0.1, 8.0
+#: Positions at once: of an online step, of a slice (all texts together), of the counting of keys.
+STEP, SLICE, COUNTED_AT_ONCE, TEXTS_AT_ONCE = 128, 1 << 18, 1 << 19, 64
 #: Bytes of texts that are scored together, and for each of which there is one shard of the cells.
 BLOCK_BYTES, SHARD_BYTES = 16 << 20, 4 << 20
+#: One in TUNED_PARTS training texts teaches the first layer's weights; steps of both layers.
+TUNED_PARTS, FIRST_RATE, SECOND_RATE, START = 16, 0.08, 0.01, 0.3
+HOT_TOKENS, TOKENS_AT_ONCE = 150_000, 200_000
+
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+_8 = np.uint64(8)
 
 
 def fold(parts: int):
     return F.crc32(F.col("doc_id").cast("string")) % parts
 
 
-def contexts(data: np.ndarray) -> list[np.ndarray]:
-    """Slots of the predictors of 3 and 5 bytes before each byte of the last axis, which starts with LEAD bytes of context."""
-    wide = data.astype(np.uint32)
-    n = data.shape[-1] - LEAD
-    back = [wide[..., LEAD - j:LEAD - j + n] for j in range(1, LEAD + 1)]
-    three = back[0] | back[1] << 8 | back[2] << 16
-    five = (three | back[3] << 24) * _MULTIPLIER ^ back[4] * np.uint32(40503)
-    return [(packed * _MULTIPLIER) >> np.uint32(32 - bits) for packed, (_, bits) in zip((three, five), PREDICTORS)]
-
-
-def word_slots(data: np.ndarray, bits: int, base: int = 0x01000193) -> np.ndarray:
-    """Slot of the letters since the last white space before each byte; ``data`` starts with LEAD zero bytes.
-
-    Prefix sums of byte times a power of an odd base give every word start's hash in whole-array steps.
-    """
-    wide = data.astype(np.uint32)
-    n = data.shape[-1]
-    powers, inverse = _powers(n, base)
-    sums = np.cumsum((wide + 1) * powers, axis=-1, dtype=np.uint32)
-    places = np.arange(n, dtype=np.int32)
-    start = np.maximum.accumulate(np.where(wide <= 32, places, 0), axis=-1)[..., LEAD - 1:-1]
-    hashed = (sums[..., LEAD - 1:-1] - np.take_along_axis(sums, start, axis=-1)) * inverse[start]
-    hashed ^= hashed >> np.uint32(15)
-    return (hashed * _MULTIPLIER) >> np.uint32(32 - bits)
-
-
-def _powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base modulo 2^32 and their inverses."""
-    both = [np.full(n, x, np.uint32) for x in (base, pow(base, -1, 1 << 32))]
+def _powers(n: int, base: int = 0x9E3779B97F4A7C55) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base modulo 2^64 and their inverses."""
+    both = [np.full(n, x, np.uint64) for x in (base, pow(base, -1, 1 << 64))]
     for x in both:
         x[0] = 1
         np.multiply.accumulate(x, out=x)
     return both[0], both[1]
 
 
-def word_hashes(data: np.ndarray) -> np.ndarray:
-    """54-bit hash of the word before each byte, as ``word_slots`` sees it."""
-    words = word_slots(data, 32).astype(np.uint64)
-    words <<= np.uint64(22)
-    words |= word_slots(data, 22, 0x9E3779B1)
-    return words
+def byte_keys(data: np.ndarray, lead: int) -> np.ndarray:
+    """Key of the order-LONGEST cell of each byte after the first ``lead`` of the last axis.
+
+    From the top: the byte before, the one before that, and so on, then the byte itself; contexts that end
+    alike are neighbours in the order of the keys.
+    """
+    wide = data.astype(np.uint64)
+    n = data.shape[-1] - lead
+    key = wide[..., lead:].copy()
+    for j in range(1, LONGEST + 1):
+        key |= wide[..., lead - j:lead - j + n] << np.uint64(8 * (LONGEST + 1 - j))
+    return key
 
 
-def keys_of(data: np.ndarray, words: np.ndarray) -> list[np.ndarray]:
-    """Keys (predictor, context, byte) of each byte after the first LEAD of the last axis.
+def word_keys(data: np.ndarray, lead: int) -> np.ndarray:
+    """Key of the word cell of each byte after the first ``lead``: 40 bits of a hash of the word so far, and the byte.
 
-    Contexts of three and five bytes stand in the key whole, words as a hash of 54 bits, so that no two
-    contexts of bytes share a cell and two words only by chance of 2^-54.
+    Prefix sums of byte times a power of an odd base give the hash from every word's start in whole-array steps.
     """
     wide = data.astype(np.uint64)
-    n = data.shape[-1] - LEAD
-    back = [wide[..., LEAD - j:LEAD - j + n] for j in range(1, LEAD + 1)]
-    now = wide[..., LEAD:]
-    three = back[0] | back[1] << np.uint64(8) | back[2] << np.uint64(16)
-    five = three | back[3] << np.uint64(24) | back[4] << np.uint64(32)
-    return [np.uint64(k << 62) | c << np.uint64(8) | now for k, c in enumerate((three, five, words))]
-
-
-def _tally(keys: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys in order, and how often each occurs (or the sum of its ``n``)."""
-    if n is None:
-        keys = np.sort(keys)
-    else:
-        order = np.argsort(keys, kind="stable")
-        keys, n = keys[order], n[order]
+    n = data.shape[-1]
+    powers, inverse = _powers(n)
+    sums = np.cumsum((wide + np.uint64(1)) * powers, axis=-1, dtype=np.uint64)
+    places = np.arange(n, dtype=np.int32)
+    start = np.maximum(np.maximum.accumulate(np.where(data <= 32, places, 0), axis=-1), places - WORD_BYTES)[..., lead - 1:-1]
+    hashed = (sums[..., lead - 1:-1] - np.take_along_axis(sums, start.astype(np.int64), axis=-1)) * inverse[start]
+    hashed ^= hashed >> np.uint64(29)
+    return (hashed * _MIX >> np.uint64(24)) << _8 | wide[..., lead:] | np.uint64(WORD << 56)
+
+
+def shorter(keys: np.ndarray, order: int) -> np.ndarray:
+    """Tagged keys of the cells of ``order`` that untagged keys of order LONGEST lie in."""
+    return keys >> np.uint64(8 * (LONGEST + 1 - order)) << _8 | keys & np.uint64(255) | np.uint64(order << 56)
+
+
+def _sum_by(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order and the sums of the rows of ``values`` that belong to each."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
     at = np.flatnonzero(np.concatenate((np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1])))
-    return keys[at], np.diff(np.append(at, len(keys))) if n is None else np.add.reduceat(n, at) if len(at) else n
+    return keys[at], np.add.reduceat(values[order], at, axis=0) if len(at) else values
 
 
 def _pack(values: np.ndarray) -> bytes:
     """Compressed bytes of an array, like bytes of all its rows together."""
-    rows = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1)
+    rows = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.nbytes // max(1, len(values)))
     return len(values).to_bytes(8, "little") + pa.compress(rows.T.tobytes(), codec="zstd", asbytes=True)
 
 
 def _unpack(raw: bytes, kind: type, width: int = 1) -> np.ndarray:
     n, size = int.from_bytes(raw[:8], "little"), np.dtype(kind).itemsize * width
     rows = np.frombuffer(pa.decompress(raw[8:], n * size, codec="zstd", asbytes=True), np.uint8).reshape(size, n)
-    return np.ascontiguousarray(rows.T).view(kind).reshape(-1)
+    return np.frombuffer(rows.T.tobytes(), kind).reshape((n, width) if width > 1 else n)
 
 
-def _pack_keys(keys: np.ndarray) -> bytes:
+def pack_keys(keys: np.ndarray) -> bytes:
     """Sorted keys by their steps."""
     return _pack(np.diff(keys, prepend=np.uint64(0)))
 
 
-def _unpack_keys(raw: bytes) -> np.ndarray:
+def unpack_keys(raw: bytes) -> np.ndarray:
     return np.cumsum(_unpack(raw, np.uint64), dtype=np.uint64)
 
 
-def _shard(keys: np.ndarray, shards: int) -> np.ndarray:
-    """Shard of a key's context: a context lies in one shard whole."""
-    return ((keys >> np.uint64(8)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(shards)
+def pack_logits(logits: np.ndarray) -> bytes:
+    """Rows of logits by their steps from place to place, which are mostly 0 where one byte alone was seen."""
+    return _pack(np.diff(logits, axis=1, prepend=np.int8(0)))
+
+
+def unpack_logits(raw: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(raw, np.int8, PLACES), axis=1, dtype=np.int8)
+
+
+def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
+    """Shard of a key's context. Few shards share contexts by their last bytes, so that their keys pack well."""
+    kept = 2 if shards <= 32 else 3 if shards <= 256 else LONGEST
+    tag = keys >> np.uint64(56)
+    dropped = np.where(tag <= LONGEST, np.maximum(tag.astype(np.int64) - kept, 0), 0).astype(np.uint64)
+    context = (keys & np.uint64((1 << 56) - 1)) >> _8 + _8 * dropped
+    return ((context ^ tag << np.uint64(50)) * _MIX >> np.uint64(33)) % np.uint64(shards)
+
+
+#: What a text is to the model: counted and tuned on, counted, or neither.
+TUNED, COUNTED, OTHER = 2, 1, 0
 
 
 class Block:
-    """Texts that are scored together, with the cells that they touch."""
+    """The cells of texts that are scored together: keys, and their counts in training and in tuning texts."""
 
     def __init__(self) -> None:
-        self.held: list[bytes] = []
-        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
-        self.size = self.waiting = self.pending = self.merged = 0
-        self.counted = True
-
-    def add(self, raw: bytes, counted: bool) -> None:
-        if counted != self.counted:
-            self.flush()
-            self.counted = counted
-        self.held.append(bytes(LEAD) + raw + b"\0")
-        self.size += len(raw) + 1
-        self.waiting += len(raw) + 1
-        if self.waiting > COUNTED_AT_ONCE:
-            self.flush()
-
-    def flush(self) -> None:
-        if self.held:
-            data = np.frombuffer(b"".join(self.held), np.uint8)
-            real = np.ones(len(data) - LEAD, bool)  # context padding is no byte of a text
-            starts = np.cumsum([len(x) for x in self.held])[:-1]
-            for j in range(LEAD):
-                real[starts - LEAD + j] = False
-            for keys in keys_of(data, word_hashes(data)):
-                found, n = _tally(keys[real])
-                self.parts.append((found, n.astype(np.uint32) if self.counted else np.zeros(len(found), np.uint32)))
-                self.pending += len(found)
-            if self.pending > max(500_000, self.merged):
-                self.merge()
-        self.held, self.waiting = [], 0
-
-    def merge(self) -> None:
-        if self.parts:
-            self.parts = [_tally(np.concatenate([p[0] for p in self.parts]), np.concatenate([p[1] for p in self.parts]))]
-            self.merged, self.pending = len(self.parts[0][0]), 0
-
-    def cells(self, shards: int) -> Iterator[tuple[int, bytes, bytes]]:
-        """(shard, keys, counts) of the block."""
-        self.flush()
-        self.merge()
-        if not self.parts:
+        self.held: dict[int, list[tuple[int, bytes]]] = {TUNED: [], COUNTED: [], OTHER: []}  # each with the bytes of its lead
+        self.waiting = dict.fromkeys(self.held, 0)
+        self.parts: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {LONGEST: [], WORD: []}
+        self.size = 0
+
+    def add(self, raw: bytes, kind: int) -> None:
+        whole = raw + END
+        self.size += len(whole)
+        for at in range(0, len(whole), SLICE):
+            lead = whole[at - LEAD:at] if at else bytes(LONGEST)
+            self.held[kind].append((len(lead), lead + whole[at:at + SLICE]))
+            self.waiting[kind] += len(self.held[kind][-1][1])
+            if self.waiting[kind] > COUNTED_AT_ONCE:
+                self._count(kind)
+
+    def _count(self, kind: int) -> None:
+        held = self.held[kind]
+        if not held:
             return
-        (keys, n), self.parts = self.parts[0], []
-        to = _shard(keys, shards)
-        order = np.argsort(to, kind="stable")
-        keys, n, to = keys[order], n[order].astype(np.uint32), to[order]
-        cuts = np.append(np.flatnonzero(np.append(True, to[1:] != to[:-1])), len(to))
-        for i, j in zip(cuts[:-1], cuts[1:]):
-            yield int(to[i]), _pack_keys(keys[i:j]), _pack(n[i:j])
+        data = np.frombuffer(b"".join(x for _, x in held), np.uint8)
+        real, at = np.ones(len(data), bool), 0
+        for lead, x in held:  # the lead is no part of a text
+            real[at:at + lead] = False
+            at += len(x)
+        for tag, keys in ((LONGEST, byte_keys(data, LONGEST)), (WORD, word_keys(data, LONGEST))):
+            found, n = np.unique(keys[real[LONGEST:]], return_counts=True)
+            n = n.astype(np.uint32)
+            self.parts[tag].append((found, np.stack([n if kind else 0 * n, n if kind == TUNED else 0 * n], axis=1)))
+            if len(self.parts[tag]) > 8 and sum(len(p[0]) for p in self.parts[tag][1:]) > len(self.parts[tag][0]):
+                self._merge(tag)
+        self.held[kind], self.waiting[kind] = [], 0
+
+    def _merge(self, tag: int) -> None:
+        parts = self.parts[tag]
+        if len(parts) > 1:
+            self.parts[tag] = [_sum_by(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))]
+
+    def cells(self, shards: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(shard, tagged keys in order, counts) of the block."""
+        for kind in self.held:
+            self._count(kind)
+        found = []
+        for tag in (LONGEST, WORD):
+            self._merge(tag)
+            if self.parts[tag]:
+                keys, n = self.parts[tag][0]
+                found += [_sum_by(shorter(keys, o), n) for o in range(1, LONGEST + 1)] if tag == LONGEST else [(keys, n)]
+            self.parts[tag] = []
+        if found:
+            keys, n = np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
+            to = shard_of(keys, shards)
+            order = np.lexsort((keys, to))
+            keys, n, to = keys[order], n[order], to[order]
+            cuts = np.append(np.flatnonzero(np.append(True, to[1:] != to[:-1])), len(to))
+            for i, j in zip(cuts[:-1], cuts[1:]):
+                yield int(to[i]), keys[i:j], n[i:j].astype(np.uint32)
 
 
 def path_logits(keys: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Logit of a one, times SCALE, at each of the eight decisions on the way to each key's byte.
+    """Logit, times SCALE, of what each of the eight decisions on the way to each key's byte came out as.
 
-    ``keys`` are sorted and distinct, with all cells of their contexts.
+    ``keys`` are sorted and distinct, with all cells of their contexts. A decision that no text met has 0.
     """
     out = np.empty((len(keys), PLACES), np.int8)
-    sums = np.concatenate(([0], np.cumsum(n)))
+    sums = np.concatenate(([0], np.cumsum(n.astype(np.int64))))
     before = None
     for j in range(PLACES + 1):
         node = keys >> np.uint64(PLACES - j)
@@ -224,214 +228,238 @@ def path_logits(keys: np.ndarray, n: np.ndarray) -> np.ndarray:
         ends = np.append(first[1:], len(keys))
         total = np.repeat(sums[ends] - sums[first], ends - first)
         if before is not None:
-            one = (node & np.uint64(1)).astype(bool)
-            ones, zeros = np.where(one, total, before - total), np.where(one, before - total, total)
-            out[:, j - 1] = np.rint(SCALE * np.clip(np.log((ones + PRIOR) / (zeros + PRIOR)), -CLIP, CLIP))
+            out[:, j - 1] = np.rint(SCALE * np.clip(np.log((total + PRIOR) / (before - total + PRIOR)), -CLIP, CLIP))
         before = total
     return out
 
 
 def _answer(table: pa.Table) -> pa.Table:
-    """One shard: the counts of all blocks are added, and each block receives the logits of the cells it touches."""
-    blocks, raw = table.column("block").to_pylist(), table.column("keys").to_pylist()
-    parts = [_unpack_keys(x) for x in raw]
-    counts = np.concatenate([_unpack(x, np.uint32) for x in table.column("counts").to_pylist()]).astype(np.int64)
-    keys, n = _tally(np.concatenate(parts), counts)
-    logits = path_logits(keys, n)
-    answers = [_pack(logits[np.searchsorted(keys, p)]) for p in parts]
-    return pa.table({"block": pa.array(blocks, pa.int64()), "shard": table.column("shard").cast(pa.int64()), "logits": pa.array(answers, pa.binary())})
+    """One shard: the counts of all blocks are added, and each block receives the logits of the cells it touches.
+
+    Cells of tuning texts get a second logit, of the counts without any tuning text.
+    """
+    parts = [unpack_keys(x) for x in table.column("keys").to_pylist()]
+    counts = [_unpack(x, np.uint32, 2) for x in table.column("counts").to_pylist()]
+    keys, n = _sum_by(np.concatenate(parts), np.concatenate(counts).astype(np.int64))
+    logits, without = path_logits(keys, n[:, 0]), path_logits(keys, n[:, 0] - n[:, 1])
+    places = [np.searchsorted(keys, p) for p in parts]
+    return pa.table({
+        "block": table.column("block").cast(pa.int64()), "shard": table.column("shard").cast(pa.int64()),
+        "logits": pa.array([pack_logits(logits[p]) for p in places], pa.binary()),
+        "tuned": pa.array([pack_logits(without[p[c[:, 1] > 0]]) for p, c in zip(places, counts)], pa.binary())})
 
 
 class Cells:
-    """The cells of one block: logits by key, found by a hash of the key and else by bisection."""
+    """The cells of one block with their logits, as both layers need them."""
 
-    def __init__(self, texts: Iterable[str], answers: pa.Table, shards: int) -> None:
+    def __init__(self, texts: Iterable[bytes], answers: pa.Table, column: str, shards: int) -> None:
         """Each answer has the logits of the block's keys of one shard in order; the keys are found from the texts again."""
         block = Block()
         for text in texts:
-            block.add(text.encode(), False)
-        logits = dict(zip(answers.column("shard").to_pylist(), answers.column("logits").to_pylist()))
-        found = [(_unpack_keys(keys), _unpack(logits[shard], np.int8, PLACES).reshape(-1, PLACES)) for shard, keys, _ in block.cells(shards)]
-        keys = np.concatenate([x[0] for x in found])
+            block.add(text, COUNTED)
+        packed = dict(zip(answers.column("shard").to_pylist(), answers.column(column).to_pylist()))
+        found = [(keys, unpack_logits(packed[shard])) for shard, keys, _ in block.cells(shards)]
+        keys, logits = np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
         order = np.argsort(keys)
-        self.keys = keys[order]
-        self.logits = np.concatenate([x[1] for x in found])[order]
-        self.bits = min(22, max(4, len(keys).bit_length() + 1))
-        self.index = np.zeros(1 << self.bits, np.int32)
-        self.index[self._place(self.keys)] = np.arange(len(keys), dtype=np.int32)
-
-    def _place(self, keys: np.ndarray) -> np.ndarray:
-        return (keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.intp)
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """(places, *shape of keys) as float32; keys that the block lacks stand outside its texts and count 0."""
-        flat = keys.reshape(-1)
-        at = self.index[self._place(flat)]
-        missed = np.flatnonzero(self.keys[at] != flat)
-        at[missed] = np.minimum(np.searchsorted(self.keys, flat[missed]), len(self.keys) - 1)
-        got = self.logits[at].astype(np.float32)
-        got *= 1 / SCALE
-        return np.ascontiguousarray(got.T).reshape(PLACES, *keys.shape)
-
-
-@dataclass
-class Mixer:
-    """A model with dense tables of six decisions a byte and an escape; the query uses CellMixer."""
-
-    tables: list[np.ndarray]  # by predictor: logit of a one at [slot, node], times SCALE
-    escape_cost: np.ndarray  # nats of a byte after an escape, 0 for coded bytes
-    weights: np.ndarray  # (places, predictors)
-
-
-    def start(self, padded: np.ndarray) -> None:
-        self.words = word_slots(padded, PREDICTORS[-1][1])
-
-    def step(self, data: np.ndarray, at: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-        """Signs, logits by predictor and fixed nats of the bytes after the first LEAD of each row."""
-        current = data[:, LEAD:]
-        symbols = SYMBOL[current]
-        nodes = NODE.take(symbols, axis=1)
-        slots = [*contexts(data), self.words[:len(data), at:at + BLOCK]]
-        logits = [t.take((x.astype(np.intp) << 6) + nodes, mode="clip").astype(np.float32) * np.float32(1 / SCALE) for t, x in zip(self.tables, slots)]
-        return SIGN.take(symbols, axis=1), logits, self.escape_cost[current]
-
-
-@dataclass
-class CellMixer:
-    """The model of one block of texts: all eight bits of every byte, by the cells of the whole corpus."""
-
-    cells: Cells
-    weights: np.ndarray  # (places, predictors)
-
-    def start(self, padded: np.ndarray) -> None:
-        self.words = word_hashes(padded)
-
-    def step(self, data: np.ndarray, at: int) -> tuple[np.ndarray, list[np.ndarray], float]:
-        return BYTE_SIGN.take(data[:, LEAD:], axis=1), [self.cells.find(k) for k in keys_of(data, self.words[:len(data), at:at + BLOCK])], 0.0
-
-
-def _costs(texts: list[bytes], m: Mixer | CellMixer, final: list | None = None) -> np.ndarray:
-    """Nats of each text (with its end mark); texts come longest first. ``final`` receives the last weights."""
-    lengths = np.array([len(t) + 1 for t in texts])
-    padded = np.zeros((len(texts), LEAD + -(-lengths[0] // BLOCK) * BLOCK), np.uint8)
-    for row, text in zip(padded, texts):
-        row[LEAD:LEAD + len(text)] = np.frombuffer(text, np.uint8)
-    m.start(padded)
-    total = np.zeros(len(texts))
-    weights = np.repeat(m.weights.T[:, :, None], len(texts), axis=2)  # (predictors, places, texts)
-    for at in range(0, lengths[0], BLOCK):
-        alive = int(np.count_nonzero(lengths > at))
-        w = weights[:, :, :alive]
-        real = (np.arange(at, at + BLOCK) < lengths[:alive, None]).astype(np.float32)
-        signs, logits, fixed = m.step(padded[:alive, at:at + BLOCK + LEAD], at)
-        z = None
-        for k, logit in enumerate(logits):
-            part = logit * w[k][..., None]
-            z = part if z is None else np.add(z, part, out=z)
-        z *= signs
-        np.clip(z, -30, 30, out=z)
-        np.negative(z, out=z)
-        e = np.exp(z, out=z)
-        e += 1.0
-        nats = np.log(e)
-        total[:alive] += np.einsum("gdb,db->d", nats, real) + (fixed * real).sum(axis=1)
-        wrong = signs
-        wrong *= 1.0 - 1.0 / e
-        wrong *= real
-        for k, logit in enumerate(logits):
-            w[k] += RATE / 16 * np.einsum("gdb,gdb->gd", wrong, logit)
-    if final is not None:
-        final.extend(weights.transpose(2, 1, 0))
-    return total
-
-
-def costs(texts: list[bytes], m: Mixer, final: list | None = None) -> np.ndarray:
-    """Nats of each text, in order; texts of like length go through the blocks together."""
-    order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
-    total = np.zeros(len(texts))
-    at = 0
-    while at < len(order):
-        n = max(1, min(TEXTS_AT_ONCE, MOST_CELLS // (len(texts[order[at]]) + BLOCK)))
-        group = order[at:at + n]
-        total[group] = _costs([texts[i] for i in group], m, final)
-        at += n
-    return total
-
-
-def _fit_weights(texts: DataFrame, answers: DataFrame, shards: int) -> np.ndarray:
-    """Mean of the weights that texts of the sample end with."""
-    start = np.full((PLACES, len(PREDICTORS)), 0.36, np.float32)
+        keys, logits = keys[order], logits[order]
+        cut = np.searchsorted(keys, np.arange(1, WORD + 2, dtype=np.uint64) << np.uint64(56))
+        by_tag = [(keys[i:j], logits[i:j]) for i, j in zip(cut[:-1], cut[1:])]
+        self.words, self.word_logits = by_tag[WORD - 1]
+        longest = by_tag[LONGEST - 1][0] & np.uint64((1 << 56) - 1)
+        self.keys = longest
+        self.logits = np.stack([v[np.searchsorted(k, shorter(longest, o + 1))] for o, (k, v) in enumerate(by_tag[:LONGEST])], axis=1)
+        #: By cell and place: the longest context that knows the decision, 0 if none does.
+        self.gates = ((self.logits != 0) * np.arange(1, LONGEST + 1, dtype=np.uint8)[None, :, None]).max(axis=1)
+
+    def find(self, data: np.ndarray, lead: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the byte cells and of the word cells of the bytes after the first ``lead``."""
+        found = []
+        for table, keys in ((self.keys, byte_keys(data, lead)), (self.words, word_keys(data, lead))):
+            distinct, back = np.unique(keys.reshape(-1), return_inverse=True)
+            at = np.minimum(np.searchsorted(table, distinct), len(table) - 1).astype(np.int32)
+            found.append(at[back].reshape(keys.shape))
+        return found[0], found[1]
+
+
+def flat_weights() -> np.ndarray:
+    """First-layer weights before learning, by gate, place and predictor (the word predictor last)."""
+    return np.full((LONGEST + 1, PLACES, LONGEST + 1), START, np.float32)
+
+
+def tune(texts: list[bytes], cells: Cells) -> tuple[np.ndarray, np.ndarray]:
+    """First-layer weights learned online over ``texts`` in order, and the decisions seen at each gate and place."""
+    weights, seen = flat_weights(), np.zeros((LONGEST + 1, PLACES))
+    scale = np.full(weights.shape, 1.0, np.float32)  # sums of squared steps, as in AdaGrad
+    place = np.arange(PLACES)
+    for text in texts:
+        whole = text + END
+        for at in range(0, len(whole), 2048):
+            lead = whole[max(0, at - LEAD):at].rjust(LEAD, b"\0")
+            a, b = cells.find(np.frombuffer(lead + whole[at:at + 2048], np.uint8), LEAD)
+            x = np.concatenate([cells.logits[a], cells.word_logits[b][:, None]], axis=1).transpose(0, 2, 1) * np.float32(1 / SCALE)
+            gate = cells.gates[a]
+            w = weights[gate, place]
+            wrong = 1 / (1 + np.exp(np.clip((w * x).sum(axis=2), -30, 30)))
+            index = (gate.astype(np.intp) * PLACES + place).reshape(-1)
+            step = np.stack([np.bincount(index, (wrong * x[:, :, k]).reshape(-1), seen.size) for k in range(LONGEST + 1)], axis=1).reshape(weights.shape)
+            seen += np.bincount(index, minlength=seen.size).reshape(seen.shape)
+            scale += (step * step).astype(np.float32)
+            weights += (FIRST_RATE * step / np.sqrt(scale)).astype(np.float32)
+    return weights, seen
 
-    def run(own: pa.Table, cells: pa.Table) -> pa.Table:
-        final: list[np.ndarray] = []
-        raw = own.column("text").to_pylist()
-        costs([x.encode() for x in raw], CellMixer(Cells(raw, cells, shards), start), final)
-        return pa.table({"n": pa.array([len(final)], pa.int64()), "w": pa.array([np.sum(final, axis=0, dtype=float).reshape(-1).tolist()], pa.list_(pa.float64()))})
-
-    found = texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, "n long, w array<double>")
-    r = found.agg(F.sum("n").alias("n"), *[F.sum(F.col("w")[i]).alias(f"w{i}") for i in range(start.size)]).first()
-    return (np.array(r[1:]) / r["n"]).reshape(start.shape).astype(np.float32) if r["n"] else start
 
+class Mixer:
+    """Both layers over the cells of one block."""
 
-def gather(rows: DataFrame, shards: int, share: int) -> DataFrame:
-    """One pass over all texts: (token, n) counts of training words, texts by block, and cells by block and shard.
-
-    A block is up to BLOCK_BYTES of the texts of one task. Cells count the training texts; those that only
-    other texts touch have count 0. About ``share`` millionths of the training texts form sample blocks,
-    with negative numbers, once more.
+    def __init__(self, cells: Cells, weights: np.ndarray) -> None:
+        self.cells = cells
+        parts = []
+        for at in range(0, len(cells.keys), 1 << 16):
+            x = cells.logits[at:at + (1 << 16)].transpose(0, 2, 1).astype(np.float32) * np.float32(1 / SCALE)
+            w = weights[cells.gates[at:at + (1 << 16)], np.arange(PLACES)]
+            terms = w[:, :, :LONGEST] * x
+            parts.append(np.concatenate([terms[:, :, 3:].sum(axis=2), terms[:, :, :3].sum(axis=2), w[:, :, LONGEST] * np.float32(1 / SCALE)], axis=1))
+        #: By byte cell: terms of the contexts of 4 and 5 bytes, of those of 1 to 3, and the word's weights, by place.
+        self.terms = np.concatenate(parts)
+
+    def costs(self, texts: list[bytes]) -> np.ndarray:
+        """Nats of each text with its end mark, in order; texts of like length go together."""
+        order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
+        total = np.zeros(len(texts))
+        at = 0
+        while at < len(order):
+            group = order[at:at + max(1, min(TEXTS_AT_ONCE, SLICE // (len(texts[order[at]]) + 1)))]
+            total[group] = self._group([texts[i] + END for i in group])
+            at += len(group)
+        return total
+
+    def _group(self, texts: list[bytes]) -> np.ndarray:
+        """Texts come longest first. A text of more than SLICE bytes is alone and passes through slice by slice."""
+        lengths = np.array([len(t) for t in texts])
+        total = np.zeros(len(texts))
+        second = np.ones((3, len(texts), 1, PLACES), np.float32)
+        for at in range(0, int(lengths[0]), SLICE):
+            alive = int(np.count_nonzero(lengths > at))
+            wide = min(SLICE, int(lengths[0]) - at)
+            data = np.zeros((alive, LEAD + wide), np.uint8)
+            for row, text in zip(data, texts):
+                piece = text[max(0, at - LEAD):at + wide]
+                row[LEAD - min(at, LEAD):LEAD - min(at, LEAD) + len(piece)] = np.frombuffer(piece, np.uint8)
+            a, b = self.cells.find(data, LEAD)
+            for start in range(0, wide, STEP):
+                n = int(np.count_nonzero(lengths > at + start))
+                real = (np.arange(at + start, min(at + start + STEP, at + wide)) < lengths[:n, None])[..., None]
+                terms = self.terms.take(a[:n, start:start + STEP], axis=0)
+                x = [terms[..., :PLACES], terms[..., PLACES:2 * PLACES], terms[..., 2 * PLACES:] * self.cells.word_logits.take(b[:n, start:start + STEP], axis=0)]
+                z = x[0] * second[0, :n]
+                z += x[1] * second[1, :n]
+                z += x[2] * second[2, :n]
+                np.clip(z, -30, 30, out=z)
+                e = np.exp(z)
+                wrong = 1 / (1 + e)
+                wrong *= real
+                total[:n] += (np.log1p(np.exp(-z)) * real).sum(axis=(1, 2))
+                for k in range(3):
+                    second[k, :n, 0] += SECOND_RATE * np.einsum("tip,tip->tp", wrong, x[k])
+        return total
+
+
+def _pack_table(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _texts(own: pa.Table) -> Iterator[pa.Table]:
+    """The packed tables of texts of one block, in order."""
+    for raw in own.column("pack").to_pylist():
+        yield pa.ipc.open_stream(raw).read_all()
+
+
+_GATHERED = "block long, pack binary, tuned boolean, token string, n long, shard long, keys binary, counts binary"
+
+
+def gather(rows: DataFrame, shards: int) -> DataFrame:
+    """One pass over all texts: (token, n) counts of training words, packs of texts by block, and cells by block and shard.
+
+    A block is up to BLOCK_BYTES of the texts of one task, a pack up to 1,000 of its texts or 1 MB and more by
+    one text at most; packs of tuning texts alone come beside them.
     """
-    kind = dict(rows.dtypes)["doc_id"]
-    sampled = F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(1_000_000)) < share
-    fields = f"block long, uid long, doc_id {kind}, held_out boolean, text string, token string, n long, shard long, keys binary, counts binary"
-    names = [x.split()[0] for x in fields.split(", ")]
+    names = [x.split()[0] for x in _GATHERED.split(", ")]
+    types = {"block": pa.int64(), "pack": pa.binary(), "tuned": pa.bool_(), "token": pa.string(), "n": pa.int64(), "shard": pa.int64(), "keys": pa.binary(), "counts": pa.binary()}
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        uid = part << 33
-        number, main, sample = part << 24, Block(), Block()
-        types: dict[str, pa.DataType] = {}
+        uid = TaskContext.get().partitionId() << 33
+        number, block, words = TaskContext.get().partitionId() << 24, Block(), Counter()
 
         def rows_of(size: int, **given) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([given[x] if x in given else pa.nulls(size, types[x]) for x in names], names=names)
-
-        def finish(block: Block, name: int) -> Iterator[pa.RecordBatch]:
-            found = list(block.cells(shards))
-            for at in range(0, len(found), 500):
-                some = found[at:at + 500]
-                shard, keys, counts = zip(*some)
-                yield rows_of(len(some), block=pa.array([name] * len(some), pa.int64()), shard=pa.array(shard, pa.int64()), keys=pa.array(keys, pa.binary()), counts=pa.array(counts, pa.binary()))
-
-        for whole in batches:
-            types = {"block": pa.int64(), "uid": pa.int64(), "doc_id": whole.column(0).type, "held_out": pa.bool_(), "text": pa.string(), "token": pa.string(), "n": pa.int64(), "shard": pa.int64(), "keys": pa.binary(), "counts": pa.binary()}
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
-                raw = [(t.as_py() or "").encode() for t in batch.column(1)]
-                held, chosen = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-                seen: Counter[bytes] = Counter()
-                blocks, again = [], []
-                for i, text in enumerate(raw):
-                    if main.size and main.size + len(text) > BLOCK_BYTES:
-                        yield from finish(main, number)
-                        number, main = number + 1, Block()
-                    main.add(text, not held[i])
-                    blocks.append(number)
-                    if not held[i]:
-                        seen.update(text.lower().split())
-                        if chosen[i]:
-                            sample.add(text, False)
-                            again.append(i)
-                texts = [x.decode() for x in raw]
-                n = len(raw)
-                yield rows_of(n, block=pa.array(blocks, pa.int64()), uid=pa.array(range(uid, uid + n), pa.int64()), doc_id=batch.column(0), held_out=batch.column(2), text=pa.array(texts, pa.string()))
-                uid += n
-                if again:
-                    yield rows_of(len(again), block=pa.array([-part - 1] * len(again), pa.int64()), text=pa.array([texts[i] for i in again], pa.string()))
-                if seen:
-                    yield rows_of(len(seen), token=pa.array([w.decode() for w in seen], pa.string()), n=pa.array(list(seen.values()), pa.int64()))
-        yield from finish(main, number)
-        yield from finish(sample, -part - 1)
-
-    return rows.select("doc_id", "text", "held_out", F.coalesce(sampled, F.lit(False))).mapInArrow(cut, fields)
+            return pa.RecordBatch.from_arrays([pa.array(given[x], types[x]) if x in given else pa.nulls(size, types[x]) for x in names], names=names)
+
+        def finish() -> Iterator[pa.RecordBatch]:
+            for shard, keys, n in block.cells(shards):
+                yield rows_of(1, block=[number], shard=[shard], keys=[pack_keys(keys)], counts=[_pack(n)])
+
+        def packs(part: pa.Table, tuned: list[bool]) -> Iterator[pa.RecordBatch]:
+            yield rows_of(1, block=[number], pack=[_pack_table(part)], tuned=[False])
+            if any(tuned):
+                yield rows_of(1, block=[number], pack=[_pack_table(part.filter(pa.array(tuned)))], tuned=[True])
+
+        def counted(least: int) -> Iterator[pa.RecordBatch]:
+            if len(words) > least:
+                yield rows_of(len(words), token=[w.decode() for w in words], n=list(words.values()))
+                words.clear()
+
+        for batch in batches:
+            texts, kinds = batch.column(1), batch.column(3).to_pylist()
+            start, size = 0, 0
+            for i, kind in enumerate(kinds):
+                raw = (texts[i].as_py() or "").encode()
+                if block.size and block.size + len(raw) > BLOCK_BYTES or i - start == 1000 or size > 1 << 20:
+                    if i > start:
+                        yield from packs(_numbered(batch, start, i, uid), [k == TUNED for k in kinds[start:i]])
+                    start, size = i, 0
+                    if block.size and block.size + len(raw) > BLOCK_BYTES:
+                        yield from finish()
+                        number, block = number + 1, Block()
+                block.add(raw, kind)
+                size += len(raw)
+                if kind != OTHER:
+                    words.update(raw.lower().split())
+                    yield from counted(TOKENS_AT_ONCE)
+            if len(kinds) > start:
+                yield from packs(_numbered(batch, start, len(kinds), uid), [k == TUNED for k in kinds[start:]])
+            uid += len(kinds)
+        yield from counted(0)
+        yield from finish()
+
+    return rows.mapInArrow(cut, _GATHERED)
+
+
+def _numbered(batch: pa.RecordBatch, start: int, stop: int, uid: int) -> pa.Table:
+    part = batch.slice(start, stop - start)
+    texts = pa.array([x.as_py() or "" for x in part.column(1)], pa.string())
+    return pa.table([part.column(0), texts, part.column(2), pa.array(range(uid + start, uid + stop), pa.int64())], names=["doc_id", "text", "held_out", "uid"])
+
+
+def _learn_weights(tuned: DataFrame, answers: DataFrame, shards: int) -> np.ndarray:
+    """First-layer weights of every block's tuning texts, averaged by the decisions seen."""
+    flat = flat_weights()
+
+    def run(own: pa.Table, cells: pa.Table) -> pa.Table:
+        texts = [x.as_py().encode() for part in _texts(own) for x in part.column("text")]
+        if not texts:
+            return pa.table({"w": pa.array([], pa.list_(pa.float64())), "seen": pa.array([], pa.list_(pa.float64()))})
+        weights, seen = tune(texts, Cells(texts, cells, "tuned", shards))
+        return pa.table({"w": pa.array([(weights * seen[:, :, None]).reshape(-1).tolist()], pa.list_(pa.float64())), "seen": pa.array([seen.reshape(-1).tolist()], pa.list_(pa.float64()))})
+
+    found = tuned.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, "w array<double>, seen array<double>")
+    places = found.select(F.posexplode(F.concat("w", "seen"))).groupBy("pos").agg(F.sum("col").alias("v")).collect()
+    if not places:
+        return flat
+    sums = np.array([r["v"] for r in sorted(places, key=lambda r: r["pos"])])
+    seen = sums[flat.size:].reshape(flat.shape[:2])[:, :, None]
+    return np.where(seen > 0, sums[:flat.size].reshape(flat.shape) / np.maximum(seen, 1), flat).astype(np.float32)
 
 
 def _hot_count(counts: DataFrame, most: int = HOT_TOKENS) -> int:
@@ -452,35 +480,38 @@ _SCORED = "held_out boolean, uid long, n_tokens long, n_bytes long, hot_known lo
 def score_texts(docs: DataFrame, held_out=None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte per document."""
     spark = docs.sparkSession
-    held_out = fold(10) == 0 if held_out is None else held_out
-    rows = docs.select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held_out"))
+    held_out = F.coalesce(fold(10) == 0 if held_out is None else held_out, F.lit(False))
+    tuned = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("mix")), F.lit(TUNED_PARTS)) == 0
+    rows = docs.select("doc_id", "text", held_out.alias("held_out"), F.when(held_out, OTHER).when(tuned, TUNED).otherwise(COUNTED).alias("kind"))
     size = rows.agg(F.count(F.when(~F.col("held_out"), 1)).alias("texts"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
     texts, shards = size["texts"], 1 + int(size["bytes"]) // SHARD_BYTES
-    gathered = materialize(gather(rows, shards, int(min(1.0, SAMPLE_TEXTS / max(1, texts)) * 1_000_000)), "gathered")
+    # Blocks near BLOCK_BYTES share most cells among their texts; small inputs are still spread over the cores.
+    tasks = max(1 + int(size["bytes"]) // BLOCK_BYTES, min(spark.sparkContext.defaultParallelism, 1 + int(size["bytes"]) // (BLOCK_BYTES >> 2)))
+    gathered = materialize(gather(rows.coalesce(tasks), shards), "gathered")
     counts = materialize(gathered.filter("token IS NOT NULL").groupBy("token").agg(F.sum("n").alias("c")), "words")
     cells = gathered.filter("shard IS NOT NULL").select("shard", "block", "keys", "counts")
-    answers = materialize(cells.groupBy("shard").applyInArrow(_answer, "block long, shard long, logits binary"), "answers")
+    answers = materialize(cells.groupBy("shard").applyInArrow(_answer, "block long, shard long, logits binary, tuned binary"), "answers")
     words = counts.agg(F.count("*").alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n")).first()
     n, v = words["n"] + texts, words["v"] + (texts > 0)
     log_all = float(np.log10(n + 0.1 * (v + 1)))
     top = counts.filter(F.col("c") >= _hot_count(counts)).toArrow()
     hot = dict(zip((w.encode() for w in top.column("token").to_pylist()), np.log10(top.column("c").to_numpy() + 0.1).tolist()))
     end = float(np.log10(texts + 0.1))
-    sample = gathered.filter("block < 0 AND text IS NOT NULL").select("block", "text")
-    weights = _fit_weights(sample, answers.filter("block < 0"), shards)
+    packs = gathered.filter("pack IS NOT NULL").select("block", "pack", "tuned")
+    weights = _learn_weights(packs.filter("tuned"), answers.select("block", "shard", "tuned"), shards)
     shared = spark.sparkContext.broadcast(hot)
     kind = dict(docs.dtypes)["doc_id"]
     names = ["doc_id", *(x.split()[0] for x in _SCORED.split(", "))]
 
     def scan(own: pa.Table, cells: pa.Table) -> pa.Table:
-        known, m = shared.value, CellMixer(Cells((x.as_py() for x in own.column("text")), cells, shards), weights)
+        known = shared.value
+        every = (x.as_py().encode() for part in _texts(own) for x in part.column("text"))
+        mixer = Mixer(Cells(every, cells, "logits", shards), weights)
         parts = []
-        for at in range(0, own.num_rows, 1000):
-            batch = own.slice(at, 1000)
-            raw = [x.encode() for x in batch.column("text").to_pylist()]
-            bits = costs(raw, m)
+        for table in _texts(own):
+            raw = [x.encode() for x in table.column("text").to_pylist()]
             out = []
-            for uid, text, nats in zip(batch.column("uid").to_pylist(), raw, bits):
+            for text, nats in zip(raw, mixer.costs(raw)):
                 tokens = text.lower().split()
                 total, hits, rare, times = end - log_all * (len(tokens) + 1), int(texts > 0), [], []
                 for w, c in Counter(tokens).items():
@@ -490,14 +521,14 @@ def score_texts(docs: DataFrame, held_out=None) -> DataFrame:
                     else:
                         rare.append(w.decode())
                         times.append(c)
-                out.append((uid, len(tokens) + 1, len(text), hits, total, -nats / np.log(10), rare, times))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.int64()))
+                out.append((len(tokens) + 1, len(text), hits, total, -nats / np.log(10), rare, times))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.int64()))
             arrays = [pa.array(list(x), t) for x, t in zip(zip(*out), kinds)]
-            parts.append(pa.table([batch.column("doc_id"), batch.column("held_out"), *arrays], names=names))
+            parts.append(pa.table([table.column("doc_id"), table.column("held_out"), table.column("uid"), *arrays], names=names))
         return pa.concat_tables(parts)
 
-    owned = gathered.filter("uid IS NOT NULL").select("block", "uid", "doc_id", "held_out", "text")
-    scored = materialize(owned.groupBy("block").cogroup(answers.filter("block >= 0").groupBy("block")).applyInArrow(scan, f"doc_id {kind}, {_SCORED}"), "scored")
+    owned = packs.filter("NOT tuned").select("block", "pack")
+    scored = materialize(owned.groupBy("block").cogroup(answers.select("block", "shard", "logits").groupBy("block")).applyInArrow(scan, f"doc_id {kind}, {_SCORED}"), "scored")
     shared.unpersist()
     rare = scored.select("uid", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("uid", F.col("x.rare").alias("token"), F.col("x.times").alias("times"))
     c = F.coalesce("c", F.lit(0))

@@ -321,34 +321,6 @@ def test_language_model(result, docs):
     assert got[got.held_out].bits_per_byte.mean() < 4
 
 
-def test_bit_probabilities_sum_to_one():
-    """Over all symbols, the decisions of the mixer are a distribution."""
-    rng = np.random.default_rng(2)
-    m = mixlm.Mixer([rng.integers(-60, 60, 64 << bits).astype(np.int8) for _, bits in mixlm.PREDICTORS], np.where(mixlm.SYMBOL == mixlm.ESCAPE, np.log(193.0), 0.0), np.full((6, 3), 0.36, np.float32))
-    before = mixlm.costs([b"some text"], m)[0]
-    assert before > 0
-    ends = [mixlm.costs([b"ab" + bytes([x])], m)[0] for x in range(256)]
-    assert len(set(np.round(ends, 6))) > 50
-    first = [mixlm.costs([bytes([x])], m)[0] - _end_cost(m, bytes([x])) for x in range(256)]
-    assert sum(np.exp(-np.array(first))) == pytest.approx(1.0, abs=1e-3)
-
-
-def _end_cost(m, text):
-    """Cost of the end mark alone after ``text``, with the weights as they start."""
-    z = np.zeros(6)
-    data = np.frombuffer(bytes(mixlm.LEAD) + text + b"\0", np.uint8)
-    slots = [*mixlm.contexts(data), mixlm.word_slots(data, mixlm.PREDICTORS[-1][1])]
-    for k, slot in enumerate(slots):
-        z += 0.36 * m.tables[k].reshape(-1, 64)[slot[-1]][mixlm.NODE[:, mixlm.ESCAPE]] / mixlm.SCALE
-    return float(np.log1p(np.exp(-z * mixlm.SIGN[:, mixlm.ESCAPE])).sum() + m.escape_cost[0])
-
-
-def test_word_slots_follow_the_word():
-    data = np.frombuffer(bytes(mixlm.LEAD) + b"cat dog cat do", np.uint8)
-    s = mixlm.word_slots(data, 16)
-    assert (s[0:4] == s[8:12]).all() and (s[4:6] == s[12:14]).all() and s[1] != s[5]
-
-
 # 10
 
 
