@@ -1,15 +1,15 @@
 """Language-model scores by online logistic mixing of hashed-context bit predictors.
 
-Every byte is coded as eight binary decisions. Predictors look a decision up under the last one to five
-bytes, and under a hash of the word so far. Their counts of (predictor, context, byte) are gathered from
+Every byte is coded as eight binary decisions. Predictors look a decision up under the last one to LONGEST
+bytes. Their counts of (predictor, context, byte) are gathered from
 every training document and grow with the corpus: texts are dealt into blocks, the distinct cells of a block
-go to shards by context, each shard adds the counts of all blocks and answers each block with the logits of
+go to shards by a hash of the context, each shard adds the counts of all blocks and answers each block with the logits of
 the cells that it touches, and no task or driver holds the whole table.
 
 Two layers mix the logits. The weights of the first are gated by the decision's place and the longest context
 that knows it; they are learned online, in text order, on the training texts of a fixed share
 (1 in TUNED_PARTS, so the share grows with the corpus), from counts that leave these texts out, and averaged
-over the blocks. The second layer mixes three groups of predictors (long contexts, short contexts, word); its
+over the blocks. The second layer mixes three groups of predictors (the longest, the next, all shorter); its
 weights start at one for every text and are refined online, a STEP of bytes at a time, from the bytes before.
 The total of -log2 over all decisions and an end mark (a byte that no UTF-8 text has) is the text's size in bits.
 
@@ -24,7 +24,7 @@ block of its own and is read in slices of SLICE bytes; other columns are ignored
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,20 +34,18 @@ from pyspark.sql import functions as F
 
 from lodestar.llm.common import materialize
 
-#: Longest context in bytes, and the tag of the word predictor; the tag of a context of bytes is its length.
-LONGEST, WORD = 5, 6
-#: Bytes before a slice that its contexts can see; a word's hash sees WORD_BYTES at most.
-LEAD, WORD_BYTES = 64, 48
+#: Longest context in bytes; a key is tagged with its context's length.
+LONGEST = 5
 END = b"\xff"
 #: Logits are kept as whole parts of 1/SCALE; a byte is PLACES decisions.
 SCALE, PLACES, PRIOR, CLIP = 15.0, 8, 0.1, 8.0
 #: Positions at once: of an online step, of a slice (all texts together), of the counting of keys.
-STEP, SLICE, COUNTED_AT_ONCE, TEXTS_AT_ONCE = 128, 1 << 18, 1 << 19, 64
+STEP, SLICE, COUNTED_AT_ONCE, TEXTS_AT_ONCE = 128, 1 << 18, 1 << 19, 32
 #: Bytes of texts that are scored together, and for each of which there is one shard of the cells.
 BLOCK_BYTES, SHARD_BYTES = 16 << 20, 4 << 20
 #: One in TUNED_PARTS training texts teaches the first layer's weights; steps of both layers.
 TUNED_PARTS, FIRST_RATE, SECOND_RATE, START = 16, 0.08, 0.01, 0.3
-HOT_TOKENS, TOKENS_AT_ONCE = 150_000, 200_000
+HOT_TOKENS, TOKENS_AT_ONCE = 150_000, 400_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _8 = np.uint64(8)
@@ -57,45 +55,20 @@ def fold(parts: int):
     return F.crc32(F.col("doc_id").cast("string")) % parts
 
 
-def _powers(n: int, base: int = 0x9E3779B97F4A7C55) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base modulo 2^64 and their inverses."""
-    both = [np.full(n, x, np.uint64) for x in (base, pow(base, -1, 1 << 64))]
-    for x in both:
-        x[0] = 1
-        np.multiply.accumulate(x, out=x)
-    return both[0], both[1]
-
-
-def byte_keys(data: np.ndarray, lead: int) -> np.ndarray:
-    """Key of the order-LONGEST cell of each byte after the first ``lead`` of the last axis.
+def byte_keys(data: np.ndarray) -> np.ndarray:
+    """Key of the cell under the longest context of each byte after the first LONGEST of the last axis.
 
     From the top: the byte before, the one before that, and so on, then the byte itself; contexts that end
     alike are neighbours in the order of the keys.
     """
     wide = data.astype(np.uint64)
-    n = data.shape[-1] - lead
-    key = wide[..., lead:].copy()
+    n = data.shape[-1] - LONGEST
+    key = wide[..., LONGEST:].copy()
     for j in range(1, LONGEST + 1):
-        key |= wide[..., lead - j:lead - j + n] << np.uint64(8 * (LONGEST + 1 - j))
+        key |= wide[..., LONGEST - j:LONGEST - j + n] << np.uint64(8 * (LONGEST + 1 - j))
     return key
 
 
-def word_keys(data: np.ndarray, lead: int) -> np.ndarray:
-    """Key of the word cell of each byte after the first ``lead``: 40 bits of a hash of the word so far, and the byte.
-
-    Prefix sums of byte times a power of an odd base give the hash from every word's start in whole-array steps.
-    """
-    wide = data.astype(np.uint64)
-    n = data.shape[-1]
-    powers, inverse = _powers(n)
-    sums = np.cumsum((wide + np.uint64(1)) * powers, axis=-1, dtype=np.uint64)
-    places = np.arange(n, dtype=np.int32)
-    start = np.maximum(np.maximum.accumulate(np.where(data <= 32, places, 0), axis=-1), places - WORD_BYTES)[..., lead - 1:-1]
-    hashed = (sums[..., lead - 1:-1] - np.take_along_axis(sums, start.astype(np.int64), axis=-1)) * inverse[start]
-    hashed ^= hashed >> np.uint64(29)
-    return (hashed * _MIX >> np.uint64(24)) << _8 | wide[..., lead:] | np.uint64(WORD << 56)
-
-
 def shorter(keys: np.ndarray, order: int) -> np.ndarray:
     """Tagged keys of the cells of ``order`` that untagged keys of order LONGEST lie in."""
     return keys >> np.uint64(8 * (LONGEST + 1 - order)) << _8 | keys & np.uint64(255) | np.uint64(order << 56)
@@ -143,7 +116,7 @@ def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
     """Shard of a key's context. Few shards share contexts by their last bytes, so that their keys pack well."""
     kept = 2 if shards <= 32 else 3 if shards <= 256 else LONGEST
     tag = keys >> np.uint64(56)
-    dropped = np.where(tag <= LONGEST, np.maximum(tag.astype(np.int64) - kept, 0), 0).astype(np.uint64)
+    dropped = np.maximum(tag.astype(np.int64) - kept, 0).astype(np.uint64)
     context = (keys & np.uint64((1 << 56) - 1)) >> _8 + _8 * dropped
     return ((context ^ tag << np.uint64(50)) * _MIX >> np.uint64(33)) % np.uint64(shards)
 
@@ -156,18 +129,17 @@ class Block:
     """The cells of texts that are scored together: keys, and their counts in training and in tuning texts."""
 
     def __init__(self) -> None:
-        self.held: dict[int, list[tuple[int, bytes]]] = {TUNED: [], COUNTED: [], OTHER: []}  # each with the bytes of its lead
+        self.held: dict[int, list[bytes]] = {TUNED: [], COUNTED: [], OTHER: []}  # each text piece after its lead
         self.waiting = dict.fromkeys(self.held, 0)
-        self.parts: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {LONGEST: [], WORD: []}
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
         self.size = 0
 
     def add(self, raw: bytes, kind: int) -> None:
-        whole = raw + END
-        self.size += len(whole)
-        for at in range(0, len(whole), SLICE):
-            lead = whole[at - LEAD:at] if at else bytes(LONGEST)
-            self.held[kind].append((len(lead), lead + whole[at:at + SLICE]))
-            self.waiting[kind] += len(self.held[kind][-1][1])
+        whole = bytes(LONGEST) + raw + END
+        self.size += len(raw) + 1
+        for at in range(0, len(whole) - LONGEST, SLICE):
+            self.held[kind].append(whole[at:at + LONGEST + SLICE])
+            self.waiting[kind] += len(self.held[kind][-1])
             if self.waiting[kind] > COUNTED_AT_ONCE:
                 self._count(kind)
 
@@ -175,43 +147,37 @@ class Block:
         held = self.held[kind]
         if not held:
             return
-        data = np.frombuffer(b"".join(x for _, x in held), np.uint8)
-        real, at = np.ones(len(data), bool), 0
-        for lead, x in held:  # the lead is no part of a text
-            real[at:at + lead] = False
-            at += len(x)
-        for tag, keys in ((LONGEST, byte_keys(data, LONGEST)), (WORD, word_keys(data, LONGEST))):
-            found, n = np.unique(keys[real[LONGEST:]], return_counts=True)
-            n = n.astype(np.uint32)
-            self.parts[tag].append((found, np.stack([n if kind else 0 * n, n if kind == TUNED else 0 * n], axis=1)))
-            if len(self.parts[tag]) > 8 and sum(len(p[0]) for p in self.parts[tag][1:]) > len(self.parts[tag][0]):
-                self._merge(tag)
+        keys = byte_keys(np.frombuffer(b"".join(held), np.uint8))
+        real = np.ones(len(keys), bool)
+        ends = np.cumsum([len(x) for x in held])[:-1]
+        for j in range(LONGEST):  # the lead is no part of a text
+            real[ends - LONGEST + j] = False
+        found, n = np.unique(keys[real], return_counts=True)
+        n = n.astype(np.uint32)
+        self.parts.append((found, np.stack([n if kind else 0 * n, n if kind == TUNED else 0 * n], axis=1)))
+        if len(self.parts) > 8 and sum(len(p[0]) for p in self.parts[1:]) > len(self.parts[0][0]):
+            self._merge()
         self.held[kind], self.waiting[kind] = [], 0
 
-    def _merge(self, tag: int) -> None:
-        parts = self.parts[tag]
-        if len(parts) > 1:
-            self.parts[tag] = [_sum_by(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))]
+    def _merge(self) -> None:
+        if len(self.parts) > 1:
+            self.parts = [_sum_by(np.concatenate([p[0] for p in self.parts]), np.concatenate([p[1] for p in self.parts]))]
 
     def cells(self, shards: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(shard, tagged keys in order, counts) of the block."""
         for kind in self.held:
             self._count(kind)
-        found = []
-        for tag in (LONGEST, WORD):
-            self._merge(tag)
-            if self.parts[tag]:
-                keys, n = self.parts[tag][0]
-                found += [_sum_by(shorter(keys, o), n) for o in range(1, LONGEST + 1)] if tag == LONGEST else [(keys, n)]
-            self.parts[tag] = []
-        if found:
+        self._merge()
+        if self.parts:
+            found = [_sum_by(shorter(self.parts[0][0], o), self.parts[0][1]) for o in range(1, LONGEST + 1)]
+            self.parts = []
             keys, n = np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
             to = shard_of(keys, shards)
-            order = np.lexsort((keys, to))
-            keys, n, to = keys[order], n[order], to[order]
+            order = np.argsort(to, kind="stable")
+            keys, n, to = keys[order], n[order].astype(np.uint32), to[order]
             cuts = np.append(np.flatnonzero(np.append(True, to[1:] != to[:-1])), len(to))
             for i, j in zip(cuts[:-1], cuts[1:]):
-                yield int(to[i]), keys[i:j], n[i:j].astype(np.uint32)
+                yield int(to[i]), keys[i:j], n[i:j]
 
 
 def path_logits(keys: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -252,38 +218,36 @@ def _answer(table: pa.Table) -> pa.Table:
 class Cells:
     """The cells of one block with their logits, as both layers need them."""
 
-    def __init__(self, texts: Iterable[bytes], answers: pa.Table, column: str, shards: int) -> None:
-        """Each answer has the logits of the block's keys of one shard in order; the keys are found from the texts again."""
-        block = Block()
-        for text in texts:
-            block.add(text, COUNTED)
-        packed = dict(zip(answers.column("shard").to_pylist(), answers.column(column).to_pylist()))
-        found = [(keys, unpack_logits(packed[shard])) for shard, keys, _ in block.cells(shards)]
+    def __init__(self, own: pa.Table, answers: pa.Table, tuned: bool) -> None:
+        """The block's keys of each shard meet the shard's answer, which has their logits in order."""
+        packed = dict(zip(answers.column("shard").to_pylist(), answers.column("tuned" if tuned else "logits").to_pylist()))
+        found = []
+        for shard, raw, counts in zip(*(own.column(x).to_pylist() for x in ("shard", "keys", "counts"))):
+            if shard is not None:
+                keys = unpack_keys(raw)
+                found.append((keys[_unpack(counts, np.uint32, 2)[:, 1] > 0] if tuned else keys, unpack_logits(packed[shard])))
         keys, logits = np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
         order = np.argsort(keys)
         keys, logits = keys[order], logits[order]
-        cut = np.searchsorted(keys, np.arange(1, WORD + 2, dtype=np.uint64) << np.uint64(56))
+        cut = np.searchsorted(keys, np.arange(1, LONGEST + 2, dtype=np.uint64) << np.uint64(56))
         by_tag = [(keys[i:j], logits[i:j]) for i, j in zip(cut[:-1], cut[1:])]
-        self.words, self.word_logits = by_tag[WORD - 1]
-        longest = by_tag[LONGEST - 1][0] & np.uint64((1 << 56) - 1)
-        self.keys = longest
-        self.logits = np.stack([v[np.searchsorted(k, shorter(longest, o + 1))] for o, (k, v) in enumerate(by_tag[:LONGEST])], axis=1)
+        #: Cells under the longest context, in order, and by cell, context and place the logits of all its contexts.
+        self.keys = by_tag[LONGEST - 1][0] & np.uint64((1 << 56) - 1)
+        self.logits = np.stack([v[np.searchsorted(k, shorter(self.keys, o + 1))] for o, (k, v) in enumerate(by_tag)], axis=1)
         #: By cell and place: the longest context that knows the decision, 0 if none does.
         self.gates = ((self.logits != 0) * np.arange(1, LONGEST + 1, dtype=np.uint8)[None, :, None]).max(axis=1)
 
-    def find(self, data: np.ndarray, lead: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places of the byte cells and of the word cells of the bytes after the first ``lead``."""
-        found = []
-        for table, keys in ((self.keys, byte_keys(data, lead)), (self.words, word_keys(data, lead))):
-            distinct, back = np.unique(keys.reshape(-1), return_inverse=True)
-            at = np.minimum(np.searchsorted(table, distinct), len(table) - 1).astype(np.int32)
-            found.append(at[back].reshape(keys.shape))
-        return found[0], found[1]
+    def find(self, data: np.ndarray) -> np.ndarray:
+        """Places of the cells of the bytes after the first LONGEST of the last axis."""
+        keys = byte_keys(data)
+        distinct, back = np.unique(keys.reshape(-1), return_inverse=True)
+        at = np.minimum(np.searchsorted(self.keys, distinct), len(self.keys) - 1).astype(np.int32)
+        return at[back].reshape(keys.shape)
 
 
 def flat_weights() -> np.ndarray:
-    """First-layer weights before learning, by gate, place and predictor (the word predictor last)."""
-    return np.full((LONGEST + 1, PLACES, LONGEST + 1), START, np.float32)
+    """First-layer weights before learning, by gate, place and length of the context."""
+    return np.full((LONGEST + 1, PLACES, LONGEST), START, np.float32)
 
 
 def tune(texts: list[bytes], cells: Cells) -> tuple[np.ndarray, np.ndarray]:
@@ -292,16 +256,14 @@ def tune(texts: list[bytes], cells: Cells) -> tuple[np.ndarray, np.ndarray]:
     scale = np.full(weights.shape, 1.0, np.float32)  # sums of squared steps, as in AdaGrad
     place = np.arange(PLACES)
     for text in texts:
-        whole = text + END
-        for at in range(0, len(whole), 2048):
-            lead = whole[max(0, at - LEAD):at].rjust(LEAD, b"\0")
-            a, b = cells.find(np.frombuffer(lead + whole[at:at + 2048], np.uint8), LEAD)
-            x = np.concatenate([cells.logits[a], cells.word_logits[b][:, None]], axis=1).transpose(0, 2, 1) * np.float32(1 / SCALE)
-            gate = cells.gates[a]
-            w = weights[gate, place]
-            wrong = 1 / (1 + np.exp(np.clip((w * x).sum(axis=2), -30, 30)))
+        whole = bytes(LONGEST) + text + END
+        for at in range(0, len(whole) - LONGEST, 2048):
+            cell = cells.find(np.frombuffer(whole[at:at + LONGEST + 2048], np.uint8))
+            x = cells.logits[cell].transpose(0, 2, 1) * np.float32(1 / SCALE)
+            gate = cells.gates[cell]
+            wrong = 1 / (1 + np.exp(np.clip((weights[gate, place] * x).sum(axis=2), -30, 30)))
             index = (gate.astype(np.intp) * PLACES + place).reshape(-1)
-            step = np.stack([np.bincount(index, (wrong * x[:, :, k]).reshape(-1), seen.size) for k in range(LONGEST + 1)], axis=1).reshape(weights.shape)
+            step = np.stack([np.bincount(index, (wrong * x[:, :, k]).reshape(-1), seen.size) for k in range(LONGEST)], axis=1).reshape(weights.shape)
             seen += np.bincount(index, minlength=seen.size).reshape(seen.shape)
             scale += (step * step).astype(np.float32)
             weights += (FIRST_RATE * step / np.sqrt(scale)).astype(np.float32)
@@ -316,10 +278,9 @@ class Mixer:
         parts = []
         for at in range(0, len(cells.keys), 1 << 16):
             x = cells.logits[at:at + (1 << 16)].transpose(0, 2, 1).astype(np.float32) * np.float32(1 / SCALE)
-            w = weights[cells.gates[at:at + (1 << 16)], np.arange(PLACES)]
-            terms = w[:, :, :LONGEST] * x
-            parts.append(np.concatenate([terms[:, :, 3:].sum(axis=2), terms[:, :, :3].sum(axis=2), w[:, :, LONGEST] * np.float32(1 / SCALE)], axis=1))
-        #: By byte cell: terms of the contexts of 4 and 5 bytes, of those of 1 to 3, and the word's weights, by place.
+            x *= weights[cells.gates[at:at + (1 << 16)], np.arange(PLACES)]
+            parts.append(np.concatenate([x[:, :, -1], x[:, :, -2], x[:, :, :-2].sum(axis=2)], axis=1))
+        #: By cell: terms of the longest context, the next and all shorter ones, by place.
         self.terms = np.concatenate(parts)
 
     def costs(self, texts: list[bytes]) -> np.ndarray:
@@ -337,30 +298,32 @@ class Mixer:
         """Texts come longest first. A text of more than SLICE bytes is alone and passes through slice by slice."""
         lengths = np.array([len(t) for t in texts])
         total = np.zeros(len(texts))
-        second = np.ones((3, len(texts), 1, PLACES), np.float32)
+        second = np.ones((len(texts), 3, PLACES), np.float32)
         for at in range(0, int(lengths[0]), SLICE):
             alive = int(np.count_nonzero(lengths > at))
             wide = min(SLICE, int(lengths[0]) - at)
-            data = np.zeros((alive, LEAD + wide), np.uint8)
+            data = np.zeros((alive, LONGEST + wide), np.uint8)
             for row, text in zip(data, texts):
-                piece = text[max(0, at - LEAD):at + wide]
-                row[LEAD - min(at, LEAD):LEAD - min(at, LEAD) + len(piece)] = np.frombuffer(piece, np.uint8)
-            a, b = self.cells.find(data, LEAD)
+                piece = text[max(0, at - LONGEST):at + wide]
+                skip = 0 if at else LONGEST
+                row[skip:skip + len(piece)] = np.frombuffer(piece, np.uint8)
+            cell = self.cells.find(data)
             for start in range(0, wide, STEP):
                 n = int(np.count_nonzero(lengths > at + start))
                 real = (np.arange(at + start, min(at + start + STEP, at + wide)) < lengths[:n, None])[..., None]
-                terms = self.terms.take(a[:n, start:start + STEP], axis=0)
-                x = [terms[..., :PLACES], terms[..., PLACES:2 * PLACES], terms[..., 2 * PLACES:] * self.cells.word_logits.take(b[:n, start:start + STEP], axis=0)]
-                z = x[0] * second[0, :n]
-                z += x[1] * second[1, :n]
-                z += x[2] * second[2, :n]
+                x = self.terms.take(cell[:n, start:start + STEP], axis=0)
+                x *= real
+                part = x.reshape(*x.shape[:2], 3, PLACES)
+                z = np.einsum("tikp,tkp->tip", part, second[:n])
                 np.clip(z, -30, 30, out=z)
-                e = np.exp(z)
-                wrong = 1 / (1 + e)
-                wrong *= real
-                total[:n] += (np.log1p(np.exp(-z)) * real).sum(axis=(1, 2))
-                for k in range(3):
-                    second[k, :n, 0] += SECOND_RATE * np.einsum("tip,tip->tp", wrong, x[k])
+                np.negative(z, out=z)
+                e = np.exp(z, out=z)
+                e += 1.0
+                wrong = 1.0 - 1.0 / e
+                nats = np.log(e, out=e)
+                nats *= real
+                total[:n] += nats.sum(axis=(1, 2))
+                second[:n] += SECOND_RATE * np.einsum("tip,tikp->tkp", wrong, part)
         return total
 
 
@@ -374,24 +337,25 @@ def _pack_table(table: pa.Table) -> bytes:
 def _texts(own: pa.Table) -> Iterator[pa.Table]:
     """The packed tables of texts of one block, in order."""
     for raw in own.column("pack").to_pylist():
-        yield pa.ipc.open_stream(raw).read_all()
+        if raw is not None:
+            yield pa.ipc.open_stream(raw).read_all()
 
 
-_GATHERED = "block long, pack binary, tuned boolean, token string, n long, shard long, keys binary, counts binary"
+_GATHERED = "block long, pack binary, tuned boolean, shard long, keys binary, counts binary"
 
 
 def gather(rows: DataFrame, shards: int) -> DataFrame:
-    """One pass over all texts: (token, n) counts of training words, packs of texts by block, and cells by block and shard.
+    """One pass over all texts: packs of texts by block, and cells by block and shard.
 
     A block is up to BLOCK_BYTES of the texts of one task, a pack up to 1,000 of its texts or 1 MB and more by
     one text at most; packs of tuning texts alone come beside them.
     """
     names = [x.split()[0] for x in _GATHERED.split(", ")]
-    types = {"block": pa.int64(), "pack": pa.binary(), "tuned": pa.bool_(), "token": pa.string(), "n": pa.int64(), "shard": pa.int64(), "keys": pa.binary(), "counts": pa.binary()}
+    types = {"block": pa.int64(), "pack": pa.binary(), "tuned": pa.bool_(), "shard": pa.int64(), "keys": pa.binary(), "counts": pa.binary()}
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uid = TaskContext.get().partitionId() << 33
-        number, block, words = TaskContext.get().partitionId() << 24, Block(), Counter()
+        number, block = TaskContext.get().partitionId() << 24, Block()
 
         def rows_of(size: int, **given) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(given[x], types[x]) if x in given else pa.nulls(size, types[x]) for x in names], names=names)
@@ -405,11 +369,6 @@ def gather(rows: DataFrame, shards: int) -> DataFrame:
             if any(tuned):
                 yield rows_of(1, block=[number], pack=[_pack_table(part.filter(pa.array(tuned)))], tuned=[True])
 
-        def counted(least: int) -> Iterator[pa.RecordBatch]:
-            if len(words) > least:
-                yield rows_of(len(words), token=[w.decode() for w in words], n=list(words.values()))
-                words.clear()
-
         for batch in batches:
             texts, kinds = batch.column(1), batch.column(3).to_pylist()
             start, size = 0, 0
@@ -424,13 +383,9 @@ def gather(rows: DataFrame, shards: int) -> DataFrame:
                         number, block = number + 1, Block()
                 block.add(raw, kind)
                 size += len(raw)
-                if kind != OTHER:
-                    words.update(raw.lower().split())
-                    yield from counted(TOKENS_AT_ONCE)
             if len(kinds) > start:
                 yield from packs(_numbered(batch, start, len(kinds), uid), [k == TUNED for k in kinds[start:]])
             uid += len(kinds)
-        yield from counted(0)
         yield from finish()
 
     return rows.mapInArrow(cut, _GATHERED)
@@ -442,7 +397,28 @@ def _numbered(batch: pa.RecordBatch, start: int, stop: int, uid: int) -> pa.Tabl
     return pa.table([part.column(0), texts, part.column(2), pa.array(range(uid + start, uid + stop), pa.int64())], names=["doc_id", "text", "held_out", "uid"])
 
 
-def _learn_weights(tuned: DataFrame, answers: DataFrame, shards: int) -> np.ndarray:
+def count_words(texts: DataFrame) -> DataFrame:
+    """(token, c): how often each word occurs; a task adds up to TOKENS_AT_ONCE words before it sends them."""
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: Counter[bytes] = Counter()
+
+        def sent() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array([w.decode() for w in words], pa.string()), pa.array(list(words.values()), pa.int64())], names=["token", "n"])
+            words.clear()
+            return batch
+
+        for batch in batches:
+            for text in batch.column(0):
+                words.update((text.as_py() or "").encode().lower().split())
+                if len(words) > TOKENS_AT_ONCE:
+                    yield sent()
+        yield sent()
+
+    return texts.select("text").mapInArrow(tally, "token string, n long").groupBy("token").agg(F.sum("n").alias("c"))
+
+
+def _learn_weights(tuned: DataFrame, answers: DataFrame) -> np.ndarray:
     """First-layer weights of every block's tuning texts, averaged by the decisions seen."""
     flat = flat_weights()
 
@@ -450,7 +426,7 @@ def _learn_weights(tuned: DataFrame, answers: DataFrame, shards: int) -> np.ndar
         texts = [x.as_py().encode() for part in _texts(own) for x in part.column("text")]
         if not texts:
             return pa.table({"w": pa.array([], pa.list_(pa.float64())), "seen": pa.array([], pa.list_(pa.float64()))})
-        weights, seen = tune(texts, Cells(texts, cells, "tuned", shards))
+        weights, seen = tune(texts, Cells(own, cells, True))
         return pa.table({"w": pa.array([(weights * seen[:, :, None]).reshape(-1).tolist()], pa.list_(pa.float64())), "seen": pa.array([seen.reshape(-1).tolist()], pa.list_(pa.float64()))})
 
     found = tuned.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, "w array<double>, seen array<double>")
@@ -488,7 +464,7 @@ def score_texts(docs: DataFrame, held_out=None) -> DataFrame:
     # Blocks near BLOCK_BYTES share most cells among their texts; small inputs are still spread over the cores.
     tasks = max(1 + int(size["bytes"]) // BLOCK_BYTES, min(spark.sparkContext.defaultParallelism, 1 + int(size["bytes"]) // (BLOCK_BYTES >> 2)))
     gathered = materialize(gather(rows.coalesce(tasks), shards), "gathered")
-    counts = materialize(gathered.filter("token IS NOT NULL").groupBy("token").agg(F.sum("n").alias("c")), "words")
+    counts = materialize(count_words(rows.filter("NOT held_out").coalesce(tasks)), "words")
     cells = gathered.filter("shard IS NOT NULL").select("shard", "block", "keys", "counts")
     answers = materialize(cells.groupBy("shard").applyInArrow(_answer, "block long, shard long, logits binary, tuned binary"), "answers")
     words = counts.agg(F.count("*").alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n")).first()
@@ -497,16 +473,15 @@ def score_texts(docs: DataFrame, held_out=None) -> DataFrame:
     top = counts.filter(F.col("c") >= _hot_count(counts)).toArrow()
     hot = dict(zip((w.encode() for w in top.column("token").to_pylist()), np.log10(top.column("c").to_numpy() + 0.1).tolist()))
     end = float(np.log10(texts + 0.1))
-    packs = gathered.filter("pack IS NOT NULL").select("block", "pack", "tuned")
-    weights = _learn_weights(packs.filter("tuned"), answers.select("block", "shard", "tuned"), shards)
+    parts = ["block", "pack", "shard", "keys", "counts"]
+    weights = _learn_weights(gathered.filter("tuned OR shard IS NOT NULL").select(parts), answers.select("block", "shard", "tuned"))
     shared = spark.sparkContext.broadcast(hot)
     kind = dict(docs.dtypes)["doc_id"]
     names = ["doc_id", *(x.split()[0] for x in _SCORED.split(", "))]
 
     def scan(own: pa.Table, cells: pa.Table) -> pa.Table:
         known = shared.value
-        every = (x.as_py().encode() for part in _texts(own) for x in part.column("text"))
-        mixer = Mixer(Cells(every, cells, "logits", shards), weights)
+        mixer = Mixer(Cells(own, cells, False), weights)
         parts = []
         for table in _texts(own):
             raw = [x.encode() for x in table.column("text").to_pylist()]
@@ -527,7 +502,7 @@ def score_texts(docs: DataFrame, held_out=None) -> DataFrame:
             parts.append(pa.table([table.column("doc_id"), table.column("held_out"), table.column("uid"), *arrays], names=names))
         return pa.concat_tables(parts)
 
-    owned = packs.filter("NOT tuned").select("block", "pack")
+    owned = gathered.filter("NOT coalesce(tuned, false)").select(parts)
     scored = materialize(owned.groupBy("block").cogroup(answers.select("block", "shard", "logits").groupBy("block")).applyInArrow(scan, f"doc_id {kind}, {_SCORED}"), "scored")
     shared.unpersist()
     rare = scored.select("uid", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("uid", F.col("x.rare").alias("token"), F.col("x.times").alias("times"))

@@ -17,10 +17,9 @@ OTHER = ["the cat 12345", "где кот", "漢字 f(x)", "", "a\0b", "x" * 130
 
 
 def _contexts(text):
-    data = bytes(64) + text.encode() + mixlm.END
-    for i in range(64, len(data)):
-        start = max([j + 1 for j in range(i) if data[j] <= 32] + [i - mixlm.WORD_BYTES])
-        yield [*(("bytes", data[i - o:i]) for o in range(1, 6)), ("word", data[start:i])]
+    data = bytes(5) + text.encode() + mixlm.END
+    for i in range(5, len(data)):
+        yield [data[i - o:i] for o in range(1, 6)]
 
 
 def _logit(counts, byte, place):
@@ -42,7 +41,7 @@ def _cost(text, table, weights):
             x = np.array([_logit(table[c], byte, place) for c in found])
             gate = max((o for o in range(1, 6) if x[o - 1] != 0), default=0)
             terms = weights[gate, place] * x
-            s = np.array([terms[3:5].sum(), terms[:3].sum(), terms[5]])
+            s = np.array([terms[4], terms[3], terms[:3].sum()])
             z = second[:, place] @ s
             total += np.log1p(np.exp(-z))
             change[:, place] += s / (1 + np.exp(z))
@@ -70,11 +69,11 @@ def _model(texts, kinds, scored):
     block = mixlm.Block()
     for t, k in zip(texts, kinds):
         block.add(t, k)
-    rows = [(s, mixlm.pack_keys(k), mixlm._pack(n)) for s, k, n in block.cells(3)]
-    answers = pa.concat_tables([mixlm._answer(pa.table({"block": pa.array([0]), "shard": pa.array([s]), "keys": pa.array([k], pa.binary()), "counts": pa.array([n], pa.binary())})) for s, k, n in rows])
-    tuned = [t for t, k in zip(texts, kinds) if k == mixlm.TUNED]
-    weights, seen = mixlm.tune(tuned, mixlm.Cells(tuned, answers, "tuned", 3))
-    return mixlm.Mixer(mixlm.Cells(texts, answers, "logits", 3), np.where(seen[:, :, None] > 0, weights, mixlm.flat_weights()))
+    rows = [(0, s, mixlm.pack_keys(k), mixlm._pack(n)) for s, k, n in block.cells(3)]
+    own = pa.table([pa.array(x, y) for x, y in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["block", "shard", "keys", "counts"])
+    answers = pa.concat_tables([mixlm._answer(own.slice(i, 1)) for i in range(own.num_rows)])
+    weights, seen = mixlm.tune([t for t, k in zip(texts, kinds) if k == mixlm.TUNED], mixlm.Cells(own, answers, True))
+    return mixlm.Mixer(mixlm.Cells(own, answers, False), np.where(seen[:, :, None] > 0, weights, mixlm.flat_weights()))
 
 
 def test_next_bytes_sum_to_one():
@@ -83,10 +82,8 @@ def test_next_bytes_sum_to_one():
     texts = [t.encode() for t in TRAIN * 4] + [b"the ca"] + ends
     kinds = [mixlm.TUNED if i % 5 == 2 else mixlm.COUNTED for i in range(4 * len(TRAIN))] + [mixlm.OTHER] * (len(ends) + 1)
     m = _model(texts, kinds, ends)
-    data = np.array([list(bytes(64) + t) for t in ends], np.uint8)
-    a, b = (x[:, -1] for x in m.cells.find(data, 64))
-    terms = m.terms[a]
-    z = terms[:, :8] + terms[:, 8:16] + terms[:, 16:] * m.cells.word_logits[b]
+    data = np.array([list(bytes(5) + t) for t in ends], np.uint8)
+    z = m.terms[m.cells.find(data)[:, -1]].reshape(-1, 3, 8).sum(axis=1)
     assert np.exp(-np.log1p(np.exp(-z)).sum(axis=1)).sum() == pytest.approx(1.0, abs=1e-4)
 
 
@@ -120,16 +117,10 @@ def test_better_than_counts_of_three_bytes(spark):
 def test_contexts_grow_with_the_corpus():
     """Different contexts of five bytes share no cell, however many there are."""
     text = np.random.default_rng(3).integers(97, 123, 300_000).astype(np.uint8).tobytes()
-    keys = mixlm.byte_keys(np.frombuffer(text, np.uint8), 5)
+    keys = mixlm.byte_keys(np.frombuffer(text, np.uint8))
     assert len(np.unique(keys >> np.uint64(8))) == len({text[i:i + 5] for i in range(len(text) - 5)}) > 4 << 16
 
 
-def test_word_keys_follow_the_word():
-    data = np.frombuffer(bytes(5) + b"cat dog cat do", np.uint8)
-    s = mixlm.word_keys(data, 5) >> np.uint64(8)
-    assert (s[0:4] == s[8:12]).all() and (s[4:6] == s[12:14]).all() and s[1] != s[5]
-
-
 def test_slices_change_nothing(monkeypatch):
     """A long text that passes through in slices costs what it costs at once."""
     texts = [re.sub("x", "y", "the cat sat on thematwithalongword " * 60).encode(), b"the cat", "где кот ".encode() * 90]
