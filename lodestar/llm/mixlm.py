@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,13 +39,13 @@ from lodestar.llm.common import materialize
 LONGEST = 5
 END = b"\xff"
 #: Logits are kept as whole parts of 1/SCALE; a byte is PLACES decisions.
-SCALE, PLACES, PRIOR, CLIP = 15.0, 8, 0.1, 8.0
-#: Positions at once: of an online step, of a slice (all texts together), of the counting of keys.
+SCALE, FINE, PLACES, PRIOR, CLIP = 15.0, 16.0, 8, 0.1, 8.0
+#: Positions at once: of an online step (a power of two), of a slice (all texts together), of the counting of keys.
 STEP, SLICE, COUNTED_AT_ONCE, TEXTS_AT_ONCE = 128, 1 << 18, 1 << 19, 32
 #: Bytes of texts that are scored together, and for each of which there is one shard of the cells.
-BLOCK_BYTES, SHARD_BYTES = 16 << 20, 4 << 20
+BLOCK_BYTES, SHARD_BYTES = 8 << 20, 4 << 20
 #: One in TUNED_PARTS training texts teaches the first layer's weights; steps of both layers.
-TUNED_PARTS, FIRST_RATE, SECOND_RATE, START = 16, 0.08, 0.01, 0.3
+TUNED_PARTS, FIRST_RATE, SECOND_RATE, START = 32, 0.08, 0.01, 0.3
 HOT_TOKENS, TOKENS_AT_ONCE = 150_000, 400_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -237,12 +238,20 @@ class Cells:
         #: By cell and place: the longest context that knows the decision, 0 if none does.
         self.gates = ((self.logits != 0) * np.arange(1, LONGEST + 1, dtype=np.uint8)[None, :, None]).max(axis=1)
 
+        #: A hash table of the cells' places; where cells collide one stays, and the others are found by bisection.
+        self.shift = np.uint64(64 - min(22, len(self.keys).bit_length() + 2))
+        self.slots = np.zeros(1 << 64 - int(self.shift), np.int32)
+        self.slots[(self.keys * _MIX >> self.shift).astype(np.intp)] = np.arange(len(self.keys), dtype=np.int32)
+
     def find(self, data: np.ndarray) -> np.ndarray:
         """Places of the cells of the bytes after the first LONGEST of the last axis."""
         keys = byte_keys(data)
-        distinct, back = np.unique(keys.reshape(-1), return_inverse=True)
-        at = np.minimum(np.searchsorted(self.keys, distinct), len(self.keys) - 1).astype(np.int32)
-        return at[back].reshape(keys.shape)
+        flat = keys.reshape(-1)
+        at = self.slots.take((flat * _MIX >> self.shift).astype(np.intp))
+        missed = np.flatnonzero(self.keys.take(at) != flat)
+        distinct, back = np.unique(flat[missed], return_inverse=True)
+        at[missed] = np.minimum(np.searchsorted(self.keys, distinct), len(self.keys) - 1).astype(np.int32)[back]
+        return at.reshape(keys.shape)
 
 
 def flat_weights() -> np.ndarray:
@@ -275,13 +284,17 @@ class Mixer:
 
     def __init__(self, cells: Cells, weights: np.ndarray) -> None:
         self.cells = cells
-        parts = []
-        for at in range(0, len(cells.keys), 1 << 16):
-            x = cells.logits[at:at + (1 << 16)].transpose(0, 2, 1).astype(np.float32) * np.float32(1 / SCALE)
-            x *= weights[cells.gates[at:at + (1 << 16)], np.arange(PLACES)]
-            parts.append(np.concatenate([x[:, :, -1], x[:, :, -2], x[:, :, :-2].sum(axis=2)], axis=1))
-        #: By cell: terms of the longest context, the next and all shorter ones, by place.
-        self.terms = np.concatenate(parts)
+        n = len(cells.keys)
+        #: By cell: terms of the longest context, the next and all shorter ones, as PLACES whole parts of 1/FINE in
+        #: the bytes of one number; the last row stands for no byte.
+        self.terms = np.zeros((3, n + 1, PLACES), np.int8)
+        for at in range(0, n, 1 << 15):
+            to = min(n, at + (1 << 15))
+            x = cells.logits[at:to].transpose(0, 2, 1) * np.float32(FINE / SCALE)
+            x *= weights[cells.gates[at:to], np.arange(PLACES)]
+            for k, term in enumerate((x[:, :, -1], x[:, :, -2], x[:, :, :-2].sum(axis=2))):
+                self.terms[k, at:to] = np.rint(np.clip(term, -127, 127))
+        del cells.logits, cells.gates
 
     def costs(self, texts: list[bytes]) -> np.ndarray:
         """Nats of each text with its end mark, in order; texts of like length go together."""
@@ -289,42 +302,55 @@ class Mixer:
         total = np.zeros(len(texts))
         at = 0
         while at < len(order):
-            group = order[at:at + max(1, min(TEXTS_AT_ONCE, SLICE // (len(texts[order[at]]) + 1)))]
+            group = order[at:at + TEXTS_AT_ONCE]
             total[group] = self._group([texts[i] + END for i in group])
             at += len(group)
         return total
 
     def _group(self, texts: list[bytes]) -> np.ndarray:
-        """Texts come longest first. A text of more than SLICE bytes is alone and passes through slice by slice."""
+        """Texts come longest first; they pass through together, in slices of SLICE bytes at most."""
         lengths = np.array([len(t) for t in texts])
-        total = np.zeros(len(texts))
-        second = np.ones((len(texts), 3, PLACES), np.float32)
-        for at in range(0, int(lengths[0]), SLICE):
-            alive = int(np.count_nonzero(lengths > at))
-            wide = min(SLICE, int(lengths[0]) - at)
+        total, none = np.zeros(len(texts)), len(self.cells.keys)
+        second = np.full((3, len(texts), PLACES), 1 / FINE, np.float32)
+        terms = [t.view(np.uint64).reshape(-1) for t in self.terms]
+        at = 0
+        while alive := int(np.count_nonzero(lengths > at)):
+            wide = -(-min(SLICE // alive, int(lengths[0]) - at) // STEP) * STEP
             data = np.zeros((alive, LONGEST + wide), np.uint8)
             for row, text in zip(data, texts):
                 piece = text[max(0, at - LONGEST):at + wide]
                 skip = 0 if at else LONGEST
                 row[skip:skip + len(piece)] = np.frombuffer(piece, np.uint8)
             cell = self.cells.find(data)
+            cell[np.arange(at, at + wide) >= lengths[:alive, None]] = none
             for start in range(0, wide, STEP):
                 n = int(np.count_nonzero(lengths > at + start))
-                real = (np.arange(at + start, min(at + start + STEP, at + wide)) < lengths[:n, None])[..., None]
-                x = self.terms.take(cell[:n, start:start + STEP], axis=0)
-                x *= real
-                part = x.reshape(*x.shape[:2], 3, PLACES)
-                z = np.einsum("tikp,tkp->tip", part, second[:n])
-                np.clip(z, -30, 30, out=z)
+                if not n:
+                    break
+                at_once = cell[:n, start:start + STEP]
+                x = [t.take(at_once).view(np.int8).astype(np.float32) for t in terms]
+                z = x[0] * np.tile(second[0, :n], STEP)
+                for k in (1, 2):
+                    z += x[k] * np.tile(second[k, :n], STEP)
                 np.negative(z, out=z)
+                np.minimum(z, 60, out=z)
                 e = np.exp(z, out=z)
-                e += 1.0
-                wrong = 1.0 - 1.0 / e
-                nats = np.log(e, out=e)
-                nats *= real
-                total[:n] += nats.sum(axis=(1, 2))
-                second[:n] += SECOND_RATE * np.einsum("tip,tikp->tkp", wrong, part)
-        return total
+                e += 1
+                wrong = 1 - 1 / e
+                total[:n] += np.log(e, out=e).sum(axis=1)
+                for k in range(3):
+                    x[k] *= wrong
+                    second[k, :n] += np.float32(SECOND_RATE / FINE**2) * _by_place(x[k])
+            at += wide
+        return total - (-lengths % STEP) * PLACES * np.log(2)
+
+
+def _by_place(rows: np.ndarray) -> np.ndarray:
+    """Sums by place of rows of STEP times PLACES values; halves are added to each other down to PLACES."""
+    while rows.shape[1] > PLACES:
+        half = rows.shape[1] // 2
+        rows = rows[:, :half] + rows[:, half:]
+    return rows
 
 
 def _pack_table(table: pa.Table) -> bytes:
@@ -393,8 +419,7 @@ def gather(rows: DataFrame, shards: int) -> DataFrame:
 
 def _numbered(batch: pa.RecordBatch, start: int, stop: int, uid: int) -> pa.Table:
     part = batch.slice(start, stop - start)
-    texts = pa.array([x.as_py() or "" for x in part.column(1)], pa.string())
-    return pa.table([part.column(0), texts, part.column(2), pa.array(range(uid + start, uid + stop), pa.int64())], names=["doc_id", "text", "held_out", "uid"])
+    return pa.table([part.column(0), pc.fill_null(part.column(1), ""), part.column(2), pa.array(range(uid + start, uid + stop), pa.int64())], names=["doc_id", "text", "held_out", "uid"])
 
 
 def count_words(texts: DataFrame) -> DataFrame:

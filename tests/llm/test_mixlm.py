@@ -41,7 +41,7 @@ def _cost(text, table, weights):
             x = np.array([_logit(table[c], byte, place) for c in found])
             gate = max((o for o in range(1, 6) if x[o - 1] != 0), default=0)
             terms = weights[gate, place] * x
-            s = np.array([terms[4], terms[3], terms[:3].sum()])
+            s = np.rint(mixlm.FINE * np.array([terms[4], terms[3], terms[:3].sum()])) / mixlm.FINE
             z = second[:, place] @ s
             total += np.log1p(np.exp(-z))
             change[:, place] += s / (1 + np.exp(z))
@@ -83,7 +83,7 @@ def test_next_bytes_sum_to_one():
     kinds = [mixlm.TUNED if i % 5 == 2 else mixlm.COUNTED for i in range(4 * len(TRAIN))] + [mixlm.OTHER] * (len(ends) + 1)
     m = _model(texts, kinds, ends)
     data = np.array([list(bytes(5) + t) for t in ends], np.uint8)
-    z = m.terms[m.cells.find(data)[:, -1]].reshape(-1, 3, 8).sum(axis=1)
+    z = m.terms[:, m.cells.find(data)[:, -1]].sum(axis=0) / mixlm.FINE
     assert np.exp(-np.log1p(np.exp(-z)).sum(axis=1)).sum() == pytest.approx(1.0, abs=1e-4)
 
 
