@@ -39,11 +39,11 @@ from lodestar.llm.common import materialize
 LONGEST = 5
 END = b"\xff"
 #: Logits are kept as whole parts of 1/SCALE; a byte is PLACES decisions.
-SCALE, FINE, PLACES, PRIOR, CLIP = 15.0, 16.0, 8, 0.1, 8.0
+SCALE, FINE, PLACES, PRIOR, CLIP = 8.0, 16.0, 8, 0.1, 8.0
 #: Positions at once: of an online step (a power of two), of a slice (all texts together), of the counting of keys.
 STEP, SLICE, COUNTED_AT_ONCE, TEXTS_AT_ONCE = 128, 1 << 18, 1 << 19, 32
 #: Bytes of texts that are scored together, and for each of which there is one shard of the cells.
-BLOCK_BYTES, SHARD_BYTES = 8 << 20, 4 << 20
+BLOCK_BYTES, SHARD_BYTES = 16 << 20, 4 << 20
 #: One in TUNED_PARTS training texts teaches the first layer's weights; steps of both layers.
 TUNED_PARTS, FIRST_RATE, SECOND_RATE, START = 32, 0.08, 0.01, 0.3
 HOT_TOKENS, TOKENS_AT_ONCE = 150_000, 400_000
@@ -104,13 +104,26 @@ def unpack_keys(raw: bytes) -> np.ndarray:
     return np.cumsum(_unpack(raw, np.uint64), dtype=np.uint64)
 
 
-def pack_logits(logits: np.ndarray) -> bytes:
-    """Rows of logits by their steps from place to place, which are mostly 0 where one byte alone was seen."""
-    return _pack(np.diff(logits, axis=1, prepend=np.int8(0)))
+def _nodes(keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """By place: the first key of each node of the keys' decision trees, the node of each key, and 1 or -1 for its decision."""
+    for j in range(PLACES):
+        node = keys >> np.uint64(PLACES - j)
+        first = np.append(True, node[1:] != node[:-1])[:len(keys)]
+        sign = (2 * (keys >> np.uint64(PLACES - 1 - j) & np.uint64(1)).astype(np.int8) - 1).astype(np.int8)
+        yield np.flatnonzero(first), np.cumsum(first) - 1, sign
+
+
+def pack_logits(keys: np.ndarray, logits: np.ndarray) -> bytes:
+    """The logits of sorted keys, one for each node that some of them pass."""
+    return _pack(np.concatenate([logits[first, j] * sign[first] for j, (first, _, sign) in enumerate(_nodes(keys))]))
 
 
-def unpack_logits(raw: bytes) -> np.ndarray:
-    return np.cumsum(_unpack(raw, np.int8, PLACES), axis=1, dtype=np.int8)
+def unpack_logits(keys: np.ndarray, raw: bytes) -> np.ndarray:
+    out, at, values = np.empty((len(keys), PLACES), np.int8), 0, _unpack(raw, np.int8)
+    for j, (first, node, sign) in enumerate(_nodes(keys)):
+        out[:, j] = values[at:at + len(first)][node] * sign
+        at += len(first)
+    return out
 
 
 def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -210,24 +223,22 @@ def _answer(table: pa.Table) -> pa.Table:
     keys, n = _sum_by(np.concatenate(parts), np.concatenate(counts).astype(np.int64))
     logits, without = path_logits(keys, n[:, 0]), path_logits(keys, n[:, 0] - n[:, 1])
     places = [np.searchsorted(keys, p) for p in parts]
-    return pa.table({
-        "block": table.column("block").cast(pa.int64()), "shard": table.column("shard").cast(pa.int64()),
-        "logits": pa.array([pack_logits(logits[p]) for p in places], pa.binary()),
-        "tuned": pa.array([pack_logits(without[p[c[:, 1] > 0]]) for p, c in zip(places, counts)], pa.binary())})
+    rows = []
+    for part, (_, tuned) in zip(parts, (c.T for c in counts)):
+        learned = part[tuned > 0]
+        rows.append((pack_keys(part), pack_logits(part, logits[np.searchsorted(keys, part)]), pack_keys(learned), pack_logits(learned, without[np.searchsorted(keys, learned)])))
+    packed = [pa.array(x, pa.binary()) for x in zip(*rows)]
+    return pa.table([table.column("block").cast(pa.int64()), *packed], names=["block", "keys", "logits", "tuned_keys", "tuned_logits"])
 
 
 class Cells:
     """The cells of one block with their logits, as both layers need them."""
 
-    def __init__(self, own: pa.Table, answers: pa.Table, tuned: bool) -> None:
-        """The block's keys of each shard meet the shard's answer, which has their logits in order."""
-        packed = dict(zip(answers.column("shard").to_pylist(), answers.column("tuned" if tuned else "logits").to_pylist()))
-        found = []
-        for shard, raw, counts in zip(*(own.column(x).to_pylist() for x in ("shard", "keys", "counts"))):
-            if shard is not None:
-                keys = unpack_keys(raw)
-                found.append((keys[_unpack(counts, np.uint32, 2)[:, 1] > 0] if tuned else keys, unpack_logits(packed[shard])))
-        keys, logits = np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
+    def __init__(self, keys: list[bytes], logits: list[bytes]) -> None:
+        """``keys`` and ``logits`` are the answers of all shards."""
+        found = [unpack_keys(x) for x in keys]
+        logits = np.concatenate([unpack_logits(k, x) for k, x in zip(found, logits)])
+        keys = np.concatenate(found)
         order = np.argsort(keys)
         keys, logits = keys[order], logits[order]
         cut = np.searchsorted(keys, np.arange(1, LONGEST + 2, dtype=np.uint64) << np.uint64(56))
@@ -243,14 +254,17 @@ class Cells:
         self.slots = np.zeros(1 << 64 - int(self.shift), np.int32)
         self.slots[(self.keys * _MIX >> self.shift).astype(np.intp)] = np.arange(len(self.keys), dtype=np.int32)
 
-    def find(self, data: np.ndarray) -> np.ndarray:
-        """Places of the cells of the bytes after the first LONGEST of the last axis."""
+    def find(self, data: np.ndarray, real: np.ndarray | None = None) -> np.ndarray:
+        """Places of the cells of the bytes after the first LONGEST of the last axis, as far as they are ``real``."""
         keys = byte_keys(data)
         flat = keys.reshape(-1)
         at = self.slots.take((flat * _MIX >> self.shift).astype(np.intp))
         missed = np.flatnonzero(self.keys.take(at) != flat)
         distinct, back = np.unique(flat[missed], return_inverse=True)
         at[missed] = np.minimum(np.searchsorted(self.keys, distinct), len(self.keys) - 1).astype(np.int32)[back]
+        known = self.keys.take(at[missed]) == flat[missed]
+        if not known.all() and (real is None or real.reshape(-1)[missed[~known]].any()):
+            raise RuntimeError("a text of this block was not counted: the table of texts changed between two reads")
         return at.reshape(keys.shape)
 
 
@@ -321,8 +335,9 @@ class Mixer:
                 piece = text[max(0, at - LONGEST):at + wide]
                 skip = 0 if at else LONGEST
                 row[skip:skip + len(piece)] = np.frombuffer(piece, np.uint8)
-            cell = self.cells.find(data)
-            cell[np.arange(at, at + wide) >= lengths[:alive, None]] = none
+            real = np.arange(at, at + wide) < lengths[:alive, None]
+            cell = self.cells.find(data, real)
+            cell[~real] = none
             for start in range(0, wide, STEP):
                 n = int(np.count_nonzero(lengths > at + start))
                 if not n:
@@ -363,63 +378,67 @@ def _pack_table(table: pa.Table) -> bytes:
 def _texts(own: pa.Table) -> Iterator[pa.Table]:
     """The packed tables of texts of one block, in order."""
     for raw in own.column("pack").to_pylist():
-        if raw is not None:
-            yield pa.ipc.open_stream(raw).read_all()
+        yield pa.ipc.open_stream(raw).read_all()
+
 
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, pa.RecordBatch]]:
+    """(block, number of the first row, rows): the rows of one task in pieces of one block each.
 
-_GATHERED = "block long, pack binary, tuned boolean, shard long, keys binary, counts binary"
+    A block is up to BLOCK_BYTES of texts, a piece up to 1,000 of them and 1 MB, or one text. The cut depends on
+    the rows and their order alone, so two reads of one table give the same blocks; `Cells.find` checks it.
+    """
+    block, held, uid = TaskContext.get().partitionId() << 24, 0, TaskContext.get().partitionId() << 33
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
+        start = size = 0
+        for i, n in enumerate(sizes):
+            full = held and held + n > BLOCK_BYTES
+            if i > start and (full or i - start == 1000 or size + n > 1 << 20):
+                yield block, uid + start, batch.slice(start, i - start)
+                start = i
+                size = 0
+            if full:
+                block, held = block + 1, 0
+            size, held = size + n, held + n
+        if sizes:
+            yield block, uid + start, batch.slice(start)
+        uid += len(sizes)
 
 
 def gather(rows: DataFrame, shards: int) -> DataFrame:
-    """One pass over all texts: packs of texts by block, and cells by block and shard.
+    """(block, shard, keys, counts): the cells of every block."""
 
-    A block is up to BLOCK_BYTES of the texts of one task, a pack up to 1,000 of its texts or 1 MB and more by
-    one text at most; packs of tuning texts alone come beside them.
-    """
-    names = [x.split()[0] for x in _GATHERED.split(", ")]
-    types = {"block": pa.int64(), "pack": pa.binary(), "tuned": pa.bool_(), "shard": pa.int64(), "keys": pa.binary(), "counts": pa.binary()}
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def finish(number: int, block: Block) -> Iterator[pa.RecordBatch]:
+            for shard, keys, n in block.cells(shards):
+                yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([shard]), pa.array([pack_keys(keys)], pa.binary()), pa.array([_pack(n)], pa.binary())], names=["block", "shard", "keys", "counts"])
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        uid = TaskContext.get().partitionId() << 33
-        number, block = TaskContext.get().partitionId() << 24, Block()
+        number, block = None, Block()
+        for at, _, piece in _cut(batches):
+            if number is not None and at != number:
+                yield from finish(number, block)
+                block = Block()
+            number = at
+            for text, kind in zip(piece.column(1).cast(pa.binary()), piece.column(3).to_pylist()):
+                block.add(text.as_py() or b"", kind)
+        if number is not None:
+            yield from finish(number, block)
 
-        def rows_of(size: int, **given) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(given[x], types[x]) if x in given else pa.nulls(size, types[x]) for x in names], names=names)
+    return rows.mapInArrow(count, "block long, shard long, keys binary, counts binary")
 
-        def finish() -> Iterator[pa.RecordBatch]:
-            for shard, keys, n in block.cells(shards):
-                yield rows_of(1, block=[number], shard=[shard], keys=[pack_keys(keys)], counts=[_pack(n)])
 
-        def packs(part: pa.Table, tuned: list[bool]) -> Iterator[pa.RecordBatch]:
-            yield rows_of(1, block=[number], pack=[_pack_table(part)], tuned=[False])
-            if any(tuned):
-                yield rows_of(1, block=[number], pack=[_pack_table(part.filter(pa.array(tuned)))], tuned=[True])
+def packed_texts(rows: DataFrame, tuned: bool) -> DataFrame:
+    """(block, pack): the texts of every block, or only those that the weights are tuned on."""
 
-        for batch in batches:
-            texts, kinds = batch.column(1), batch.column(3).to_pylist()
-            start, size = 0, 0
-            for i, kind in enumerate(kinds):
-                raw = (texts[i].as_py() or "").encode()
-                if block.size and block.size + len(raw) > BLOCK_BYTES or i - start == 1000 or size > 1 << 20:
-                    if i > start:
-                        yield from packs(_numbered(batch, start, i, uid), [k == TUNED for k in kinds[start:i]])
-                    start, size = i, 0
-                    if block.size and block.size + len(raw) > BLOCK_BYTES:
-                        yield from finish()
-                        number, block = number + 1, Block()
-                block.add(raw, kind)
-                size += len(raw)
-            if len(kinds) > start:
-                yield from packs(_numbered(batch, start, len(kinds), uid), [k == TUNED for k in kinds[start:]])
-            uid += len(kinds)
-        yield from finish()
-
-    return rows.mapInArrow(cut, _GATHERED)
-
-
-def _numbered(batch: pa.RecordBatch, start: int, stop: int, uid: int) -> pa.Table:
-    part = batch.slice(start, stop - start)
-    return pa.table([part.column(0), pc.fill_null(part.column(1), ""), part.column(2), pa.array(range(uid + start, uid + stop), pa.int64())], names=["doc_id", "text", "held_out", "uid"])
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, uid, piece in _cut(batches):
+            table = pa.table([piece.column(0), pc.fill_null(piece.column(1), ""), piece.column(2), pa.array(range(uid, uid + piece.num_rows), pa.int64())], names=["doc_id", "text", "held_out", "uid"])
+            if tuned:
+                table = table.filter(pc.equal(piece.column(3), TUNED))
+            if table.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([_pack_table(table)], pa.binary())], names=["block", "pack"])
+
+    return rows.mapInArrow(pack, "block long, pack binary")
 
 
 def count_words(texts: DataFrame) -> DataFrame:
@@ -429,13 +448,13 @@ def count_words(texts: DataFrame) -> DataFrame:
         words: Counter[bytes] = Counter()
 
         def sent() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array([w.decode() for w in words], pa.string()), pa.array(list(words.values()), pa.int64())], names=["token", "n"])
+            batch = pa.RecordBatch.from_arrays([pa.array(list(words), pa.binary()).cast(pa.string()), pa.array(list(words.values()), pa.int64())], names=["token", "n"])
             words.clear()
             return batch
 
         for batch in batches:
-            for text in batch.column(0):
-                words.update((text.as_py() or "").encode().lower().split())
+            for text in batch.column(0).cast(pa.binary()):
+                words.update((text.as_py() or b"").lower().split())
                 if len(words) > TOKENS_AT_ONCE:
                     yield sent()
         yield sent()
@@ -448,10 +467,10 @@ def _learn_weights(tuned: DataFrame, answers: DataFrame) -> np.ndarray:
     flat = flat_weights()
 
     def run(own: pa.Table, cells: pa.Table) -> pa.Table:
-        texts = [x.as_py().encode() for part in _texts(own) for x in part.column("text")]
+        texts = [x.as_py() for part in _texts(own) for x in part.column("text").cast(pa.binary())]
         if not texts:
             return pa.table({"w": pa.array([], pa.list_(pa.float64())), "seen": pa.array([], pa.list_(pa.float64()))})
-        weights, seen = tune(texts, Cells(own, cells, True))
+        weights, seen = tune(texts, Cells(cells.column("tuned_keys").to_pylist(), cells.column("tuned_logits").to_pylist()))
         return pa.table({"w": pa.array([(weights * seen[:, :, None]).reshape(-1).tolist()], pa.list_(pa.float64())), "seen": pa.array([seen.reshape(-1).tolist()], pa.list_(pa.float64()))})
 
     found = tuned.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, "w array<double>, seen array<double>")
@@ -475,7 +494,7 @@ def _hot_count(counts: DataFrame, most: int = HOT_TOKENS) -> int:
     return least
 
 
-_SCORED = "held_out boolean, uid long, n_tokens long, n_bytes long, hot_known long, hot_score double, score double, rare array<string>, times array<long>"
+_SCORED = "held_out boolean, uid long, n_tokens long, n_bytes long, hot_known long, hot_score double, score double, rare array<binary>, times array<long>"
 
 
 def score_texts(docs: DataFrame, held_out=None) -> DataFrame:
@@ -488,49 +507,44 @@ def score_texts(docs: DataFrame, held_out=None) -> DataFrame:
     texts, shards = size["texts"], 1 + int(size["bytes"]) // SHARD_BYTES
     # Blocks near BLOCK_BYTES share most cells among their texts; small inputs are still spread over the cores.
     tasks = max(1 + int(size["bytes"]) // BLOCK_BYTES, min(spark.sparkContext.defaultParallelism, 1 + int(size["bytes"]) // (BLOCK_BYTES >> 2)))
-    gathered = materialize(gather(rows.coalesce(tasks), shards), "gathered")
-    counts = materialize(count_words(rows.filter("NOT held_out").coalesce(tasks)), "words")
-    cells = gathered.filter("shard IS NOT NULL").select("shard", "block", "keys", "counts")
-    answers = materialize(cells.groupBy("shard").applyInArrow(_answer, "block long, shard long, logits binary, tuned binary"), "answers")
+    rows = rows.coalesce(tasks)
+    counts = materialize(count_words(rows.filter("NOT held_out")), "words")
+    answers = materialize(gather(rows, shards).groupBy("shard").applyInArrow(_answer, "block long, keys binary, logits binary, tuned_keys binary, tuned_logits binary"), "answers")
     words = counts.agg(F.count("*").alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n")).first()
     n, v = words["n"] + texts, words["v"] + (texts > 0)
     log_all = float(np.log10(n + 0.1 * (v + 1)))
     top = counts.filter(F.col("c") >= _hot_count(counts)).toArrow()
     hot = dict(zip((w.encode() for w in top.column("token").to_pylist()), np.log10(top.column("c").to_numpy() + 0.1).tolist()))
     end = float(np.log10(texts + 0.1))
-    parts = ["block", "pack", "shard", "keys", "counts"]
-    weights = _learn_weights(gathered.filter("tuned OR shard IS NOT NULL").select(parts), answers.select("block", "shard", "tuned"))
+    weights = _learn_weights(packed_texts(rows, True), answers.select("block", "tuned_keys", "tuned_logits"))
     shared = spark.sparkContext.broadcast(hot)
     kind = dict(docs.dtypes)["doc_id"]
     names = ["doc_id", *(x.split()[0] for x in _SCORED.split(", "))]
 
     def scan(own: pa.Table, cells: pa.Table) -> pa.Table:
         known = shared.value
-        mixer = Mixer(Cells(own, cells, False), weights)
+        mixer = Mixer(Cells(cells.column("keys").to_pylist(), cells.column("logits").to_pylist()), weights)
         parts = []
         for table in _texts(own):
-            raw = [x.encode() for x in table.column("text").to_pylist()]
+            raw = table.column("text").cast(pa.binary()).to_pylist()
             out = []
             for text, nats in zip(raw, mixer.costs(raw)):
                 tokens = text.lower().split()
-                total, hits, rare, times = end - log_all * (len(tokens) + 1), int(texts > 0), [], []
-                for w, c in Counter(tokens).items():
-                    if (value := known.get(w)) is not None:
-                        total += c * value
-                        hits += c
-                    else:
-                        rare.append(w.decode())
-                        times.append(c)
-                out.append((len(tokens) + 1, len(text), hits, total, -nats / np.log(10), rare, times))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.int64()))
+                often = Counter(tokens)
+                values = list(map(known.get, often))
+                rare = [w for w, v in zip(often, values) if v is None]
+                times = [c for c, v in zip(often.values(), values) if v is None]
+                total = end - log_all * (len(tokens) + 1) + sum(c * v for c, v in zip(often.values(), values) if v is not None)
+                out.append((len(tokens) + 1, len(text), int(texts > 0) + len(tokens) - sum(times), total, -nats / np.log(10), rare, times))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64()))
             arrays = [pa.array(list(x), t) for x, t in zip(zip(*out), kinds)]
             parts.append(pa.table([table.column("doc_id"), table.column("held_out"), table.column("uid"), *arrays], names=names))
         return pa.concat_tables(parts)
 
-    owned = gathered.filter("NOT coalesce(tuned, false)").select(parts)
-    scored = materialize(owned.groupBy("block").cogroup(answers.select("block", "shard", "logits").groupBy("block")).applyInArrow(scan, f"doc_id {kind}, {_SCORED}"), "scored")
+    found = packed_texts(rows, False).groupBy("block").cogroup(answers.select("block", "keys", "logits").groupBy("block"))
+    scored = materialize(found.applyInArrow(scan, f"doc_id {kind}, {_SCORED}"), "scored")
     shared.unpersist()
-    rare = scored.select("uid", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("uid", F.col("x.rare").alias("token"), F.col("x.times").alias("times"))
+    rare = scored.select("uid", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("uid", F.col("x.rare").cast("string").alias("token"), F.col("x.times").alias("times"))
     c = F.coalesce("c", F.lit(0))
     rest = rare.join(counts.hint("shuffle_hash"), "token", "left").groupBy("uid").agg(
         F.sum(F.col("times") * F.log10(c + 0.1)).alias("rest"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("rest_known"))

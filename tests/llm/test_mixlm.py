@@ -72,8 +72,9 @@ def _model(texts, kinds, scored):
     rows = [(0, s, mixlm.pack_keys(k), mixlm._pack(n)) for s, k, n in block.cells(3)]
     own = pa.table([pa.array(x, y) for x, y in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["block", "shard", "keys", "counts"])
     answers = pa.concat_tables([mixlm._answer(own.slice(i, 1)) for i in range(own.num_rows)])
-    weights, seen = mixlm.tune([t for t, k in zip(texts, kinds) if k == mixlm.TUNED], mixlm.Cells(own, answers, True))
-    return mixlm.Mixer(mixlm.Cells(own, answers, False), np.where(seen[:, :, None] > 0, weights, mixlm.flat_weights()))
+    cells = [mixlm.Cells(answers.column(f"{x}keys").to_pylist(), answers.column(f"{x}logits").to_pylist()) for x in ("tuned_", "")]
+    weights, seen = mixlm.tune([t for t, k in zip(texts, kinds) if k == mixlm.TUNED], cells[0])
+    return mixlm.Mixer(cells[1], np.where(seen[:, :, None] > 0, weights, mixlm.flat_weights()))
 
 
 def test_next_bytes_sum_to_one():
