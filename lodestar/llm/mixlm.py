@@ -9,7 +9,7 @@ the cells that it touches, and no task or driver holds the whole table.
 Two layers mix the logits. The weights of the first are gated by the decision's place and the longest context
 that knows it; they are learned online, in text order, on the training texts of a fixed share
 (1 in TUNED_PARTS, so the share grows with the corpus), from counts that leave these texts out, and averaged
-over the blocks. The second layer mixes three groups of predictors (the longest, the next, all shorter); its
+over the blocks. The second layer mixes two groups of predictors (the longest, all shorter ones); its
 weights start at one for every text and are refined online, a STEP of bytes at a time, from the bytes before.
 The total of -log2 over all decisions and an end mark (a byte that no UTF-8 text has) is the text's size in bits.
 
@@ -299,14 +299,14 @@ class Mixer:
     def __init__(self, cells: Cells, weights: np.ndarray) -> None:
         self.cells = cells
         n = len(cells.keys)
-        #: By cell: terms of the longest context, the next and all shorter ones, as PLACES whole parts of 1/FINE in
+        #: By cell: terms of the longest context and of all shorter ones, as PLACES whole parts of 1/FINE in
         #: the bytes of one number; the last row stands for no byte.
-        self.terms = np.zeros((3, n + 1, PLACES), np.int8)
+        self.terms = np.zeros((2, n + 1, PLACES), np.int8)
         for at in range(0, n, 1 << 15):
             to = min(n, at + (1 << 15))
             x = cells.logits[at:to].transpose(0, 2, 1) * np.float32(FINE / SCALE)
             x *= weights[cells.gates[at:to], np.arange(PLACES)]
-            for k, term in enumerate((x[:, :, -1], x[:, :, -2], x[:, :, :-2].sum(axis=2))):
+            for k, term in enumerate((x[:, :, -1], x[:, :, :-1].sum(axis=2))):
                 self.terms[k, at:to] = np.rint(np.clip(term, -127, 127))
         del cells.logits, cells.gates
 
@@ -325,7 +325,7 @@ class Mixer:
         """Texts come longest first; they pass through together, in slices of SLICE bytes at most."""
         lengths = np.array([len(t) for t in texts])
         total, none = np.zeros(len(texts)), len(self.cells.keys)
-        second = np.full((3, len(texts), PLACES), 1 / FINE, np.float32)
+        second = np.full((2, len(texts), PLACES), 1 / FINE, np.float32)
         terms = [t.view(np.uint64).reshape(-1) for t in self.terms]
         at = 0
         while alive := int(np.count_nonzero(lengths > at)):
@@ -345,15 +345,14 @@ class Mixer:
                 at_once = cell[:n, start:start + STEP]
                 x = [t.take(at_once).view(np.int8).astype(np.float32) for t in terms]
                 z = x[0] * np.tile(second[0, :n], STEP)
-                for k in (1, 2):
-                    z += x[k] * np.tile(second[k, :n], STEP)
+                z += x[1] * np.tile(second[1, :n], STEP)
                 np.negative(z, out=z)
                 np.minimum(z, 60, out=z)
                 e = np.exp(z, out=z)
                 e += 1
                 wrong = 1 - 1 / e
                 total[:n] += np.log(e, out=e).sum(axis=1)
-                for k in range(3):
+                for k in range(2):
                     x[k] *= wrong
                     second[k, :n] += np.float32(SECOND_RATE / FINE**2) * _by_place(x[k])
             at += wide
@@ -405,26 +404,49 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, pa.Recor
         uid += len(sizes)
 
 
+_GATHERED = "block long, shard long, keys binary, counts binary, token string, n long"
+
+
 def gather(rows: DataFrame, shards: int) -> DataFrame:
-    """(block, shard, keys, counts): the cells of every block."""
+    """The cells of every block, as (block, shard, keys, counts), and words of training texts, as (token, n).
+
+    A task adds up to TOKENS_AT_ONCE words before it sends them.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def finish(number: int, block: Block) -> Iterator[pa.RecordBatch]:
+        words: Counter[bytes] = Counter()
+
+        def cells(number: int, block: Block) -> Iterator[pa.RecordBatch]:
             for shard, keys, n in block.cells(shards):
-                yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([shard]), pa.array([pack_keys(keys)], pa.binary()), pa.array([_pack(n)], pa.binary())], names=["block", "shard", "keys", "counts"])
+                yield row(pa.array([number]), pa.array([shard]), pa.array([pack_keys(keys)], pa.binary()), pa.array([_pack(n)], pa.binary()), pa.nulls(1, pa.string()), pa.nulls(1, pa.int64()))
+
+        def tokens() -> Iterator[pa.RecordBatch]:
+            n = len(words)
+            none = [pa.nulls(n, x) for x in (pa.int64(), pa.int64(), pa.binary(), pa.binary())]
+            yield row(*none, pa.array(list(words), pa.binary()).cast(pa.string()), pa.array(list(words.values()), pa.int64()))
+            words.clear()
+
+        def row(*columns: pa.Array) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(list(columns), names=[x.split()[0] for x in _GATHERED.split(", ")])
 
         number, block = None, Block()
         for at, _, piece in _cut(batches):
             if number is not None and at != number:
-                yield from finish(number, block)
+                yield from cells(number, block)
                 block = Block()
             number = at
             for text, kind in zip(piece.column(1).cast(pa.binary()), piece.column(3).to_pylist()):
-                block.add(text.as_py() or b"", kind)
+                raw = text.as_py() or b""
+                block.add(raw, kind)
+                if kind != OTHER:
+                    words.update(raw.lower().split())
+            if len(words) > TOKENS_AT_ONCE:
+                yield from tokens()
         if number is not None:
-            yield from finish(number, block)
+            yield from cells(number, block)
+        yield from tokens()
 
-    return rows.mapInArrow(count, "block long, shard long, keys binary, counts binary")
+    return rows.mapInArrow(count, _GATHERED)
 
 
 def packed_texts(rows: DataFrame, tuned: bool) -> DataFrame:
@@ -441,27 +463,6 @@ def packed_texts(rows: DataFrame, tuned: bool) -> DataFrame:
     return rows.mapInArrow(pack, "block long, pack binary")
 
 
-def count_words(texts: DataFrame) -> DataFrame:
-    """(token, c): how often each word occurs; a task adds up to TOKENS_AT_ONCE words before it sends them."""
-
-    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: Counter[bytes] = Counter()
-
-        def sent() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array(list(words), pa.binary()).cast(pa.string()), pa.array(list(words.values()), pa.int64())], names=["token", "n"])
-            words.clear()
-            return batch
-
-        for batch in batches:
-            for text in batch.column(0).cast(pa.binary()):
-                words.update((text.as_py() or b"").lower().split())
-                if len(words) > TOKENS_AT_ONCE:
-                    yield sent()
-        yield sent()
-
-    return texts.select("text").mapInArrow(tally, "token string, n long").groupBy("token").agg(F.sum("n").alias("c"))
-
-
 def _learn_weights(tuned: DataFrame, answers: DataFrame) -> np.ndarray:
     """First-layer weights of every block's tuning texts, averaged by the decisions seen."""
     flat = flat_weights()
@@ -508,8 +509,10 @@ def score_texts(docs: DataFrame, held_out=None) -> DataFrame:
     # Blocks near BLOCK_BYTES share most cells among their texts; small inputs are still spread over the cores.
     tasks = max(1 + int(size["bytes"]) // BLOCK_BYTES, min(spark.sparkContext.defaultParallelism, 1 + int(size["bytes"]) // (BLOCK_BYTES >> 2)))
     rows = rows.coalesce(tasks)
-    counts = materialize(count_words(rows.filter("NOT held_out")), "words")
-    answers = materialize(gather(rows, shards).groupBy("shard").applyInArrow(_answer, "block long, keys binary, logits binary, tuned_keys binary, tuned_logits binary"), "answers")
+    gathered = materialize(gather(rows, shards), "gathered")
+    counts = materialize(gathered.filter("token IS NOT NULL").groupBy("token").agg(F.sum("n").alias("c")), "words")
+    cells = gathered.filter("shard IS NOT NULL").select("block", "shard", "keys", "counts")
+    answers = materialize(cells.groupBy("shard").applyInArrow(_answer, "block long, keys binary, logits binary, tuned_keys binary, tuned_logits binary"), "answers")
     words = counts.agg(F.count("*").alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n")).first()
     n, v = words["n"] + texts, words["v"] + (texts > 0)
     log_all = float(np.log10(n + 0.1 * (v + 1)))

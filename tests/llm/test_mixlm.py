@@ -33,15 +33,15 @@ def _logit(counts, byte, place):
 
 def _cost(text, table, weights):
     """Both layers, byte by byte, in the plainest way."""
-    total, second, change = 0.0, np.ones((3, 8)), np.zeros((3, 8))
+    total, second, change = 0.0, np.ones((2, 8)), np.zeros((2, 8))
     for i, (byte, found) in enumerate(zip(text.encode() + mixlm.END, _contexts(text))):
         if i % mixlm.STEP == 0:
-            second, change = second + mixlm.SECOND_RATE * change, np.zeros((3, 8))
+            second, change = second + mixlm.SECOND_RATE * change, np.zeros((2, 8))
         for place in range(8):
             x = np.array([_logit(table[c], byte, place) for c in found])
             gate = max((o for o in range(1, 6) if x[o - 1] != 0), default=0)
             terms = weights[gate, place] * x
-            s = np.rint(mixlm.FINE * np.array([terms[4], terms[3], terms[:3].sum()])) / mixlm.FINE
+            s = np.rint(mixlm.FINE * np.array([terms[4], terms[:4].sum()])) / mixlm.FINE
             z = second[:, place] @ s
             total += np.log1p(np.exp(-z))
             change[:, place] += s / (1 + np.exp(z))
@@ -112,6 +112,7 @@ def test_better_than_counts_of_three_bytes(spark):
                 size += 1
     got = mixlm.score_texts(spark.read.parquet(f"{SF}/documents.parquet")).filter("held_out").agg(F.sum("score"), F.sum("n_bytes")).first()
     mine = -got[0] / np.log10(2) / got[1]
+    print('bits a byte', mine, bits / size)
     assert got[1] == size and mine < 2.2 and mine < bits / size - 0.2
 
 
