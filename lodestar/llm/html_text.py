@@ -1,171 +1,219 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped into lines, one per block element, with the characters outside links as the line's
-weight. Boilerplate elements (by tag, class, id or role) weigh nothing and, outside the article, leave
-WINDOW empty lines, or one where they usually stand inside running text (adverts). The sums of the weights over sliding windows of
-WINDOW lines show the text: a surge point is where the sum rises from zero, a dive point where it returns to
-zero. The text between a surge and its dive is one passage; the passage with the largest sum is the main
-text. Inside an article or main element boilerplate leaves no gap, so an advert within it cuts nothing.
+Markup is stripped into lines, one per block element; boilerplate elements (by tag, class, id, role or being
+hidden) are left out, and outside an article leave WINDOW - 1 empty lines, as an article's edges do. A line
+weighs its characters outside links; in paragraphs and headings links count as text. If the page has articles
+(article or main elements, content-like classes), a line in one of them weighs ARTICLE_BONUS more and a line
+outside a quarter; articles under ARTICLE_SHARE of the longest count as outside.
+
+The weights are summed over sliding windows of WINDOW lines. A surge point is the first line that weighs
+anything in a window whose sum reaches the threshold, after one that does not; a dive point is the last such
+line. The threshold is PEAK_SHARE of the page's largest sum, or CEILING if that is less. All lines from every
+surge point to its dive point are the text, in page order, whatever they weigh themselves.
 
 Edge cases: null or empty html gives an empty text; a page with nothing but boilerplate gives an empty text;
-unclosed elements end with their parent; ties go to the first passage; other columns are ignored.
+unclosed elements end with their parent; a tag's quoted attributes are read before anything in them; a very
+long page is read in one pass, its memory is a small multiple of the page; repeated rows are extracted each on
+their own; an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
-#: Lines in a window.
-WINDOW = 3
+#: Lines in a window; the threshold of a sum; what an article adds to each of its lines.
+WINDOW, PEAK_SHARE, CEILING = 3, 0.1, 80.0
+ARTICLE_BONUS, ARTICLE_SHARE = 100, 0.3
 
 #: Element names of the HTML standard.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul".split())
-UNSEEN = frozenset("head script style noscript template svg math canvas object iframe audio video select textarea button datalist".split())
+UNSEEN = frozenset("head title noscript template svg math canvas object audio video select button datalist".split())
+RAW = frozenset("script style textarea iframe xmp noembed noframes".split())
 BOILERPLATE = frozenset("nav footer aside form menu dialog fieldset search".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-#: Elements that end at the next block, closed or not.
-OPEN_ENDED = frozenset("p li dd dt option td th tr".split())
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figcaption dd".split())
 ARTICLE = frozenset(("article", "main"))
+#: Elements that a new one of the group ends, and the elements that an end does not reach beyond.
+SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"}),
+            "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
-HINT = re.compile(
-    r"(?:^|[-_])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|sidebar\w*|comments?|disqus|respond|cookies?|consent|gdpr|notice|popup|modal|overlay|newsletter|subscribe\w*|signup|login|share|sharing|social|related|recommend\w*|breadcrumbs?|menu|nav|navbar|navigation|pagination|pager|footer|masthead|topbar|toolbar|widget|skip|hidden)(?:$|[-_])"
-    r"|^(?:header|site-header|page-header|alert)$", re.I)
-#: What stands inside running text and cuts no passage: it leaves one empty line.
-INLINE = re.compile(r"(?:^|[-_])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|share|sharing|newsletter|related|notice)(?:$|[-_])", re.I)
-CONTENT = re.compile(r"^(?:(?:article|post|entry|story|main|page)-?(?:body|content|text)|content|main|article|post|entry|story)$", re.I)
+#: Words of class names and ids that mark boilerplate, and words that may stand beside them.
+MARKS = frozenset(
+    "ad ads advert adverts advertisement advertising adsense adslot sponsor sponsored sponsors promo promos promotion banner sidebar sidebars comment comments commentlist disqus respond reply "
+    "replies discussion cookie cookies consent gdpr notice popup modal overlay newsletter subscribe subscription signup login share sharing social related recommend recommended recommendations "
+    "breadcrumb breadcrumbs menu nav navbar navigation pagination pager footer masthead topbar toolbar widget widgets skip hidden teaser teasers".split())
+BESIDE = frozenset("site page main top bottom left right container wrapper wrap box block list area section inner outer bar row item items primary secondary global links buttons form post article blog header link content".split())
+ALONE = frozenset("header site-header page-header alert".split())
+CONTENT = re.compile(r"(?:article|post|entry|story|main|page)-?(?:body|content|text)|content|main|article|post|entry|story")
+
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
+_ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
+_UNSHOWN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
-_DROPPED = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(script|style|noscript|template|svg|textarea|iframe|select)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>", re.S | re.I)
-_TAG = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>""")
-_NAMES = re.compile(r"""\b(?:class|id)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-_ROLE = re.compile(r"""\brole\s*=\s*["']?([\w-]+)""", re.I)
+
+def _marked(name: str) -> bool:
+    """Whether a class name or id is made of words of MARKS and BESIDE, with one of MARKS at least."""
+    name = name.lower()
+    parts = [x for x in re.split(r"[-_]+", name) if x and not x.isdigit()]
+    return name in ALONE or any(x in MARKS for x in parts) and all(x in MARKS or x in BESIDE for x in parts)
 
 
 def _kind(name: str, attributes: str, in_article: bool) -> str:
-    """'skip', 'inline' (skipped without a gap), 'article' or ''."""
+    """'skip', 'article' or ''."""
     if name in UNSEEN or name in BOILERPLATE or (name == "header" and not in_article):
         return "skip"
-    if name in ARTICLE or name in ("body", "html"):
-        names = [x for m in _NAMES.findall(attributes) for x in "".join(m).split()] if attributes else []
-        if name == "article" and any(re.fullmatch(r"comments?|reply|teaser|related", x, re.I) for x in names):
-            return "skip"
-        return "article" if name in ARTICLE else ""
-    if not attributes:
-        return ""
-    role = _ROLE.search(attributes)
-    if role and role[1].lower() in ROLES or re.search(r"\bhidden\b(?!\s*=\s*[\"']?false)", re.sub(r"=\s*(?:\"[^\"]*\"|'[^']*')", "", attributes)):
+    found = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(attributes)} if attributes else {}
+    role = found.get("role", "").lower()
+    if role in ROLES or ("hidden" in found and found["hidden"].lower() != "false") or found.get("aria-hidden", "").lower() == "true" or _UNSHOWN.search(found.get("style", "")):
+        return "skip"
+    names = [*found.get("class", "").split(), *found.get("id", "").split()]
+    if name not in ("html", "body") and any(map(_marked, names)):
         return "skip"
-    names = [x for m in _NAMES.findall(attributes) for x in "".join(m).split()]
-    if any(HINT.search(x) for x in names):
-        return "inline" if any(INLINE.search(x) for x in names) else "skip"
-    return "article" if any(CONTENT.match(x) for x in names) or (role and role[1].lower() == "main") else ""
-
-
-def lines_of(page: str) -> list[tuple[str, int, bool]]:
-    """(text, characters outside links, inside an article) of each block in page order."""
-    source = _DROPPED.sub(" ", page)
-    lines: list[tuple[str, int, bool]] = []
-    parts: list[str] = []
-    linked: list[str] = []
-    skipped: str | None = None  # the element whose content is skipped
-    depth = article = links = 0
-    articles: list[tuple[str, int]] = []
-
-    def end_line() -> None:
-        if parts:
-            text = " ".join(html.unescape("".join(parts)).split())
+    return "article" if name in ARTICLE or role == "main" or name not in ("html", "body") and any(CONTENT.fullmatch(x.lower()) for x in names) else ""
+
+
+class _Page:
+    """The lines of one page: (text, characters that weigh, number of the outermost article or 0)."""
+
+    def __init__(self) -> None:
+        self.lines: list[tuple[str, int, int]] = []
+        self.stack: list[tuple[str, str]] = []
+        self.opened: Counter[str] = Counter()  # by element name, and by kind as '*skip' and '*article'
+        self.parts: list[str] = []
+        self.linked: list[str] = []
+        self.prose = False
+        self.article = 0
+
+    def text(self, piece: str) -> None:
+        if piece and not self.opened["*skip"]:
+            self.parts.append(piece)
+            if self.opened["a"]:
+                self.linked.append(piece)
+            self.prose = self.prose or any(self.opened[x] for x in PROSE)
+
+    def end_line(self) -> None:
+        if self.parts:
+            text = " ".join(html.unescape("".join(self.parts)).split())
             if text:
-                inside = len(" ".join(html.unescape("".join(linked)).split())) if linked else 0
-                lines.append((text, max(0, len(text) - inside), article > 0))
-            parts.clear()
-            linked.clear()
-
-    at = 0
-    for tag in _TAG.finditer(source):
-        if skipped is None and tag.start() > at:
-            parts.append(source[at:tag.start()])
-            if links:
-                linked.append(parts[-1])
+                inside = len(" ".join(html.unescape("".join(self.linked)).split())) if self.linked and not self.prose else 0
+                self.lines.append((text, max(0, len(text) - inside), self.article if self.opened["*article"] else 0))
+        self.parts, self.linked, self.prose = [], [], False
+
+    def gap(self) -> None:
+        self.lines.extend([("", 0, 0)] * (WINDOW - 1))
+
+    def push(self, name: str, kind: str) -> None:
+        self.stack.append((name, kind))
+        self.opened[name] += 1
+        if kind:
+            if not self.opened["*article"] and not self.opened["*skip"]:
+                self.gap()
+                self.article += kind == "article"
+            self.opened[f"*{kind}"] += 1
+
+    def pop(self) -> str:
+        name, kind = self.stack.pop()
+        self.opened[name] -= 1
+        if kind:
+            self.opened[f"*{kind}"] -= 1
+            if kind == "article" and not self.opened["*article"] and not self.opened["*skip"]:
+                self.gap()
+        return name
+
+    def close(self, names: set[str], within: set[str] = frozenset()) -> None:
+        """End the innermost open element of ``names``, with all in it, unless one of ``within`` is further in."""
+        if any(self.opened[x] for x in names):
+            for name, _ in reversed(self.stack):
+                if name in within:
+                    return
+                if name in names:
+                    break
+            while self.pop() not in names:
+                pass
+
+    def tag(self, closing: bool, name: str, attributes: str) -> None:
+        if closing:
+            if name in BLOCKS:
+                self.end_line()
+            self.close({name})
+            return
+        if name in BLOCKS:
+            self.end_line()
+            self.close({"p"}, {"table", "td", "th", "object", "button"})
+        if name in SIBLINGS:
+            self.close(*SIBLINGS[name])
+        if name == "br":
+            self.text(" ")
+        elif name == "a":
+            self.close({"a"})
+        if name not in VOID and not (attributes.endswith("/") and name not in BLOCKS):
+            kind = "" if self.opened["*skip"] else _kind(name, attributes, self.opened["*article"] > 0)
+            if kind:
+                self.end_line() if name in BLOCKS or kind == "article" else None
+            self.push(name, kind)
+
+
+def lines_of(page: str) -> list[tuple[str, int, int]]:
+    """The lines of a page in order; empty ones stand where passages must not run together."""
+    found, at, size = _Page(), 0, len(page)
+    while at < size:
+        tag = _TAG.search(page, at)
+        found.text(page[at:tag.start() if tag else size])
+        if not tag:
+            break
         at = tag.end()
-        closing, name, attributes = tag[1], tag[2].lower(), tag[3]
-        if skipped is not None:
-            if skipped in OPEN_ENDED and name in BLOCKS and not (closing and name == skipped) or name in ("body", "html"):
-                skipped = None  # and go on with this tag
-            elif name == skipped:
-                depth += -1 if closing else 0 if attributes.endswith("/") else 1
-                if depth <= 0:
-                    skipped = None
-                continue
+        if not tag[2]:
+            continue
+        name = tag[2].lower()
+        if name in RAW:
+            if not tag[1]:
+                end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
+                at = end.end() if end else size
+            continue
+        found.tag(bool(tag[1]), name, tag[3])
+    found.end_line()
+    return found.lines
+
+
+def weights_of(lines: list[tuple[str, int, int]]) -> list[float]:
+    sizes: Counter[int] = Counter()
+    for text, _, article in lines:
+        sizes[article] += len(text) if article else 0
+    least = ARTICLE_SHARE * max(sizes.values(), default=0)
+    within = {a for a, n in sizes.items() if a and n >= least}
+    if not within:
+        return [float(plain) for _, plain, _ in lines]
+    return [float(len(text) + ARTICLE_BONUS) if article in within else plain / 4 for text, plain, article in lines]
+
+
+def passages(weights: list[float]) -> list[tuple[int, int]]:
+    """(surge point, dive point) of each passage, both within it."""
+    sums = [sum(weights[i:i + WINDOW]) for i in range(len(weights))]
+    threshold = min(PEAK_SHARE * max(sums, default=0.0), CEILING)
+    if not threshold:
+        return []
+    found: list[tuple[int, int]] = []
+    over = False
+    for i, total in enumerate(sums):
+        if total >= threshold:
+            heavy = [j for j in range(i, min(i + WINDOW, len(weights))) if weights[j]]
+            if found and (over or heavy[0] <= found[-1][1]):
+                found[-1] = (found[-1][0], max(found[-1][1], heavy[-1]))
             else:
-                continue
-        if name == "a":
-            links = 0 if closing else 1
-        elif name == "br":
-            parts.append(" ")
-        if not closing and name not in VOID:
-            kind = _kind(name, attributes, article > 0)
-            if kind in ("skip", "inline"):
-                if attributes.endswith("/"):
-                    continue
-                if name in BLOCKS or name in UNSEEN:
-                    end_line()
-                if not article:
-                    lines.extend([("", 0, False)] * (WINDOW if kind == "skip" else 1))
-                skipped, depth = name, 1
-                continue
-            if name in BLOCKS:
-                end_line()
-            if kind == "article":
-                articles.append((name, 1))
-                article += 1
-            elif articles and articles[-1][0] == name:
-                articles[-1] = (name, articles[-1][1] + 1)
-        elif name in BLOCKS:
-            end_line()
-            if closing and articles and articles[-1][0] == name:
-                left = articles[-1][1] - 1
-                articles[-1] = (name, left)
-                if not left:
-                    articles.pop()
-                    article -= 1
-    if skipped is None:
-        parts.append(source[at:])
-    end_line()
-    return lines
+                found.append((heavy[0], heavy[-1]))
+        over = total >= threshold
+    return found
 
 
 def main_text(page: str | None) -> str:
-    if not page:
-        return ""
-    lines = lines_of(page)
-    within = any(inside and text for text, _, inside in lines)
-    weights = []
-    for text, plain, inside in lines:
-        if within:  # the page names its article: other text weighs nothing, links in the article are text
-            weights.append(len(text) if inside else 0)
-        else:
-            weights.append(plain if 2 * plain >= len(text) else 0)
-    sums = [sum(weights[i:i + WINDOW]) for i in range(len(weights))]
-    passages: list[tuple[int, int]] = []  # from a surge point to its dive point
-    surge = None
-    for i, total in enumerate([*sums, 0]):
-        if surge is None and total:
-            surge = i
-        elif surge is not None and not total:
-            passages.append((surge, i))
-            surge = None
-    if not passages:
-        return ""
-    if within:
-        chosen = [x for a, b in passages for x in range(a, b)]
-    else:
-        a, b = max(passages, key=lambda p: (sum(weights[p[0]:p[1]]), -p[0]))
-        chosen = list(range(a, b))
-    return "\n\n".join(lines[i][0] for i in chosen if weights[i])
+    lines = lines_of(page) if page else []
+    return "\n\n".join(lines[i][0] for a, b in passages(weights_of(lines)) for i in range(a, b + 1) if lines[i][0])
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:
