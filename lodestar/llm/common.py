@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,12 +16,25 @@ SPACE_CHARS = " \t\n\x0b\f\r"
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under ``spark.checkpoint.dir``, which driver and executors share.
 
-    Where the setting is absent (tests on one machine) a local folder is used instead.
+    Where the setting is absent a session on one machine uses a local folder; on a cluster no folder is known
+    that all executors can read, so an error is raised.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/lodestar"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = f"{tempfile.gettempdir()}/checkpoints/lodestar"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores in front until no column of ``df`` has it in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
     path = shared_dir(df.sparkSession, name)

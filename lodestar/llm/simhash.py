@@ -1,18 +1,25 @@
 """SimHash near-duplicates by deletion-variant signatures.
 
-Fingerprints of 64 bits that differ in MAX_BITS = 4 bits at most are linked. Cut into 3 segments, at least
-one segment then differs by one bit at most (three segments with two each would need six). Each segment is
-indexed once per bit with that bit wildcarded: 64 keys a fingerprint, of 20 or 21 fixed bits. Fingerprints
-that share a key are compared on all 64 bits; a pair counts at one key only, the first segment that
-qualifies, at the differing bit or else the segment's first bit.
-
-Copies share a fingerprint, and only distinct fingerprints are indexed. Within a key each task reduces its
-links to a spanning forest, so a dense group yields as many edges as members, not all its pairs; groups are
-read in sorted blocks, never collected. Components come from rounds of large-star and small-star.
-
-Edge cases: a null text or one without words has fingerprint 0, linked like any other; under four words the
-whole sequence is the one shingle; repeated rows keep one result each; an empty table gives an empty result;
-other columns are ignored.
+Query op10: fingerprints of 64 bits that differ in MAX_BITS = 4 bits at most are linked. Cut into 3 segments, at
+least one segment then differs by one bit at most (three segments with two each would need six). Each segment
+is indexed once per bit with that bit wildcarded: 64 keys a fingerprint, of 20 or 21 fixed bits. Fingerprints
+that share a key are compared on all bits.
+
+Pipeline stage: `similar_documents` links texts whose sets of five-word shingles have a Jaccard similarity of
+0.8 or more. Fingerprints have 128 bits in eight segments of 16 (128 keys each); pairs of up to WIDE_BITS
+differing bits are candidates, and exact similarity decides. At similarity 0.8 a bit differs with probability
+0.15, so a segment differs by one bit at most with probability 0.28, and of such pairs 0.93 meet in one segment at
+least (0.975 at 0.85, 0.995 at 0.9); pairs are linked through others too. Tests measure the recall.
+
+Copies share a fingerprint, and only distinct fingerprints are indexed. Within a key a task reduces its links to
+a spanning forest, closest pairs first, so a dense group yields as many edges as members, not all its pairs. A
+key with over HOT fingerprints is cut into blocks, and each pair of blocks is compared in a group of its own, so
+no task holds more than two blocks. Components come from rounds of large-star and small-star.
+
+Edge cases: a null text or one without words has fingerprint 0, linked like any other; a text of fewer words
+than a shingle is one shingle; very long texts are hashed in slices of 65,536 shingles; repeated rows keep one
+result each; of rows with a null doc_id alone the component_id is null; an empty table gives an empty result;
+other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,30 +32,47 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import materialize
+from lodestar.llm.common import fresh, materialize, rolling, text_of, words_of
 
 WIDTH, SEED, MAX_BITS = 4, 42, 4
 #: (lowest bit, bits) of the segments.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 MAX_ROUNDS = 40
+#: Fingerprints of one key that a task compares at once; larger keys are compared block by block.
+HOT = 4096
+#: The wide fingerprints of the stage: bits that candidates may differ in, shingle width and similarity.
+WIDE_BITS, WIDE_WIDTH, SIMILARITY = 32, 5, 0.8
+#: Rounds that test each class's closest candidate alone, before all that are left are tested.
+CLOSEST_ROUNDS = 4
 
 
-def fingerprint(text: str | None, width: int = WIDTH) -> int:
-    """The 64-bit SimHash of one text, as a signed 64-bit value."""
+def _bits(text: str | None, width: int, digest, size: int) -> np.ndarray | None:
+    """The bits, lowest first, that are set in over half the ``size``-byte digests of the text's shingles."""
     words = (text or "").encode().lower().split()  # bytes: only A-Z change, only ASCII white space splits
     if not words:
-        return 0
+        return None
     joined, n = b" ".join(words), len(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     shingles = max(1, n - width + 1)
-    ones = np.zeros(64, np.int64)
-    digest = xxhash.xxh64_intdigest
+    ones = np.zeros(8 * size, np.int64)
     for at in range(0, shingles, 65536):
         a, b = starts[at:at + 65536].tolist(), ends[min(width, n) - 1:][at:at + 65536].tolist()
-        hashes = np.array([digest(joined[i:j], SEED) for i, j in zip(a, b)], dtype="<u8")
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > shingles, bitorder="little").view("<i8")[0])
+        hashes = np.frombuffer(b"".join([digest(joined[i:j], SEED) for i, j in zip(a, b)]), np.uint8)
+        ones += np.unpackbits(hashes.reshape(-1, size)[:, ::-1], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return 2 * ones > shingles
+
+
+def fingerprint(text: str | None, width: int = WIDTH) -> int:
+    """The 64-bit SimHash of one text, as a signed 64-bit value."""
+    bits = _bits(text, width, xxhash.xxh64_digest, 8)
+    return 0 if bits is None else int(np.packbits(bits, bitorder="little").view("<i8")[0])
+
+
+def wide_fingerprint(text: str | None, width: int = WIDE_WIDTH) -> tuple[int, int]:
+    """The 128-bit SimHash of one text, as two signed 64-bit values."""
+    bits = _bits(text, width, xxhash.xxh3_128_digest, 16)
+    return (0, 0) if bits is None else tuple(np.packbits(bits, bitorder="little").view("<i8").tolist())
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -84,8 +108,8 @@ def _counted_at(x: np.ndarray) -> np.ndarray:
     return place
 
 
-def _forest(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The pairs that join two trees, in order: a spanning forest of the graph of all pairs."""
+def _forest(pairs: list[tuple[int, int]]) -> list[int]:
+    """Places of the pairs that join two trees, in order: a spanning forest of the graph of all pairs."""
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -94,61 +118,124 @@ def _forest(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
         return x
 
     kept = []
-    for x, y in pairs:
+    for i, (x, y) in enumerate(pairs):
         p, q = root(x), root(y)
         if p != q:
             parent[max(p, q)] = min(p, q)
-            kept.append((x, y))
+            kept.append(i)
     return kept
 
 
-def _links(keys: np.ndarray, fps: np.ndarray, fresh: int) -> list[tuple[int, int]]:
-    """Forest of the linked pairs of equal keys in sorted rows; of each pair the second is at ``fresh`` or later."""
-    bits, n, found_a, found_b, pending, forest = fps.view(np.uint64), len(keys), [], [], 0, []
+def _links(keys: np.ndarray, sides: np.ndarray, prints: np.ndarray, fresh_from: int, most: int, counted) -> np.ndarray:
+    """(first, second) rows of a forest, closest pairs first, of the linked pairs of equal keys in sorted rows.
+
+    Rows differ in ``most`` bits at most and ``counted``, if given, tells at which key a difference counts; rows
+    of sides 1 and 2 meet those of the other side alone. Of each pair the second is at ``fresh_from`` or later.
+    """
+    n, found, distances, pending = len(keys), [], [], 0
+    names = prints[:, 0] if prints.shape[1] == 1 else prints[:, 0] ^ prints[:, 1] * np.uint64(0x9E3779B97F4A7C15)
     left = np.arange(n)
+
+    def reduced() -> np.ndarray:
+        pairs = np.concatenate(found)
+        pairs = pairs[np.argsort(np.concatenate(distances), kind="stable")]
+        kept = _forest(list(zip(names[pairs[:, 0]].tolist(), names[pairs[:, 1]].tolist())))
+        return pairs[kept]
+
     for step in range(1, n):
         left = left[left + step < n]
         left = left[keys[left] == keys[left + step]]
         if not len(left):
             break
-        i = left[left + step >= fresh]
-        x = bits[i] ^ bits[i + step]
-        near = np.bitwise_count(x) <= MAX_BITS
-        i, x = i[near], x[near]
-        i = i[_counted_at(x) == keys[i] >> 22]
-        found_a.append(fps[i])
-        found_b.append(fps[i + step])
-        pending += len(i)
+        i = left[left + step >= fresh_from]
+        i = i[(sides[i] % 3 == 0) | (sides[i] != sides[i + step])]
+        x = prints[i] ^ prints[i + step]
+        bits = np.bitwise_count(x).sum(axis=1, dtype=np.int64)
+        near = bits <= most
+        i, x, bits = i[near], x[near], bits[near]
+        if counted is not None:
+            here = counted(x[:, 0]) == keys[i] >> 22
+            i, bits = i[here], bits[here]
+        if len(i):
+            found.append(np.stack([i, i + step], axis=1))
+            distances.append(bits)
+            pending += len(i)
         if pending > 200_000:
-            forest = _forest([*forest, *_pairs(found_a, found_b)])
-            found_a, found_b, pending = [], [], 0
-    return _forest([*forest, *_pairs(found_a, found_b)])
-
+            kept = reduced()
+            bits = np.bitwise_count(prints[kept[:, 0]] ^ prints[kept[:, 1]]).sum(axis=1, dtype=np.int64)
+            found, distances, pending = [kept], [bits], 0
+    return reduced() if found else np.empty((0, 2), np.int64)
 
-def _pairs(a: list[np.ndarray], b: list[np.ndarray]) -> list[tuple[int, int]]:
-    return list(zip(np.concatenate(a).tolist(), np.concatenate(b).tolist())) if a else []
 
+def _compare(words: int, most: int, counted, hot: int):
+    """A function for mapInArrow over rows (key, side, words...) sorted by key: (a..., b..., key) edges.
 
-def _scan_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by key; the last, unfinished key is carried over to the next batch."""
-    keys = fps = np.empty(0, np.int64)
-    for batch in batches:
-        fresh = len(keys)
-        keys = np.concatenate([keys, batch.column(0).to_numpy()])
-        fps = np.concatenate([fps, batch.column(1).to_numpy()])
-        forest = _links(keys, fps, fresh)
-        if forest:
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in forest], pa.int64()), pa.array([p[1] for p in forest], pa.int64())], names=["a", "b"])
-        open_from = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
-        keys, fps = keys[open_from:], fps[open_from:]
+    The last, unfinished key of a batch is carried over to the next one. A key with over ``hot`` rows of side 0
+    yields its rows with a null b instead. Rows of sides 1 and 2 are the two blocks of one comparison.
+    """
+    names = [*(f"a{i}" for i in range(words)), *(f"b{i}" for i in range(words)), "key"]
 
+    def rows(keys: np.ndarray, a: np.ndarray, b: np.ndarray | None) -> pa.RecordBatch:
+        left = [pa.array(np.ascontiguousarray(x).view(np.int64), pa.int64()) for x in a.T]
+        right = [pa.array(np.ascontiguousarray(x).view(np.int64), pa.int64()) for x in b.T] if b is not None else [pa.nulls(len(a), pa.int64())] * words
+        return pa.RecordBatch.from_arrays([*left, *right, pa.array(keys, pa.int64())], names=names)
 
-def linked_fingerprints(prints: DataFrame) -> DataFrame:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, sides, prints, spilled = np.empty(0, np.int64), np.empty(0, np.int32), np.empty((0, words), np.uint64), None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            fresh_from = len(keys)
+            keys = np.concatenate([keys, batch.column(0).to_numpy()])
+            sides = np.concatenate([sides, batch.column(1).to_numpy()])
+            prints = np.concatenate([prints, np.stack([batch.column(2 + i).to_numpy().view(np.uint64) for i in range(words)], axis=1)])
+            starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+            sizes = np.diff(np.append(starts, len(keys)))
+            large = np.repeat((sizes > hot) & (sides[starts] == 0) | (keys[starts] == spilled if spilled is not None else False), sizes)
+            spilled = int(keys[-1]) if large[-1] else None
+            if large.any():
+                yield rows(keys[large], prints[large], None)
+                fresh_from -= int(np.count_nonzero(large[:fresh_from]))
+                keys, sides, prints = keys[~large], sides[~large], prints[~large]
+            pairs = _links(keys, sides, prints, fresh_from, most, counted)
+            if len(pairs):
+                yield rows(keys[pairs[:, 0]], prints[pairs[:, 0]], prints[pairs[:, 1]])
+            open_from = int(np.searchsorted(keys, keys[-1])) if len(keys) and spilled is None else len(keys)
+            keys, sides, prints = keys[open_from:], sides[open_from:], prints[open_from:]
+
+    return scan, ", ".join(f"{x} long" for x in names)
+
+
+def linked(keyed: DataFrame, words: int, most: int, counted=None, hot: int | None = None) -> DataFrame:
+    """(a0, ..., b0, ...) edges whose components are those of all links among rows (key, p0, ...) of one key."""
+    hot = hot or HOT
+    spark, columns = keyed.sparkSession, [f"p{i}" for i in range(words)]
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    scan, schema = _compare(words, most, counted, hot)
+
+    def compared(rows: DataFrame, group: str) -> DataFrame:
+        dealt = rows.repartition(parts, group).sortWithinPartitions(group)
+        return dealt.select(group, "side", *columns).mapInArrow(scan, schema)
+
+    found = materialize(compared(keyed.select("key", F.lit(0).alias("side"), *columns), "key"), "links")
+    edges = found.filter("b0 IS NOT NULL").drop("key")
+    left = found.filter("b0 IS NULL").select("key", *[F.col(f"a{i}").alias(f"p{i}") for i in range(words)])
+    if not left.head(1):
+        return edges
+    # Blocks of about hot / 2 rows; every pair of blocks of a key is one group.
+    sizes = left.groupBy("key").agg(F.ceil(F.count("*") / (hot // 2)).cast("int").alias("blocks"))
+    rows = left.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64(*columns), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    side = F.when(F.col("own") == F.col("other"), 3).when(F.col("own") < F.col("other"), 1).otherwise(2)
+    group = ((F.col("key").bitwiseAND(F.lit(-1 << 22))) + F.pmod(F.xxhash64("key", low, high), F.lit(1 << 22))).cast("long")
+    return edges.unionByName(materialize(compared(rows.select(group.alias("pair"), side.alias("side"), *columns), "pair").drop("key"), "block-links"))
+
+
+def linked_fingerprints(prints: DataFrame, hot: int | None = None) -> DataFrame:
     """(a, b) edges whose components are those of all links; ``prints`` has distinct fp."""
-    rows = variant_keys(prints)
-    parts = max(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    dealt = rows.repartition(parts, "key").sortWithinPartitions("key")
-    return dealt.mapInArrow(_scan_groups, "a long, b long")
+    keyed = variant_keys(prints).select("key", F.col("fp").alias("p0"))
+    return linked(keyed, 1, MAX_BITS, _counted_at, hot).select(F.col("a0").alias("a"), F.col("b0").alias("b"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -184,13 +271,81 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return marked.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """``docs`` with the document of the smallest doc_id of each component; columns stay.
+def wide_keys(prints: DataFrame) -> DataFrame:
+    """(key, p0, p1): the 128 one-wildcard variants of eight 16-bit segments."""
+    keys = []
+    for place in range(128):
+        kept = 0xFFFF & ~(1 << place % 16)
+        segment = F.shiftrightunsigned("p0" if place < 64 else "p1", place % 64 // 16 * 16).bitwiseAND(F.lit(kept))
+        keys.append((F.lit(place << 22) + segment).cast("long"))
+    return prints.select(F.explode(F.array(*keys)).alias("key"), "p0", "p1")
+
+
+def shingle_set(text) -> F.Column:
+    """Distinct XXH64 of the WIDE_WIDTH-word shingles of a text; fewer words are one shingle."""
+    words = words_of(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    zipped = F.arrays_zip(*[p.alias(f"w{j}") for j, p in enumerate(rolling(words, WIDE_WIDTH))])
+    long = F.transform(zipped, lambda x: F.xxhash64(*[x[f"w{j}"] for j in range(WIDE_WIDTH)]))
+    return F.array_distinct(F.when(F.size(words) >= WIDE_WIDTH, long).otherwise(F.array(F.xxhash64(F.array_join(words, " ")))))
+
+
+def similar_documents(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, content, node, class) per row: ``content`` hashes the text, ``node`` the fingerprint, ``class`` the group.
 
-    Rows that repeat a doc_id stay together; rows with a null doc_id stay.
+    Candidates are tested by the exact similarity of their shingle sets. A class's closest candidate comes first;
+    what joins two texts that are in one class by then needs no test, so a family of n texts takes about n tests.
+    """
+    kind = dict(docs.dtypes)["doc_id"]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [wide_fingerprint(t.as_py()) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["doc_id", "content", "p0", "p1"])
+
+    content = F.xxhash64(text_of())
+    prints = docs.select("doc_id", "text", content.alias("content")).mapInArrow(scan, f"doc_id {kind}, content long, p0 long, p1 long")
+    marked = materialize(prints.withColumn("node", F.xxhash64("p0", "p1")), "wide-fingerprints")
+    nodes = materialize(marked.groupBy("node", "p0", "p1").agg(F.min("content").alias("content")), "nodes")
+    edges = linked(wide_keys(nodes.select("p0", "p1")), 2, WIDE_BITS)
+    bits = F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))) + F.bit_count(F.col("a1").bitwiseXOR(F.col("b1")))
+    u, v = F.xxhash64("a0", "a1"), F.xxhash64("b0", "b1")
+    untested = materialize(edges.select(F.least(u, v).alias("u"), F.greatest(u, v).alias("v"), bits.cast("int").alias("bits")).distinct(), "candidates")
+    wanted = untested.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes, "node").select("node", "content")
+    texts = docs.select(content.alias("content"), text_of().alias("text")).join(wanted, "content").dropDuplicates(["node"])
+    sets = materialize(texts.select("node", shingle_set(F.col("text")).alias("s")), "shingle-sets")
+    classes = materialize(wanted.select("node", F.col("node").alias("class")), "classes")
+    for step in range(CLOSEST_ROUNDS + 1):
+        left = untested.join(classes.select(F.col("node").alias("u"), F.col("class").alias("cu")), "u").join(classes.select(F.col("node").alias("v"), F.col("class").alias("cv")), "v")
+        untested = materialize(left.filter("cu <> cv").select("u", "v", "bits", "cu", "cv"), "untested")
+        if not untested.head(1):
+            break
+        chosen = untested
+        if step < CLOSEST_ROUNDS:
+            sided = untested.select(F.explode(F.array("cu", "cv")).alias("c"), F.struct("bits", "u", "v", "cu", "cv").alias("e"))
+            chosen = materialize(sided.groupBy("c").agg(F.min("e").alias("e")).select("e.*").distinct(), "chosen")
+        both = chosen.join(sets.select(F.col("node").alias("u"), F.col("s").alias("su")), "u").join(sets.select(F.col("node").alias("v"), F.col("s").alias("sv")), "v")
+        shared = F.size(F.array_intersect("su", "sv"))
+        alike = both.filter(shared >= similarity * (F.size("su") + F.size("sv") - shared) - 1e-9).select(F.col("cu").alias("u"), F.col("cv").alias("v"))
+        merged = components(alike).select(F.col("node").alias("class"), F.col("component").alias("into"))
+        classes = materialize(classes.join(merged, "class", "left").select("node", F.coalesce("into", "class").alias("class")), "classes")
+        untested = untested.join(chosen.select("u", "v"), ["u", "v"], "left_anti").select("u", "v", "bits")
+    return marked.join(classes, "node", "left").select("doc_id", "content", "node", F.coalesce("class", "node").alias("class"))
+
+
+def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """``docs`` with one document of each class of `similar_documents`; columns stay, whatever their names.
+
+    The document of the smallest doc_id stays (a null id is larger than any other), of several texts with that id
+    the one with the smallest hash. Rows that repeat both id and text are one document and stay together; texts
+    without a word, null included, are one class. An empty table gives an empty one.
     """
-    more = near_duplicates(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias("__copy")).distinct()
-    return docs.join(more, docs["doc_id"] == more["__copy"], "left_anti")
+    found = materialize(similar_documents(docs, similarity), "classes-of-rows")
+    first = found.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "content")).alias("first"))
+    more = found.join(first, "class").filter(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("content") == F.col("first.content"))))
+    mine, other = fresh(docs, "content"), fresh(docs, "copy")
+    copies = more.select(F.col("doc_id").alias(other), F.col("content").alias(f"{other}_content")).distinct()
+    rows = docs.withColumn(mine, F.xxhash64(text_of()))
+    return rows.join(copies, rows["doc_id"].eqNullSafe(copies[other]) & (rows[mine] == copies[f"{other}_content"]), "left_anti").drop(mine)
 
 
 def op10_simhash(spark, sf_dir: str) -> DataFrame:
