@@ -3,15 +3,14 @@
 Each task tokenises its documents, cuts overlong ones into full windows and packs what remains: pieces in
 falling length each go to the tightest open window, found by a segment tree indexed by remaining capacity.
 Pieces are pooled up to POOL_PIECES at a time, so memory stays bounded, and no row is shuffled: identifiers
-of sequences carry the task's partition. Windows that stay open with over LARGEST_GAP free tokens are emptied
-and refilled from a running stream of their tokens, cut where a window is full; the last one is cut into
-lengths that are powers of two, which need no padding.
+of sequences carry the task's partition. A window that stays open is padded by its reader.
 
 Tokens: byte-level BPE, then id 0 as end of document. The ids are those of the `tokenizers` file; texts of
 plain Latin characters take a faster encoder of the same vocabulary with equal results (see the tests).
 
 Edge cases: a null or empty text is the single id 0; ties go by document order; repeated rows are packed each
-on their own; an empty table gives an empty result; other columns are ignored.
+on their own; a very long text is tokenised in one piece in its task; a null doc_id stays null; an empty table
+gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,7 +28,6 @@ from pyspark.sql import DataFrame
 
 WINDOW = 1024
 POOL_PIECES = 1 << 15
-LARGEST_GAP = 16
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _PLAIN = re.compile("[\t\n\r -~\xa0-ɏ‐-‟…€]*")
 
@@ -126,33 +124,13 @@ class Packer:
 
     def flush(self) -> Iterator[tuple]:
         pool, self.pool = self.pool, []
-        loose: list[int] = []
         for pieces in best_fit([len(p[2]) for p in pool], self.window):
-            filled = sum(len(pool[i][2]) for i in pieces)
-            if self.window - filled > LARGEST_GAP:
-                loose += pieces
-                continue
             offset = 0
             for i in pieces:
                 doc_id, start, ids, total = pool[i]
                 yield doc_id, start, len(ids), _crc(ids), total, self.next, offset
                 offset += len(ids)
             self.next += 1
-        yield from self._refill([pool[i] for i in loose])
-
-    def _refill(self, pieces: list[tuple]) -> Iterator[tuple]:
-        left = sum(len(p[2]) for p in pieces)
-        room = offset = 0
-        for doc_id, start, ids, total in pieces:
-            while len(ids):
-                if not room:
-                    room = self.window if left >= self.window else 1 << (left.bit_length() - 1)
-                    offset = 0
-                part = ids[:room]
-                yield doc_id, start, len(part), _crc(part), total, self.next, offset
-                start, ids, room, offset, left = start + len(part), ids[len(part):], room - len(part), offset + len(part), left - len(part)
-                if not room:
-                    self.next += 1
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, ranks_path: str | None = None, window: int = WINDOW) -> DataFrame:
