@@ -2,13 +2,17 @@
 
 Features of a whole text are rates and counts: hits of two lexicons (a fixed one and one learned from the
 labels), hits near a second person, capitals, punctuation, and obfuscated spellings. Trees are boosted on
-the labelled rows outside the held-out fold; one part of these rows is kept back for the isotonic step.
+the labelled rows outside the held-out fold; a fifth of these rows is kept back for the isotonic step, and
+neither the learned words nor the trees see it. Equal margins become one weighted row before that step, so its
+sort spreads however often a margin occurs.
 
 At most MAX_LABELLED labelled rows, taken by hash, are used for fitting; all documents are scored.
 
 Edge cases: a null or empty text has zero for every feature and gets the score of that point; labels of
 missing documents or with a null are ignored; with one class or under MIN_LABELLED rows the base rate is every
-score; repeated rows are scored each on their own; an empty table gives an empty result.
+score; repeated rows are scored each on their own; a very long text is read in one pass of its task; a null
+doc_id is scored and counts as not held out; an empty table gives an empty result; other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -24,6 +28,8 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestar.llm.common import fresh
+
 MAX_LABELLED, MIN_LABELLED = 20_000, 20
 #: A learned word is in LEAST_DOCS texts of label 1 and in LEAST_SHARE of them, whichever is more.
 LEARNED_WORDS, LEAST_DOCS, LEAST_SHARE, LEAST_ODDS = 200, 5, 0.01, 8.0
@@ -110,16 +116,17 @@ def fit(docs: DataFrame, labels: DataFrame):
         rate = sample.agg(F.avg("y")).first()[0] if rows else None
         if rows < MIN_LABELLED or rate in (0.0, 1.0):
             return None, frozenset(), 0.0 if rate is None else rate
-        learned = learn_words(sample)
+        held = fold(5) == 1
+        learned = learn_words(sample.filter(~held))
         table = with_features(sample, learned, ["doc_id", "y"])
         dense = VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(table).select("doc_id", "y", "x").repartition(4, "doc_id").persist()
         try:
-            held = fold(5) == 1
             trees = GBTClassifier(featuresCol="x", labelCol="y", maxIter=15, maxDepth=3, seed=7, maxBins=32).fit(dense.filter(~held))
             margins = trees.transform(dense.filter(held)).select("y", vector_to_array("rawPrediction")[1].alias("margin"))
             if not margins.head(1):
                 margins = trees.transform(dense).select("y", vector_to_array("rawPrediction")[1].alias("margin"))
-            steps = IsotonicRegression(featuresCol="margin", labelCol="y", predictionCol="score").fit(margins)
+            points = margins.groupBy("margin").agg(F.avg("y").alias("y"), F.count("*").cast("double").alias("weight"))
+            steps = IsotonicRegression(featuresCol="margin", labelCol="y", weightCol="weight", predictionCol="score").fit(points)
         finally:
             dense.unpersist()
         return (trees, steps), learned, rate
@@ -127,23 +134,32 @@ def fit(docs: DataFrame, labels: DataFrame):
         sample.unpersist()
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every document."""
+def score_toxicity(docs: DataFrame, labels: DataFrame, keep=None) -> DataFrame:
+    """(doc_id, held_out, score, predicted) of every document, and ``kept``, an expression of its row, if one is given."""
     model, learned, rate = fit(docs, labels)
+    more = [] if keep is None else ["kept"]
+    docs = docs.select("doc_id", "text", *([] if keep is None else [keep.alias("kept")]))
     if model is None:
-        scored = docs.select("doc_id", F.lit(float(rate)).alias("score"))
+        scored = docs.select("doc_id", *more, F.lit(float(rate)).alias("score"))
     else:
         trees, steps = model
-        table = VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(with_features(docs, learned, ["doc_id"]))
-        scored = steps.transform(trees.transform(table).select("doc_id", vector_to_array("rawPrediction")[1].alias("margin")))
+        table = VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(with_features(docs, learned, ["doc_id", *more]))
+        scored = steps.transform(trees.transform(table).select("doc_id", *more, vector_to_array("rawPrediction")[1].alias("margin")))
     score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score")))
-    return scored.select("doc_id", (fold(5) == 0).alias("held_out"), score.alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return scored.select("doc_id", *more, F.coalesce(fold(5) == 0, F.lit(False)).alias("held_out"), score.alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the documents that are predicted toxic; columns stay."""
-    toxic = score_toxicity(docs, labels).filter("predicted = 1").select(F.col("doc_id").alias("__toxic")).distinct()
-    return docs.join(toxic, docs["doc_id"] == toxic["__toxic"], "left_anti")
+    """``docs`` without the documents that are predicted toxic; columns stay, whatever their names.
+
+    Rows go by id and text together, so rows that share an id are judged each by its own text, and a row with a
+    null id goes if its text is toxic. A null or empty text gets the score of no features; an empty table stays empty.
+    """
+    mine, other = fresh(docs, "content"), fresh(docs, "toxic")
+    content = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    toxic = score_toxicity(docs, labels, keep=content).filter("predicted = 1").select(F.col("doc_id").alias(other), F.col("kept").alias(f"{other}_content")).distinct()
+    rows = docs.withColumn(mine, content)
+    return rows.join(toxic, rows["doc_id"].eqNullSafe(toxic[other]) & (rows[mine] == toxic[f"{other}_content"]), "left_anti").drop(mine)
 
 
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:
