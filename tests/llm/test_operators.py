@@ -106,17 +106,37 @@ def test_tricky_secrets(spark):
         assert hashlib.sha256(joined.encode()).hexdigest() == secrets(TRICKY[r["doc_id"]])[3]
 
 
-def test_ledger_scans_only_unseen(spark):
+def test_ledger_scans_only_unseen(spark, tmp_path):
+    """Two histories and three sets of rules: a triple is scanned once, findings of all of them reach all paths."""
     frame = spark.createDataFrame([(i, t) for i, t in enumerate(TRICKY) if t], "doc_id long, text string")
-    blobs = secret_ledger.distinct_blobs(frame)
-    findings, ledger = secret_ledger.scan_blobs(blobs)
-    assert ledger.count() == blobs.count() * len(secret_ledger.RULES)
-    known = common.materialize(ledger, "ledger")
-    again, fresh = secret_ledger.scan_blobs(blobs, known)
-    assert findings.count() and not again.count() and not fresh.count()
-    part = known.filter("rule <> 'hex'")
-    again, fresh = secret_ledger.scan_blobs(blobs, part)
-    assert {r["kind"] for r in again.collect()} == {"hex"} and fresh.count() == blobs.count()
+    ledger = secret_ledger.Ledger(spark, str(tmp_path))
+    assert ledger.read("findings").count() == 0
+    ledger.add(frame.filter("doc_id < 4"))
+    base = [r for r in secret_ledger.RULES if r.kind in secret_ledger.BASE_KINDS]
+    assert ledger.scan(base) == base and ledger.scan(base) == []
+    assert ledger.read("ledger").count() == 3 * ledger.read("blobs").count() == 12
+    assert ledger.scan(secret_ledger.RULES) == list(secret_ledger.RULES[3:])
+    ledger.add(frame.unionByName(frame))
+    ledger.add(frame)
+    assert ledger.read("blobs").count() == frame.count()
+    assert len(ledger.scan(secret_ledger.RULES)) == len(secret_ledger.RULES) and ledger.scan(secret_ledger.RULES) == []
+    rows = ledger.read("ledger")
+    assert rows.count() == rows.distinct().count() == frame.count() * len(secret_ledger.RULES)
+    newer = [*base[:2], secret_ledger.SecretRule("hex", "[0-9a-f]{30,}", version=2)]
+    assert ledger.scan(newer) == newer[2:]
+    found = ledger.read("findings")
+    assert found.count() == found.distinct().count()
+    for r in secret_ledger.find_secrets(frame, folder=str(tmp_path)).collect():
+        joined = ",".join(f"{x['kind']}:{x['start']}:{x['end']}" for x in r["found"] if x["kind"] in secret_ledger.BASE_KINDS)
+        assert hashlib.sha256(joined.encode()).hexdigest() == secrets(TRICKY[r["doc_id"]])[3]
+
+
+def test_the_stored_findings_are_the_result(spark, tmp_path):
+    """What the ledger says was scanned is not scanned again: without its findings there are none."""
+    frame = spark.createDataFrame([(1, "token=abcdefg")], "doc_id long, text string")
+    blobs = secret_ledger.distinct_blobs(frame).select("blob")
+    blobs.crossJoin(spark.createDataFrame([(r.kind, r.version) for r in secret_ledger.RULES], "rule string, version int")).write.parquet(str(tmp_path / "ledger"))
+    assert secret_ledger.find_secrets(frame, folder=str(tmp_path)).first()["found"] == []
 
 
 def test_redaction(spark):
@@ -223,7 +243,11 @@ def test_toxicity(spark):
     got = QUERIES["op5_toxicity"](spark, sf).toPandas()
     labels = pd.read_parquet(f"{sf}/labels.parquet").merge(got, on="doc_id")
     held = labels[labels.held_out]
-    assert (held.predicted == held.toxic).mean() > 0.9 and got.score.between(0, 1).all()
+    ranks = held.score.rank()
+    positive, n = held.toxic == 1, len(held)
+    auc = (ranks[positive].sum() - positive.sum() * (positive.sum() + 1) / 2) / (positive.sum() * (n - positive.sum()))
+    # Some labels of 1 stand on texts without any sign of it, so recall cannot reach 1.
+    assert auc > 0.75 and held[positive].predicted.mean() > 0.6 and held[~positive].predicted.mean() < 0.03 and got.score.between(0, 1).all()
     assert all(r.held_out == (fold(r.doc_id, 5) == 0) and r.predicted == (r.score >= 0.5) for r in got.itertuples())
 
 
@@ -272,6 +296,16 @@ def test_quality(result, docs):
         assert not (failed and r.kept)
 
 
+def test_cascade_order_is_that_of_rejection_per_cost(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(60)) + (" $" * 30 if i % 2 else "")) for i in range(40)], "doc_id long, text string")
+    cheap, dear, idle = quality.Rule("z_cheap", "n_symbols > 20"), quality.Rule("a_dear", "n_symbols > 20", "length(text)"), quality.Rule("b_idle", "n_words < 0")
+    for _ in range(3):
+        assert [r.name for r in quality.plan_cascade(docs, (dear, idle, cheap))] == ["z_cheap", "a_dear", "b_idle"]
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    orders = {tuple(r.name for r in quality.plan_cascade(table.repartition(n))) for n in (1, 3, 7)}
+    assert len(orders) == 1
+
+
 def test_cascade_order_never_changes_the_verdict(spark):
     measured = quality.measure(spark.read.parquet(f"{SF}/documents.parquet")).persist()
     verdicts = [sorted(map(tuple, quality.apply_cascade(measured, rules).select("doc_id", "kept").collect())) for rules in (list(quality.RULES), list(quality.RULES)[::-1])]
@@ -305,6 +339,34 @@ def test_contamination_at_the_threshold(spark):
     assert got == {(1, 9): 16, (1, 10): 16, (4, 9): 20, (4, 10): 20}
 
 
+def test_contamination_of_repeated_null_and_short_rows(spark, monkeypatch):
+    words = [f"w{i}" for i in range(10)]  # 6 shingles
+    hot = "very common words stand here in every text "
+    rows = [(None, " ".join(words)), (7, " ".join(words[:6])), (7, " ".join(words[3:])), (8, hot * 3 + " ".join(words)), (8, hot * 3 + " ".join(words)), (9, hot), (1, "one Short item! two"), (2, "short one item")]
+    docs = spark.createDataFrame([(*r, "x", "y") for r in rows], "doc_id long, text string, item string, text_sha string").repartition(3)
+    items = spark.createDataFrame([(1, " ".join(words)), (None, hot + "in"), (3, "short item"), (4, ""), (5, "?")], "item_id long, text string")
+    got = sorted((r["doc_id"] or 0, r["item_id"] or 0, r["n_shared"]) for r in decontam.contained_items(docs, items).collect())
+
+    def cut(text):
+        w = [x for x in re.split(r"\W+", text.lower()) if x]
+        return w
+
+    expected = []
+    for i, t in rows:
+        for k, q in ((1, " ".join(words)), (0, hot + "in"), (3, "short item")):
+            a, b = cut(t), cut(q)
+            n = min(5, len(b))
+            item = {tuple(b[j:j + n]) for j in range(len(b) - n + 1)}
+            shared = item & {tuple(a[j:j + n]) for j in range(len(a) - n + 1)}
+            if len(shared) >= 0.8 * len(item) - 1e-9:
+                expected.append((i or 0, k, len(shared)))
+    assert got == sorted(expected) and (1, 3, 1) in got and (0, 1, 6) in got and not any(x[:2] == (7, 1) for x in got)
+    kept = decontam.decontaminate(docs, items)
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, t in rows if i and not any(e[0] == i for e in expected))
+    monkeypatch.setattr(decontam, "item_sketches", lambda s, t: s.select("item", "h").limit(0))
+    assert decontam.contained_items(docs, items).count() == 0  # the sketches are the only way in
+
+
 # 9
 
 
