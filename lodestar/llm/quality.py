@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import SPACE_CHARS, rolling, text_of, words_of
+from lodestar.llm.common import SPACE_CHARS, materialize, rolling, text_of, words_of
 
 #: Rows on which costs and rejections are estimated; the sample is drawn over the whole table.
 SAMPLE_ROWS = 2000
@@ -88,7 +88,7 @@ def plan_cascade(docs: DataFrame, rules=RULES, sample_rows: int = SAMPLE_ROWS) -
     if not total:
         return list(rules)
     share = int(min(1.0, sample_rows / total) * 1_000_000)
-    sample = docs.filter(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), text_of()), F.lit(1_000_000)) < share)
+    sample = materialize(docs.select("doc_id", "text").filter(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), text_of()), F.lit(1_000_000)) < share), "sample")
     figures = [F.struct(F.count_if(F.coalesce(F.expr(r.rejects), F.lit(False))).alias("rejected"), F.coalesce(F.avg(F.expr(r.work)), F.lit(1.0)).alias("cost")) for r in rules]
     row = measure(sample).filter("NOT base_failed").agg(*[f.alias(f"r{i}") for i, f in enumerate(figures)]).first()
     return [rule for _, _, rule in sorted(((-row[i]["rejected"] / row[i]["cost"], r.name, r) for i, r in enumerate(rules)), key=lambda x: x[:2])]
