@@ -26,32 +26,40 @@ def trace_features(spans: DataFrame) -> DataFrame:
     return spans.groupBy("trace_id").agg(F.count("*").cast("long").alias("span_count"), F.array_join(services, ";").alias("services"), F.size(services).cast("long").alias("n_services"))
 
 
-def nearest_selected_ancestor(spans: DataFrame, rounds: int) -> DataFrame:
+def nearest_selected_ancestor(spans: DataFrame) -> DataFrame:
     """(trace_id, span_id, ancestor): parents contracted to the nearest selected span, null at the top.
 
-    Pointer steps past unselected parents, at most ``rounds`` of them; each is one join on the span's key.
+    Every unselected span's pointer passes over the unselected spans above it and doubles its reach each round,
+    so the depth costs its logarithm. Raises on a cycle of unselected parents. Building the query runs the rounds.
     """
-    ups = spans.select(F.col("trace_id").alias("ut"), F.col("span_id").alias("us"), F.col("selected").alias("up_selected"), F.col("parent_id").alias("up_parent"))
-    at = spans.filter("selected").select("trace_id", "span_id", F.col("parent_id").alias("ancestor"))
-    for _ in range(rounds):
-        step = at.join(ups, (at["trace_id"] == ups["ut"]) & (at["ancestor"] == ups["us"]), "left")
-        skip = F.col("us").isNotNull() & ~F.col("up_selected")
-        at = step.select("trace_id", "span_id", F.when(skip, F.col("up_parent")).when(F.col("us").isNotNull(), F.col("ancestor")).alias("ancestor"))
-    return at
-
-
-def closure(edges: DataFrame, rounds: int) -> DataFrame:
-    """(a, b): all pairs with a path of at most 2^rounds edges, by repeated squaring; stops when nothing is added."""
+    ups = settle(spans.filter(~F.col("selected")).select(F.col("trace_id").alias("ut"), F.col("span_id").alias("us"), F.col("parent_id").alias("up")))
+    for _ in range(64):
+        above = ups.select(F.col("ut").alias("at"), F.col("us").alias("as"), F.col("up").alias("above"))
+        step = ups.join(above, (F.col("ut") == F.col("at")) & (F.col("up") == F.col("as")), "left")
+        moved = step.withColumn("moves", F.col("as").isNotNull())
+        ups = settle(moved.select("ut", "us", F.when(F.col("moves"), F.col("above")).otherwise(F.col("up")).alias("up"), "moves"))
+        if not ups.filter("moves").head(1):
+            break
+        ups = ups.drop("moves")
+    else:
+        raise ValueError("a cycle of unselected parents")
+    ids = spans.filter("selected").select(F.col("trace_id").alias("it"), F.col("span_id").alias("id"))
+    at = spans.filter("selected").select("trace_id", "span_id", "parent_id")
+    at = at.join(ups.select("ut", "us", "up"), (F.col("trace_id") == F.col("ut")) & (F.col("parent_id") == F.col("us")), "left")
+    at = at.select("trace_id", "span_id", F.when(F.col("us").isNotNull(), F.col("up")).otherwise(F.col("parent_id")).alias("ancestor"))
+    known = at.join(ids, (F.col("trace_id") == F.col("it")) & (F.col("ancestor") == F.col("id")), "left")
+    return known.select("trace_id", "span_id", F.col("id").alias("ancestor"))
+
+
+def closure(edges: DataFrame) -> DataFrame:
+    """(a, b): all pairs with a path, by repeated squaring until nothing is added; building the query runs the rounds."""
     reach = settle(edges.select("a", "b").distinct())
-    before = reach.count()
-    for _ in range(rounds):
+    before = -1
+    while (after := reach.count()) != before:
+        before = after
         x, y = reach.alias("x"), reach.alias("y")
         longer = x.join(y, F.col("x.b") == F.col("y.a")).select(F.col("x.a").alias("a"), F.col("y.b").alias("b"))
         reach = settle(reach.unionByName(longer).distinct())
-        after = reach.count()
-        if after == before:
-            break
-        before = after
     return reach
 
 

@@ -42,11 +42,16 @@ def paired_contrast(rows: DataFrame, keys: list[str], method: str, proposed: str
     return rows.groupBy(*keys).agg(pick(proposed).alias("a"), pick(comparator).alias("b")).filter("a IS NOT NULL AND b IS NOT NULL").withColumn("difference", F.col("a") - F.col("b"))
 
 
-def sign_flip(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Exact two-sided paired randomisation test over all sign patterns of at most 16 differences."""
-    listed = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(value)).alias("d")).filter(F.size("d") <= 16)
+def sign_flip(rows: DataFrame, keys: list[str], value: str, most: int = 16) -> DataFrame:
+    """(keys, n, p, status): exact two-sided paired randomisation test over all sign patterns of a group.
+
+    A group of over ``most`` differences is not enumerated; it keeps its row, with a null p and status 'unsupported'.
+    """
+    sizes = rows.groupBy(*keys).agg(F.count(value).alias("n"))
+    fitting = rows.join(sizes.filter(F.col("n") <= most).select(*keys), keys, "left_semi")
+    listed = fitting.groupBy(*keys).agg(F.sort_array(F.collect_list(value)).alias("d")).filter(F.size("d") > 0)
     states = listed.withColumn("state", F.explode(F.expr("sequence(0, shiftleft(1, size(d)) - 1)")))
     flipped = F.aggregate(F.transform("d", lambda x, i: F.struct(x.alias("x"), i.alias("i"))), F.lit(0.0), lambda a, e: a + F.when(F.call_function("getbit", F.col("state"), e["i"]) == 1, e["x"]).otherwise(-e["x"]))
     seen = F.aggregate("d", F.lit(0.0), lambda a, x: a + x)
-    tested = states.select(*keys, F.size("d").cast("long").alias("n"), (F.abs(flipped) >= F.abs(seen) - 1e-9).alias("hit"))
-    return tested.groupBy(*keys, "n").agg((F.count_if("hit") / F.count("*")).alias("p"))
+    tested = states.select(*keys, (F.abs(flipped) >= F.abs(seen) - 1e-9).alias("hit")).groupBy(*keys).agg((F.count_if("hit") / F.count("*")).alias("p"))
+    return sizes.join(tested, keys, "left").select(*keys, "n", "p", F.when(F.col("p").isNull(), "unsupported").otherwise("supported").alias("status"))

@@ -6,9 +6,11 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestar.functions.lineage import settle
+
 
 def incomplete_beta(a: float, b: float, x: float) -> float:
     """Regularised incomplete beta function by its continued fraction."""
@@ -61,19 +63,54 @@ def clopper_pearson(successes: Column, trials: Column, confidence: float = 0.95,
 
 
 def bootstrap_mean(rows: DataFrame, key: str, value: str, draws: int = 1000, seed: int = 7, block: int = 1) -> DataFrame:
-    """Percentile interval of the mean per group; ``block`` > 1 resamples circular blocks in the order of t."""
-
-    def resample(name: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values("t")[value].to_numpy()
-        rng, n = np.random.default_rng([seed, int(pdf["s"].iloc[0])]), len(x)
-        starts = rng.integers(0, n, size=(draws, -(-n // block)))
-        at = ((starts[:, :, None] + np.arange(block)) % n).reshape(draws, -1)[:, :n]
-        low, high = np.quantile(x[at].mean(axis=1), [0.025, 0.975])
-        return pd.DataFrame({key: [name[0]], "n": [n], "mean": [x.mean()], "lower": [low], "upper": [high]})
-
+    """(key, n, mean, lower, upper): percentile interval of the mean per key; ``block`` > 1 keeps runs of rows together.
+
+    Poisson bootstrap: in every draw each block of ``block`` rows in the order of t counts a Poisson(1) number of
+    times, by a hash of draw, key and block, and a task adds its rows' weighted sums and weights to one array of
+    ``draws`` pairs a key. Only these arrays are shuffled, so a key of any size spreads over all tasks. Rows of a
+    null value are left out; a draw without any row is left out of the quantiles.
+    """
+    kept = rows.filter(F.col(value).isNotNull()).select(key, "t", F.col(value).cast("double").alias("v"))
+    if block > 1:
+        # Places within a key come from a range-partitioned sort, not from one window per key.
+        spread = kept.repartitionByRange(key, "t", F.xxhash64("v")).sortWithinPartitions(key, "t", "v").withColumn("part", F.spark_partition_id())
+        spread = settle(spread.withColumn("id", F.monotonically_increasing_id()))
+        before = spread.groupBy(key, "part").agg(F.count("*").alias("c"), F.min("id").alias("first"))
+        ahead = F.coalesce(F.sum("c").over(Window.partitionBy(key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        offsets = before.select(key, "part", "first", ahead.alias("ahead"))
+        unit = spread.join(F.broadcast(offsets), [key, "part"]).select(key, "v", F.floor((F.col("id") - F.col("first") + F.col("ahead")) / block).alias("unit"))
+    else:
+        unit = kept.select(key, "v", F.xxhash64("t", "v").alias("unit"))
     kind = dict(rows.dtypes)[key]
-    seeded = rows.select(key, "t", value, F.crc32(F.col(key).cast("string")).alias("s"))
-    return seeded.groupBy(key).applyInPandas(resample, f"{key} {kind}, n long, mean double, lower double, upper double")
+    limits = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
+
+    def draw(batches):
+        for batch in batches:
+            names = pd.util.hash_pandas_object(batch[key], index=False).to_numpy() ^ np.uint64(seed)
+            units = batch["unit"].to_numpy().astype(np.uint64)
+            codes, found = pd.factorize(batch[key], use_na_sentinel=False)
+            v, out = batch["v"].to_numpy(), np.zeros((len(found), 2, draws))
+            for at in range(0, len(batch), 2048):
+                state = (units[at:at + 2048] * np.uint64(0x9E3779B97F4A7C15) ^ names[at:at + 2048])[:, None] + np.arange(1, draws + 1, dtype=np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
+                state = (state ^ state >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+                state = (state ^ state >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+                w = np.searchsorted(limits, (state >> np.uint64(11)) * 2.0**-53).astype(float)
+                order = np.argsort(codes[at:at + 2048], kind="stable")
+                own = codes[at:at + 2048][order]
+                first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+                out[own[first], 0] += np.add.reduceat(w[order] * v[at:at + 2048][order, None], first, axis=0)
+                out[own[first], 1] += np.add.reduceat(w[order], first, axis=0)
+            sizes = np.bincount(codes, minlength=len(found))
+            yield pd.DataFrame({key: found, "n": sizes, "s": np.bincount(codes, v, len(found)), "sums": list(out[:, 0]), "weights": list(out[:, 1])})
+
+    def total(name: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        sums, weights = np.sum(np.stack(pdf["sums"].to_list()), axis=0), np.sum(np.stack(pdf["weights"].to_list()), axis=0)
+        low, high = np.quantile(sums[weights > 0] / weights[weights > 0], [0.025, 0.975]) if (weights > 0).any() else (None, None)
+        n = int(pdf["n"].sum())
+        return pd.DataFrame({key: [name[0]], "n": [n], "mean": [pdf["s"].sum() / n], "lower": [low], "upper": [high]})
+
+    partial = unit.mapInPandas(draw, f"{key} {kind}, n long, s double, sums array<double>, weights array<double>")
+    return partial.groupBy(key).applyInPandas(total, f"{key} {kind}, n long, mean double, lower double, upper double")
 
 
 def fisher(a: Column, b: Column, c: Column, d: Column) -> Column:

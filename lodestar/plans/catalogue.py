@@ -134,11 +134,11 @@ def dnf_probability(spark, d):
 
 
 @query("""WITH f AS (SELECT n_regionkey AS family, count(*) AS size, avg(CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END) AS p FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1),
-  k AS (SELECT family, round_even(4 * p, 0)::INT AS kk FROM f), s AS (SELECT i, bit_count(i::INT)::INT AS ones, ((i & 3) > 0 AND (i & 12) > 0)::INT AS ok FROM range(16) t(i))
+  k AS (SELECT family, greatest(round_even(4 * p, 0)::INT, (p > 0)::INT) AS kk FROM f), s AS (SELECT i, bit_count(i::INT)::INT AS ones, ((i & 3) > 0 AND (i & 12) > 0)::INT AS ok FROM range(16) t(i))
   SELECT family, kk AS failures, round(avg(1.0 - ok), 8) AS failure_share FROM k JOIN s ON ones = kk GROUP BY ALL""")
 def fixed_count_law(spark, d):
     o = _table(spark, d, "orders").join(_table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(_table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    k = o.groupBy(F.col("n_regionkey").alias("family")).agg(F.avg((F.col("o_orderstatus") == "F").cast("double")).alias("p")).select("family", F.bround(4 * F.col("p"), 0).cast("int").alias("failures"))
+    k = o.groupBy(F.col("n_regionkey").alias("family")).agg(F.avg((F.col("o_orderstatus") == "F").cast("double")).alias("p")).select("family", F.greatest(F.bround(4 * F.col("p"), 0).cast("int"), (F.col("p") > 0).cast("int")).alias("failures"))
     states = law.state_table(spark, ["s0", "s1", "s2", "s3"]).withColumn("ones", F.bit_count("id").cast("int"))
     ok = (F.col("s0") | F.col("s1")) & (F.col("s2") | F.col("s3"))
     return k.join(F.broadcast(states), F.col("failures") == F.col("ones")).groupBy("family", "failures").agg(_r(F.avg(1.0 - ok.cast("double"))).alias("failure_share"))
@@ -298,7 +298,7 @@ def trace_features(spark, d):
   SELECT up.trace_id, up.span_id, c.parent_id AS pos FROM up JOIN calls c ON c.trace_id = up.trace_id AND c.span_id = up.pos WHERE c.l_returnflag = 'N'), ends AS (SELECT trace_id, span_id, min(pos) AS pos FROM up GROUP BY ALL)
   SELECT l.trace_id, l.span_id, c.span_id AS ancestor FROM ends l LEFT JOIN calls c ON c.trace_id = l.trace_id AND c.span_id = l.pos""")
 def parent_contraction(spark, d):
-    return graph.nearest_selected_ancestor(_calls(spark, d).withColumn("selected", F.col("l_returnflag") != "N"), 8)
+    return graph.nearest_selected_ancestor(_calls(spark, d).withColumn("selected", F.col("l_returnflag") != "N"))
 
 
 def _nation_edges(spark, d):
@@ -313,12 +313,12 @@ _NATION_EDGES = """e AS (SELECT c_nationkey % 25 AS a, (o_orderkey % 25)::INT AS
 
 @query(f"WITH RECURSIVE {_NATION_EDGES} SELECT a, b FROM r")
 def reachability(spark, d):
-    return graph.closure(_nation_edges(spark, d), 5)
+    return graph.closure(_nation_edges(spark, d))
 
 
 @query(f"WITH RECURSIVE {_NATION_EDGES} SELECT x.a AS node, min(x.b) AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY 1")
 def scc_pairs(spark, d):
-    return graph.strong_components(graph.closure(_nation_edges(spark, d), 5))
+    return graph.strong_components(graph.closure(_nation_edges(spark, d)))
 
 
 @query(f"""WITH {_CALLS}, w AS (SELECT trace_id, string_agg(service % 5, ',' ORDER BY t, span_id) AS word FROM calls GROUP BY trace_id) SELECT word, count(*) AS traces FROM w GROUP BY word""")
@@ -442,8 +442,9 @@ def decision_regret(spark, d):
 
 
 @query(f"""WITH {_METHODS}, m AS (SELECT stratum, campaign, round(avg(a - b), 12) AS x FROM con GROUP BY ALL), l AS (SELECT stratum, list(x ORDER BY x) AS xs, count(*) AS n FROM m GROUP BY stratum),
-  f AS (SELECT stratum, n, abs(list_sum(list_transform(range(0, n), lambda i: CASE WHEN (st >> i) & 1 = 1 THEN xs[i + 1] ELSE -xs[i + 1] END))) >= abs(list_sum(xs)) - 1e-9 AS hit FROM l, range(65536) t(st) WHERE st < (1 << n))
-  SELECT stratum, n, round(count(*) FILTER (WHERE hit) / count(*)::DOUBLE, 8) AS p FROM f GROUP BY ALL""")
+  f AS (SELECT stratum, n, abs(list_sum(list_transform(range(0, n), lambda i: CASE WHEN (st >> i) & 1 = 1 THEN xs[i + 1] ELSE -xs[i + 1] END))) >= abs(list_sum(xs)) - 1e-9 AS hit FROM l, range(65536) t(st) WHERE n <= 16 AND st < (1 << least(n, 16))),
+  g AS (SELECT stratum, round(count(*) FILTER (WHERE hit) / count(*)::DOUBLE, 8) AS p FROM f GROUP BY ALL)
+  SELECT stratum, n, p, CASE WHEN p IS NULL THEN 'unsupported' ELSE 'supported' END AS status FROM l LEFT JOIN g USING (stratum)""")
 def exact_sign_flip(spark, d):
     found = scoring.paired_contrast(_methods(spark, d), ["stratum", "campaign", "operation"], "method", "smooth", "plain", "brier")
     means = found.groupBy("stratum", "campaign").agg(_r(F.avg("difference"), 12).alias("x"))
@@ -624,3 +625,7 @@ def whitelist_maps(spark, d):
     pairs = F.map_filter(F.map_from_entries(F.collect_list(F.struct("o_orderstatus", "n"))), lambda k, _: k.rlike("^[A-Z]$"))
     listed = F.transform(F.array_sort(F.map_entries(pairs)), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
     return r.groupBy(F.col("o_orderpriority").alias("operation")).agg(F.array_join(listed, ";").alias("reasons"), F.sum("n").alias("absent"))
+
+
+# The queries of the per-request evidence register themselves here.
+from lodestar.plans import evidence_queries as _evidence_queries  # noqa: E402, F401

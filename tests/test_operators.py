@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestar.functions.expr import bool_lenient, bool_strict
-from lodestar.operators import graph, identify, law, sequence, stats, timejoin, validate
+from lodestar.operators import graph, identify, law, scoring, sequence, stats, timejoin, validate
 from lodestar.sources import traces
 from lodestar.streaming import health
 
@@ -65,7 +65,7 @@ def test_episodes(spark):
 
 def test_strong_components(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (5, 4), (6, 7)], "a int, b int")
-    assert {r["node"]: r["component"] for r in graph.strong_components(graph.closure(edges, 4)).collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4}
+    assert {r["node"]: r["component"] for r in graph.strong_components(graph.closure(edges)).collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4}
 
 
 def test_statistics():
@@ -139,3 +139,54 @@ def test_streaming_equals_batch(spark, tmp_path):
     run.processAllAvailable()
     run.stop()
     assert {r["start"]: (r["n"], r["mean"]) for r in spark.table("means").collect()} == batch
+
+
+def test_contraction_passes_any_number_of_unselected_parents(spark):
+    chain = [(1, i, i - 1 or None, i in (1, 12)) for i in range(1, 41)] + [(2, 5, 4, True)]
+    got = {(r["trace_id"], r["span_id"]): r["ancestor"] for r in graph.nearest_selected_ancestor(spark.createDataFrame(chain, "trace_id int, span_id int, parent_id int, selected boolean")).collect()}
+    assert got == {(1, 1): None, (1, 12): 1, (2, 5): None}
+    with pytest.raises(ValueError):
+        graph.nearest_selected_ancestor(spark.createDataFrame([(1, 1, 2, False), (1, 2, 1, False), (1, 3, 1, True)], "trace_id int, span_id int, parent_id int, selected boolean")).collect()
+
+
+def test_closure_of_a_long_path(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "a int, b int")
+    assert graph.closure(edges).count() == 40 * 41 // 2
+
+
+def test_sign_flip_keeps_large_groups(spark):
+    rows = spark.createDataFrame([("big", float(i)) for i in range(17)] + [("small", 1.0), ("small", 2.0)], "g string, x double")
+    got = {r["g"]: (r["n"], r["p"], r["status"]) for r in scoring.sign_flip(rows, ["g"], "x").collect()}
+    assert got == {"big": (17, None, "unsupported"), "small": (2, 0.5, "supported")}
+
+
+def test_bootstrap_intervals(spark):
+    """Mean and width follow the normal approximation; blocks of equal values widen it; a hot key is one row like any other."""
+    rng = np.random.default_rng(0)
+    x, runs = rng.normal(5, 2, 4000), np.repeat(rng.normal(5, 2, 500), 8)
+    rows = [("hot", i, float(v)) for i, v in enumerate(x)] + [("runs", i, float(v)) for i, v in enumerate(runs)] + [("one", 0, 3.0), ("none", 0, None)]
+    frame = spark.createDataFrame(rows, "k string, t long, v double").repartition(5)
+    got = {r["k"]: r for r in stats.bootstrap_mean(frame, "k", "v").collect()}
+    assert set(got) == {"hot", "runs", "one"} and got["one"]["lower"] == got["one"]["upper"] == 3.0 and got["hot"]["n"] == 4000
+    assert got["hot"]["mean"] == pytest.approx(x.mean()) and got["hot"]["upper"] - got["hot"]["lower"] == pytest.approx(2 * 1.96 * x.std() / 4000**0.5, rel=0.12)
+    wide = {r["k"]: r for r in stats.bootstrap_mean(frame, "k", "v", block=8).collect()}
+    assert wide["runs"]["upper"] - wide["runs"]["lower"] == pytest.approx(2 * 1.96 * runs.std() / 500**0.5, rel=0.15)
+
+
+def test_values_of_exact_intervals(spark):
+    """Known values: the rule of three's exact form, and a table of Fisher's tea test."""
+    row = spark.createDataFrame([(0, 10, 3, 1, 1, 3)], "s long, n long, a long, b long, c long, d long").select(stats.clopper_pearson(F.col("s"), F.col("n")).alias("i"), stats.fisher(*[F.col(x) for x in "abcd"]).alias("p")).first()
+    assert row["i"]["lower"] == 0 and row["i"]["upper"] == pytest.approx(1 - 0.025 ** 0.1, abs=1e-9) and row["p"] == pytest.approx(34 / 70, abs=1e-9)
+
+
+def test_protocol_status_and_names(spark):
+    from lodestar.operators import requests
+
+    cases = [({"http.status_code": "204"}, False, True), ({"http.status_code": "204"}, True, False), ({"http.status_code": "302"}, False, False), ({"rpc.grpc.status_code": "0"}, None, True),
+             ({"rpc.grpc.status_code": "0", "http.status_code": "500"}, False, False), ({"http.status_code": "x"}, False, None), ({}, False, None), ({"http.status_code": "9" * 30}, False, False)]
+    frame = spark.createDataFrame([(i, a, e) for i, (a, e, _) in enumerate(cases)], "i int, attributes map<string,string>, error boolean")
+    got = {r["i"]: r["s"] for r in frame.select("i", requests.protocol_status(F.col("attributes"), F.col("error")).alias("s")).collect()}
+    assert [got[i] for i in range(len(cases))] == [c[2] for c in cases]
+    row = spark.createDataFrame([({"k": "a", "host.name": "h2", "db.system": "pg", "server.address": "x", "server.port": "1", "db.name": "d"}, "GET")], "m map<string,string>, n string")
+    r = row.select(requests.replica_identity(F.col("m"), "k", {"h1": "a", "h2": "b"}).alias("r"), requests.database_endpoint(F.col("m")).alias("e"), requests.ignored_call(F.lit("a.Health"), F.lit(None), ["Health"]).alias("g")).first()
+    assert (r["r"]["replica"], r["r"]["reason"], r["e"], r["g"]) == (None, "conflicting", "pg://x:1/d", True)
