@@ -46,7 +46,9 @@ STEP, SLICE, COUNTED_AT_ONCE, TEXTS_AT_ONCE = 128, 1 << 18, 1 << 19, 32
 BLOCK_BYTES, SHARD_BYTES = 16 << 20, 4 << 20
 #: One in TUNED_PARTS training texts teaches the first layer's weights; steps of both layers.
 TUNED_PARTS, FIRST_RATE, SECOND_RATE, START = 32, 0.08, 0.01, 0.3
-HOT_TOKENS, TOKENS_AT_ONCE = 150_000, 400_000
+HOT_TOKENS, TOKENS_AT_ONCE = 150_000, 250_000
+#: The cost of a decision is capped here; four such costs multiply within single precision.
+MOST_NATS = 21
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _8 = np.uint64(8)
@@ -347,10 +349,14 @@ class Mixer:
                 z = x[0] * np.tile(second[0, :n], STEP)
                 z += x[1] * np.tile(second[1, :n], STEP)
                 np.negative(z, out=z)
-                np.minimum(z, 60, out=z)
+                np.minimum(z, MOST_NATS, out=z)
                 e = np.exp(z, out=z)
                 e += 1
-                wrong = 1 - 1 / e
+                wrong = np.reciprocal(e)
+                np.subtract(1, wrong, out=wrong)
+                half, quarter = e.shape[1] // 2, e.shape[1] // 4  # one logarithm for four decisions
+                e = e[:, :half] * e[:, half:]
+                e = e[:, :quarter] * e[:, quarter:]
                 total[:n] += np.log(e, out=e).sum(axis=1)
                 for k in range(2):
                     x[k] *= wrong
