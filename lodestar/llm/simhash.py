@@ -11,7 +11,8 @@ differing bits are candidates, and exact similarity decides. At similarity 0.8 a
 0.15, so a segment differs by one bit at most with probability 0.28, and of such pairs 0.93 meet in one segment at
 least (0.975 at 0.85, 0.995 at 0.9); pairs are linked through others too. Tests measure the recall.
 
-Copies share a fingerprint, and only distinct fingerprints are indexed. Within a key a task reduces its links to
+Copies share a fingerprint, and only distinct fingerprints are indexed. A pair that shares several keys counts at
+the first segment that qualifies alone. Within a key a task reduces its links to
 a spanning forest, closest pairs first, so a dense group yields as many edges as members, not all its pairs. A
 key with over HOT fingerprints is cut into blocks, and each pair of blocks is compared in a group of its own, so
 no task holds more than two blocks. Components come from rounds of large-star and small-star.
@@ -98,16 +99,23 @@ def variant_keys(prints: DataFrame) -> DataFrame:
     return prints.select(F.explode(F.array(*keys)).alias("key"), "fp")
 
 
-def _counted_at(x: np.ndarray) -> np.ndarray:
-    """Wildcard place at which a pair with difference ``x`` counts."""
+def _counted_at(x: np.ndarray, segments=tuple((0, low, bits, low) for low, bits in SEGMENTS)) -> np.ndarray:
+    """Wildcard place at which pairs with differences ``x`` (n, words) count: the first segment that qualifies.
+
+    ``segments`` has the word, lowest bit, bits and first place of each.
+    """
     place = np.full(len(x), -1)
-    for low, bits in reversed(SEGMENTS):
-        part = (x >> np.uint64(low)) & np.uint64((1 << bits) - 1)
+    for word, low, bits, first in reversed(segments):
+        part = (x[:, word] >> np.uint64(low)) & np.uint64((1 << bits) - 1)
         count = np.bitwise_count(part)
-        place = np.where(count == 0, low, np.where(count == 1, low + np.bitwise_count(part - np.uint64(1)).astype(int), place))
+        place = np.where(count == 0, first, np.where(count == 1, first + np.bitwise_count(part - np.uint64(1)).astype(int), place))
     return place
 
 
+def _wide_counted_at(x: np.ndarray) -> np.ndarray:
+    return _counted_at(x, tuple((s // 4, s % 4 * 16, 16, s * 16) for s in range(8)))
+
+
 def _forest(pairs: list[tuple[int, int]]) -> list[int]:
     """Places of the pairs that join two trees, in order: a spanning forest of the graph of all pairs."""
     parent: dict[int, int] = {}
@@ -154,7 +162,7 @@ def _links(keys: np.ndarray, sides: np.ndarray, prints: np.ndarray, fresh_from:
         near = bits <= most
         i, x, bits = i[near], x[near], bits[near]
         if counted is not None:
-            here = counted(x[:, 0]) == keys[i] >> 22
+            here = counted(x) == keys[i] >> 22
             i, bits = i[here], bits[here]
         if len(i):
             found.append(np.stack([i, i + step], axis=1))
@@ -306,7 +314,7 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY) -> DataFr
     prints = docs.select("doc_id", "text", content.alias("content")).mapInArrow(scan, f"doc_id {kind}, content long, p0 long, p1 long")
     marked = materialize(prints.withColumn("node", F.xxhash64("p0", "p1")), "wide-fingerprints")
     nodes = materialize(marked.groupBy("node", "p0", "p1").agg(F.min("content").alias("content")), "nodes")
-    edges = linked(wide_keys(nodes.select("p0", "p1")), 2, WIDE_BITS)
+    edges = linked(wide_keys(nodes.select("p0", "p1")), 2, WIDE_BITS, _wide_counted_at)
     bits = F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))) + F.bit_count(F.col("a1").bitwiseXOR(F.col("b1")))
     u, v = F.xxhash64("a0", "a1"), F.xxhash64("b0", "b1")
     untested = materialize(edges.select(F.least(u, v).alias("u"), F.greatest(u, v).alias("v"), bits.cast("int").alias("bits")).distinct(), "candidates")
