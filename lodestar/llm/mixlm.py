@@ -41,7 +41,7 @@ END = b"\xff"
 #: Logits are kept as whole parts of 1/SCALE; a byte is PLACES decisions.
 SCALE, FINE, PLACES, PRIOR, CLIP = 8.0, 16.0, 8, 0.1, 8.0
 #: Positions at once: of an online step (a power of two), of a slice (all texts together), of the counting of keys.
-STEP, SLICE, COUNTED_AT_ONCE, TEXTS_AT_ONCE = 128, 1 << 18, 1 << 19, 32
+STEP, SLICE, COUNTED_AT_ONCE, TEXTS_AT_ONCE = 128, 1 << 18, 1 << 19, 64
 #: Bytes of texts that are scored together, and for each of which there is one shard of the cells.
 BLOCK_BYTES, SHARD_BYTES = 16 << 20, 4 << 20
 #: One in TUNED_PARTS training texts teaches the first layer's weights; steps of both layers.
@@ -223,12 +223,15 @@ def _answer(table: pa.Table) -> pa.Table:
     parts = [unpack_keys(x) for x in table.column("keys").to_pylist()]
     counts = [_unpack(x, np.uint32, 2) for x in table.column("counts").to_pylist()]
     keys, n = _sum_by(np.concatenate(parts), np.concatenate(counts).astype(np.int64))
-    logits, without = path_logits(keys, n[:, 0]), path_logits(keys, n[:, 0] - n[:, 1])
-    places = [np.searchsorted(keys, p) for p in parts]
+    logits = path_logits(keys, n[:, 0])
+    # Only contexts with a cell of a tuning text are worked out a second time.
+    firsts = np.flatnonzero(np.append(True, keys[1:] >> _8 != keys[:-1] >> _8))
+    again = np.repeat(np.add.reduceat(n[:, 1], firsts) > 0, np.diff(np.append(firsts, len(keys))))
+    tuned_keys, without = keys[again], path_logits(keys[again], (n[:, 0] - n[:, 1])[again])
     rows = []
     for part, (_, tuned) in zip(parts, (c.T for c in counts)):
         learned = part[tuned > 0]
-        rows.append((pack_keys(part), pack_logits(part, logits[np.searchsorted(keys, part)]), pack_keys(learned), pack_logits(learned, without[np.searchsorted(keys, learned)])))
+        rows.append((pack_keys(part), pack_logits(part, logits[np.searchsorted(keys, part)]), pack_keys(learned), pack_logits(learned, without[np.searchsorted(tuned_keys, learned)])))
     packed = [pa.array(x, pa.binary()) for x in zip(*rows)]
     return pa.table([table.column("block").cast(pa.int64()), *packed], names=["block", "keys", "logits", "tuned_keys", "tuned_logits"])
 
@@ -327,7 +330,7 @@ class Mixer:
         """Texts come longest first; they pass through together, in slices of SLICE bytes at most."""
         lengths = np.array([len(t) for t in texts])
         total, none = np.zeros(len(texts)), len(self.cells.keys)
-        second = np.full((2, len(texts), PLACES), 1 / FINE, np.float32)
+        second = np.full((2, len(texts), PLACES), -1 / FINE, np.float32)  # negated, as the exponent needs it
         terms = [t.view(np.uint64).reshape(-1) for t in self.terms]
         at = 0
         while alive := int(np.count_nonzero(lengths > at)):
@@ -348,19 +351,17 @@ class Mixer:
                 x = [t.take(at_once).view(np.int8).astype(np.float32) for t in terms]
                 z = x[0] * np.tile(second[0, :n], STEP)
                 z += x[1] * np.tile(second[1, :n], STEP)
-                np.negative(z, out=z)
                 np.minimum(z, MOST_NATS, out=z)
-                e = np.exp(z, out=z)
-                e += 1
-                wrong = np.reciprocal(e)
-                np.subtract(1, wrong, out=wrong)
+                wrong = np.exp(z, out=z)
+                e = wrong + 1
+                wrong /= e
                 half, quarter = e.shape[1] // 2, e.shape[1] // 4  # one logarithm for four decisions
                 e = e[:, :half] * e[:, half:]
                 e = e[:, :quarter] * e[:, quarter:]
                 total[:n] += np.log(e, out=e).sum(axis=1)
                 for k in range(2):
                     x[k] *= wrong
-                    second[k, :n] += np.float32(SECOND_RATE / FINE**2) * _by_place(x[k])
+                    second[k, :n] -= np.float32(SECOND_RATE / FINE**2) * _by_place(x[k])
             at += wide
         return total - (-lengths % STEP) * PLACES * np.log(2)
 
