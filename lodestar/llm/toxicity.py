@@ -118,8 +118,9 @@ def fit(docs: DataFrame, labels: DataFrame):
             return None, frozenset(), 0.0 if rate is None else rate
         held = fold(5) == 1
         learned = learn_words(sample.filter(~held))
-        table = with_features(sample, learned, ["doc_id", "y"])
-        dense = VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(table).select("doc_id", "y", "x").repartition(4, "doc_id").persist()
+        # One order of rows whatever their files: the trees' thresholds and sums depend on it.
+        table = with_features(sample, learned, ["doc_id", "y"]).repartition(4, "doc_id").sortWithinPartitions("doc_id", "y", *FEATURES)
+        dense = VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(table).select("doc_id", "y", "x").persist()
         try:
             trees = GBTClassifier(featuresCol="x", labelCol="y", maxIter=15, maxDepth=3, seed=7, maxBins=32).fit(dense.filter(~held))
             margins = trees.transform(dense.filter(held)).select("y", vector_to_array("rawPrediction")[1].alias("margin"))
