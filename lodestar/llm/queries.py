@@ -9,13 +9,15 @@ from lodestar.llm.langid import op6_language_id
 from lodestar.llm.mixlm import op9_mixing_lm
 from lodestar.llm.packing import op4_packing
 from lodestar.llm.quality import op7_quality_cascade
+from lodestar.llm.resample import OP11_SQL, op11_importance_resampling
 from lodestar.llm.secret_ledger import op2_secret_ledger
 from lodestar.llm.simhash import op10_simhash
 from lodestar.llm.toxicity import op5_toxicity
 from lodestar.llm.warc import op3_warc_roundtrip
 
 QUERIES = {f.__name__: reachable(f) for f in (
-    op1_html_text, op2_secret_ledger, op3_warc_roundtrip, op4_packing, op5_toxicity, op6_language_id, op7_quality_cascade, op8_decontamination, op9_mixing_lm, op10_simhash)}
+    op1_html_text, op2_secret_ledger, op3_warc_roundtrip, op4_packing, op5_toxicity, op6_language_id, op7_quality_cascade, op8_decontamination, op9_mixing_lm, op10_simhash,
+    op11_importance_resampling)}
 
-#: The operators' methods (models, archives, tokens, offsets, cascades) go beyond SQL; tests/llm holds them against brute force.
-ORACLE_SQL: dict[str, str] = {}
+#: The other operators' methods (models, archives, tokens, offsets, cascades) go beyond SQL; tests/llm holds them against brute force.
+ORACLE_SQL: dict[str, str] = {"op11_importance_resampling": OP11_SQL}
