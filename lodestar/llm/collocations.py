@@ -1,9 +1,10 @@
 """Phrase collocations per language from count streams that are merged in order.
 
 Counting. The phrases that matter occur ``least`` times or more, and so do all phrases within them; thus words are
-counted first, then pairs of frequent words, then runs of three and four whose pairs are frequent. What is known to
-be frequent reaches the tasks as a bitmap of ``BITS`` bits, whatever the corpus: it may let a rare phrase pass,
-which then costs a counted row, but it never loses one, and counts are exact sums of all occurrences.
+counted first, then pairs of frequent words, both by 64-bit hashes, and at last all phrases of frequent pairs by
+their text. What is frequent reaches the tasks as a bitmap of ``BITS`` bits, whatever the corpus: a bitmap may let a
+rare phrase pass, which then costs a counted row, but it never loses one, and the last counts are exact sums of all
+occurrences.
 
 Estimation. The kept counts of all lengths are one stream, sorted across the cluster by language and words. In this
 prefix order a phrase stands behind all its own prefixes, so the last phrase of each shorter length is its prefix,
@@ -37,27 +38,20 @@ from lodestar.llm.grams import BREAK, SPACE, WORD, Words, word_slices, xxhash64
 LEAST, LONGEST, SHARE, TOP = 30, 4, 80, 2000
 #: Size of a bitmap of frequent phrases: 16 MB a task, at any size of the corpus.
 BITS = 1 << 27
-SLICE = 8 << 20
+SLICE = 4 << 20
 
 KINDS = np.full(256, WORD, np.int8)
 KINDS[[9, 32]] = SPACE
 KINDS[[10, 11, 12, 13, *b".,;:!?"]] = BREAK
 
-COUNTS = "lang string, words array<string>, f long"
+HASHED, COUNTS = "h long, f long", "lang string, phrase string, f long"
+ROWS_AT_ONCE = 1 << 16
 
 
 def _rotl(x: np.ndarray, r: int) -> np.ndarray:
     return (x << np.uint64(r)) | (x >> np.uint64(64 - r))
 
 
-def _places(lang: np.ndarray, *words: np.ndarray) -> np.ndarray:
-    """Bit of a phrase, from the hashes of its language and its words."""
-    mixed = _rotl(lang, 51)
-    for i, w in enumerate(words):
-        mixed = mixed ^ _rotl(w, 7 + 22 * i)
-    return (mixed % np.uint64(BITS)).astype(np.int64)
-
-
 def _hashes(strings: pa.Array) -> np.ndarray:
     strings = strings.cast(pa.large_string())
     offsets = np.frombuffer(strings.buffers()[1], np.int64)[strings.offset:strings.offset + len(strings) + 1]
@@ -66,26 +60,26 @@ def _hashes(strings: pa.Array) -> np.ndarray:
 
 
 class _Slice:
-    """Words of a slice as numbers: ``key`` tells (language, word) pairs apart, ``whole(k)`` where runs of k words begin."""
+    """The words of a slice of texts, as numbers in its own vocabulary."""
 
     def __init__(self, words: Words, langs: pa.DictionaryArray):
-        spans = np.stack([words.start, words.stop], axis=1)
-        length = spans[:, 1] - spans[:, 0]
+        length = words.stop - words.start
         offsets = np.concatenate([[0], np.cumsum(length)])
         inside = np.zeros(len(words.data) + 1, np.int8)
-        inside[spans[:, 0]] += 1
-        inside[spans[:, 1]] -= 1
+        inside[words.start] += 1
+        inside[words.stop] -= 1
         packed = words.data[np.cumsum(inside[:-1], dtype=np.int8) > 0]
         strings = pa.Array.from_buffers(pa.large_string(), len(length), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(packed)])
         coded = strings.dictionary_encode()
-        self.vocabulary, self.langs = coded.dictionary, langs.dictionary
+        self.vocabulary, self.langs = coded.dictionary.cast(pa.string()), langs.dictionary
         self.word = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         self.lang = langs.indices.to_numpy(zero_copy_only=False).astype(np.int64)[words.row]
         self.row, self.broken, self.own = words.row, words.broken, words.own
+        self.word_hash, self.lang_hash = _hashes(self.vocabulary), _rotl(_hashes(self.langs), 51)
 
-    def starts(self, k: int) -> np.ndarray:
-        """Own words at which k words stand in one piece of one text."""
-        first = np.arange(max(0, min(self.own, len(self.word) - k + 1)))
+    def starts(self, k: int, own: bool = True) -> np.ndarray:
+        """Words at which k words stand in one piece of one text: the slice's own, or its context too."""
+        first = np.arange(max(0, min(self.own if own else len(self.word), len(self.word) - k + 1)))
         return first[(self.row[first] == self.row[first + k - 1]) & (self.broken[first] == self.broken[first + k - 1])]
 
     def counted(self, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -99,10 +93,26 @@ class _Slice:
         at = first[at]
         return self.lang[at], np.stack([self.word[at + i] for i in range(k)], axis=1), counts
 
-    def rows(self, lang: np.ndarray, words: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-        texts = self.vocabulary.take(pa.array(words.ravel())).cast(pa.string())
-        listed = pa.ListArray.from_arrays(pa.array(np.arange(len(words) + 1, dtype=np.int32) * words.shape[1]), texts)
-        return pa.RecordBatch.from_arrays([self.langs.take(pa.array(lang)), listed, pa.array(counts.astype(np.int64))], ["lang", "words", "f"])
+    def hashes(self, lang: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """64-bit hashes of phrases of one or two words."""
+        mixed = self.lang_hash[lang]
+        for i in range(words.shape[1]):
+            mixed = mixed ^ _rotl(self.word_hash[words[:, i]], 7 + 22 * i)
+        return mixed
+
+    def may(self, bits: np.ndarray, first: np.ndarray, k: int) -> np.ndarray:
+        """Which words begin a phrase of k words whose bit is set."""
+        out = np.zeros(len(self.word), bool)
+        place = (self.hashes(self.lang[first], np.stack([self.word[first + i] for i in range(k)], axis=1)) >> np.uint64(64 - BITS.bit_length() + 1)).astype(np.int64)
+        out[first] = bits[place >> 3] >> (place & 7).astype(np.uint8) & 1 == 1
+        return out
+
+    def rows(self, lang: np.ndarray, words: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(words), ROWS_AT_ONCE):
+            part = words[at:at + ROWS_AT_ONCE]
+            listed = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * part.shape[1]), self.vocabulary.take(pa.array(part.ravel())))
+            columns = [self.langs.take(pa.array(lang[at:at + ROWS_AT_ONCE])), pc.binary_join(listed, " "), pa.array(counts[at:at + ROWS_AT_ONCE].astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "f"])
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[_Slice]:
@@ -113,22 +123,24 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[_Slice]:
                 yield _Slice(words, langs)
 
 
-def _totalled(rows: DataFrame, least: int, name: str) -> DataFrame:
-    """Exact counts of the phrases that occur often enough; the empty phrase always stays."""
-    total = rows.groupBy("lang", "words").agg(F.sum("f").alias("f"))
-    return materialize(total.filter((F.col("f") >= least) | (F.size("words") == 0)), name)
-
+def frequent_bits(source: DataFrame, k: int, least: int, words: np.ndarray | None = None) -> np.ndarray:
+    """Bitmap of the phrases of k words that occur ``least`` times or more; of pairs only such as have both words' bits in ``words``."""
 
-def _bitmap(counts: DataFrame, k: int) -> np.ndarray:
-    """The bits of all phrases of k words in ``counts``, as BITS / 8 bytes."""
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            flat = _hashes(batch.column(1).flatten())
-            yield pa.RecordBatch.from_arrays([pa.array(_places(_hashes(batch.column(0)), *(flat[i::k] for i in range(k))) + 1)], ["place"])
-
-    placed = counts.filter(F.size("words") == k).select("lang", "words").mapInArrow(place, "place long")
-    blocks = placed.groupBy(F.bitmap_bucket_number("place").alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for s in _slices(batches):
+            first = s.starts(k)
+            if words_sent is not None:
+                known = s.may(words_sent.value, np.arange(len(s.word)), 1)
+                first = first[known[first] & known[first + 1]]
+            lang, listed, counts = s.counted(first, k)
+            hashed = s.hashes(lang, listed).view(np.int64)
+            for at in range(0, len(hashed), ROWS_AT_ONCE):
+                yield pa.RecordBatch.from_arrays([pa.array(hashed[at:at + ROWS_AT_ONCE]), pa.array(counts[at:at + ROWS_AT_ONCE].astype(np.int64))], ["h", "f"])
+
+    words_sent = None if words is None else source.sparkSession.sparkContext.broadcast(words)
+    total = source.mapInArrow(count, HASHED).groupBy("h").agg(F.sum("f").alias("f")).filter(F.col("f") >= least)
+    place = F.shiftrightunsigned("h", 64 - BITS.bit_length() + 1) + 1
+    blocks = total.select(place.alias("place")).groupBy(F.bitmap_bucket_number("place").alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
     out = np.zeros(BITS // 8, np.uint8)
     for r in blocks.collect():
         held = np.frombuffer(bytes(r["bits"]), np.uint8)
@@ -137,54 +149,31 @@ def _bitmap(counts: DataFrame, k: int) -> np.ndarray:
     return out
 
 
-def _has(bits: np.ndarray, place: np.ndarray) -> np.ndarray:
-    return bits[place >> 3] >> (place & 7).astype(np.uint8) & 1 == 1
-
-
 def phrase_counts(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """(lang, words, f): every phrase of 1 to 4 words with f occurrences, ``least`` or more, and the empty phrase of each lang with the number of its words."""
-    spark, source = docs.sparkSession, docs.select("lang", "text")
+    context, source = docs.sparkSession.sparkContext, docs.select("lang", "text")
+    singles = frequent_bits(source, 1, least)
+    words, pairs = context.broadcast(singles), context.broadcast(frequent_bits(source, 2, least, singles))
 
-    def singles(batches):
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in _slices(batches):
             lang, counts = np.unique(s.lang[:s.own], return_counts=True)
-            yield s.rows(lang, np.zeros((len(lang), 0), np.int64), counts)
-            yield s.rows(*s.counted(s.starts(1), 1))
-
-    words = _totalled(source.mapInArrow(singles, COUNTS), least, "words")
-    frequent = spark.sparkContext.broadcast(_bitmap(words, 1))
-
-    def hashed(s: _Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Hashes of the words and of the languages, and which words may be frequent."""
-        word, lang = _hashes(s.vocabulary), _hashes(s.langs)
-        pair, at = np.unique(s.lang * len(word) + s.word, return_inverse=True)
-        may = _has(frequent.value, _places(lang[pair // len(word)], word[pair % len(word)]))[at]
-        return word, lang, may
-
-    def pairs(batches):
-        for s in _slices(batches):
-            _, _, may = hashed(s)
-            first = s.starts(2)
-            yield s.rows(*s.counted(first[may[first] & may[first + 1]], 2))
-
-    two = _totalled(source.mapInArrow(pairs, COUNTS), least, "pairs")
-    joined = spark.sparkContext.broadcast(_bitmap(two, 2))
-
-    def longer(batches):
-        for s in _slices(batches):
-            word, lang, may = hashed(s)
-            open_ = np.zeros(len(s.word), bool)  # pairs that may be frequent; pairs of context words too
-            first = np.arange(len(s.word) - 1)
-            first = first[(s.row[first] == s.row[first + 1]) & (s.broken[first] == s.broken[first + 1]) & may[first] & may[first + 1]]
-            open_[first] = _has(joined.value, _places(lang[s.lang[first]], word[s.word[first]], word[s.word[first + 1]]))
-            for k in range(3, LONGEST + 1):
+            yield from s.rows(lang, np.zeros((len(lang), 0), np.int64), counts)
+            known = s.may(words.value, np.arange(len(s.word)), 1)
+            yield from s.rows(*s.counted(np.flatnonzero(known[:s.own]), 1))
+            first = s.starts(2, own=False)
+            joined = s.may(pairs.value, first[known[first] & known[first + 1]], 2)
+            for k in range(2, LONGEST + 1):
                 first = s.starts(k)
                 for i in range(k - 1):
-                    first = first[open_[first + i]]
-                yield s.rows(*s.counted(first, k))
-
-    many = _totalled(source.mapInArrow(longer, COUNTS), least, "longer")
-    return words.unionByName(two).unionByName(many)
+                    first = first[joined[first + i]]
+                yield from s.rows(*s.counted(first, k))
+
+    total = source.mapInArrow(count, COUNTS).groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+    kept = total.filter((F.col("f") >= least) | (F.col("phrase") == ""))
+    # No word has a space in it, so the phrase comes apart as it was joined.
+    words_of = F.when(F.col("phrase") == "", F.array().cast("array<string>")).otherwise(F.split("phrase", " "))
+    return materialize(kept.select("lang", words_of.alias("words"), "f"), "phrases")
 
 
 def merged_in_order(stream: DataFrame, words: Column, name: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lodestar.llm import collocations as co
 from lodestar.llm import grams
 
+STREAM = "lang string, words array<string>, f long"
 SCHEMA = "doc_id long, text string, lang string, f string, words string, head string"
 
 
@@ -68,7 +69,7 @@ def test_a_full_bitmap_loses_nothing(spark, monkeypatch):
     """With a bitmap in which every bit is set, only counts decide."""
     rows = some_rows(9, 80)
     docs = spark.createDataFrame([(i, t, lang, "f", "w", "h") for i, (lang, t) in enumerate(rows)], SCHEMA)
-    monkeypatch.setattr(co, "_bitmap", lambda counts, k: co.np.full(co.BITS // 8, 255, co.np.uint8))
+    monkeypatch.setattr(co, "frequent_bits", lambda *a: co.np.full(co.BITS // 8, 255, co.np.uint8))
     found = {(r["lang"], tuple(r["words"])): r["f"] for r in co.phrase_counts(docs, 4).collect()}
     f, n = plain_counts(rows)
     assert {k: v for k, v in found.items() if k[1]} == {k: v for k, v in f.items() if v >= 4}
@@ -80,7 +81,7 @@ def test_parts_may_end_anywhere(spark, parts):
     """The merge over one part, and over many parts of about a row: prefixes and longer phrases lie in other parts."""
     f, n = plain_counts(some_rows(4, 60))
     stream = [(lang, [], v) for lang, v in n.items() if v] + [(lang, list(w), v) for (lang, w), v in f.items() if v >= 3]
-    frame = spark.createDataFrame(stream, co.COUNTS).repartition(4)
+    frame = spark.createDataFrame(stream, STREAM).repartition(4)
     before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
     spark.conf.set("spark.sql.shuffle.partitions", parts)
     spark.conf.set("spark.sql.adaptive.enabled", False)
@@ -106,15 +107,16 @@ def test_slices_change_nothing(size):
         if words.own:
             s = co._Slice(words, langs)
             for k in range(1, 5):
-                for r in s.rows(*s.counted(s.starts(k), k)).to_pylist():
-                    found["en", tuple(r["words"])] += r["f"]
+                for batch in s.rows(*s.counted(s.starts(k), k)):
+                    for r in batch.to_pylist():
+                        found["en", tuple(r["phrase"].split(" "))] += r["f"]
     assert found == plain_counts([("en", t) for t in texts])[0]
 
 
 def test_scores_are_exact_beyond_64_bits(spark, monkeypatch):
     big = 9_000_000_000_000_007
     stream = [("en", [], 4 * big), ("en", ["a"], big), ("en", ["b"], big + 2), ("en", ["a", "b"], big - 1)]
-    monkeypatch.setattr(co, "phrase_counts", lambda docs, least: spark.createDataFrame(stream, co.COUNTS))
+    monkeypatch.setattr(co, "phrase_counts", lambda docs, least: spark.createDataFrame(stream, STREAM))
     row = co.collocations(spark.createDataFrame([], SCHEMA)).collect()[0]
     assert row["score"] == 2_000_000 * (big - 1) // (2 * big + 2)
 
