@@ -1,10 +1,10 @@
 """Phrase collocations per language from count streams that are merged in order.
 
 Counting. The phrases that matter occur ``least`` times or more, and so do all phrases within them; thus words are
-counted first, then pairs of frequent words, both by 64-bit hashes, and at last all phrases of frequent pairs by
-their text. What is frequent reaches the tasks as a bitmap of ``BITS`` bits, whatever the corpus: a bitmap may let a
-rare phrase pass, which then costs a counted row, but it never loses one, and the last counts are exact sums of all
-occurrences.
+counted first, then pairs of frequent words, then runs of three whose pairs are frequent, all by 64-bit hashes, and at
+last what is left and its extensions to four by their text. What is frequent reaches the tasks as bitmaps of ``BITS``
+bits, whatever the corpus: a bitmap may let a rare phrase pass, which then costs a counted row, but it never loses
+one, and the last counts are exact sums of all occurrences.
 
 Estimation. The kept counts of all lengths are one stream, sorted across the cluster by language and words. In this
 prefix order a phrase stands behind all its own prefixes, so the last phrase of each shorter length is its prefix,
@@ -36,8 +36,8 @@ from lodestar.llm.common import materialize
 from lodestar.llm.grams import BREAK, SPACE, WORD, Words, word_slices, xxhash64
 
 LEAST, LONGEST, SHARE, TOP = 30, 4, 80, 2000
-#: Size of a bitmap of frequent phrases: 16 MB a task, at any size of the corpus.
-BITS = 1 << 27
+#: Size of a bitmap of frequent phrases: 8 MB, at any size of the corpus; a task holds three.
+BITS = 1 << 26
 SLICE = 4 << 20
 
 KINDS = np.full(256, WORD, np.int8)
@@ -75,7 +75,7 @@ class _Slice:
         self.word = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         self.lang = langs.indices.to_numpy(zero_copy_only=False).astype(np.int64)[words.row]
         self.row, self.broken, self.own = words.row, words.broken, words.own
-        self.word_hash, self.lang_hash = _hashes(self.vocabulary), _rotl(_hashes(self.langs), 51)
+        self.word_hash, self.lang_hash = _hashes(self.vocabulary), _rotl(_hashes(self.langs), 40)
 
     def starts(self, k: int, own: bool = True) -> np.ndarray:
         """Words at which k words stand in one piece of one text: the slice's own, or its context too."""
@@ -94,7 +94,7 @@ class _Slice:
         return self.lang[at], np.stack([self.word[at + i] for i in range(k)], axis=1), counts
 
     def hashes(self, lang: np.ndarray, words: np.ndarray) -> np.ndarray:
-        """64-bit hashes of phrases of one or two words."""
+        """64-bit hashes of phrases of up to three words."""
         mixed = self.lang_hash[lang]
         for i in range(words.shape[1]):
             mixed = mixed ^ _rotl(self.word_hash[words[:, i]], 7 + 22 * i)
@@ -123,21 +123,34 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[_Slice]:
                 yield _Slice(words, langs)
 
 
-def frequent_bits(source: DataFrame, k: int, least: int, words: np.ndarray | None = None) -> np.ndarray:
-    """Bitmap of the phrases of k words that occur ``least`` times or more; of pairs only such as have both words' bits in ``words``."""
+def _open(s: _Slice, bits: list, k: int) -> np.ndarray:
+    """At which words a phrase of k words begins that may be frequent, by the bitmaps of all lengths up to k."""
+    found = s.may(bits[0].value, np.arange(len(s.word)), 1)
+    for n in range(2, k + 1):
+        first = s.starts(n, own=False)
+        found = s.may(bits[n - 1].value, first[found[first] & found[first + 1]], n)
+    return found
+
+
+def _candidates(s: _Slice, bits: list, k: int) -> np.ndarray:
+    """Own words at which a phrase of k words begins whose parts may all be frequent."""
+    first = s.starts(k)
+    if k > 1:
+        parts = _open(s, bits, k - 1)
+        first = first[parts[first] & parts[first + 1]]
+    return first
+
+
+def frequent_bits(source: DataFrame, k: int, least: int, bits: list) -> np.ndarray:
+    """Bitmap of the phrases of k words that occur ``least`` times or more; ``bits`` has the bitmaps of all shorter ones."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in _slices(batches):
-            first = s.starts(k)
-            if words_sent is not None:
-                known = s.may(words_sent.value, np.arange(len(s.word)), 1)
-                first = first[known[first] & known[first + 1]]
-            lang, listed, counts = s.counted(first, k)
+            lang, listed, counts = s.counted(_candidates(s, bits, k), k)
             hashed = s.hashes(lang, listed).view(np.int64)
             for at in range(0, len(hashed), ROWS_AT_ONCE):
                 yield pa.RecordBatch.from_arrays([pa.array(hashed[at:at + ROWS_AT_ONCE]), pa.array(counts[at:at + ROWS_AT_ONCE].astype(np.int64))], ["h", "f"])
 
-    words_sent = None if words is None else source.sparkSession.sparkContext.broadcast(words)
     total = source.mapInArrow(count, HASHED).groupBy("h").agg(F.sum("f").alias("f")).filter(F.col("f") >= least)
     place = F.shiftrightunsigned("h", 64 - BITS.bit_length() + 1) + 1
     blocks = total.select(place.alias("place")).groupBy(F.bitmap_bucket_number("place").alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
@@ -151,23 +164,17 @@ def frequent_bits(source: DataFrame, k: int, least: int, words: np.ndarray | Non
 
 def phrase_counts(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """(lang, words, f): every phrase of 1 to 4 words with f occurrences, ``least`` or more, and the empty phrase of each lang with the number of its words."""
-    context, source = docs.sparkSession.sparkContext, docs.select("lang", "text")
-    singles = frequent_bits(source, 1, least)
-    words, pairs = context.broadcast(singles), context.broadcast(frequent_bits(source, 2, least, singles))
+    context, source, bits = docs.sparkSession.sparkContext, docs.select("lang", "text"), []
+    for k in range(1, LONGEST):
+        bits.append(context.broadcast(frequent_bits(source, k, least, bits)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in _slices(batches):
             lang, counts = np.unique(s.lang[:s.own], return_counts=True)
             yield from s.rows(lang, np.zeros((len(lang), 0), np.int64), counts)
-            known = s.may(words.value, np.arange(len(s.word)), 1)
-            yield from s.rows(*s.counted(np.flatnonzero(known[:s.own]), 1))
-            first = s.starts(2, own=False)
-            joined = s.may(pairs.value, first[known[first] & known[first + 1]], 2)
-            for k in range(2, LONGEST + 1):
-                first = s.starts(k)
-                for i in range(k - 1):
-                    first = first[joined[first + i]]
-                yield from s.rows(*s.counted(first, k))
+            for k in range(1, LONGEST):
+                yield from s.rows(*s.counted(np.flatnonzero(_open(s, bits, k)[:s.own]), k))
+            yield from s.rows(*s.counted(_candidates(s, bits, LONGEST), LONGEST))
 
     total = source.mapInArrow(count, COUNTS).groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
     kept = total.filter((F.col("f") >= least) | (F.col("phrase") == ""))
