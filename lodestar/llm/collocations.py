@@ -1,7 +1,7 @@
 """Phrase collocations per language from count streams that are merged in order.
 
 Counting. The phrases that matter occur ``least`` times or more, and so do all phrases within them; thus words are
-counted first, then pairs of frequent words, then runs of three whose pairs are frequent, all by 64-bit hashes, and at
+counted first, then pairs of frequent words, then runs of three whose pairs are frequent, all by hashes, and at
 last what is left and its extensions to four by their text. What is frequent reaches the tasks as bitmaps of ``BITS``
 bits, whatever the corpus: a bitmap may let a rare phrase pass, which then costs a counted row, but it never loses
 one, and the last counts are exact sums of all occurrences.
@@ -38,6 +38,8 @@ from lodestar.llm.grams import BREAK, SPACE, WORD, Words, word_slices, xxhash64
 LEAST, LONGEST, SHARE, TOP = 30, 4, 80, 2000
 #: Size of a bitmap of frequent phrases: 8 MB, at any size of the corpus; a task holds three.
 BITS = 1 << 26
+#: Phrases are first counted by hashes of so many bits; two that share one may pass together, and are told apart at last.
+HASH_BITS = 40
 SLICE = 4 << 20
 
 KINDS = np.full(256, WORD, np.int8)
@@ -94,16 +96,16 @@ class _Slice:
         return self.lang[at], np.stack([self.word[at + i] for i in range(k)], axis=1), counts
 
     def hashes(self, lang: np.ndarray, words: np.ndarray) -> np.ndarray:
-        """64-bit hashes of phrases of up to three words."""
+        """Hashes of HASH_BITS bits of phrases of up to three words."""
         mixed = self.lang_hash[lang]
         for i in range(words.shape[1]):
             mixed = mixed ^ _rotl(self.word_hash[words[:, i]], 7 + 22 * i)
-        return mixed
+        return (mixed >> np.uint64(64 - HASH_BITS)).astype(np.int64)
 
     def may(self, bits: np.ndarray, first: np.ndarray, k: int) -> np.ndarray:
         """Which words begin a phrase of k words whose bit is set."""
         out = np.zeros(len(self.word), bool)
-        place = (self.hashes(self.lang[first], np.stack([self.word[first + i] for i in range(k)], axis=1)) >> np.uint64(64 - BITS.bit_length() + 1)).astype(np.int64)
+        place = (self.hashes(self.lang[first], np.stack([self.word[first + i] for i in range(k)], axis=1)) >> HASH_BITS - BITS.bit_length() + 1)
         out[first] = bits[place >> 3] >> (place & 7).astype(np.uint8) & 1 == 1
         return out
 
@@ -147,12 +149,12 @@ def frequent_bits(source: DataFrame, k: int, least: int, bits: list) -> np.ndarr
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in _slices(batches):
             lang, listed, counts = s.counted(_candidates(s, bits, k), k)
-            hashed = s.hashes(lang, listed).view(np.int64)
+            hashed = s.hashes(lang, listed)
             for at in range(0, len(hashed), ROWS_AT_ONCE):
                 yield pa.RecordBatch.from_arrays([pa.array(hashed[at:at + ROWS_AT_ONCE]), pa.array(counts[at:at + ROWS_AT_ONCE].astype(np.int64))], ["h", "f"])
 
     total = source.mapInArrow(count, HASHED).groupBy("h").agg(F.sum("f").alias("f")).filter(F.col("f") >= least)
-    place = F.shiftrightunsigned("h", 64 - BITS.bit_length() + 1) + 1
+    place = F.shiftright("h", HASH_BITS - BITS.bit_length() + 1) + 1
     blocks = total.select(place.alias("place")).groupBy(F.bitmap_bucket_number("place").alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
     out = np.zeros(BITS // 8, np.uint8)
     for r in blocks.collect():
