@@ -27,9 +27,9 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
-#: Lines in a window; the threshold of a sum; what an article adds to each of its lines.
+#: Lines in a window; the threshold of a sum; how much more a character weighs in an article, and less beside one.
 WINDOW, PEAK_SHARE, CEILING = 3, 0.1, 80.0
-ARTICLE_BONUS, ARTICLE_SHARE = 100, 0.3
+ARTICLE_WEIGHT, ARTICLE_SHARE = 27, 0.3
 
 #: Element names of the HTML standard.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul".split())
@@ -52,7 +52,8 @@ BESIDE = frozenset("site page main top bottom left right container wrapper wrap
 ALONE = frozenset("header site-header page-header alert".split())
 CONTENT = re.compile(r"(?:article|post|entry|story|main|page)-?(?:body|content|text)|content|main|article|post|entry|story")
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
+_OPEN = re.compile(r"<(?:!--|!\[CDATA\[|[!?]|(/?)([a-zA-Z][a-zA-Z0-9:-]*))")
+_REST = re.compile(r"""((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 _UNSHOWN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
@@ -79,10 +80,10 @@ def _kind(name: str, attributes: str, in_article: bool) -> str:
 
 
 class _Page:
-    """The lines of one page: (text, characters that weigh, number of the outermost article or 0)."""
+    """The lines of one page: (text, characters that weigh, number of the outermost article or 0, whether it is prose)."""
 
     def __init__(self) -> None:
-        self.lines: list[tuple[str, int, int]] = []
+        self.lines: list[tuple[str, int, int, bool]] = []
         self.stack: list[tuple[str, str]] = []
         self.opened: Counter[str] = Counter()  # by element name, and by kind as '*skip' and '*article'
         self.parts: list[str] = []
@@ -102,11 +103,11 @@ class _Page:
             text = " ".join(html.unescape("".join(self.parts)).split())
             if text:
                 inside = len(" ".join(html.unescape("".join(self.linked)).split())) if self.linked and not self.prose else 0
-                self.lines.append((text, max(0, len(text) - inside), self.article if self.opened["*article"] else 0))
+                self.lines.append((text, max(0, len(text) - inside), self.article if self.opened["*article"] else 0, self.prose))
         self.parts, self.linked, self.prose = [], [], False
 
     def gap(self) -> None:
-        self.lines.extend([("", 0, 0)] * (WINDOW - 1))
+        self.lines.extend([("", 0, 0, False)] * (WINDOW - 1))
 
     def push(self, name: str, kind: str) -> None:
         self.stack.append((name, kind))
@@ -159,37 +160,57 @@ class _Page:
             self.push(name, kind)
 
 
-def lines_of(page: str) -> list[tuple[str, int, int]]:
-    """The lines of a page in order; empty ones stand where passages must not run together."""
-    found, at, size = _Page(), 0, len(page)
+def lines_of(page: str) -> list[tuple[str, int, int, bool]]:
+    """The lines of a page in order; empty ones stand where passages must not run together.
+
+    The scan goes forward only: what has been looked at for the end of a tag is passed, and where a quote is never
+    closed, that tag and all later ones end at their first ">".
+    """
+    found, at, size, last, quoted = _Page(), 0, len(page), page.rfind(">"), True
     while at < size:
-        tag = _TAG.search(page, at)
+        tag = _OPEN.search(page, at)
         found.text(page[at:tag.start() if tag else size])
         if not tag:
             break
         at = tag.end()
-        if not tag[2]:
-            continue
-        name = tag[2].lower()
-        if name in RAW:
-            if not tag[1]:
-                end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-                at = end.end() if end else size
-            continue
-        found.tag(bool(tag[1]), name, tag[3])
+        if tag[0] in ("<!--", "<![CDATA["):
+            end = page.find("-->" if tag[0] == "<!--" else "]]>", at)
+            at = end + 3 if end >= 0 else size
+        elif at > last:  # no tag ends any more, and a comment takes all that follows
+            found.text(page[tag.start():min((x for x in (page.find("<!--", at), page.find("<![CDATA[", at)) if x >= 0), default=size)])
+            break
+        elif not tag[2]:
+            at = page.find(">", at) + 1
+        else:
+            rest = _REST.match(page, at) if quoted else None
+            quoted = quoted and rest is not None
+            end = rest.end() if rest else page.find(">", at) + 1
+            attributes, at, name = page[at:end - 1], end, tag[2].lower()
+            if name in RAW:
+                if not tag[1]:
+                    end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
+                    at = end.end() if end else size
+                continue
+            found.tag(bool(tag[1]), name, attributes)
     found.end_line()
     return found.lines
 
 
-def weights_of(lines: list[tuple[str, int, int]]) -> list[float]:
+def articles_of(lines: list[tuple[str, int, int, bool]]) -> set[int]:
+    """Numbers of the articles that hold a fair part of the largest one's text."""
     sizes: Counter[int] = Counter()
-    for text, _, article in lines:
+    for text, _, article, _ in lines:
         sizes[article] += len(text) if article else 0
     least = ARTICLE_SHARE * max(sizes.values(), default=0)
-    within = {a for a, n in sizes.items() if a and n >= least}
+    return {a for a, n in sizes.items() if a and n >= least}
+
+
+def weights_of(lines: list[tuple[str, int, int, bool]]) -> list[float]:
+    """What each line weighs: its characters without links, and on a page with articles more in them and less beside them."""
+    within = articles_of(lines)
     if not within:
-        return [float(plain) for _, plain, _ in lines]
-    return [float(len(text) + ARTICLE_BONUS) if article in within else plain / 4 for text, plain, article in lines]
+        return [float(plain) for _, plain, _, _ in lines]
+    return [float(ARTICLE_WEIGHT * len(text)) if article in within else plain / ARTICLE_WEIGHT for text, plain, article, _ in lines]
 
 
 def passages(weights: list[float]) -> list[tuple[int, int]]:
@@ -211,9 +232,27 @@ def passages(weights: list[float]) -> list[tuple[int, int]]:
     return found
 
 
+def with_prose(found: list[tuple[int, int]], lines: list[tuple[str, int, int, bool]]) -> list[tuple[int, int]]:
+    """Passages with the headings and paragraphs, however short, that stand at their ends without anything between."""
+    out: list[tuple[int, int]] = []
+    for first, last in found:
+        while first > 0 and lines[first - 1][0] and lines[first - 1][3]:
+            first -= 1
+        while last + 1 < len(lines) and lines[last + 1][0] and lines[last + 1][3]:
+            last += 1
+        if out and first <= out[-1][1]:
+            out[-1] = (out[-1][0], max(last, out[-1][1]))
+        else:
+            out.append((first, last))
+    return out
+
+
 def main_text(page: str | None) -> str:
     lines = lines_of(page) if page else []
-    return "\n\n".join(lines[i][0] for a, b in passages(weights_of(lines)) for i in range(a, b + 1) if lines[i][0])
+    found = passages(weights_of(lines))
+    if not articles_of(lines):
+        found = with_prose(found, lines)
+    return "\n\n".join(lines[i][0] for a, b in found for i in range(a, b + 1) if lines[i][0])
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Line-block distribution: pages without an article, marks that are none, and an independent version of surge and dive."""
 
 import random
+import time
 
 import pytest
 
@@ -39,6 +40,42 @@ def test_windows_decide_within_a_page_without_an_article():
     assert H.main_text(far) == "\n\n".join([LONG] * 4 + ["ok"])
 
 
+def test_windows_decide_within_an_article(monkeypatch):
+    """A line of two letters stays because of its neighbours in the window, and by itself it is too light."""
+    page = f"<article><p>{LONG}</p>" + "<p>ab</p>" * 6 + f"<p>{LONG}</p></article>"
+    assert H.main_text(page) == "\n\n".join([LONG, *["ab"] * 6, LONG])
+    monkeypatch.setattr(H, "WINDOW", 1)
+    assert H.main_text(page) == "\n\n".join([LONG, LONG])
+
+
+def test_short_ends_of_a_page_without_an_article_stay():
+    page = f"<h1>Title</h1><p>Hi.</p><p>Yes.</p>{LONG}<p>No.</p><p>Ok.</p><p>End.</p><p>Bye.</p><div><a href=x>Next</a></div><p>Far.</p>"
+    assert H.main_text(page) == "\n\n".join(["Title", "Hi.", "Yes.", LONG, "No.", "Ok.", "End.", "Bye."])
+
+
+def test_what_stands_beside_an_article_goes():
+    """Menus inside go, short lines outside go, and so does a reader's remark of some hundred letters in a nameless box."""
+    menu = "<ul>" + "".join(f"<li><a href={i}>Entry number {i} of the menu</a></li>" for i in range(60)) + "</ul>"
+    page = f"<div>Short line</div><article><h1>T</h1><nav>{menu}</nav><p>{LONG}</p><p>Ok.</p></article><div>Another</div><div class=x9><p>{LONG * 6}</p></div>"
+    assert H.main_text(page) == "\n\n".join(["T", LONG, "Ok."])
+
+
+@pytest.mark.parametrize("piece", ["<p ", "<!", '<p "', "<p '\"", "<a b='", '<p ">', "<p a=\">'", "</p ", "<![CDATA[", "<!-- "])
+def test_a_megabyte_of_broken_tags(piece):
+    """The scan goes forward only: four times the page takes about four times the time, and seconds at most."""
+    began = time.perf_counter()
+    H.main_text(piece * (1_000_000 // len(piece)))
+    assert time.perf_counter() - began < 10
+
+
+@pytest.mark.parametrize(("page", "text"), [
+    (f"<p>{LONG}</p><p class=\"x>Lost quote {LONG}</p><p>Then {LONG}</p>", f"{LONG}\n\nLost quote {LONG}\n\nThen {LONG}"),
+    (f"<p>{LONG} a < b and c <3", f"{LONG} a < b and c <3"), (f"<p>{LONG}<p unclosed", f"{LONG}<p unclosed"), (f"<p>{LONG}<!-- {LONG}", LONG),
+])
+def test_broken_ends(page, text):
+    assert H.main_text(page) == text
+
+
 def _reference(weights):
     """Lines of the text, by marking every window over the threshold and filling between its heavy lines."""
     n, w = len(weights), H.WINDOW
