@@ -133,11 +133,15 @@ class Ledger:
     def scan(self, rules=RULES) -> list[SecretRule]:
         """Scans the unseen (blob, rule, version) triples of all stored blobs; returns the rules that had any.
 
-        A rule that has seen every blob is left out, one that has seen none needs no look into the ledger.
+        A rule that has seen every blob is left out, one that has seen none needs no look into the ledger. Findings are
+        stored before the triples that vouch for them: a job that is lost between the two leaves its triples unseen, the
+        next one scans them again, and what is stored twice by that, or by two writers at once, is read once.
         """
         blobs, ledger = self.read("blobs"), self.read("ledger")
-        total = blobs.count()
-        seen = {(r["rule"], r["version"]): r["n"] for r in ledger.groupBy("rule", "version").agg(F.count("*").alias("n")).collect()}  # one row a rule
+        stored, total = blobs.agg(F.count("*"), F.count_distinct("blob")).first()
+        if stored > total:  # two writers stored a blob at once
+            blobs = blobs.dropDuplicates(["blob"])
+        seen = {(r["rule"], r["version"]): r["n"] for r in ledger.groupBy("rule", "version").agg(F.count_distinct("blob").alias("n")).collect()}  # one row a rule
         unseen = [r for r in rules if seen.get((r.kind, r.version), 0) < total]
         if not unseen:
             return []
@@ -152,7 +156,7 @@ class Ledger:
     def findings(self, rules=RULES) -> DataFrame:
         """(blob, start, rule_order, kind, end) of the stored findings of ``rules``, in their order."""
         order = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(_key(r)), F.lit(i))])
-        rows = self.read("findings").withColumn("rule_order", order[F.concat_ws("@", "kind", "version")]).filter("rule_order IS NOT NULL")
+        rows = self.read("findings").dropDuplicates(["blob", "kind", "version", "start", "end"]).withColumn("rule_order", order[F.concat_ws("@", "kind", "version")]).filter("rule_order IS NOT NULL")
         return rows.select("blob", "start", "rule_order", "kind", "end")
 
 

@@ -106,6 +106,23 @@ def test_tricky_secrets(spark):
         assert hashlib.sha256(joined.encode()).hexdigest() == secrets(TRICKY[r["doc_id"]])[3]
 
 
+def test_lost_and_doubled_appends_are_read_once(spark, tmp_path):
+    """A scan that is lost between its findings and its triples, and two writers of the same blobs, change no result."""
+    import shutil
+
+    texts = ["password = hunter22 and token: abcdef", "nothing here", "AKIA" + "A1" * 9, None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = sorted(map(str, secret_ledger.find_secrets(docs, folder=str(tmp_path / "once")).collect()))
+    again = secret_ledger.Ledger(spark, str(tmp_path / "twice"))
+    again.add(docs)
+    again.scan(secret_ledger.RULES)
+    shutil.rmtree(tmp_path / "twice" / "ledger")
+    again._append(again.read("blobs").limit(2), "blobs")
+    got = sorted(map(str, secret_ledger.find_secrets(docs, folder=str(tmp_path / "twice")).collect()))
+    assert got == want and again.scan(secret_ledger.RULES) == []
+    assert again.read("findings").count() == 2 * again.findings().count() > 0
+
+
 def test_ledger_scans_only_unseen(spark, tmp_path):
     """Two histories and three sets of rules: a triple is scanned once, findings of all of them reach all paths."""
     frame = spark.createDataFrame([(i, t) for i, t in enumerate(TRICKY) if t], "doc_id long, text string")
