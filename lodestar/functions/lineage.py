@@ -5,20 +5,24 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """``df`` written to a fresh folder under ``spark.checkpoint.dir`` and read back.
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder under ``spark.checkpoint.dir``, which driver and executors share.
 
     Without that setting a session on one machine uses a local folder; a cluster raises, as its executors share none.
     """
-    spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = f"{tempfile.gettempdir()}/checkpoints/lodestar"
-    path = f"{base.rstrip('/')}/settled-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read back."""
+    path = shared_path(df.sparkSession, "settled")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,11 +1,7 @@
-"""The evidence of each external request: roots, calls between services, completions with reasons, admissions.
+"""What single spans say: protocol status, destination, replica, names; and flags that go down a span tree.
 
-Spans have (trace_id, span_id, parent_id, service, name, kind, start_ns, end_ns, attributes, error), requests
-(trace_id, operation, start_ns, end_ns). Everything is joins on (trace_id, span_id) and grouping by trace or by
-(trace, source, target); a span's ancestors are followed by pointer doubling, so depth costs its logarithm.
-
-Three-valued results: only an explicit protocol code certifies success, only an explicit failure denies it, and
-whatever was not observed stays null with a reason.
+Only an explicit protocol code certifies success and only an explicit failure denies it. A span's ancestors are
+followed by pointer doubling, so depth costs its logarithm.
 """
 
 from __future__ import annotations
@@ -20,6 +16,7 @@ HTTP_CODES = ("http.response.status_code", "http.status_code")
 RPC_CODES = ("rpc.grpc.status_code", "rpc.response.status_code", "rpc.status_code")
 PEER_NAMES = ("server.address", "net.peer.name", "peer.service")
 PEER_URLS = ("url.full", "http.url")
+HOST_NAMES = ("hostname", "host.name", "service.instance.id")
 CLIENT_KINDS = ("3", "client", "span_kind_client")
 
 
@@ -54,14 +51,21 @@ def ignored_call(name: Column, method: Column, suffixes: list[str]) -> Column:
     return F.coalesce(hit, F.lit(False))
 
 
-def replica_identity(resource: Column, label: str, names: dict[str, str]) -> Column:
-    """(replica, reason): the explicit label if it is a known replica, else the one that the instance names give."""
-    explicit = resource[label]
-    known = sorted(set(names.values()))
-    hosts = F.array_compact(F.array(*[F.create_map(*[x for pair in names.items() for x in map(F.lit, pair)])[resource[k]] for k in ("service.instance.id", "host.name", "container.name")]))
-    found = F.array_distinct(F.array_compact(F.concat(F.array(F.when(explicit.isin(*known), explicit)), hosts)))
-    reason = F.when(F.size(found) > 1, "conflicting").when(F.size(found) == 0, "unknown").otherwise("named")
-    return F.struct(F.when(F.size(found) == 1, found[0]).alias("replica"), reason.alias("reason"))
+def replica_identity(resource: Column, label: str, replicas: dict[str, str]) -> Column:
+    """(replica, reason) of a span of the target service, from its resource; ``replicas`` gives each its declared host name.
+
+    An explicit label that is no declared replica decides against any, and so does a host name that several replicas
+    share; otherwise label and host names have to agree on one.
+    """
+    explicit, names = resource[label], {}
+    for replica, name in replicas.items():
+        names.setdefault(name, []).append(replica)
+    table = F.create_map(*[x for name, owners in names.items() for x in (F.lit(name), F.array(*map(F.lit, owners)))]) if names else F.create_map().cast("map<string,array<string>>")
+    hosts = F.array_compact(F.array(*[table[resource[k]] for k in HOST_NAMES]))
+    found = F.array_distinct(F.array_compact(F.concat(F.array(explicit), F.flatten(hosts))))
+    reason = F.when(explicit.isNotNull() & ~explicit.isin(*replicas), "undeclared_explicit_replica").when(F.exists(hosts, lambda h: F.size(h) > 1), "nonunique_declared_name").when(
+        F.size(found) > 1, "conflicting_native_identity").when(F.size(found) == 0, "no_exact_native_binding")
+    return F.struct(F.when(reason.isNull(), F.get(found, F.lit(0))).alias("replica"), reason.alias("reason"))
 
 
 def qualified_operation(name: Column, attributes: Column) -> Column:
@@ -76,80 +80,21 @@ def database_endpoint(attributes: Column) -> Column:
     return F.concat(parts[0], F.lit("://"), parts[1], F.lit(":"), parts[2], F.lit("/"), parts[3])
 
 
-def with_parents(spans: DataFrame) -> DataFrame:
-    """``spans`` with the service and status of the parent span, null where the trace lacks it."""
-    up = spans.select(F.col("trace_id").alias("_t"), F.col("span_id").alias("_s"), F.col("service").alias("parent_service"), F.col("status").alias("parent_status"))
-    return spans.join(up, (spans["trace_id"] == F.col("_t")) & (spans["parent_id"] == F.col("_s")), "left").drop("_t", "_s")
-
-
-def ancestor_any(spans: DataFrame, flag: str) -> DataFrame:
-    """(trace_id, span_id, flag): whether a span or one above it has ``flag``; raises on a cycle of parents.
+def ancestor_any(spans: DataFrame, flag: str, cyclic: str | None = None) -> DataFrame:
+    """(trace_id, span_id, flag): whether a span or one above it has ``flag``.
 
-    Each round joins every span with the span that its pointer stands at, so the pointers double their reach.
+    Each round joins every span with the span that its pointer stands at, so the pointers double their reach; those
+    that have not left the largest trace by then stand in a cycle or below one. That raises, or, where ``cyclic``
+    names a column for it, marks these spans.
     """
     at = settle(spans.select("trace_id", "span_id", F.col("parent_id").alias("up"), F.coalesce(flag, F.lit(False)).alias(flag)))
-    for _ in range(64):
+    largest = at.groupBy("trace_id").count().agg(F.max("count")).first()[0] or 0
+    for _ in range(int(largest).bit_length() + 1):
+        if not at.filter("up IS NOT NULL").head(1):
+            break
         top = at.select(F.col("trace_id").alias("_t"), F.col("span_id").alias("_s"), F.col("up").alias("_up"), F.col(flag).alias("_f"))
         step = at.join(top, (at["trace_id"] == F.col("_t")) & (at["up"] == F.col("_s")), "left")
         at = settle(step.select("trace_id", "span_id", F.col("_up").alias("up"), (F.col(flag) | F.coalesce("_f", F.lit(False))).alias(flag)))
-        if not at.filter("up IS NOT NULL").head(1):
-            return at.drop("up")
-    raise ValueError("a cycle of parents, or a chain of more than 2^64 spans")
-
-
-def request_roots(spans: DataFrame, expected_roots: int) -> DataFrame:
-    """Per trace: spans, roots (no parent), parents that the trace lacks, and the conjunction of the roots' status.
-
-    All roots succeed only counts if there are as many as expected.
-    """
-    rows = with_parents(spans)
-    root = F.col("parent_id").isNull()
-    facts = rows.groupBy("trace_id").agg(
-        F.count("*").alias("native_spans"), F.count_if(root).alias("roots"), F.count_if(~root & F.col("parent_service").isNull()).alias("missing_parents"),
-        F.count_if(root & (F.col("status") == F.lit(False))).alias("_failed"), F.count_if(root & F.col("status")).alias("_good"))
-    status = F.when(F.col("_failed") > 0, False).when((F.col("_good") == F.col("roots")) & (F.col("roots") == expected_roots), True)
-    return facts.select("trace_id", "native_spans", "roots", "missing_parents", status.alias("root_status"))
-
-
-def cross_service_calls(spans: DataFrame, ignored: list[str]) -> DataFrame:
-    """(trace_id, span_id, source, target, status, optional) of every span whose parent is of another service.
-
-    A call's status is false if the span or its parent fails, true if one succeeds. A call with an ignored name
-    is optional, and so is all below it.
-    """
-    rows = settle(with_parents(spans))
-    across = F.col("parent_service").isNotNull() & (F.col("parent_service") != F.col("service"))
-    own = rows.withColumn("optional", across & ignored_call(F.col("name"), F.col("attributes")["rpc.method"], ignored))
-    optional = ancestor_any(own, "optional")
-    status = F.when((F.col("status") == F.lit(False)) | (F.col("parent_status") == F.lit(False)), False).when(F.col("status") | F.col("parent_status"), True)
-    return rows.filter(across).withColumn("both", status).join(optional, ["trace_id", "span_id"]).select("trace_id", "span_id", F.col("parent_service").alias("source"), F.col("service").alias("target"), F.col("both").alias("status"), "optional")
-
-
-def completions(requests: DataFrame, roots: DataFrame, calls: DataFrame, failures: DataFrame, required: DataFrame, propagate: bool) -> DataFrame:
-    """(trace_id, operation, source, target, value, reason) of every required pair of each request, by ordered rules.
-
-    ``required`` has (operation, source, target, minimum); ``failures`` the (trace_id, source, target) of failed client spans.
-    """
-    seen = calls.filter("NOT optional").groupBy("trace_id", "source", "target").agg(
-        F.count("*").alias("n"), F.count_if(F.col("status") == F.lit(False)).alias("failed"), F.count_if("status").alias("good"))
-    wanted = requests.select("trace_id", "operation").join(F.broadcast(required), "operation")
-    failed = failures.select("trace_id", "source", "target").distinct().withColumn("client_failed", F.lit(True))
-    rows = wanted.join(seen, ["trace_id", "source", "target"], "left").join(failed, ["trace_id", "source", "target"], "left").join(roots.select("trace_id", "root_status"), "trace_id", "left")
-    rules = [("explicit_client_failure", F.col("client_failed"), False), ("explicit_call_failure", F.col("failed") > 0, False),
-             ("group_not_fully_observed", F.coalesce("n", F.lit(0)) < F.col("minimum"), None), ("explicit_protocol_success", F.col("good") == F.col("n"), True),
-             ("propagated_root_success", F.col("root_status") & F.lit(propagate), True)]
-    value, reason = F.when(F.lit(False), F.lit(None).cast("boolean")), F.when(F.lit(False), "")
-    for name, holds, result in rules:
-        value, reason = value.when(holds, F.lit(result).cast("boolean")), reason.when(holds, name)
-    return rows.select("trace_id", "operation", "source", "target", value.alias("value"), reason.otherwise("no_certificate").alias("reason"))
-
-
-def admissions(requests: DataFrame, receivers: DataFrame, deadline_ns: int, replicas: list[str]) -> DataFrame:
-    """(trace_id, admitted_<replica>...): true where a receiver of the replica began inside the request's window, else null.
-
-    ``receivers`` has (trace_id, replica, start_ns). Not having seen one proves nothing, so nothing is ever false.
-    """
-    window = requests.select("trace_id", F.col("start_ns").alias("opens"), F.least("end_ns", F.col("start_ns") + deadline_ns).alias("closes"))
-    rows = window.join(receivers, "trace_id", "left")
-    inside = F.col("start_ns").between(F.col("opens"), F.col("closes"))
-    return rows.groupBy("trace_id").agg(*[F.max(F.when(inside & (F.col("replica") == r), True)).alias(f"admitted_{r}") for r in replicas])
+    if cyclic is None and at.filter("up IS NOT NULL").head(1):
+        raise ValueError("a cycle of parents")
+    return at.select("trace_id", "span_id", flag, *([F.col("up").isNotNull().alias(cyclic)] if cyclic else []))

@@ -52,13 +52,22 @@ def active_causes(rows: DataFrame, key: str) -> DataFrame:
     return marks.withColumn("active", running).groupBy(key).agg(F.max("active").cast("long").alias("most_active"))
 
 
-def binned(rows: DataFrame, size: int, value: str) -> DataFrame:
-    """One row per bin from the first to the last, with the mean or zero and the last known mean carried on."""
+def binned(rows: DataFrame, size: int, value: str, block: int = 4096) -> DataFrame:
+    """One row per bin from the first to the last, with the mean or zero and the last known mean carried on.
+
+    Bins are dealt in blocks of time: each is filled by itself, and what it begins with is the last known mean of the
+    blocks before, one row a block.
+    """
     means = rows.groupBy(F.floor(F.col("t") / size).alias("bin")).agg(F.avg(value).alias("m"))
-    grid = means.agg(F.min("bin").alias("a"), F.max("bin").alias("b")).select(F.explode(F.sequence("a", "b")).alias("bin"))
-    # The grid is a report of bounded length (one row per bin), so one window over it is in order.
-    w = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    return grid.join(means, "bin", "left").select("bin", F.coalesce("m", F.lit(0.0)).alias("zero_filled"), F.last("m", True).over(w).alias("carried"))
+    ends = means.agg(F.min("bin").alias("a"), F.max("bin").alias("b")).filter("a IS NOT NULL")
+    blocks = ends.select("a", "b", F.explode(F.sequence(F.floor(F.col("a") / block), F.floor(F.col("b") / block))).alias("block"))
+    grid = blocks.repartition("block").select("block", F.explode(F.sequence(F.greatest("a", F.col("block") * block), F.least("b", (F.col("block") + 1) * block - 1))).alias("bin"))
+    known = means.withColumn("block", F.floor(F.col("bin") / block))
+    last = blocks.select("block").join(known.groupBy("block").agg(F.max_by("m", F.when(F.col("m").isNotNull(), F.col("bin"))).alias("last")), "block", "left")
+    before = last.select("block", F.last("last", True).over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
+    w = Window.partitionBy("block").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    filled = grid.join(known, ["block", "bin"], "left").join(before, "block", "left")
+    return filled.select("bin", F.coalesce("m", F.lit(0.0)).alias("zero_filled"), F.coalesce(F.last("m", True).over(w), F.col("before")).alias("carried"))
 
 
 def autocorrelation(rows: DataFrame, key: str, value: str, lag: int = 1) -> DataFrame:

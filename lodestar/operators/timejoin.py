@@ -32,21 +32,38 @@ def asof_nearest(left: DataFrame, right: DataFrame, key: str, value: str) -> Dat
 
 
 def point_in_interval(points: DataFrame, intervals: DataFrame, keys: list[str]) -> DataFrame:
-    """Number of half-open intervals [valid_from, valid_to) of the same entity around each point; null is open."""
-    inside = (points["t"] >= intervals["valid_from"]) & (intervals["valid_to"].isNull() | (points["t"] < intervals["valid_to"]))
-    same = inside
+    """Number of half-open intervals [valid_from, valid_to) of the same entity around each point; null is open.
+
+    Intervals become marks of +1 and -1 that are summed in order of time, so the rows are points and marks, however
+    many intervals lie around a point. An interval that ends at or before its start holds no point.
+    """
+    whole = intervals.filter("valid_from IS NOT NULL AND (valid_to IS NULL OR valid_to > valid_from)")
+    blank = F.lit(None).cast(points.schema["id"].dataType)
+    marks = whole.select(*keys, F.explode(F.array_compact(F.array(F.struct(F.col("valid_from").alias("t"), F.lit(1).alias("d")), F.when(F.col("valid_to").isNotNull(), F.struct(F.col("valid_to").alias("t"), F.lit(-1).alias("d")))))).alias("m"))
+    rows = marks.select(*keys, "m.t", "m.d", F.lit(0).alias("side"), blank.alias("id")).unionByName(points.select(*keys, "t", F.lit(0).alias("d"), F.lit(1).alias("side"), "id"))
+    w = Window.partitionBy(*keys).orderBy("t", "side").rowsBetween(Window.unboundedPreceding, 0)
+    # A null entity or time equals none.
+    known = F.col("t").isNotNull()
     for k in keys:
-        same = same & (points[k] == intervals[k])
-    return points.join(intervals, same, "left").groupBy(points["id"]).agg(F.count(intervals["valid_from"]).cast("long").alias("n_active"))
+        known = known & F.col(k).isNotNull()
+    return rows.withColumn("n", F.sum("d").over(w)).filter("side = 1").select("id", F.when(known, F.col("n")).otherwise(0).cast("long").alias("n_active"))
 
 
 def interval_homogeneous(asks: DataFrame, ticks: DataFrame, key: str, guard: int, max_gap: int) -> DataFrame:
-    """Whether all ticks within ``guard`` of an ask are known, close together and in one state, with a reason."""
-    near = asks.alias("a").join(ticks.alias("k"), (F.col(f"a.{key}") == F.col(f"k.{key}")) & F.col("k.t").between(F.col("a.t") - guard, F.col("a.t") + guard), "left")
-    gap = F.col("k.t") - F.lag("k.t").over(Window.partitionBy("a.id").orderBy("k.t"))
-    facts = near.select(F.col("a.id").alias("id"), F.col("k.t").alias("kt"), F.col("k.state").alias("state"), gap.alias("gap")).groupBy("id").agg(
-        F.count("kt").cast("long").alias("n_ticks"), F.count_if(F.col("kt").isNotNull() & F.col("state").isNull()).alias("unknown"), F.max("gap").alias("gap"), F.countDistinct("state").alias("kinds"))
-    reason = F.when(F.col("n_ticks") == 0, "uncovered").when(F.col("unknown") > 0, "unknown").when(F.col("gap") > max_gap, "gap").when(F.col("kinds") > 1, "changed").otherwise("stable")
+    """Whether all ticks within ``guard`` of an ask are known, close together and in one state, with a reason.
+
+    One window over asks and ticks of an entity, by ranges of time: no ask is paired with its ticks. A gap counts if both
+    its ticks are within the guard, so that of the first one there does not.
+    """
+    wide = F.col("t") - F.lag("t").over(Window.partitionBy(key).orderBy("t")) > max_gap
+    marked = ticks.select(key, "t", F.lit(0).alias("side"), "state", F.coalesce(wide, F.lit(False)).cast("int").alias("wide"), F.lit(None).cast(asks.schema["id"].dataType).alias("id"))
+    rows = marked.unionByName(asks.select(key, "t", F.lit(1).alias("side"), F.lit(None).cast("boolean").alias("state"), F.lit(None).cast("int").alias("wide"), "id"))
+    w = Window.partitionBy(key).orderBy("t").rangeBetween(-guard, guard)
+    tick = F.col("side") == 0
+    facts = rows.select(
+        "id", "side", F.count_if(tick).over(w).alias("n_ticks"), F.count_if(tick & F.col("state").isNull()).over(w).alias("unknown"), (F.min("state").over(w) != F.max("state").over(w)).alias("mixed"),
+        (F.sum("wide").over(w) - F.first("wide", True).over(w)).alias("gaps")).filter("side = 1")
+    reason = F.when(F.col("n_ticks") == 0, "uncovered").when(F.col("unknown") > 0, "unknown").when(F.col("gaps") > 0, "gap").when(F.col("mixed"), "changed").otherwise("stable")
     return facts.select("id", "n_ticks", reason.alias("reason"))
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions.expr import micros, stable_uniform, tri
 from lodestar.functions.workers import reachable
-from lodestar.operators import evidence, graph, identify, law, masking, scoring, sequence, stats, timejoin, validate
+from lodestar.operators import evidence, graph, identify, law, masking, paths, scoring, sequence, stats, timejoin, validate
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -318,7 +318,7 @@ def reachability(spark, d):
 
 @query(f"WITH RECURSIVE {_NATION_EDGES} SELECT x.a AS node, min(x.b) AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY 1")
 def scc_pairs(spark, d):
-    return graph.strong_components(graph.closure(_nation_edges(spark, d)))
+    return paths.cycle_components(_nation_edges(spark, d))
 
 
 @query(f"""WITH {_CALLS}, w AS (SELECT trace_id, string_agg(service % 5, ',' ORDER BY t, span_id) AS word FROM calls GROUP BY trace_id) SELECT word, count(*) AS traces FROM w GROUP BY word""")
@@ -629,3 +629,4 @@ def whitelist_maps(spark, d):
 
 # The queries of the per-request evidence register themselves here.
 from lodestar.plans import evidence_queries as _evidence_queries  # noqa: E402, F401
+from lodestar.plans import model_queries as _model_queries  # noqa: E402, F401
