@@ -188,5 +188,5 @@ def test_protocol_status_and_names(spark):
     got = {r["i"]: r["s"] for r in frame.select("i", requests.protocol_status(F.col("attributes"), F.col("error")).alias("s")).collect()}
     assert [got[i] for i in range(len(cases))] == [c[2] for c in cases]
     row = spark.createDataFrame([({"k": "a", "host.name": "h2", "db.system": "pg", "server.address": "x", "server.port": "1", "db.name": "d"}, "GET")], "m map<string,string>, n string")
-    r = row.select(requests.replica_identity(F.col("m"), "k", {"h1": "a", "h2": "b"}).alias("r"), requests.database_endpoint(F.col("m")).alias("e"), requests.ignored_call(F.lit("a.Health"), F.lit(None), ["Health"]).alias("g")).first()
-    assert (r["r"]["replica"], r["r"]["reason"], r["e"], r["g"]) == (None, "conflicting", "pg://x:1/d", True)
+    r = row.select(requests.replica_identity(F.col("m"), "k", {"a": "h1", "b": "h2"}).alias("r"), requests.database_endpoint(F.col("m")).alias("e"), requests.ignored_call(F.lit("a.Health"), F.lit(None), ["Health"]).alias("g")).first()
+    assert (r["r"]["replica"], r["r"]["reason"], r["e"], r["g"]) == (None, "conflicting_native_identity", "pg://x:1/d", True)

@@ -165,18 +165,21 @@ GRAPHS = {
 }
 
 
-@pytest.mark.parametrize("name", sorted(GRAPHS))
-def test_components_of_small_graphs(spark, name):
-    got = {r["node"]: r["component"] for r in paths.cycle_components(spark.createDataFrame(list(GRAPHS[name]), "a int, b int")).collect()}
-    assert got == plain_components(GRAPHS[name])
+def random_graph(seed, nodes, count):
+    r = random.Random(seed)
+    return {(r.randrange(nodes), r.randrange(nodes)) for _ in range(count)}
 
 
-@pytest.mark.parametrize("seed,nodes,count", [(1, 60, 90), (2, 200, 230)])
-def test_components_of_random_graphs(spark, seed, nodes, count):
-    r = random.Random(seed)
-    edges = {(r.randrange(nodes), r.randrange(nodes)) for _ in range(count)}
-    got = {x["node"]: x["component"] for x in paths.cycle_components(spark.createDataFrame(list(edges), "a int, b int")).collect()}
-    assert got == plain_components(edges)
+def test_components_of_many_graphs(spark):
+    """All of them side by side in one table."""
+    graphs = [*(GRAPHS[k] for k in sorted(GRAPHS)), random_graph(1, 60, 90), random_graph(2, 200, 230), random_graph(3, 150, 160)]
+    edges = {(1000 * i + a, 1000 * i + b) for i, g in enumerate(graphs) for a, b in g}
+    got = paths.cycle_components(spark.createDataFrame(list(edges), "a int, b int")).collect()
+    assert len(got) == len({r["node"] for r in got}) and {r["node"]: r["component"] for r in got} == plain_components(edges)
+
+
+def test_a_table_without_edges_has_no_component(spark):
+    assert paths.cycle_components(spark.createDataFrame([(None, 1)], "a int, b int")).count() == 0
 
 
 def test_a_long_cycle(spark):
