@@ -146,3 +146,16 @@ def _summed(p: Column, table: list[float]) -> Column:
         return F.transform(F.sequence(F.lit(0), F.shiftright(F.size(acc), 1) - 1), lambda k: F.get(acc, 2 * k) * (1.0 - F.get(p, i)) + F.get(acc, 2 * k + 1) * F.get(p, i))
 
     return F.get(F.aggregate(F.sequence(F.lit(0), F.lit(len(table).bit_length() - 2)), F.array(*map(F.lit, table)), halve), F.lit(0))
+
+
+def demand_bounds(rows: DataFrame, keys: list[str], graph: ServiceGraph, demands: tuple[Demand, ...], timely: str) -> DataFrame:
+    """Sharp bounds on reachability, on the selected replicas and on these within the deadline, and on the gaps between them."""
+    signals, found = state_predicates(graph, demands, "_whole", timely)
+    signals = [s for s in signals if s != "_whole"]
+    at = {"reachability": "reachability", "selected_replicas": "selected", "selected_replicas_and_deadline": "without_completion"}
+    # Completion has no part in these, so it is taken as given.
+    given = lambda name: lambda *c: found[name](*c[:-1], F.lit(True), c[-1])
+    targets = {n: given(p) for n, p in at.items()}
+    gap = lambda a, b: lambda *c: targets[a](*c).cast("int") - targets[b](*c).cast("int")
+    gaps = {"reachability_minus_execution": gap("reachability", "selected_replicas_and_deadline"), "reachability_minus_selected": gap("reachability", "selected_replicas"), "selected_minus_execution": gap("selected_replicas", "selected_replicas_and_deadline")}
+    return law.sharp_bounds(law.category_law(rows, keys, signals), keys, signals, targets | gaps)

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from lodestar.functions.expr import tri
 from lodestar.functions.lineage import settle, shared_path
-from lodestar.operators import likelihood, monotone, paths, polynomial, predicates, resampling, stats
-from lodestar.plans.catalogue import _CALLS, _TICKS, DAY, _calls, _r, _table, _ticks, query
+from lodestar.operators import likelihood, monotone, paths, polynomial, predicates, qualify, resampling, stats
+from lodestar.plans.catalogue import _CALLS, _TICKS, DAY, HOUR, _calls, _r, _table, _ticks, query
 from lodestar.plans.evidence_queries import _TAGGED, _hex, _spans, write_traces
 from lodestar.sources import native
 
@@ -289,3 +289,58 @@ def trace_evidence(spark, d):
     placed = spans.groupBy(F.concat(F.lit("replica "), F.coalesce("replica", F.lit("-"))).alias("counter")).agg(F.count("*").alias("n"))
     return counters.unionByName(placed)
 
+
+
+_DEMAND = ["reachability", "selected_replicas", "selected_replicas_and_deadline"]
+_GAPS = {"reachability_minus_execution": (0, 2), "reachability_minus_selected": (0, 1), "selected_minus_execution": (1, 2)}
+
+
+@query(f"""WITH {_REQUESTS}, l AS (SELECT operation, a, b, da, db, soon, count(*) AS cnt FROM req GROUP BY ALL), s AS (SELECT (i & 1) = 1 AS xa, (i & 2) = 2 AS xb, (i & 4) = 4 AS ya, (i & 8) = 8 AS yb FROM range(16) t(i)),
+  f AS (SELECT l.*, (xa OR xb)::INT AS p0, ((xa OR xb) AND (ya OR yb) AND (NOT ya OR xa) AND (NOT yb OR xb))::INT AS p1, ((xa OR xb) AND (ya OR yb) AND (NOT ya OR xa) AND (NOT yb OR xb) AND soon)::INT AS p2 FROM l JOIN s ON (a IS NULL OR a = xa) AND (b IS NULL OR b = xb) AND (da IS NULL OR da = ya) AND (db IS NULL OR db = yb)),
+  g AS (SELECT operation, a, b, da, db, soon, cnt, {', '.join(f'min(p{i}) AS l{i}, max(p{i}) AS u{i}' for i in range(3))}, {', '.join(f'min(p{i} - p{j}) AS l{i}{j}, max(p{i} - p{j}) AS u{i}{j}' for i, j in _GAPS.values())} FROM f GROUP BY ALL)
+  SELECT operation, sum(cnt)::BIGINT AS n, {', '.join(f'sum(cnt * l{i})::BIGINT AS {n}_lower, sum(cnt * u{i})::BIGINT AS {n}_upper' for i, n in enumerate(_DEMAND))}, {', '.join(f'sum(cnt * l{i}{j})::BIGINT AS {n}_lower, sum(cnt * u{i}{j})::BIGINT AS {n}_upper' for n, (i, j) in _GAPS.items())} FROM g GROUP BY operation""")
+def demand_bounds(spark, d):
+    """Bounds of demand and deadline with their paired gaps."""
+    return predicates.demand_bounds(_request_signals(spark, d), ["operation"], _SHOP, (predicates.Demand("shop", ("da", "db")),), "soon")
+
+
+# Quality of cells: a nation's customers are a cell, orders its requests, events its health.
+
+
+@query(f"""WITH {_TICKS}, h AS (SELECT user_id % 25 AS cell, CASE WHEN t // {DAY} % 2 = 0 THEN 'calibration' ELSE 'test' END AS period, t // {HOUR} AS observed_at, CASE event_type WHEN 'view' THEN 'proxy' WHEN 'click' THEN 'replica_a' WHEN 'purchase' THEN 'replica_b' END AS role, event_type = 'error' AS error, id, value FROM ticks),
+  k AS (SELECT *, row_number() OVER (PARTITION BY cell, period, observed_at, role ORDER BY id) AS n FROM h), w AS (SELECT cell, period, observed_at, count(*) AS rows, count(*) FILTER (WHERE role IS NOT NULL AND n = 1) AS used, max(value) FILTER (WHERE role = 'proxy' AND n = 1) AS v FROM k GROUP BY ALL)
+  SELECT cell, period, sum(rows - used + 3 - used)::BIGINT AS malformed, count(*) AS ticks, round(sum(v), 4) AS proxy_value FROM w GROUP BY ALL""")
+def health_ticks(spark, d):
+    """Wide health ticks an hour and cell, with the rows and roles that are malformed."""
+    wide, faults = qualify.health_ticks(_health_rows(spark, d), "cell", ["value"])
+    return faults.join(wide.groupBy("cell", "period").agg(_r(F.sum("proxy_value"), 4).alias("proxy_value")), ["cell", "period"])
+
+
+def _health_rows(spark, d) -> DataFrame:
+    kind = F.col("event_type")
+    return _ticks(spark, d).select(
+        (F.col("user_id") % 25).alias("cell"), F.when(F.expr(f"t div {DAY}") % 2 == 0, "calibration").otherwise("test").alias("period"), F.expr(f"t div {HOUR}").alias("observed_at"),
+        F.when(kind == "view", "proxy").when(kind.isin("click", "purchase"), "replica").alias("role"), F.when(kind == "click", "a").when(kind == "purchase", "b").alias("replica"), F.when(kind == "error", "down").alias("error"), F.col("id").alias("seq"), "value")
+
+
+@query(f"""WITH {_TICKS}, o AS (SELECT c_nationkey AS cell, CASE o_orderstatus WHEN 'F' THEN 'calibration' WHEN 'P' THEN 'auxiliary' ELSE 'test' END AS period, o_orderkey AS id, o_totalprice > 100000 AS ok, o_orderpriority AS pr, o_totalprice AS price FROM orders JOIN customer ON o_custkey = c_custkey),
+  t AS (SELECT l_orderkey AS id, count(*) AS spans, bool_or(l_suppkey % 2 = 0) AS a, bool_or(l_suppkey % 2 = 1) AS b FROM lineitem WHERE l_quantity > 10 GROUP BY 1), x AS (SELECT o.*, pr <> '5-LOW' AS present, coalesce(spans, 0) AS spans, coalesce(a, false) AS a, coalesce(b, false) AS b FROM o LEFT JOIN t USING (id) WHERE period <> 'test'),
+  f AS (SELECT cell, count(*) FILTER (WHERE present AND spans = 0) AS bare, count(*) FILTER (WHERE price > 200000) AS unjoined, count(*) FILTER (WHERE period = 'calibration' AND ok) AS s, count(*) FILTER (WHERE period = 'calibration' AND ok AND present AND price <= 200000) AS l,
+    count(*) FILTER (WHERE present AND price <= 200000 AND spans = 0) AS bare_linked, (count(*) FILTER (WHERE period = 'calibration' AND a) < 60)::BIGINT + (count(*) FILTER (WHERE period = 'calibration' AND b) < 60)::BIGINT AS few, count(*) FILTER (WHERE period = 'calibration') AS n FROM x GROUP BY cell)
+  SELECT cell, bare_linked AS linked_traces_without_spans, unjoined AS trace_join_mismatches, (l / nullif(s, 0)::DOUBLE < 0.5)::BIGINT AS link_share_below_minimum, few AS replicas_below_minimum, (n <> 200)::BIGINT AS learner_count_mismatches, 1::BIGINT AS denied_learner_fields, false AS usable FROM f""")
+def boundary_quality(spark, d):
+    """Faults of each cell's evidence; no cell is usable here, as the learner's columns name an outcome."""
+    o = _table(spark, d, "orders").join(_table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    status = F.col("o_orderstatus")
+    rows = o.select(F.col("c_nationkey").alias("cell"), F.when(status == "F", "calibration").when(status == "P", "auxiliary").otherwise("test").alias("period"), F.col("o_orderkey").alias("request_id"), F.col("o_orderkey").alias("trace_id"),
+                    (F.col("o_totalprice") > 100000).alias("success"), (F.col("o_orderpriority") != "5-LOW").alias("trace_present"), "o_totalprice")
+    requests, joins = rows.drop("trace_present", "o_totalprice"), rows.filter("o_totalprice <= 200000").select("cell", "period", "request_id", "trace_present")
+    spans = _table(spark, d, "lineitem").filter("l_quantity > 10").groupBy(F.col("l_orderkey").alias("trace_id")).agg(F.count("*").alias("span_count"), F.collect_set(F.when(F.col("l_suppkey") % 2 == 0, "a").otherwise("b")).alias("replicas"))
+    traces = spans.join(requests.select("cell", "trace_id"), "trace_id")
+    counts = requests.groupBy("cell").agg(F.count_if(F.col("period") == "auxiliary").alias("expected_auxiliary"), F.count_if(F.col("period") == "test").alias("expected_test"))
+    cells = counts.select("cell", F.lit(True).alias("source_ok"), F.lit(0).alias("labels_off"), F.lit(True).alias("usable_source"), F.lit(0).alias("files_missing"), F.lit(0).alias("privileged_copied"), F.lit(200).alias("expected_learner"), "expected_auxiliary", "expected_test")
+    scans = counts.select("cell", F.lit(0).alias("invalid_records"), F.lit(0).alias("duplicate_spans"), F.lit(0).alias("unknown_replicas"))
+    _, faults = qualify.health_ticks(_health_rows(spark, d), "cell", ["value"])
+    limits = qualify.Boundary("calibration", ("auxiliary",), least_linked=0.5, least_assignments=60, denied=("success",))
+    found = qualify.boundary_quality(cells, requests, joins, traces, scans, traces.select("cell"), faults, "cell", limits, [requests])
+    return found.select("cell", "linked_traces_without_spans", "trace_join_mismatches", "link_share_below_minimum", "replicas_below_minimum", "learner_count_mismatches", "denied_learner_fields", "usable")
