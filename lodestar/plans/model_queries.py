@@ -10,7 +10,7 @@ from lodestar.functions.lineage import settle, shared_path
 from lodestar.operators import likelihood, monotone, paths, polynomial, predicates, qualify, resampling, stats
 from lodestar.plans.catalogue import _CALLS, _TICKS, DAY, HOUR, _calls, _r, _table, _ticks, query
 from lodestar.plans.evidence_queries import _TAGGED, _hex, _spans, write_traces
-from lodestar.sources import native
+from lodestar.sources import bundle, native
 
 # Trees of calls: the calls of an order are numbered, and call n is made by call n div 2.
 
@@ -344,3 +344,29 @@ def boundary_quality(spark, d):
     limits = qualify.Boundary("calibration", ("auxiliary",), least_linked=0.5, least_assignments=60, denied=("success",))
     found = qualify.boundary_quality(cells, requests, joins, traces, scans, traces.select("cell"), faults, "cell", limits, [requests])
     return found.select("cell", "linked_traces_without_spans", "trace_join_mismatches", "link_share_below_minimum", "replicas_below_minimum", "learner_count_mismatches", "denied_learner_fields", "usable")
+
+
+# The request census of a bundle: orders written as CSV and loaded with its checks.
+
+_SPLIT = "1998-07-01T00:00:00Z"
+_PERIODS = {"calibration": bundle.Period("1900-01-01T00:00:00Z", _SPLIT, (1, 2, 3)), "test": bundle.Period(_SPLIT, "2100-01-01T00:00:00Z", (4, 5, 6))}
+
+
+@query("""WITH o AS (SELECT o_orderkey, o_orderdate AS a, o_orderdate + INTERVAL 1 HOUR * (o_custkey % 900) AS b, o_orderdate < TIMESTAMP '1998-07-01' AS early, o_orderpriority AS pr, o_orderstatus AS st, o_totalprice > 100000 AS ok, o_totalprice > 300000 AS slow, o_totalprice < 5000 AS odd FROM orders),
+  r AS (SELECT *, CASE WHEN pr = '4-NOT SPECIFIED' THEN 'unknown_operation' WHEN early AND b > TIMESTAMP '1998-07-01' THEN 'outside_period' WHEN ok AND slow THEN 'successful_timeout' WHEN ok AND st = 'P' THEN 'outcome_not_accepted' WHEN odd THEN 'undeclared_branch' END AS problem FROM o)
+  SELECT CASE WHEN early THEN 'calibration' ELSE 'test' END AS period, coalesce(problem, '') AS problem, count(*) AS n, count(*) FILTER (WHERE ok) AS successes, sum(epoch_us(b) - epoch_us(a))::BIGINT AS lasted FROM r GROUP BY ALL""")
+def bundle_requests(spark, d):
+    """The census of requests as a checked load reads it: what is wrong with which, and the typed times of all."""
+    o = _table(spark, d, "orders")
+    iso = lambda t: F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    begun = F.col("o_orderdate").cast("timestamp")
+    ended = F.timestamp_micros(F.unix_micros(begun) + F.col("o_custkey") % 900 * HOUR)
+    early = begun < F.lit("1998-07-01").cast("timestamp")
+    price = F.col("o_totalprice")
+    rows = o.select(F.col("o_orderkey").cast("string").alias("request_id"), _hex("o_orderkey", 32).alias("trace_id"), iso(begun).alias("started_at"), iso(ended).alias("completed_at"), F.when(early, "calibration").otherwise("test").alias("period"), F.col("o_orderpriority").alias("operation_class"),
+                    F.when(price < 5000, "odd").otherwise("").alias("branch_class"), F.col("o_orderstatus").alias("outcome"), F.when(price > 100000, "yes").otherwise("no").alias("success"), F.when(price > 300000, "1").otherwise("0").alias("timed_out"))
+    path = shared_path(spark, "requests")
+    rows.write.option("header", True).csv(path)
+    rules = {p: bundle.OperationRule(("F", "O")) for p in ("1-URGENT", "2-HIGH", "3-MEDIUM", "5-LOW")}
+    found = bundle.load_requests(spark, path, _PERIODS, rules)
+    return found.groupBy("period", F.coalesce("problem", F.lit("")).alias("problem")).agg(F.count("*").alias("n"), F.count_if("success").alias("successes"), F.sum(F.unix_micros("completed_at") - F.unix_micros("started_at")).alias("lasted"))
