@@ -10,7 +10,7 @@ from lodestar.functions.lineage import settle, shared_path
 from lodestar.operators import likelihood, monotone, paths, polynomial, predicates, qualify, resampling, stats
 from lodestar.plans.catalogue import _CALLS, _TICKS, DAY, HOUR, _calls, _r, _table, _ticks, query
 from lodestar.plans.evidence_queries import _TAGGED, _hex, _spans, write_traces
-from lodestar.sources import bundle, native
+from lodestar.sources import bundle, native, sealed
 
 # Trees of calls: the calls of an order are numbered, and call n is made by call n div 2.
 
@@ -370,3 +370,11 @@ def bundle_requests(spark, d):
     rules = {p: bundle.OperationRule(("F", "O")) for p in ("1-URGENT", "2-HIGH", "3-MEDIUM", "5-LOW")}
     found = bundle.load_requests(spark, path, _PERIODS, rules)
     return found.groupBy("period", F.coalesce("problem", F.lit("")).alias("problem")).agg(F.count("*").alias("n"), F.count_if("success").alias("successes"), F.sum(F.unix_micros("completed_at") - F.unix_micros("started_at")).alias("lasted"))
+
+
+@query("SELECT o_orderpriority AS operation, o_orderstatus AS status, count(*) AS n, sum(o_orderkey)::BIGINT AS keys FROM orders GROUP BY ALL")
+def sealed_census(spark, d):
+    """Orders sealed by the digests of their files, opened again under the seal, and counted."""
+    folder, identity = shared_path(spark, "sealed"), {"role": "census"}
+    seal = sealed.seal_tables(spark, folder, identity, {"orders": _table(spark, d, "orders")})
+    return sealed.open_sealed(spark, folder, identity, seal)["orders"].groupBy(F.col("o_orderpriority").alias("operation"), F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("keys"))
