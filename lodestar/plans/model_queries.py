@@ -239,13 +239,13 @@ _FAULTS = f"""{_TAGGED}, asked AS (SELECT o_orderkey AS t, o_orderstatus AS orde
   q::BIGINT * 1000001 AS lasts FROM spans s)"""
 
 
-def _faulty(spark, d, form: str) -> tuple[str, DataFrame]:
+def _faulty(spark, d, form: str, compression: str = "gzip") -> tuple[str, DataFrame]:
     """(files, expected traces): spans with faults of all orders, of which those that are not open are expected; the documents of pending ones are cut short."""
     spans = _spans(spark, d, True)
     rows = spans.withColumn("name", F.when(F.col("q") == 50, "").otherwise(F.col("name"))).withColumn("parent_id", F.when((F.col("tax") > 0.075) & (F.col("n") > 1), "no id").otherwise(F.col("parent_id"))).withColumn("end_ns", F.when(F.col("discount") > 0.095, F.col("start_ns") - 1).otherwise(F.col("end_ns")))
     orders = _table(spark, d, "orders").select(_hex("o_orderkey", 32).alias("trace_id"), "o_orderstatus")
     cut = orders.filter("o_orderstatus = 'P'").select("trace_id", F.lit(True).alias("cut"))
-    return write_traces(rows, form, shared_path(spark, form), cut), orders.filter("o_orderstatus <> 'O'").select("trace_id")
+    return write_traces(rows, form, shared_path(spark, form), cut, compression), orders.filter("o_orderstatus <> 'O'").select("trace_id")
 
 
 def _native(spark, d, form: str) -> DataFrame:
@@ -284,7 +284,7 @@ def native_jaeger(spark, d):
   UNION ALL SELECT 'replica ' || CASE WHEN service = 's2' AND host = 0 THEN 'a' WHEN service = 's2' AND host = 1 THEN 'b' ELSE '-' END, count(*) FROM seen GROUP BY 1""")
 def trace_evidence(spark, d):
     """The light scan: replicas of the target's spans by their host name, with its counters."""
-    path, expected = _faulty(spark, d, "otlp_jsonl_v1")
+    path, expected = _faulty(spark, d, "otlp_jsonl_v1", "none")  # its scan looks at the last byte of a file
     spans, counters = native.trace_evidence(spark, path, "otlp_jsonl_v1", expected, "s2", "host.name", {"host-a": "a", "host-b": "b"})
     placed = spans.groupBy(F.concat(F.lit("replica "), F.coalesce("replica", F.lit("-"))).alias("counter")).agg(F.count("*").alias("n"))
     return counters.unionByName(placed)

@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from lodestar.sources import native
 
@@ -135,3 +136,11 @@ def test_evidence_of_jaeger(spark, tmp_path, expected):
 def test_unknown_format(spark, expected):
     with pytest.raises(ValueError, match="unknown trace format"):
         native.read_native(spark, "x", "zipkin", expected)
+
+
+def test_attribute_values_are_made_once(spark):
+    """A use of the list of attributes makes none of them again: the value's expression stands in the plan once."""
+    rows = spark.sql("""SELECT parse_json('[{"key":"a","value":1},{"key":"b","value":2},{"value":5},{"key":"a","value":3},{"key":"c"}]')::array<variant> AS items""")
+    made = rows.select(native._map(F.col("items"), lambda v: F.concat(F.lit("marker"), native._scalar(v))).alias("m"))
+    assert made._jdf.queryExecution().analyzed().toString().count("marker") == 1
+    assert made.first()["m"] == {"a": "marker3", "b": "marker2", "c": None}
