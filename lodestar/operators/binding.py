@@ -24,6 +24,8 @@ Pair = tuple[str, str]
 
 #: Distinct required pairs of an operation, databases included; a contract is a declaration, not data.
 MOST_PAIRS = 10_000
+#: Spans of the largest trace whose parents are looked up in a list of its ids; a span looks at the list once for each span above it.
+SMALL = 64
 #: The codes of a declared retry, the first attempt's and the second's.
 RETRY_FIRST, RETRY_FINAL, RETRY_METHOD = 503, 201, "POST"
 SERVER_KINDS = ("2", "server", "span_kind_server")
@@ -97,19 +99,54 @@ def linked_spans(requests: DataFrame, spans: DataFrame, contract: Contract) -> D
 
     ``requests`` has (trace_id, operation, boundary, start_ns, end_ns), where ``boundary`` is the caller's own span or
     null; ``spans`` (trace_id, span_id, parent_id, service, name, kind, start_ns, end_ns, attributes, resource, error).
+
+    Spans are dealt out by trace once: within a task, windows gather the ids of each trace of up to SMALL spans, and
+    every span looks its parent and the ways above it up in them. Larger traces are linked by joins.
     """
     asked = requests.filter(F.col("operation").isin(*contract.operations)).select("trace_id", "operation", "boundary")
-    own = settle(spans.withColumn("status", protocol_status(F.col("attributes"), F.col("error"))).join(asked, "trace_id"))
-    up = own.groupBy(F.col("trace_id").alias("_t"), F.col("span_id").alias("_s")).agg(F.min(F.struct("service", "status")).alias("_p"), F.count("*").alias("_n"))
-    rows = own.join(up.select("_t", "_s", F.col("_p.service").alias("parent_service"), F.col("_p.status").alias("parent_status")), (F.col("trace_id") == F.col("_t")) & (F.col("parent_id") == F.col("_s")), "left").drop("_t", "_s")
-    repeats = up.select("_t", "_s", "_n")
-    rows = rows.join(repeats, (F.col("trace_id") == F.col("_t")) & (F.col("span_id") == F.col("_s"))).drop("_t", "_s").withColumn("repeated", F.col("_n") > 1).drop("_n")
+    own = spans.withColumn("status", protocol_status(F.col("attributes"), F.col("error"))).join(asked, "trace_id").filter("span_id IS NOT NULL").repartition("trace_id")
+    same, trace = Window.partitionBy("trace_id", "span_id"), Window.partitionBy("trace_id")
+    own = own.withColumns({"_p": F.min(F.struct("service", "status")).over(same), "repeated": F.count("*").over(same) > 1}).withColumn("_size", F.count("*").over(trace))
+    small = F.col("_size") <= SMALL
+    own = own.withColumn("_ids", F.collect_list(F.when(small, F.struct("span_id", "_p"))).over(trace))
+    parent = F.get(F.col("_ids._p"), (F.array_position(F.col("_ids.span_id"), F.col("parent_id")) - 1).cast("int"))
+    rows = _judged(own.withColumn("_up", parent).withColumns({"parent_service": F.col("_up.service"), "parent_status": F.col("_up.status")}), contract)
+    rows = rows.withColumn("_tree", F.collect_list(F.when(small & ~F.col("repeated"), F.struct("span_id", "parent_id", "_optional"))).over(trace))
+
+    def higher(at, _):
+        i = (F.array_position(F.col("_tree.span_id"), at["up"]) - 1).cast("int")
+        return F.struct(F.get(F.col("_tree.parent_id"), i).alias("up"), (at["optional"] | F.coalesce(F.get(F.col("_tree._optional"), i), F.lit(False))).alias("optional"))
+
+    way = F.aggregate(F.sequence(F.lit(1), F.size("_tree")), F.struct(F.col("parent_id").alias("up"), F.col("_optional").alias("optional")), higher)
+    rows = rows.withColumn("_way", F.when(small & ~F.col("repeated"), way))
+    rows = rows.withColumns({"optional": F.coalesce("_way.optional", F.lit(False)), "cyclic": F.coalesce(F.col("_way.up").isNotNull(), F.lit(False)) & F.col("_way").isNotNull(), "_large": ~small})
+    rows = settle(rows.drop("_p", "_size", "_ids", "_up", "_optional", "_tree", "_way"))
+    if not rows.filter("_large").head(1):
+        return rows.drop("_large")
+    large = _linked_by_joins(rows.filter("_large").drop("_large", "repeated", "parent_service", "parent_status", *_JUDGED, "optional", "cyclic"), contract)
+    return rows.filter("NOT _large").drop("_large").unionByName(large)
+
+
+_JUDGED = ["root", "across", "unexplained", "database", "nameless", "destination"]
+
+
+def _judged(rows: DataFrame, contract: Contract) -> DataFrame:
+    """``rows`` with what the contract says of each span that knows its parent's service."""
     root = F.col("parent_id").eqNullSafe(F.col("boundary"))
     across = F.col("parent_service").isNotNull() & (F.col("parent_service") != F.col("service"))
     node, nameless = _database(contract)
-    rows = settle(rows.select(
+    return rows.select(
         "*", root.alias("root"), across.alias("across"), (~root & F.col("parent_service").isNull()).alias("unexplained"), (across & _ignored(contract, F.col("parent_service"), F.col("service"))).alias("_optional"),
-        node.alias("database"), nameless.alias("nameless"), client_destination(F.col("kind"), F.col("attributes"), list(contract.routes)).alias("destination")))
+        node.alias("database"), nameless.alias("nameless"), client_destination(F.col("kind"), F.col("attributes"), list(contract.routes)).alias("destination"))
+
+
+def _linked_by_joins(own: DataFrame, contract: Contract) -> DataFrame:
+    """Spans of large traces with their parents by joins and the ways above them by pointer doubling."""
+    up = own.groupBy(F.col("trace_id").alias("_t"), F.col("span_id").alias("_s")).agg(F.min(F.struct("service", "status")).alias("_p"), F.count("*").alias("_n"))
+    rows = own.join(up.select("_t", "_s", F.col("_p.service").alias("parent_service"), F.col("_p.status").alias("parent_status")), (F.col("trace_id") == F.col("_t")) & (F.col("parent_id") == F.col("_s")), "left").drop("_t", "_s")
+    repeats = up.select("_t", "_s", "_n")
+    rows = rows.join(repeats, (F.col("trace_id") == F.col("_t")) & (F.col("span_id") == F.col("_s"))).drop("_t", "_s").withColumn("repeated", F.col("_n") > 1).drop("_n")
+    rows = settle(_judged(rows, contract))
     once = rows.filter("NOT repeated").select("trace_id", "span_id", "parent_id", F.col("_optional").alias("optional"))
     return settle(rows.drop("_optional").join(ancestor_any(once, "optional", "cyclic"), ["trace_id", "span_id"], "left").fillna(False, ["optional", "cyclic"]))
 

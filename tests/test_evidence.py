@@ -1,5 +1,7 @@
 """Rules of the evidence by hand: each case is one request whose spans break or keep one rule."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -150,3 +152,28 @@ def test_cycles_raise_unless_marked(spark):
         requests.ancestor_any(spans, "f")
     marked = {r["span_id"]: (r["f"], r["c"]) for r in requests.ancestor_any(spans, "f", "c").collect()}
     assert marked == {1: (True, False), 2: (False, True), 3: (False, True), 4: (False, True), 5: (True, False)}
+
+
+def test_linked_spans_are_written_once_and_like_those_of_large_traces(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = []
+    for t in range(60):
+        n = rng.randint(1, 9)
+        for i in range(n):
+            span, parent = rng.choice([i, i, i, rng.randrange(n)]), rng.choice([None, *range(n), 99]) if i else None
+            rows.append((f"t{t}", f"{span}", None if parent is None else f"{parent}", f"s{rng.randint(0, 3)}", rng.choice(["Get", "svc/Health"]), rng.choice(["2", "3"]), 10, 20, {"http.response.status_code": rng.choice(["200", "503"])}, {}, False))
+    spans = spark.createDataFrame(rows, "trace_id string, span_id string, parent_id string, service string, name string, kind string, start_ns long, end_ns long, attributes map<string,string>, resource map<string,string>, error boolean").repartition(3)
+    asked = spark.createDataFrame([(f"t{t}", "op", None, 0, 50) for t in range(60)], "trace_id string, operation string, boundary string, start_ns long, end_ns long")
+    contract = binding.Contract(target="s2", replicas={}, routes=("s1", "s2"), operations={"op": binding.Operation("s0", 100, {("s0", "s1"): 1}, ignored={("s0", "s1"): ("Health",), ("s1", "s2"): ("Health",)})})
+    writes, columns = [], ["trace_id", "span_id", "parent_id", "service", "name", "status", "parent_service", "parent_status", "repeated", "root", "across", "unexplained", "destination", "optional", "cyclic"]
+    kept = binding.settle
+    monkeypatch.setattr(binding, "settle", lambda df: writes.append(1) or kept(df))
+    found = {}
+    for most in (64, 4, 0):
+        writes.clear()
+        monkeypatch.setattr(binding, "SMALL", most)
+        found[most] = sorted(map(repr, binding.linked_spans(asked, spans, contract).select(columns).collect()))
+        if most == 64:
+            assert len(writes) == 1
+    assert len(found[0]) == len(rows) and found[64] == found[4] == found[0]
+    assert sum("cyclic=True" in r for r in found[64]) > 5 and sum("optional=True" in r for r in found[64]) > 5 and sum("repeated=True" in r for r in found[64]) > 5
