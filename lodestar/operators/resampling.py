@@ -1,7 +1,7 @@
 """Bootstraps by resampling with replacement: whole clusters within strata, and circular moving blocks of a series.
 
 What is resampled is dealt in blocks of some thousand units. In every draw the number of picks that fall to each
-block is a multinomial split that every block works out alike from the draw's seed; a block then picks its share
+block is a multinomial split, made once from the draw's seed; a block then picks its share
 among its own units, for all metrics at once. So a draw is an exact resample of the whole stratum, metrics and their
 differences come from the same picks, and no task holds more than a block. What is shuffled is one row a block and draw,
 summed before it is sent.
@@ -20,13 +20,37 @@ from lodestar.operators.stats import t_interval
 BLOCK = 4096
 
 
-def _share(seed: int, stratum: int, draw: int, sizes: np.ndarray, picks: int, which: int) -> tuple[int, np.random.Generator]:
-    """How many of a draw's picks fall to block ``which``, and the generator that it picks with."""
-    part = 0
-    if picks:
-        common = np.random.Generator(np.random.Philox(key=[seed & (2**64 - 1), (stratum ^ draw * 0x9E3779B97F4A7C15) & (2**64 - 1)]))
-        part = int(common.multinomial(picks, sizes / sizes.sum())[which])
-    return part, np.random.default_rng([seed, stratum & (2**64 - 1), draw, which])
+def _shares(seed: int, stratum: int, draw: int, sizes: np.ndarray, picks: int) -> np.ndarray:
+    """How many of a draw's picks fall to each block."""
+    if not picks:
+        return np.zeros(len(sizes), np.int64)
+    common = np.random.Generator(np.random.Philox(key=[seed & (2**64 - 1), (stratum ^ draw * 0x9E3779B97F4A7C15) & (2**64 - 1)]))
+    return common.multinomial(picks, sizes / sizes.sum())
+
+
+def _picker(seed: int, stratum: int, draw: int, which: int) -> np.random.Generator:
+    """The generator that block ``which`` picks its share with."""
+    return np.random.default_rng([seed, stratum & (2**64 - 1), draw, which])
+
+
+def _split(strata: DataFrame, key: str, draws: int, seeds: list[int], sizes: Column, picks: list[Column]) -> DataFrame:
+    """(key, _block, draw, part0, ...): the shares of every block in every draw, each draw split once and not by each block anew.
+
+    ``strata`` has a row a key with _id; ``sizes`` are its blocks' (_block, _c), and ``picks`` goes with ``seeds``.
+    """
+    kind = dict(strata.dtypes)[key]
+    parts = max(int(strata.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    asked = strata.select(F.col(key).alias("_key"), "_id", sizes["_block"].alias("_blocks"), sizes["_c"].alias("_counts"), *[p.cast("long").alias(f"_picks{i}") for i, p in enumerate(picks)])
+    asked = asked.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).repartition(parts, "_key", "draw")
+
+    def split(frames):
+        for pdf in frames:
+            for r in pdf.to_dict("records"):
+                counts = np.asarray(r["_counts"], float)
+                shares = {f"part{i}": _shares(seed, int(r["_id"]), int(r["draw"]), counts, int(r[f"_picks{i}"])) for i, seed in enumerate(seeds)}
+                yield pd.DataFrame({key: [r["_key"]] * len(counts), "_block": np.asarray(r["_blocks"], np.int64), "draw": int(r["draw"]), **shares})
+
+    return asked.mapInPandas(split, f"`{key}` {kind}, _block long, draw int, " + ", ".join(f"part{i} long" for i in range(len(seeds))))
 
 
 def cluster_draws(values: DataFrame, stratum: str, cluster: str, metrics: list[str], draws: int, seed: int, block: int = BLOCK) -> DataFrame:
@@ -37,22 +61,22 @@ def cluster_draws(values: DataFrame, stratum: str, cluster: str, metrics: list[s
     kind = dict(values.dtypes)[stratum]
     sizes = values.groupBy(stratum).agg(F.count("*").alias("_n"))
     dealt = values.join(sizes, stratum).withColumn("_block", F.pmod(F.xxhash64(F.lit(seed), cluster), F.ceil(F.col("_n") / block)))
-    listed = dealt.groupBy(stratum, "_block").agg(F.count("*").alias("_c")).groupBy(stratum).agg(F.array_sort(F.collect_list(F.struct("_block", "_c"))).alias("_sizes"))
-    dealt = dealt.join(listed, stratum).select(stratum, cluster, "_block", "_n", F.col("_sizes._block").alias("_blocks"), F.col("_sizes._c").alias("_counts"), F.xxhash64(stratum).alias("_id"), *[F.col(m).cast("double").alias(m) for m in metrics])
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(cluster, ignore_index=True)
-        first = pdf.iloc[0]
-        which, n = int(np.flatnonzero(np.asarray(first["_blocks"]) == first["_block"])[0]), int(first["_n"])
-        held, counts = pdf[metrics].to_numpy(), np.asarray(first["_counts"], float)
+    dealt = settle(dealt.select(stratum, cluster, "_block", "_n", *[F.col(m).cast("double").alias(m) for m in metrics]))
+    listed = dealt.groupBy(stratum, "_block").agg(F.count("*").alias("_c"), F.first("_n").alias("_n")).groupBy(stratum).agg(F.array_sort(F.collect_list(F.struct("_block", "_c"))).alias("_sizes"), F.first("_n").alias("_n"))
+    shares = _split(listed.withColumn("_id", F.xxhash64(stratum)), stratum, draws, [seed], F.col("_sizes"), [F.col("_n")])
+    ranks = listed.select(stratum, F.posexplode("_sizes._block").alias("_which", "_block"))
+    dealt = dealt.join(ranks, [stratum, "_block"]).withColumn("_id", F.xxhash64(stratum))
+
+    def pick(pdf: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
+        pdf, parts = pdf.sort_values(cluster, ignore_index=True), parts.sort_values("draw")
+        which, n, code, held = int(pdf["_which"].iloc[0]), int(pdf["_n"].iloc[0]), int(pdf["_id"].iloc[0]), pdf[metrics].to_numpy()
         out = np.zeros((draws, len(metrics)))
-        for d in range(draws):
-            part, rng = _share(seed, int(first["_id"]), d, counts, n, which)
-            out[d] = held[rng.integers(0, len(held), part)].sum(axis=0) / n
-        return pd.DataFrame({stratum: [first[stratum]] * draws, "draw": range(draws)} | {m: out[:, i] for i, m in enumerate(metrics)})
+        for d, part in zip(parts["draw"].tolist(), parts["part0"].tolist()):
+            out[d] = held[_picker(seed, code, d, which).integers(0, len(held), part)].sum(axis=0) / n
+        return pd.DataFrame({stratum: [pdf[stratum].iloc[0]] * draws, "draw": range(draws)} | {m: out[:, i] for i, m in enumerate(metrics)})
 
     fields = ", ".join(f"`{m}` double" for m in metrics)
-    parts = dealt.groupBy(stratum, "_block").applyInPandas(pick, f"`{stratum}` {kind}, draw int, {fields}")
+    parts = dealt.groupBy(stratum, "_block").cogroup(shares.groupBy(stratum, "_block")).applyInPandas(pick, f"`{stratum}` {kind}, draw int, {fields}")
     return parts.groupBy(stratum, "draw").agg(*[F.sum(m).alias(m) for m in metrics])
 
 
@@ -157,25 +181,29 @@ def moving_block_bootstrap(rows: DataFrame, key: str, value: str, lengths: DataF
     dealt = dealt_in_blocks(held, key, block, block, True)
     dealt = dealt.join(held.groupBy(key).agg(F.max("length").alias("length")), key).withColumn("_id", F.xxhash64(key))
 
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("place")
-        n, length, own, which = int(pdf["n"].iloc[0]), int(pdf["length"].iloc[0]), int(pdf["own"].sum()), int(pdf["block"].iloc[0])
-        cuts = np.arange(0, n, block)
-        counts = np.minimum(block, n - cuts).astype(float)
+    # Sizes of a key's blocks follow from its length; the last one may be shorter.
+    blocks = F.floor((F.col("n") - 1) / block)
+    sizes = F.transform(F.sequence(F.lit(0).cast("long"), blocks), lambda i: F.struct(i.alias("_block"), F.least(F.lit(block).cast("long"), F.col("n") - i * block).alias("_c")))
+    strata = held.groupBy(key).agg(F.max("n").alias("n"), F.max("length").alias("length")).withColumn("_id", F.xxhash64(key)).withColumn("_sizes", sizes)
+    shares = _split(strata, key, draws, [seed, seed + 1], F.col("_sizes"), [F.ceil(F.col("n") / F.col("length")) - 1, F.lit(1)]).withColumnRenamed("_block", "block")
+
+    def pick(pdf: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
+        pdf, parts = pdf.sort_values("place"), parts.sort_values("draw")
+        n, length, own, which, code = int(pdf["n"].iloc[0]), int(pdf["length"].iloc[0]), int(pdf["own"].sum()), int(pdf["block"].iloc[0]), int(pdf["_id"].iloc[0])
         v = pdf["v"].to_numpy()
         total = np.concatenate([[0.0], np.cumsum(v)])
         k = -(-n // length)
         rest = n - (k - 1) * length
         whole, last = total[length:length + own] - total[:own], total[rest:rest + own] - total[:own]
         out = np.zeros(draws)
-        for d in range(draws):
-            part, rng = _share(seed, int(pdf["_id"].iloc[0]), d, counts, k - 1, which)
-            out[d] = whole[rng.integers(0, own, part)].sum()
-            part, rng = _share(seed + 1, int(pdf["_id"].iloc[0]), d, counts, 1, which)
-            out[d] += last[rng.integers(0, own, part)].sum()
+        for d, part, end in zip(parts["draw"].tolist(), parts["part0"].tolist(), parts["part1"].tolist()):
+            if part:
+                out[d] = whole[_picker(seed, code, d, which).integers(0, own, part)].sum()
+            if end:
+                out[d] += last[_picker(seed + 1, code, d, which).integers(0, own, end)].sum()
         return pd.DataFrame({key: [pdf[key].iloc[0]] * draws, "draw": range(draws), "s": out / n})
 
-    drawn = dealt.groupBy(key, "block").applyInPandas(pick, f"`{key}` {kind}, draw int, s double").groupBy(key, "draw").agg(F.sum("s").alias("s"))
+    drawn = dealt.groupBy(key, "block").cogroup(shares.groupBy(key, "block")).applyInPandas(pick, f"`{key}` {kind}, draw int, s double").groupBy(key, "draw").agg(F.sum("s").alias("s"))
     limits = drawn.groupBy(key).agg(F.percentile("s", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2))).alias("limits"))
     facts = held.groupBy(key).agg(F.max("n").alias("n"), F.max("length").alias("block_length"), F.avg("v").alias("mean"))
     return facts.join(limits, key).select(key, "n", "block_length", "mean", F.col("limits")[0].alias("lower"), F.col("limits")[1].alias("upper"))

@@ -142,3 +142,17 @@ def test_quantiles_of_t(spark):
     assert stats.t_quantile(np.array([1.0, 5.0, 30.0, 1e12]), 0.95) == pytest.approx([12.7062047364, 2.5705818356, 2.0422724563, 1.9599639845], rel=1e-6)
     got = spark.createDataFrame([(5.0,), (0.0,), (None,)], "df double").select(stats.t_interval(F.col("df"), 0.95).alias("x")).collect()
     assert [r["x"] for r in got] == [pytest.approx(2.5705818356, rel=1e-6), None, None]
+
+
+def test_draws_are_split_once(spark):
+    """Every block gets its share of each draw from one split of it: there is a row a draw to split, and its shares add up."""
+    sizes = F.array(*[F.struct(F.lit(i).cast("long").alias("_block"), F.lit(c).cast("long").alias("_c")) for i, c in enumerate((16, 16, 5))])
+    strata = spark.createDataFrame([("k", 5), ("l", 6)], "k string, _id long").withColumn("_sizes", sizes)
+    got = resampling._split(strata, "k", 20, [7, 8], F.col("_sizes"), [F.lit(100), F.lit(1)])
+    rows = got.collect()
+    assert len(rows) == 2 * 20 * 3
+    for key, code in (("k", 5), ("l", 6)):
+        for d in range(20):
+            mine = sorted((r for r in rows if r["k"] == key and r["draw"] == d), key=lambda r: r["_block"])
+            assert [r["part0"] for r in mine] == resampling._shares(7, code, d, np.array([16.0, 16.0, 5.0]), 100).tolist()
+            assert sum(r["part0"] for r in mine) == 100 and sum(r["part1"] for r in mine) == 1
