@@ -8,20 +8,58 @@ logarithm in rounds, each one join. The product has to be associative; it need n
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.lineage import settle
 
+#: Nodes of the largest group whose ways are looked up in a list; a node looks at the list once for each node above it.
+SMALL = 64
 
-def climb(nodes: DataFrame, keys: list[str], node: str, up: str, value: str, product: Callable[[Column, Column], Column], cyclic: str | None = None) -> DataFrame:
-    """(keys, node, up, value): the product from the top down to each node, and the first id above that is no node.
+
+def climb(nodes: DataFrame, keys: list[str], node: str, up: str, value: str, product: Callable[[Column, Column], Column], cyclic: str | None = None, carry: list[str] = ()) -> DataFrame:
+    """(keys, node, up, value, carry): the product from the top down to each node, and the first id above that is no node.
 
     ``up`` is null where the way ends at a node without a parent. A node in a cycle or below one raises; where
     ``cyclic`` names a column for it, it is marked instead, and its value is a product over at least the whole cycle.
+    ``carry`` are columns that stay as they are. Nodes of a group of ``keys`` with up to SMALL of them are dealt out by
+    it and look the ways up in a list of the group; only larger groups are doubled by joins.
     """
-    at = settle(nodes.select(*keys, node, up, value, F.col(up).isNotNull().alias("_moves")))
+    if not keys:
+        at = _doubled(nodes.select(node, up, value, *carry), keys, node, up, value, product, carry)
+    else:
+        group = Window.partitionBy(*keys)
+        rows = nodes.select(*keys, node, up, value, *carry).repartition(*keys).withColumn("_large", F.count("*").over(group) > SMALL)
+        listed = F.when(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys], ~F.col("_large")), F.struct(F.col(node).alias("node"), F.col(up).alias("up"), F.col(value).alias("value")))
+        rows = rows.withColumn("_list", F.collect_list(listed).over(group))
+        place = lambda at: (F.array_position(F.col("_list.node"), at) - 1).cast("int")
+
+        def higher(at, _):
+            i = place(at["up"])
+            found = F.coalesce(i >= 0, F.lit(False))
+            return F.struct(F.when(found, F.get(F.col("_list.up"), i)).otherwise(at["up"]).alias("up"), F.when(found, product(F.get(F.col("_list.value"), i), at["value"])).otherwise(at["value"]).alias("value"))
+
+        way = F.aggregate(F.sequence(F.lit(1), F.greatest(F.size("_list"), F.lit(1))), F.struct(F.col(up).alias("up"), F.col(value).alias("value")), higher)
+        rows = rows.withColumn("_way", F.when(~F.col("_large"), way))
+        moves = ~F.col("_large") & F.coalesce(place(F.col("_way.up")) >= 0, F.lit(False))
+        at = settle(rows.select(*keys, node, F.when(F.col("_large"), F.col(up)).otherwise(F.col("_way.up")).alias(up), F.when(F.col("_large"), F.col(value)).otherwise(F.col("_way.value")).alias(value), *carry, moves.alias("_moves"), "_large"))
+        if at.filter("_large").head(1):
+            large = _doubled(at.filter("_large").drop("_large", "_moves"), keys, node, up, value, product, carry)
+            at = at.filter("NOT _large").drop("_large").unionByName(large)
+        else:
+            at = at.drop("_large")
+    if cyclic is None:
+        if at.filter("_moves").head(1):
+            raise ValueError("a cycle of parents")
+        return at.drop("_moves")
+    return at.withColumnRenamed("_moves", cyclic)
+
+
+def _doubled(nodes: DataFrame, keys: list[str], node: str, up: str, value: str, product: Callable[[Column, Column], Column], carry: list[str] = ()) -> DataFrame:
+    """``climb`` by pointer doubling, with _moves where a way has no end."""
+    at = settle(nodes.select(*keys, node, up, value, *carry, F.col(up).isNotNull().alias("_moves")))
     size = at.groupBy(*keys).count().agg(F.max("count")).first()[0] if keys else at.count()
     for _ in range(int(size or 0).bit_length() + 1):
         if not at.filter("_moves").head(1):
@@ -31,12 +69,8 @@ def climb(nodes: DataFrame, keys: list[str], node: str, up: str, value: str, pro
         for i, k in enumerate(keys):
             same = same & (F.col(k) == F.col(f"_k{i}"))
         step, found = at.join(above, same, "left"), F.col("_node").isNotNull()
-        at = settle(step.select(*keys, node, F.when(found, F.col("_up")).otherwise(F.col(up)).alias(up), F.when(found, product(F.col("_value"), F.col(value))).otherwise(F.col(value)).alias(value), (found & F.col("_up").isNotNull()).alias("_moves")))
-    if cyclic is None:
-        if at.filter("_moves").head(1):
-            raise ValueError("a cycle of parents")
-        return at.drop("_moves")
-    return at.withColumnRenamed("_moves", cyclic)
+        at = settle(step.select(*keys, node, F.when(found, F.col("_up")).otherwise(F.col(up)).alias(up), F.when(found, product(F.col("_value"), F.col(value))).otherwise(F.col(value)).alias(value), *carry, (found & F.col("_up").isNotNull()).alias("_moves")))
+    return at
 
 
 def digest(version: str, *parts: Column, length: int) -> Column:
@@ -51,14 +85,13 @@ def caller_contexts(spans: DataFrame, version: str = "full-caller-context-1") ->
     down to the span, and the context is named by its digest. Repeated spans, cycles and missing parents raise: a path
     that is not known whole names no context.
     """
-    if spans.groupBy("trace_id", "span_id").count().filter("count > 1").head(1):
-        raise ValueError("a span that occurs twice")
-    nodes = spans.select("trace_id", "span_id", "parent_id", F.struct(F.array("operation").alias("path"), F.col("span_id").alias("root")).alias("way"))
-    ways = climb(nodes, ["trace_id"], "span_id", "parent_id", "way", lambda top, own: F.struct(F.concat(top["path"], own["path"]).alias("path"), top["root"].alias("root")))
-    if ways.filter("parent_id IS NOT NULL").head(1):
-        raise ValueError("a missing parent")
-    named = ways.select("trace_id", "span_id", "way.root", "way.path", F.concat(F.lit("operation_"), digest(version, F.col("way.path"), length=24)).alias("context"))
-    return settle(spans.select("trace_id", "span_id", "parent_id", "service", "operation", "error").join(named, ["trace_id", "span_id"]))
+    rows = spans.select("trace_id", "span_id", "parent_id", F.col("parent_id").alias("above"), "service", "operation", "error", F.struct(F.array("operation").alias("path"), F.col("span_id").alias("root")).alias("way"))
+    rows = rows.repartition("trace_id").withColumn("repeats", F.count("*").over(Window.partitionBy("trace_id", "span_id")))
+    ways = climb(rows, ["trace_id"], "span_id", "above", "way", lambda top, own: F.struct(F.concat(top["path"], own["path"]).alias("path"), top["root"].alias("root")), "cyclic", ["parent_id", "service", "operation", "error", "repeats"])
+    for holds, what in (("repeats > 1", "a span that occurs twice"), ("cyclic", "a cycle of parents"), ("above IS NOT NULL", "a missing parent")):
+        if ways.filter(holds).head(1):
+            raise ValueError(what)
+    return ways.select("trace_id", "span_id", "parent_id", "service", "operation", "error", "way.root", "way.path", F.concat(F.lit("operation_"), digest(version, F.col("way.path"), length=24)).alias("context"))
 
 
 def context_operations(contexts: DataFrame) -> DataFrame:
@@ -68,9 +101,9 @@ def context_operations(contexts: DataFrame) -> DataFrame:
     no invocation succeeded over a failing callee. A context of two services raises.
     """
     failed = contexts.filter("error").select("trace_id", F.col("parent_id").alias("span_id")).filter("span_id IS NOT NULL").distinct().withColumn("child_error", F.lit(True))
-    rows = contexts.join(failed, ["trace_id", "span_id"], "left").withColumn("child_error", F.coalesce("child_error", F.lit(False)))
+    rows = contexts.select("trace_id", "span_id", "context", "service", "operation", "error", F.size("path").alias("depth")).join(failed, ["trace_id", "span_id"], "left").withColumn("child_error", F.coalesce("child_error", F.lit(False)))
     local = rows.groupBy("context").agg(
-        F.min("service").alias("service"), F.max("service").alias("_other"), F.min(F.size("path")).alias("depth"), F.min("operation").alias("operation"), F.count("*").alias("invocations"), F.count_if("error").alias("inclusive_errors"),
+        F.min("service").alias("service"), F.max("service").alias("_other"), F.min("depth").alias("depth"), F.min("operation").alias("operation"), F.count("*").alias("invocations"), F.count_if("error").alias("inclusive_errors"),
         F.count_if(F.col("child_error") & ~F.col("error")).alias("child_error_parent_success"), F.count_if(~F.col("child_error")).alias("no_child_error_invocations"), F.count_if(F.col("error") & ~F.col("child_error")).alias("local_errors"))
     one = F.when(F.col("service") == F.col("_other"), F.col("service")).otherwise(F.raise_error(F.lit("a context of two services")))
     share = F.when(F.col("no_child_error_invocations") > 0, F.col("local_errors") / F.col("no_child_error_invocations"))

@@ -62,7 +62,7 @@ _TICKS = """ticks AS (SELECT event_id AS id, user_id, event_type, value, epoch_u
 
 def _calls(spark, d) -> DataFrame:
     """Calls without repeats of (order, line): the row that is first in a total order stays."""
-    rows = graph.keep_first(_table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"], ["l_suppkey", "l_partkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_shipdate", "l_returnflag", "l_linestatus"])
+    rows = graph.keep_first(_table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_shipdate", "l_returnflag", "l_linestatus").repartition("l_orderkey"), ["l_orderkey", "l_linenumber"], ["l_suppkey", "l_partkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_shipdate", "l_returnflag", "l_linestatus"])
     return rows.select(F.col("l_orderkey").alias("trace_id"), F.col("l_linenumber").alias("span_id"), (F.col("l_linenumber") - 1).alias("parent_id"), F.col("l_suppkey").alias("service"), micros("l_shipdate").alias("t"), "l_quantity", "l_returnflag")
 
 

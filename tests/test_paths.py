@@ -5,6 +5,7 @@ import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from lodestar.operators import paths
 
@@ -187,3 +188,19 @@ def test_a_long_cycle(spark):
     frame = spark.range(n).selectExpr("id AS a", f"(id + 1) % {n} AS b").union(spark.createDataFrame([(5, n + 1), (n + 2, 7)], "a long, b long"))
     found = paths.cycle_components(frame)
     assert found.count() == n and [r["component"] for r in found.select("component").distinct().collect()] == [0]
+
+
+def test_small_groups_climb_in_one_write_and_like_large_ones(spark, monkeypatch):
+    writes, kept = [], paths.settle
+    monkeypatch.setattr(paths, "settle", lambda df: writes.append(1) or kept(df))
+    rows = [("a", i, i - 1 or None, f"v{i}") for i in range(1, 9)] + [("b", 1, 9, "x"), ("b", 2, 1, "y"), ("c", 1, 2, "x"), ("c", 2, 1, "y"), ("c", 3, 2, "z"), (None, 1, None, "x"), (None, 2, 1, "y")]
+    nodes = spark.createDataFrame(rows, "k string, n int, up int, v string").repartition(3)
+    found = {}
+    for most in (64, 2, 0):
+        writes.clear()
+        monkeypatch.setattr(paths, "SMALL", most)
+        got = paths.climb(nodes, ["k"], "n", "up", "v", lambda top, own: F.concat(top, own), "cyclic")
+        found[most] = {(r["k"], r["n"]): (None if r["cyclic"] else r["up"], None if r["cyclic"] else r["v"], r["cyclic"]) for r in got.collect()}
+        if most == 64:
+            assert len(writes) == 1
+    assert found[64] == found[2] == found[0] and found[64]["a", 8] == (None, "v1v2v3v4v5v6v7v8", False) and found[64]["b", 2] == (9, "xy", False) and found[64]["c", 3][2]
