@@ -322,9 +322,12 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY) -> DataFr
     texts = docs.select(content.alias("content"), text_of().alias("text")).join(wanted, "content").dropDuplicates(["node"])
     sets = materialize(texts.select("node", shingle_set(F.col("text")).alias("s")), "shingle-sets")
     classes = materialize(wanted.select("node", F.col("node").alias("class")), "classes")
+    tested = None
     for step in range(CLOSEST_ROUNDS + 1):
         left = untested.join(classes.select(F.col("node").alias("u"), F.col("class").alias("cu")), "u").join(classes.select(F.col("node").alias("v"), F.col("class").alias("cv")), "v")
-        untested = materialize(left.filter("cu <> cv").select("u", "v", "bits", "cu", "cv"), "untested")
+        left = left.filter("cu <> cv").select("u", "v", "bits", "cu", "cv")
+        # What merged is gone by now, so of the tested pairs only those that were not alike are left to be taken out.
+        untested = materialize(left if tested is None else left.join(tested, ["u", "v"], "left_anti"), "untested")
         if not untested.head(1):
             break
         chosen = untested
@@ -336,7 +339,7 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY) -> DataFr
         alike = both.filter(shared >= similarity * (F.size("su") + F.size("sv") - shared) - 1e-9).select(F.col("cu").alias("u"), F.col("cv").alias("v"))
         merged = components(alike).select(F.col("node").alias("class"), F.col("component").alias("into"))
         classes = materialize(classes.join(merged, "class", "left").select("node", F.coalesce("into", "class").alias("class")), "classes")
-        untested = untested.join(chosen.select("u", "v"), ["u", "v"], "left_anti").select("u", "v", "bits")
+        tested, untested = chosen.select("u", "v"), untested.select("u", "v", "bits")
     return marked.join(classes, "node", "left").select("doc_id", "content", "node", F.coalesce("class", "node").alias("class"))
 
 
