@@ -43,8 +43,8 @@ MAX_ROUNDS = 40
 HOT = 4096
 #: The wide fingerprints of the stage: bits that candidates may differ in, shingle width and similarity.
 WIDE_BITS, WIDE_WIDTH, SIMILARITY = 32, 5, 0.8
-#: Rounds that test each class's closest candidate alone, before all that are left are tested.
-CLOSEST_ROUNDS = 4
+#: Most differing bits of each band of candidates; the last takes in all.
+BANDS = (4, 8, 12, 18, WIDE_BITS)
 
 
 def _bits(text: str | None, width: int, digest, size: int) -> np.ndarray | None:
@@ -300,8 +300,9 @@ def shingle_set(text) -> F.Column:
 def similar_documents(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, content, node, class) per row: ``content`` hashes the text, ``node`` the fingerprint, ``class`` the group.
 
-    Candidates are tested by the exact similarity of their shingle sets. A class's closest candidate comes first;
-    what joins two texts that are in one class by then needs no test, so a family of n texts takes about n tests.
+    Candidates are tested by the exact similarity of their shingle sets, close ones first, band by band of differing
+    bits. What joins two texts that are in one class by then needs no test. A candidate is looked up in its own band
+    alone, so a text takes as many rows as it has keys at most, whatever the size of its family.
     """
     kind = dict(docs.dtypes)["doc_id"]
 
@@ -317,29 +318,24 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY) -> DataFr
     edges = linked(wide_keys(nodes.select("p0", "p1")), 2, WIDE_BITS, _wide_counted_at)
     bits = F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))) + F.bit_count(F.col("a1").bitwiseXOR(F.col("b1")))
     u, v = F.xxhash64("a0", "a1"), F.xxhash64("b0", "b1")
-    untested = materialize(edges.select(F.least(u, v).alias("u"), F.greatest(u, v).alias("v"), bits.cast("int").alias("bits")).distinct(), "candidates")
-    wanted = untested.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes, "node").select("node", "content")
+    found = edges.select(F.least(u, v).alias("u"), F.greatest(u, v).alias("v"), bits.cast("int").alias("bits")).distinct()
+    candidates = materialize(found, "candidates")
+    wanted = candidates.select(F.col("u").alias("node")).unionAll(candidates.select(F.col("v").alias("node"))).distinct().join(nodes, "node").select("node", "content")
     texts = docs.select(content.alias("content"), text_of().alias("text")).join(wanted, "content").dropDuplicates(["node"])
     sets = materialize(texts.select("node", shingle_set(F.col("text")).alias("s")), "shingle-sets")
     classes = materialize(wanted.select("node", F.col("node").alias("class")), "classes")
-    tested = None
-    for step in range(CLOSEST_ROUNDS + 1):
-        left = untested.join(classes.select(F.col("node").alias("u"), F.col("class").alias("cu")), "u").join(classes.select(F.col("node").alias("v"), F.col("class").alias("cv")), "v")
-        left = left.filter("cu <> cv").select("u", "v", "bits", "cu", "cv")
-        # What merged is gone by now, so of the tested pairs only those that were not alike are left to be taken out.
-        untested = materialize(left if tested is None else left.join(tested, ["u", "v"], "left_anti"), "untested")
-        if not untested.head(1):
-            break
-        chosen = untested
-        if step < CLOSEST_ROUNDS:
-            sided = untested.select(F.explode(F.array("cu", "cv")).alias("c"), F.struct("bits", "u", "v", "cu", "cv").alias("e"))
-            chosen = materialize(sided.groupBy("c").agg(F.min("e").alias("e")).select("e.*").distinct(), "chosen")
-        both = chosen.join(sets.select(F.col("node").alias("u"), F.col("s").alias("su")), "u").join(sets.select(F.col("node").alias("v"), F.col("s").alias("sv")), "v")
-        shared = F.size(F.array_intersect("su", "sv"))
-        alike = both.filter(shared >= similarity * (F.size("su") + F.size("sv") - shared) - 1e-9).select(F.col("cu").alias("u"), F.col("cv").alias("v"))
-        merged = components(alike).select(F.col("node").alias("class"), F.col("component").alias("into"))
+    for low, high in zip((-1, *BANDS), BANDS):
+        band = candidates.filter(F.col("bits").between(low + 1, high))
+        if not band.head(1):
+            continue
+        cu, cv = (classes.select(F.col("node").alias(f"{x}_member"), F.col("class").alias(f"c{x}")) for x in "uv")
+        su, sv = (sets.select(F.col("node").alias(f"{x}_node"), F.col("s").alias(f"s{x}")) for x in "uv")
+        apart = band.join(cu, F.col("u") == F.col("u_member")).join(cv, (F.col("v") == F.col("v_member")) & (F.col("cu") != F.col("cv")))
+        # shared / (a + b - shared) >= similarity, within the join so that only what is alike comes out of it
+        alike = (1 + similarity) * F.size(F.array_intersect("su", "sv")) >= similarity * (F.size("su") + F.size("sv")) - 1e-9
+        links = apart.join(sv, F.col("v") == F.col("v_node")).join(su, (F.col("u") == F.col("u_node")) & alike).select(F.col("cu").alias("u"), F.col("cv").alias("v"))
+        merged = components(links).select(F.col("node").alias("class"), F.col("component").alias("into"))
         classes = materialize(classes.join(merged, "class", "left").select("node", F.coalesce("into", "class").alias("class")), "classes")
-        tested, untested = chosen.select("u", "v"), untested.select("u", "v", "bits")
     return marked.join(classes, "node", "left").select("doc_id", "content", "node", F.coalesce("class", "node").alias("class"))
 
 

@@ -1,6 +1,8 @@
 """The stage's similarity join: recall against all pairs, hot keys, edges."""
 
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -98,3 +100,43 @@ def test_one_of_each_group_stays(spark, edge_docs):
     rows = [(None, "a b c d e f g"), (None, "a b c d e f g"), (3, "h i j k l m"), (3, "n o p q r s"), (2, "h i j k l m")]
     got = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r["doc_id"] or 0, r["text"]) for r in got) == [(0, "a b c d e f g"), (0, "a b c d e f g"), (2, "h i j k l m"), (3, "n o p q r s")]
+
+
+def joined(spark, run):
+    """Rows out of the joins of each kind, in all that ``run`` executes."""
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+    bus.waitUntilEmpty()
+    before = {store.executionsList().apply(i).executionId() for i in range(store.executionsList().size())}
+    run()
+    bus.waitUntilEmpty()
+    made, executions = Counter(), store.executionsList()
+    for e in (executions.apply(i).executionId() for i in range(executions.size())):
+        if e in before:
+            continue
+        values, nodes = store.executionMetrics(e), store.planGraph(e).allNodes()
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            for metric in (node.metrics().apply(i) for i in range(node.metrics().size())):
+                if "Join" in node.name() and metric.name() == "number of output rows" and values.contains(metric.accumulatorId()):
+                    made[re.sub(r"^\w+(?=Join[ (])|#\d+L?|, \[plan_id.*|, Build\w+", "", node.desc())] += int(values.apply(metric.accumulatorId()).replace(",", ""))
+    return made
+
+
+def test_a_candidate_is_carried_once(spark, monkeypatch):
+    """A family of near copies, most pairs of which are not alike: no join makes more rows than there are candidates."""
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(5000)}" for _ in range(150)]
+    texts = []
+    for _ in range(200):
+        copy = list(base)
+        for at in rng.sample(range(0, 150, 6), rng.choice([1, 4, 6])):
+            copy[at] = f"x{rng.randrange(9000)}"
+        texts.append(" ".join(copy))
+    count, keep = {}, simhash.materialize
+    monkeypatch.setattr(simhash, "materialize", lambda df, name: count.setdefault(name, keep(df, name)) if name == "candidates" else keep(df, name))
+    got = {}
+    made = joined(spark, lambda: got.update(simhash.similar_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).toPandas().set_index("doc_id")["class"]))
+    candidates = count["candidates"].count()
+    assert candidates > 5 * len(texts) and made and max(made.values()) <= candidates, (candidates, made.most_common(3))
+    # What exact similarity does not link stays apart.
+    truth = classes(texts)
+    assert len({truth[i] for i in range(200)}) > 20 and all(truth[i] == truth[j] for i in range(200) for j in range(i) if got[i] == got[j])
