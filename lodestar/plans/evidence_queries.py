@@ -204,7 +204,7 @@ def evidence_bounds(spark, d):
 # Trace files
 
 
-def write_traces(spans: DataFrame, form: str, path: str, cut: DataFrame | None = None, compression: str = "gzip") -> str:
+def write_traces(spans: DataFrame, form: str, path: str, cut: DataFrame | None = None) -> str:
     """The spans as trace files of one document a line and one document a trace; those of ``cut`` (trace_id, cut) are half a document.
 
     Spans are dealt out by trace, into as many files as there are tasks.
@@ -232,7 +232,7 @@ def write_traces(spans: DataFrame, form: str, path: str, cut: DataFrame | None =
     if cut is not None:
         half = F.substring("value", F.lit(1), F.expr("CAST(length(value) div 2 AS INT)"))
         traces = traces.join(cut, "trace_id", "left").withColumn("value", F.when(F.col("cut"), half).otherwise(F.col("value")))
-    traces.select("value").write.text(path, compression=compression)
+    traces.select("value").write.text(path, compression="gzip")
     return path
 
 

@@ -15,6 +15,8 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestar.functions.lineage import settle
+
 _OTLP = ("resourceSpans ARRAY<STRUCT<resource: STRUCT<attributes: VARIANT>, scopeSpans: ARRAY<STRUCT<scope: VARIANT, spans: ARRAY<VARIANT>>>, "
          "instrumentationLibrarySpans: ARRAY<STRUCT<instrumentationLibrary: VARIANT, spans: ARRAY<VARIANT>>>>>, _bad STRING")
 _JAEGER = "data ARRAY<STRUCT<traceID: STRING, processes: VARIANT, spans: ARRAY<VARIANT>>>"
@@ -237,22 +239,36 @@ def trace_census(typed: DataFrame, expected: DataFrame) -> DataFrame:
     return asked.join(found, "trace_id", "left").select("trace_id", F.coalesce("spans", F.lit(0)).alias("spans"), F.coalesce("invalid", F.lit(0)).alias("invalid"), F.coalesce("problems", F.array().cast("array<string>")).alias("problems"))
 
 
-def _unterminated(spark: SparkSession, files: list[str]) -> list[str]:
-    """Those of ``files`` whose last byte ends no line; reads that byte alone, by Spark's own file systems."""
+def _unterminated(spark: SparkSession, path, tails: DataFrame) -> list[str]:
+    """Those files of ``tails`` (_file, value: its last line) whose last byte ends no line.
+
+    Of a plain file that byte alone is read, by Spark's own file systems. A compressed one is read once more in tasks,
+    cut at a character that its last line does not end in, so that its last piece is not empty and holds that byte.
+    """
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    out = []
-    for name in files:
-        path = jvm.org.apache.hadoop.fs.Path(name)
-        system = path.getFileSystem(conf)
-        size = system.getFileStatus(path).getLen()
+    codecs = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf)
+    out, packed = [], {"{": [], '"': []}
+    for name, brace in tails.select("_file", F.endswith("value", F.lit("{"))).collect():
+        file = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(name))
+        if codecs.getCodec(file) is not None:
+            packed['"' if brace else "{"].append(name)
+            continue
+        system = file.getFileSystem(conf)
+        size = system.getFileStatus(file).getLen()
         if size:
-            stream = system.open(path)
+            stream = system.open(file)
             try:
                 stream.seek(size - 1)
                 if stream.read() not in (10, 13):
                     out.append(name)
             finally:
                 stream.close()
+    for sign, names in packed.items():
+        if names:
+            pieces = spark.read.text(path, lineSep=sign).filter(F.col("_metadata.file_path").isin(names))
+            pieces = pieces.select(F.col("_metadata.file_path").alias("_file"), F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("_at"), F.substring("value", -1, 1).alias("last"))
+            ends = pieces.groupBy("_file").agg(F.max_by("last", "_at").alias("last")).filter(~F.col("last").isin("\n", "\r"))
+            out += [r["_file"] for r in ends.collect()]
     return out
 
 
@@ -273,7 +289,7 @@ def _otlp_evidence(spark: SparkSession, path, expected: DataFrame, label: str) -
     ends = documents.groupBy("_file").agg(F.max("_at").alias("_at"))
     tails = bad.join(ends, ["_file", "_at"]).select("_file", "value")
     # One name a file whose last line is malformed; of these the last byte is read.
-    tails = tails.filter(F.col("_file").isin(_unterminated(spark, [r["_file"] for r in tails.select("_file").collect()])))
+    tails = tails.filter(F.col("_file").isin(_unterminated(spark, path, tails)))
     truncated = tails.join(_tail_named(tails, expected), "_file", "left_anti").agg(F.count("*").alias("n"))
     counters = bad.agg(F.count("*").alias("n")).select(F.lit("invalid_records").alias("counter"), "n").unionByName(truncated.select(F.lit("invalid_records").alias("counter"), (-F.col("n")).alias("n")))
     counters = counters.unionByName(truncated.select(F.lit("truncated_tails").alias("counter"), "n"))
@@ -317,9 +333,12 @@ def trace_evidence(spark: SparkSession, path, form: str, expected: DataFrame, ta
     rows = rows.select(F.col("_trace").alias("trace_id"), filled("span_id").alias("span_id"), F.nullif(filled("parent_id"), F.lit("")).alias("parent_id"), F.coalesce("service", F.lit("")).alias("service"),
                        F.coalesce("operation", F.lit("")).alias("operation"), F.when(F.col("service") == target, F.try_element_at(table, F.coalesce("_label", F.lit("")))).alias("replica"))
     usable = (F.col("span_id") != "") & (F.col("service") != "")
-    kept = rows.filter(usable).groupBy("trace_id", "span_id").agg(F.min(F.struct("parent_id", "service", "operation", "replica")).alias("s"), F.count("*").alias("n"))
-    facts = rows.agg(F.count_if(~usable).alias("invalid_records"), F.count_if(usable & (F.col("service") == target) & F.col("replica").isNull()).alias("unknown_replicas"))
-    facts = facts.select(F.explode(F.create_map(F.lit("invalid_records"), "invalid_records", F.lit("unknown_replicas"), "unknown_replicas")).alias("counter", "n"))
-    repeats = kept.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("n")).select(F.lit("duplicate_spans").alias("counter"), "n")
-    totals = counters.unionByName(facts).unionByName(repeats).groupBy("counter").agg(F.sum("n").alias("n"))
+    unknown = usable & (F.col("service") == target) & F.col("replica").isNull()
+    # The spans and what is counted of them come from one scan, which is written: a row for each id.
+    found = settle(rows.groupBy("trace_id", "span_id").agg(
+        F.min(F.when(usable, F.struct("parent_id", "service", "operation", "replica"))).alias("s"), F.count_if(usable).alias("n"), F.count_if(~usable).alias("bad"), F.count_if(unknown).alias("unknown")))
+    kept = found.filter("n > 0")
+    facts = found.agg(F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"), F.coalesce(F.sum("unknown"), F.lit(0)).alias("unknown"), F.coalesce(F.sum(F.when(F.col("n") > 0, F.col("n") - 1)), F.lit(0)).alias("repeats"))
+    facts = facts.select(F.explode(F.create_map(F.lit("invalid_records"), "bad", F.lit("unknown_replicas"), "unknown", F.lit("duplicate_spans"), "repeats")).alias("counter", "n"))
+    totals = counters.unionByName(facts).groupBy("counter").agg(F.sum("n").alias("n"))
     return kept.select("trace_id", "span_id", "s.*"), totals

@@ -1,5 +1,6 @@
 """The native scans on files by hand: every rule once, in both formats, with the census and the counters."""
 
+import gzip
 import json
 
 import pytest
@@ -123,6 +124,26 @@ def test_a_tail_that_names_an_expected_trace_is_invalid(spark, tmp_path, expecte
     assert counted(counters) == dict(invalid_records=1, truncated_tails=1, duplicate_spans=0, unknown_replicas=0)
 
 
+@pytest.mark.parametrize("text,terminated", [('{"resourceSpans": []}\n{"resou', False), ('{"resourceSpans": []}\n{"resou\n', True), ('{"resourceSpans": []}\n{"resou\r\n', True), ('{"resourceSpans": []}\n{', False), ('{"resourceSpans": []}\n{\n', True), ('{"x": 1}\n{\n{', False),
+                                             ('broken', False), ('broken\n', True), ('{"resourceSpans": []}\n"', False), ('{"resourceSpans": []}\n"\n', True), ('broken\n ', False)])
+@pytest.mark.parametrize("packed", [False, True])
+def test_the_end_of_a_file_is_found_in_any_form(spark, tmp_path, expected, text, terminated, packed):
+    """A compressed file's last byte is that of its text, and not that of the file."""
+    folder = tmp_path / "a folder"
+    folder.mkdir()
+    (folder / f"a.jsonl{'.gz' if packed else ''}").write_bytes(gzip.compress(text.encode()) if packed else text.encode())
+    _, counters = native.trace_evidence(spark, str(folder), "otlp_jsonl_v1", expected, "shop", "rep", {"one": "a"})
+    found = counted(counters)
+    assert found["truncated_tails"] == (not terminated) and found["invalid_records"] == terminated + text.startswith('{"x": 1}\n{\n')
+
+
+def test_evidence_is_scanned_once(spark, tmp_path, expected):
+    """Spans and their counters come from one written scan, not from one scan each."""
+    (tmp_path / "a.jsonl").write_text(json.dumps({"resourceSpans": [otlp(T, "01")]}) + "\n")
+    spans, _ = native.trace_evidence(spark, str(tmp_path), "otlp_jsonl_v1", expected, "shop", "rep", {"one": "a"})
+    assert spans.count() == 1 and not any(f.endswith(".jsonl") for f in spans.inputFiles())
+
+
 def test_evidence_of_jaeger(spark, tmp_path, expected):
     processes = {"p": {"serviceName": "shop", "tags": [{"key": "rep", "value": "one"}]}, "q": {"serviceName": "shop", "tags": []}}
     document = {"data": [{"traceID": T, "processes": processes, "spans": [jaeger("01"), jaeger("01"), jaeger("02", "q", parents=[("01", T)]), jaeger(""), jaeger("04", "none")]}]}
