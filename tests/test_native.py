@@ -165,3 +165,46 @@ def test_attribute_values_are_made_once(spark):
     made = rows.select(native._map(F.col("items"), lambda v: F.concat(F.lit("marker"), native._scalar(v))).alias("m"))
     assert made._jdf.queryExecution().analyzed().toString().count("marker") == 1
     assert made.first()["m"] == {"a": "marker3", "b": "marker2", "c": None}
+
+
+def planned(rows, text):
+    """How often ``text`` stands in the plan of ``rows``."""
+    conf, key = rows.sparkSession.conf, "spark.sql.debug.maxToStringFields"
+    before = conf.get(key)
+    conf.set(key, 10_000)
+    try:
+        return rows._jdf.queryExecution().optimizedPlan().toString().count(text)
+    finally:
+        conf.set(key, before)
+
+
+@pytest.mark.parametrize("form", ["otlp_jsonl_v1", "jaeger_jsonl_v1"])
+def test_documents_and_times_are_read_once(spark, tmp_path, expected, form):
+    """A filter on the problem of a span makes neither its document nor its times again."""
+    (tmp_path / "a.jsonl").write_text("{}\n")
+    spans, _ = native.read_native(spark, str(tmp_path / "a.jsonl"), form, expected)
+    used = spans.filter("problem IS NULL").select("trace_id", (F.col("start_us") * 1000 + F.col("start_remainder_ns")).alias("start_ns"), "attributes", "resource_attributes")
+    assert planned(used, "from_json(") == 1 and planned(used, "[+-]?[0-9]+$") == 2
+
+
+def test_processes_are_read_once_a_trace(spark, tmp_path, expected):
+    """The map of a trace's processes is made below the row of each span."""
+    (tmp_path / "a.jsonl").write_text("{}\n")
+    spans, _ = native.read_native(spark, str(tmp_path / "a.jsonl"), "jaeger_jsonl_v1", expected)
+    plan = spans._jdf.queryExecution().optimizedPlan().toString()
+    assert "try_variant_get(processes" in plan.split("Generate explode(spans", 1)[1]
+
+
+@pytest.mark.parametrize("divisor", [1, 1000])
+def test_times_at_the_ends_of_their_range(spark, divisor):
+    """Whole numbers beyond 64 bits are split like those within them."""
+    most = native.LARGEST_MICROS
+    numbers = [-(10**30), -(2**63) - 1, -1001, -1, 0, 1, 999, 1000, 2**63 - 1, 2**63, most * divisor, most * divisor + divisor - 1, (most + 1) * divisor, 10**37]
+    pairs = [(a, b) for a in numbers for b in numbers]
+    rows = spark.createDataFrame([(str(a), str(b)) for a, b in pairs], "a string, b string").select(*[F.col(c).cast("decimal(38,0)").alias(c) for c in "ab"])
+    fine, times = native._split(F.col("a"), F.col("b"), divisor)
+    cut = lambda x: (abs(x) // divisor * (1 if x >= 0 else -1), abs(x) % divisor * (1 if x >= 0 else -1))
+    for r in rows.select("a", "b", fine.alias("fine"), *[t.alias(f"t{i}") for i, t in enumerate(times)]).collect():
+        (au, ar), (bu, br) = cut(int(r["a"])), cut(int(r["b"]))
+        assert r["fine"] == (r["a"] >= 0 and bu > 0 and au <= most and bu <= most)
+        assert [r[f"t{i}"] for i in range(4)] == [v if -(2**63) <= v < 2**63 else None for v in (au, bu, ar, br)]
